@@ -5,14 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup as lines
+from . import media, mixing, packing, quality, repeats, token_counts, token_files
 from .common import tables
 from .ngram_join import near_duplicates
+from .toxicity import toxicity
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tables(spark, sf_dir))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tables(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(tables(spark, sf_dir))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(tables(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(tables(spark, sf_dir).select("doc_id", "text"))
+    text = F.coalesce("cleaned", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.char_length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(tables(spark, sf_dir), tables(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(tables(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.read_token_files(token_files.write_token_files(tables(spark, sf_dir)))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(tables(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing)
+}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE}
