@@ -61,7 +61,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, shar
 
 
 ORACLE = r"""
-WITH b AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> ''))::BIGINT size FROM documents),
+WITH b AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT z, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE w FROM b GROUP BY source),
 r AS (SELECT *, (2.0 * z)::DOUBLE cap, (1.5 * sum(z) OVER ())::DOUBLE total FROM s),
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM r),

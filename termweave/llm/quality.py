@@ -92,7 +92,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH t AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') text FROM documents),
-w AS (SELECT rid, unnest(list_filter(regexp_split_to_array(text, '[{SEPARATORS}]+'), x -> x <> '')) w, generate_subscripts(list_filter(regexp_split_to_array(text, '[{SEPARATORS}]+'), x -> x <> ''), 1) i FROM t),
+w AS (SELECT rid, unnest(list_filter(regexp_split_to_array(text, '[{SEPARATORS}]+'), lambda x: x <> '')) w, generate_subscripts(list_filter(regexp_split_to_array(text, '[{SEPARATORS}]+'), lambda x: x <> ''), 1) i FROM t),
 g AS (SELECT rid, i, w, lead(w, 1) OVER v w2, lead(w, 2) OVER v w3 FROM w WINDOW v AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i, (w3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, w, w2, w3) > 1)::INT d FROM g),
 n AS (SELECT rid, count(*) n_words, sum(c) n_repeat_words FROM (SELECT rid, max(d) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) c FROM r) GROUP BY rid),
