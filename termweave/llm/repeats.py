@@ -160,10 +160,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = batch["doc_id"].to_pylist()
         for i, data, w in _texts(batch["text"]):
             mine = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in column[i]]))
-            at = np.searchsorted(mine, w >> np.uint64(10))
+            low = (w >> np.uint64(10)) & np.uint64((1 << 48) - 1)  # the part of a hash that _anchors keeps
+            at = np.searchsorted(mine, low)
             at[at == len(mine)] = 0
-            # the range is the top six bits, the kept hash the next 48
-            ok = mine[at] == (w >> np.uint64(10)) if len(mine) else np.zeros(len(w), bool)
+            ok = mine[at] == low if len(mine) else np.zeros(len(w), bool)
             first, last = runs_of(w)
             use = ok[first]
             raw, doc = data.tobytes(), docs[i]
