@@ -1,15 +1,38 @@
-"""Corpus preparation: quality rules, line dedup, near duplicates, source mixing, packing."""
+"""Corpus preparation: quality rules, line dedup, near duplicates, source mixing, packing.
+
+Each stage reads all that its predecessor wrote; all but the last return the columns of documents. Null and empty texts fail the
+quality rules and go; everything else follows the docstrings of the operators.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termweave.llm.common import tables, written
+from termweave.llm.line_dedup import line_dedup
+from termweave.llm.mixing import mix
 from termweave.llm.ngram_join import near_duplicates
+from termweave.llm.packing import pack
+from termweave.llm.quality import quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _with_text(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("text", F.col(text)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    return _with_text(quality(docs).where("kept"), "cleaned")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the line chunks that an earlier one has."""
+    return _with_text(line_dedup(docs), "cleaned")
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     found = near_duplicates(docs)
@@ -17,7 +40,26 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(leave, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("ngram_jaccard_join", near_dup_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every word in one bin; copies of a document lie in different bins."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", near_dup_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: Near duplicates and packing are beyond SQL; tests compare the pipeline with brute force.
 ORACLE_SQL = None
 
 

@@ -76,18 +76,13 @@ def quality(docs: DataFrame) -> DataFrame:
         word_array(F.col("text")),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
     )
-    lines = let(
-        with_words,
-        lambda x: F.struct(
-            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.array_join(F.filter(x, lambda y: ~line_fails(y)), "\n").alias("cleaned"),
-        ),
-    )
-    out = docs.withColumns({"_c": counts, "_l": lines, "word_chars": F.char_length(bare(text)).cast("long"), "n_symbols": _occurs(text, SYMBOLS).cast("long")})
-    out = out.withColumns({"n_words": F.col("_c.n_words"), "n_repeat_words": F.col("_c.n_repeat_words"), "n_dup_lines": F.col("_l.n_dup_lines"), "cleaned": F.col("_l.cleaned")})
+    dups = let(with_words, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
+    out = docs.withColumns({"_c": counts, "n_dup_lines": dups, "cleaned": cleaned, "word_chars": F.char_length(bare(text)).cast("long"), "n_symbols": _occurs(text, SYMBOLS).cast("long")})
+    out = out.withColumns({"n_words": F.col("_c.n_words"), "n_repeat_words": F.col("_c.n_repeat_words")})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     enough = F.char_length(bare(F.col("cleaned"))) * 100 >= F.col("word_chars") * KEEP_PERCENT
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_c", "_l")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_c")
 
 
 ORACLE = rf"""
