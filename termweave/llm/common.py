@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: The six separators of the word definition, as a Java/DuckDB character class body.
 SEPARATORS = r"\x20\x09-\x0D"
 #: Largest side that is ever broadcast, by the size of its written Parquet files.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
