@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import tables, written
+from termweave.llm.common import tables, word_count, written
 from termweave.llm.line_dedup import line_dedup
 from termweave.llm.mixing import mix
 from termweave.llm.ngram_join import near_duplicates
@@ -41,9 +41,10 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
+    """Documents as often as the mix takes them; repeated rows are taken alike."""
+    taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("copies"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col("_size"))
+    rows = docs.join(taken, same)
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(COLUMNS)
 
 
