@@ -22,7 +22,7 @@ from .common import arrow_limits, small_side, written
 from .components import components
 from .shingle import shingle_sets
 
-SLICES, SLICE_BITS = 256, 12  # 2**20 counters
+SLICES, SLICE_BITS = 256, 14  # 2**22 counters
 BLOCK = 256  # classes of a block, on average at most
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 LONG_LIST = 64  # a posting list with more classes lets its blocks meet without looking at each pair
