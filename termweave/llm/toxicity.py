@@ -18,6 +18,8 @@ FACTORS = 8
 FIT_ROWS = 20_000
 #: Terms that the model keeps, those that differ most between the labels.
 TERMS = 2048
+#: Least chi-square of a kept term: beyond what chance gives the best of a million terms.
+SURE = 30.0
 
 
 def _terms(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -63,8 +65,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 30, seed: int = 7) -> Model:
-    """Adagrad over mini-batches; rows are (label, distinct hashed terms). With one label or none only a bias is learnt."""
+def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, seed: int = 7) -> Model:
+    """Adagrad over mini-batches; rows are (label, distinct hashed terms). With one label or none only a bias is learnt.
+
+    The rarer label weighs more, by the root of the ratio, so that rare terms of it are not drowned.
+    """
     rng = np.random.default_rng(seed)
     y = np.array([r[0] for r in rows], float)
     p = (y.sum() + 1) / (len(y) + 2)
@@ -76,13 +81,14 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 30, seed: int = 7) ->
     yes = np.bincount(term, y[owner], 1 << BITS)
     all_ = np.bincount(term, minlength=1 << BITS).astype(float)
     expected = all_ * y.mean()
-    chi = np.where(all_ >= 3, (yes - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
+    chi = np.where(all_ >= 5, (yes - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
     kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    kept = kept[chi[kept] > 3.84]
+    kept = kept[chi[kept] > SURE]
     model = Model(kept, bias, np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)))
     place = model.place[term]
     owner, place = owner[place >= 0], place[place >= 0]
     at = np.searchsorted(owner, np.arange(len(rows) + 1))
+    weight = np.where(y == (y.mean() < 0.5), np.sqrt(max(y.mean(), 1 - y.mean()) / min(y.mean(), 1 - y.mean())), 1.0)
     gw, gv, gb = np.full(len(kept), 1e-6), np.full(model.v.shape, 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -97,11 +103,11 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 30, seed: int = 7) ->
             np.add.at(total, o, v)
             np.add.at(square, o, (v * v).sum(1))
             z = model.bias + np.bincount(o, model.w[x], len(batch)) + 0.5 * ((total**2).sum(1) - square)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
-            dw = np.bincount(x, g[o], len(kept)) + 1e-4 * model.w
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weight[batch] / len(batch)
+            dw = np.bincount(x, g[o], len(kept)) + 1e-5 * model.w
             dv = np.zeros_like(model.v)
             np.add.at(dv, x, g[o][:, None] * (total[o] - v))
-            dv += 1e-3 * model.v
+            dv += 1e-4 * model.v
             gw += dw * dw
             gv += dv * dv
             gb += g.sum() ** 2
