@@ -25,7 +25,7 @@ LENGTH = 50
 GRAM = 20
 RUN = LENGTH - GRAM + 1  # windows of one piece at most; also the grams in a window
 WIDE = LENGTH + RUN - 1
-RANGES = 64
+RANGES = 64, 1 << 16  # hash ranges that anchors are dealt by: twice the shuffle partitions, within these bounds
 
 
 def _slide(x: np.ndarray, w: int) -> np.ndarray:
@@ -72,11 +72,10 @@ def _texts(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             yield row + i, data[a:b], w[a : b - LENGTH + 1]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(ranges: int):
     """Rows a chunk and range: hashes, places in the list of text keys, the list. Hashes that two texts of the chunk share say so."""
-    hashes, owners, keys, docs, held = [], [], [], [], 0
 
-    def packed() -> Iterator[pa.RecordBatch]:
+    def packed(hashes: list, owners: list, keys: list) -> pa.RecordBatch:
         h, o = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(h, kind="stable")
         h, o = h[order], o[order]
@@ -84,33 +83,37 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.repeat(np.diff(np.append(at, len(h))) > 1, np.diff(np.append(at, len(h))))
         lead = np.zeros(len(h), bool)
         lead[at] = True
-        cuts = np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) << np.uint64(58))
-        table = np.array(keys, "<i8").tobytes()
+        cuts = np.searchsorted(h, np.arange(ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length()))
+        table = np.array(keys, "<i8")
         rows = []
         for r, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True)):
             if b > a:
                 x = h[a:b]
-                rows.append((r, (x >> np.uint64(26)).astype("<u4").tobytes(), (x >> np.uint64(10)).astype("<u2").tobytes(), o[a:b].astype("<u2").tobytes(), np.packbits(shared[a:b]).tobytes(), np.packbits(lead[a:b]).tobytes(), table))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 6, strict=True)], names=["range", "high", "low", "owner", "shared", "lead", "keys"])
-
-    for batch in batches:
-        seen: set[int] = set(keys)
-        for i, data, w in _texts(batch["text"]):
-            key = text_key(data.tobytes())
-            if key in seen:
-                continue
-            seen.add(key)
-            u = np.unique(w)
-            hashes.append(u)
-            owners.append(np.full(len(u), len(keys)))
-            keys.append(key)
-            held += len(u)
-            if held > 400_000 or len(keys) > 60_000:
-                yield from packed()
-                hashes, owners, keys, held = [], [], [], 0
-                seen = set()
-    if hashes:
-        yield from packed()
+                used, place = np.unique(o[a:b], return_inverse=True)
+                rows.append((r, (x >> np.uint64(26)).astype("<u4").tobytes(), (x >> np.uint64(10)).astype("<u2").tobytes(), place.astype("<u2").tobytes(), np.packbits(shared[a:b]).tobytes(), np.packbits(lead[a:b]).tobytes(), table[used].tobytes()))
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 6, strict=True)], names=["range", "high", "low", "owner", "shared", "lead", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, owners, keys, held, seen = [], [], [], 0, set()
+        most = min(4_000_000, max(400_000, 16 * ranges))
+        for batch in batches:
+            for _, data, w in _texts(batch["text"]):
+                key = text_key(data.tobytes())
+                if key in seen:
+                    continue
+                seen.add(key)
+                u = np.unique(w)
+                hashes.append(u)
+                owners.append(np.full(len(u), len(keys)))
+                keys.append(key)
+                held += len(u)
+                if held > most or len(keys) > 60_000:
+                    yield packed(hashes, owners, keys)
+                    hashes, owners, keys, held, seen = [], [], [], 0, set()
+        if hashes:
+            yield packed(hashes, owners, keys)
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +319,9 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = written(docs.where("doc_id is not null").where(whole >= LENGTH).mapInArrow(_keys, "doc_id long, n int, key long, low long"), "text-keys")
     first = keyed.groupBy("key", "low").agg(F.min("doc_id").alias("rep"))
     first = written(first, "text-classes")
-    anchors = docs.where("doc_id is not null").mapInArrow(_anchors, "range int, high binary, low binary, owner binary, shared binary, lead binary, keys binary")
-    shared = anchors.repartition(min(parts, RANGES), "range").sortWithinPartitions("range").mapInArrow(_with_range, "key long, hashes binary")
+    ranges = min(RANGES[1], max(RANGES[0], 1 << (2 * parts - 1).bit_length()))
+    anchors = docs.where("doc_id is not null").mapInArrow(_anchors(ranges), "range int, high binary, low binary, owner binary, shared binary, lead binary, keys binary")
+    shared = anchors.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared, "key long, hashes binary")
     shared = shared.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
     wanted = shared.join(first, "key").select("rep", "hashes")
     wanted = small_side(wanted, "shared-hashes")
@@ -336,10 +340,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["doc_id"], pa.array([len(t) for t in texts], pa.int32()), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([int.from_bytes(d[8:], "little", signed=True) for d in digests], pa.int64())], names=["doc_id", "n", "key", "low"])
 
 
-def _with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _shared(batches)
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): bytes in 50-byte strings that also start in a smaller doc_id are removed.
 
