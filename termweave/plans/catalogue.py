@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audit, blending, hierarchy, mapping, metrics, mining, rerank, sampling, vector
+from ..sources import schema
 from . import standins as S
 from .standins import table as t
 
@@ -785,6 +786,87 @@ def array_length_audit(spark, d):
     return audit.array_lengths(_nested(spark, d), ["turns", "roles"])
 
 
+# ---------------------------------------------------------------- further forms
+
+
+@query("SELECT DISTINCT p_partkey concept_id, p_brand || '|' || p_type || '|' || p_name AS name FROM part JOIN (SELECT DISTINCT p_brand b, p_type y FROM part WHERE p_size > 40) ON p_brand = b AND p_type = y")
+def two_key_join(spark, d):
+    p = t(spark, d, "part")
+    keys = p.where("p_size > 40").select("p_brand", "p_type").distinct()
+    return p.join(keys, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("concept_id"), F.concat("p_brand", F.lit("|"), "p_type", F.lit("|"), "p_name").alias("name")).distinct()
+
+
+@query("SELECT event_id, pos FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events) WHERE pos >= 10 AND pos < 200 AND (pos - 10) % 7 = 0")
+def positional_slice(spark, d):
+    rows = mapping.numbered(t(spark, d, "events").select("event_id"), ["event_id"], "n").withColumn("pos", F.col("n") - 1)
+    return rows.where("pos >= 10 and pos < 200 and (pos - 10) % 7 = 0").select("event_id", "pos")
+
+
+@query("SELECT conv_id, min(turn) first_turn, r_name FROM conversations JOIN region ON r_regionkey = conv_id % 5 GROUP BY conv_id, r_name")
+def array_first_key_join(spark, d):
+    n = _nested(spark, d).select("conv_id", F.element_at("turns", 1).alias("first_turn"), F.array((F.col("conv_id") % 5).cast("int")).alias("keys"))
+    return n.join(t(spark, d, "region"), F.element_at("keys", 1) == F.col("r_regionkey")).select("conv_id", "first_turn", "r_name")
+
+
+@query("SELECT concept_id query_id, concept_id - concept_id % 4 corpus_id, 1 AS label FROM concept WHERE vocabulary_id = 'Brand#3' AND concept_id IN (SELECT concept_id FROM std_bridge)", S.CONCEPT, S.STD)
+def reserved_query_set(spark, d):
+    """Concepts of a reserved vocabulary that the bridge knows, as queries with their standard concept as the positive."""
+    c = S.concept(spark, d).where("vocabulary_id = 'Brand#3'")
+    return c.join(S.std_bridge(spark, d), "concept_id").select(F.col("concept_id").alias("query_id"), F.col("std_concept_id").alias("corpus_id"), F.lit(1).alias("label"))
+
+
+@query('SELECT "from" AS kind, label, count(*)::BIGINT n FROM al GROUP BY ALL', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
+def kind_counts(spark, d):
+    return sampling.interleaved(*_interleave_inputs(spark, d)).groupBy(F.col("from").alias("kind"), "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\W+', '', 'g')) stripped FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")
+def non_word_strip(spark, d):
+    return t(spark, d, "documents").where(X.is_ascii("text")).select("doc_id", F.md5(X.non_word_stripped("text")).alias("stripped"))
+
+
+@query("SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT suffix FROM customer")
+def name_suffix(spark, d):
+    return t(spark, d, "customer").select("c_custkey", X.integer_suffix("c_name").alias("suffix"))
+
+
+@query("SELECT event_type, n, sum(n) OVER (ORDER BY event_type)::BIGINT running FROM (SELECT event_type, count(*)::BIGINT n FROM events GROUP BY event_type)")
+def running_offsets(spark, d):
+    n = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.withColumn("running", F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+@query("SELECT query_id, corpus_id, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT query_id, corpus_id, round(score + coalesce(max(p), 0), 9) f FROM hits LEFT JOIN ps USING (query_id, corpus_id) GROUP BY query_id, corpus_id, score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS)
+def rerank_best_relation(spark, d):
+    q, c, hits, par = _rerank_inputs(spark, d)
+    return rerank.by_best_relation(hits, q, par, c).select("query_id", "corpus_id", *_r("final_score"))
+
+
+@query("SELECT round((SELECT sum(fp * ((ctp - tp) + tp / 2)) / (sum(tp) * sum(fp)) FROM cu), 6) roc_auc, round((SELECT sum(tp * ctp / (ctp + cfp)) / sum(tp) FROM cu), 6) average_precision, round((SELECT avg(coalesce(1.0 / (b + 1), 0)) FROM rk), 6) best_reciprocal_rank", S.SIM, "lab AS (SELECT query_id, corpus_id, round(score, 9) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= 100)", _DIS, _RANKS)
+def evaluate_model(spark, d):
+    """End to end: top-100 search, labels attached, all metrics."""
+    q, c, pos = S.vectors(spark, d)
+    rows = mining.labelled_hits(vector.topk(q, c, 100), pos)
+    return metrics.evaluated(rows).select(*_r("roc_auc", "average_precision", "best_reciprocal_rank"))
+
+
+@query("SELECT sentence1, code2::BIGINT code2, label FROM (SELECT p_name sentence1, (SELECT count(DISTINCT b) FROM (SELECT p_brand b, min(p_partkey) m FROM part GROUP BY p_brand) x WHERE x.m < (SELECT min(p_partkey) FROM part z WHERE z.p_brand = part.p_brand)) code2, (p_size % 2)::INT AS label FROM part WHERE p_partkey < 100)")
+def eval_frame_normalised(spark, d):
+    """Other column names resolved to the wanted ones, a text column coded."""
+    p = t(spark, d, "part").withColumn("y", (F.col("p_size") % 2).cast("int"))
+    rows = schema.resolve_aliases(p, [{"sentence1": "query_name", "brand": "corpus_name", "label": "label"}, {"sentence1": "p_name", "brand": "p_brand", "label": "y"}])
+    return mapping.factorized(rows, "brand", "p_partkey").where("p_partkey < 100").select("sentence1", F.col("code").cast("long").alias("code2"), "label")
+
+
+@query("SELECT a.p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'missing' ELSE 'different' END AS error_type FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE b.p_partkey IS NULL OR lower(trim(a.p_name)) <> lower(trim(b.p_name)) ORDER BY a.p_partkey LIMIT 200")
+def review_rows(spark, d):
+    """The first 200 rows of a name audit that a person reads; the limit is the report's."""
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    names = p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("name"))
+    wrong = audit.name_alignment(p, names, "p_partkey", "p_name").where("status <> 'ok'")
+    return wrong.select("p_partkey", F.col("status").alias("error_type")).orderBy("p_partkey").limit(200)
+
+
 # ---------------------------------------------------------------- streams
 
 
