@@ -7,10 +7,15 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's split pattern for texts without _ODD: word characters less digits and _ are the letters, digits the numbers.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Characters that Python's classes see otherwise than the tokenizer's: separators 1C-1F, superscripts, fractions, dotted I, and all
+#: beyond extended Latin.
+_ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]|<\\|")
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 _open: dict[tuple[str, bool], WordEncoder] = {}
 
 
@@ -23,20 +28,20 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """A word-level BPE tokenizer whose normaliser and splitter never look across white space.
 
-    Texts are cut at the six ASCII separators; words, and the pieces that the tokenizer's own split pattern makes of them, are
-    kept in bounded caches. Words outside plain Latin letters, and words that may hold a special token, go to the library whole.
+    Texts of plain Latin letters are cut by the tokenizer's own split pattern, and each distinct piece goes to the library's model
+    once; a bounded cache keeps its ids. Other texts, and those that may hold a special token, go to the library whole.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False, words: int = 400_000, pieces: int = 400_000):
+    def __init__(self, path: str, plain_specials: bool = False, pieces: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
-        self.most = words, pieces
+        self.most = pieces
 
     @classmethod
     def get(cls, path: str, plain_specials: bool = False) -> WordEncoder:
@@ -48,42 +53,27 @@ class WordEncoder:
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, word: str) -> list[str] | None:
-        if "<|" in word:
-            return None
-        if word.isascii():
-            return _ASCII.findall(word.lower())
-        if max(word) < "ɐ" and unicodedata.is_normalized("NFC", word):
-            return _LATIN.findall(word.lower())
-        return None
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.most[0]:
-            self.words.clear()
-        if len(self.pieces) > self.most[1]:
-            self.pieces.clear()
-        order = list(new)
-        texts = [w.decode() for w in order]
-        cuts = [self._cut(w) for w in texts]
-        todo = list({p for c in cuts if c for p in c} - self.pieces.keys())
-        for p, ids in zip(todo, self._packed(todo), strict=True):
-            self.pieces[p] = ids
-        odd = [i for i, c in enumerate(cuts) if c is None]
-        whole = dict(zip(odd, self._packed([texts[i] for i in odd]), strict=True))
-        get = self.pieces.__getitem__
-        for i, (w, c) in enumerate(zip(order, cuts, strict=True)):
-            self.words[w] = whole[i] if c is None else b"".join(map(get, c))
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text, no special tokens added."""
-        split = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for x in split:
-            new.update(x)
-        new -= self.words.keys()
+        cut: list[list[str] | bytes] = []
+        seen: set[str] = set()
+        for raw in texts:
+            text = raw.decode()
+            if text.isascii() and not any(x in text for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")) or not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
+                found = _PIECES.findall(text.lower())
+                seen.update(found)
+                cut.append(found)
+            else:
+                cut.append(self._packed([text])[0])
+        new = seen - self.pieces.keys()
         if new:
-            if len(self.words) + len(new) > self.most[0]:
-                new = {w for x in split for w in x}
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+            if len(self.pieces) + len(new) > self.most:
+                self.pieces.clear()
+                new = seen
+            self.pieces.update((p, self._piece(p)) for p in new)
+        get = self.pieces.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in cut]

@@ -98,30 +98,19 @@ def blocks(uri: str, first: int = 0) -> Iterator[np.ndarray]:
             yield unpack_block(f.read_at(int(starts[i + 1] - starts[i]), int(starts[i])))
 
 
-def _encoded(path: str, end: int):
+def _write(folder: str, path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.get(path)
         last = np.array([end], encoder.dtype).tobytes()
+        uri, writer, docs, lens = f"{folder}/{uuid.uuid4().hex}.tok", None, [], []
         for batch in batches:
             texts = batch["text"].fill_null("").cast(pa.binary())
             for i in range(0, len(texts), 256):
+                writer = writer or Writer(uri)
                 ids = [x + last for x in encoder.encode(texts[i : i + 256].to_pylist())]
-                yield pa.record_batch([batch["doc_id"][i : i + 256], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return run
-
-
-def _write(folder: str, wide: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, writer, docs, lens = f"{folder}/{uuid.uuid4().hex}.tok", None, [], []
-        for batch in batches:
-            if not len(batch):
-                continue
-            writer = writer or Writer(uri)
-            ids = batch["ids"].to_pylist()
-            writer.add(np.frombuffer(b"".join(ids), "<u4" if wide else "<u2").astype(np.uint32))
+                writer.add(np.frombuffer(b"".join(ids), encoder.dtype).astype(np.uint32))
+                lens += [len(x) // encoder.dtype.itemsize for x in ids]
             docs += batch["doc_id"].to_pylist()
-            lens += [len(x) // (4 if wide else 2) for x in ids]
         if writer:
             writer.close()
             first = next((x for x in docs if x is not None), -(1 << 63))
@@ -141,10 +130,10 @@ def write_token_files(docs: DataFrame, path: str | None = None, end: int = 1, fo
     arrow_limits(spark, 1000)
     path = path or default_tokenizer()
     folder = folder or scratch(spark, "tokens")
-    wide = WordEncoder.get(path).dtype.itemsize == 4
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path, end), "doc_id long, ids binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    files = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(folder, wide), "uri string, first long, nulls boolean, ids long, docs array<long>, lens array<long>")
+    # ranges are chosen from doc_id alone, so texts are encoded once, where they are written
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    files = rows.mapInArrow(_write(folder, path, end), "uri string, first long, nulls boolean, ids long, docs array<long>, lens array<long>")
     files = written(files, "token-manifest")
     before = Window.orderBy(F.col("nulls").desc(), "first", "uri").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("uri", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))

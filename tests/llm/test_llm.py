@@ -202,10 +202,10 @@ def library_ids(rows):
 
 
 def test_encoder_equals_the_library(rows):
-    odd = ["It's  WE'LL don''t", "a b c\x1cd", "Ångström é é", "ΣΑΣ ſ", "x<|endoftext|>y <|startoftext|>", "1234 ١٢ ½", "***'s!!", "日本語テキスト", "\x85q", "a_b-c"]
+    odd = ["It's  WE'LL don''t", "a b c\x1cd", "Ångström é é", "ΣΑΣ ſ", "x<|endoftext|>y <|startoftext|>", "1234 ١٢ ½", "***'s!!", "x yz ² ª º µ ÿ ſ Ǆ", "日本語テキスト", "\x85q", "a_b-c"]
     rows = [(i, t) for i, t in enumerate(odd)] + [(100 + r[0], r[1]) for r in rows]
     want = library_ids(rows)
-    e = encode.WordEncoder(encode.default_tokenizer(), words=50, pieces=50)
+    e = encode.WordEncoder(encode.default_tokenizer(), pieces=50)
     for d, t in rows:
         assert np.frombuffer(e.encode([(t or "").encode()])[0], "<u2").tolist() == want[d], t
 
