@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: The tokenizer's split pattern for texts without _ODD: word characters less digits and _ are the letters, digits the numbers.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PIECES = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 #: Characters that Python's classes see otherwise than the tokenizer's: separators 1C-1F, superscripts, fractions, dotted I, and all
 #: beyond extended Latin.
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]|<\\|")
@@ -25,6 +26,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Pieces(dict):
+    """Packed ids by piece; a missing one is encoded, a full cache starts anew."""
+
+    def __init__(self, encoder: WordEncoder, most: int):
+        super().__init__()
+        self.encoder, self.most = encoder, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = ids = self.encoder._piece(piece)
+        return ids
+
+
 class WordEncoder:
     """A word-level BPE tokenizer whose normaliser and splitter never look across white space.
 
@@ -40,8 +55,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.most = pieces
+        self.pieces = _Pieces(self, pieces)
 
     @classmethod
     def get(cls, path: str, plain_specials: bool = False) -> WordEncoder:
@@ -55,25 +69,15 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text, no special tokens added."""
-        cut: list[list[str] | bytes] = []
-        seen: set[str] = set()
+        get, out = self.pieces.__getitem__, []
         for raw in texts:
             text = raw.decode()
             if text.isascii() and not any(x in text for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")) or not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
-                found = _PIECES.findall(text.lower())
-                seen.update(found)
-                cut.append(found)
+                out.append(b"".join(map(get, _PIECES.findall(text.lower()))))
             else:
-                cut.append(self._packed([text])[0])
-        new = seen - self.pieces.keys()
-        if new:
-            if len(self.pieces) + len(new) > self.most:
-                self.pieces.clear()
-                new = seen
-            self.pieces.update((p, self._piece(p)) for p in new)
-        get = self.pieces.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in cut]
+                out.append(self._packed([text])[0])
+        return out
