@@ -24,6 +24,7 @@ from .shingle import shingle_sets
 
 SLICES, SLICE_BITS = 256, 14  # 2**22 counters
 BLOCK = 256  # classes of a block, on average at most
+SIGN_BITS, MOST = 8, 65535  # a class's shingles by the first bits of their hashes; a full count is taken as any number
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 LONG_LIST = 64  # a posting list with more classes lets its blocks meet without looking at each pair
 
@@ -41,12 +42,13 @@ def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SLICES << SLICE_BITS, np.uint32)
         for batch in batches:
-            n, keys = [], []
+            n, keys, signs = [], [], []
             for s in shingle_sets(batch["text"], k):
                 n.append(len(s))
+                signs.append(np.minimum(np.bincount((s >> np.uint64(64 - SIGN_BITS)).astype(np.int64), minlength=1 << SIGN_BITS), MOST).astype("<u2").tobytes())
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=8).digest())
                 np.add.at(counters, (s >> np.uint64(64 - 8 - SLICE_BITS)).astype(np.int64), np.uint32(1))
-            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
+            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.nulls(len(n), pa.int32()), pa.array(signs, pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
         parts = counters.reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         if used:
@@ -163,6 +165,46 @@ def _meetings(percent: int):
     return run
 
 
+def _plausible(percent: int):
+    """Suffix filter: rows sorted by task -> those with a partner in the task (across its sides, if it has two) whose sizes, and
+    whose counts by hash range, allow the similarity. The sum of the smaller counts bounds an intersection from above."""
+
+    def kept(rows: list[tuple]) -> list[int]:
+        n = np.array([r[3] for r in rows], np.int64)
+        side = np.array([r[1] for r in rows], np.int8)
+        bins = np.stack([np.frombuffer(r[4], "<u2") for r in rows]).astype(np.int32)
+        bins[bins == MOST] = 1 << 20
+        out = np.zeros(len(rows), bool)
+        order = np.argsort(n, kind="stable")
+        for at, i in enumerate(order[:-1].tolist()):
+            j = order[at + 1 :]
+            j = j[: np.searchsorted(n[j], n[i] * 100 // percent, "right")]
+            if side.any():
+                j = j[side[j] != side[i]]
+            if len(j):
+                ok = np.minimum(bins[i], bins[j]).sum(1) >= _overlap(n[i], n[j], percent)
+                if ok.any():
+                    out[i] = True
+                    out[j[ok]] = True
+        return np.flatnonzero(out).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[tuple] = []
+        for batch, last in _with_last(batches):
+            out: list[tuple] = []
+            for r in zip(*(batch[c].to_pylist() for c in ("task", "side", "class_id", "n", "sign")), strict=True):
+                if now and r[0] != now[-1][0]:
+                    out += [now[i][:3] for i in kept(now)]
+                    now = []
+                now.append(r)
+            if last and now:
+                out += [now[i][:3] for i in kept(now)]
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["task", "side", "class_id"])
+
+    return run
+
+
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs of sets (sorted, distinct hashes) whose Jaccard similarity reaches percent; exact. side: only pairs across."""
     z = len(sets)
@@ -283,6 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profile = written(docs.mapInArrow(_profile(k), "doc_id long, n long, key long, slice int, counts binary"), "profile")
     rows = profile.where("slice is null").select("doc_id", "n", "key")
+    signs = profile.where("slice is null").select(F.col("doc_id").alias("class_id"), "key", "n", F.col("counts").alias("sign"))
     counts = profile.where("slice is not null").select("slice", "counts").repartition(min(parts, SLICES), "slice").mapInArrow(_summed, "slice int, counts binary")
     table = np.zeros((SLICES, 1 << SLICE_BITS), np.int64)
     for r in counts.collect():  # 8 MB whatever the input
@@ -305,7 +348,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     some = met.where("kind = 0").select("a", "b", "key", "n").distinct().join(block, ["key", "n"]).select("a", "b", "key", "n", (F.col("block") != F.col("a")).cast("int").alias("side"))
     whole = met.where("kind = 2").select("a", "b").distinct().select("a", "b", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
     whole = whole.join(block.join(met.where("kind = 1").select("key", "n").distinct(), ["key", "n"]), "block").select("a", "b", "key", "n", "side")
-    tasks = some.union(whole).select(F.xxhash64("a", "b").alias("task"), "key", "n", "side").join(classes, ["key", "n"])
+    tasks = some.union(whole).distinct().select(F.xxhash64("a", "b").alias("task"), "key", "n", "side").join(classes, ["key", "n"])
+    signed = signs.join(tasks.select("class_id", "key", "n").distinct(), ["class_id", "key", "n"]).dropDuplicates(["class_id"]).select("class_id", "sign")
+    tasks = tasks.join(signed, "class_id").select("task", "side", "class_id", "n", "sign")
+    tasks = tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_plausible(percent), "task long, side int, class_id long")
     wanted = tasks.groupBy("class_id").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
     texts = docs.join(small_side(wanted, "wanted"), docs["doc_id"] == F.col("class_id")).select(F.inline("tasks"), "doc_id", "text")
     links = texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_verified(k, percent), "u long, v long")
