@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import tables, word_count, written
-from termweave.llm.line_dedup import line_dedup
+from termweave.llm.line_dedup import line_dedup, windows
 from termweave.llm.mixing import mix
 from termweave.llm.ngram_join import near_duplicates
 from termweave.llm.packing import pack
@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the line chunks that an earlier one has."""
-    return _with_text(line_dedup(docs), "cleaned")
+    """Every document, without the passages of two lines or more that an earlier place has."""
+    return _with_text(line_dedup(docs, windows), "cleaned")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,30 @@ def _chunks(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def windows(text: Column) -> Column:
+    """Every two neighbouring lines that hold a word, as chunks that overlap."""
+
+    def of(lines: Column) -> Column:
+        pairs = F.transform(lines, lambda x, i: F.struct(i.alias("ci"), i.alias("start"), F.lit(2).alias("lines"), F.concat(x, F.lit("\n"), F.get(lines, i + 1)).alias("body")))
+        return F.filter(pairs, lambda s: bare(s["body"]) != "")
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
+
+
+def line_dedup(docs: DataFrame, spans: Callable[[Column], Column] = _chunks) -> DataFrame:
     """docs with cleaned (text without the removed chunks), n_lines and n_removed_lines.
 
+    spans cuts a text: by default into chunks that a hash ends, which miss a passage unless a whole chunk lies inside it. With
+    windows every passage of two lines or more goes that an earlier place has, whatever stands around it, and each removed line
+    still stands at its first place. A single line between unshared neighbours stays under both.
+
     Rolling hashes over the hashes of two neighbouring lines choose chunk ends, so an inserted line shifts no other boundary.
     Of equal chunks with two lines or more, in one document or many, the one with the smallest (doc_id, place) stays; the others
     are removed after their bytes are compared with it. Keys are counted by partial aggregates without texts; only chunks whose
     key repeats are moved. Null and empty texts have no chunks (a null text stays null); rows with a null doc_id are left as they
     are; repeated rows of a doc_id are one document. Empty tables give empty results. Other columns pass through.
     """
-    chunks = docs.where("doc_id is not null").select("doc_id", F.inline(_chunks(F.col("text"))))
+    chunks = docs.where("doc_id is not null").select("doc_id", F.inline(spans(F.col("text"))))
     keyed = chunks.select("doc_id", "ci", "start", "lines", "body", F.xxhash64("body").alias("key"), F.octet_length("body").alias("size"))
     first = keyed.groupBy("key", "size").agg(F.min(F.struct("doc_id", "ci")).alias("first"), F.max(F.struct("doc_id", "ci")).alias("final"))
     first = small_side(first.where("first <> final").select("key", "size", "first"), "chunk-keys")
@@ -52,7 +68,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     out = docs.join(per_doc, docs["doc_id"] == F.col("_id"), "left")
 
     def rest(lines: Column) -> Column:
-        left = F.filter(lines, lambda x, i: ~F.exists(F.col("_gone"), lambda g: (i >= g["start"]) & (i < g["start"] + g["lines"])))
+        gone = F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
+        left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
         return F.struct(F.size(lines).alias("n"), F.size(left).alias("m"), F.array_join(left, "\n").alias("t"))
 
     full = F.col("_gone").isNull()
@@ -72,3 +89,13 @@ g AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY b
 s AS (SELECT d.doc_id, count(*) n_lines, count(g.k) n_removed_lines, string_agg(CASE WHEN g.k IS NULL THEN line END, chr(10) ORDER BY i) cleaned FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.k = g.k GROUP BY d.doc_id)
 SELECT doc_id, n_lines::BIGINT n_lines, n_removed_lines::BIGINT n_removed_lines, length(coalesce(cleaned, ''))::BIGINT kept_chars, md5(coalesce(cleaned, '')) kept_md5 FROM s
 """
+
+ORACLE_WINDOWS = """
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) x FROM documents),
+l AS (SELECT doc_id, unnest(x) line, generate_subscripts(x, 1) i FROM t),
+w AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) body FROM l),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) r FROM w WHERE translate(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') WHERE r > 1),
+x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i + 1 FROM g),
+s AS (SELECT l.doc_id, count(*) n_lines, count(x.i) n_removed_lines, string_agg(CASE WHEN x.i IS NULL THEN line END, chr(10) ORDER BY l.i) cleaned FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines::BIGINT n_lines, n_removed_lines::BIGINT n_removed_lines, length(coalesce(cleaned, ''))::BIGINT kept_chars, md5(coalesce(cleaned, '')) kept_md5 FROM s
+"""

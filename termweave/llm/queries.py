@@ -30,12 +30,19 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(tables(spark, sf_dir))
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_dedup(tables(spark, sf_dir).select("doc_id", "text"))
+def _line_digests(out: DataFrame) -> DataFrame:
     text = F.coalesce("cleaned", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.char_length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_digests(lines.line_dedup(tables(spark, sf_dir).select("doc_id", "text")))
+
+
+def op5_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_digests(lines.line_dedup(tables(spark, sf_dir).select("doc_id", "text"), lines.windows))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(tables(spark, sf_dir), tables(spark, sf_dir, "labels"))
 
@@ -60,6 +67,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op5_line_dedup_whole, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing)
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op5_line_dedup_whole": lines.ORACLE_WINDOWS, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE}

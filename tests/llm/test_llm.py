@@ -1,6 +1,7 @@
 """The training-data operators on nasty rows, and against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -274,6 +275,31 @@ def test_line_chunks_repeat_once(docs, rows):
             assert got[d]["cleaned"] == text
 
 
+def test_planted_passages_all_go(spark):
+    runs = {n: [f"passage {n} line {j} here" for j in range(n)] for n in range(1, 9)}
+    rows = [(c * 100 + n, "\n".join([f"own {c} {n} before", *run, f"own {c} {n} after"]), "x", "s", 0) for c in range(3) for n, run in runs.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    for d, text, *_ in rows:
+        c, n = divmod(d, 100)
+        assert got[d] == (text if c == 0 or n == 1 else f"own {c} {n} before\nown {c} {n} after")
+
+
+def test_whole_line_dedup_equals_its_sql(spark, docs):
+    import duckdb
+
+    from termweave.llm import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    got = queries.op5_line_dedup_whole(spark, "/root/testdata/sf0.001")
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = db.sql(queries.ORACLES["op5_line_dedup_whole"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_mix_meets_targets(docs, rows):
     out = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(3)).collect()
