@@ -412,9 +412,9 @@ def rank_improvement(spark, d):
 # ---------------------------------------------------------------- sampling and mixing
 
 
-def _sampling_inputs(spark, d):
-    targets = S.concept(spark, d).where("concept_id < 60")
-    names = t(spark, d, "supplier").where("s_suppkey < 80").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
+def _sampling_inputs(spark, d, whole=False):
+    targets = S.concept(spark, d).where("true" if whole else "concept_id < 60")
+    names = t(spark, d, "supplier").where("true" if whole else "s_suppkey < 80").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
     return targets, names, S.bridge(spark, d)
 
 
@@ -422,29 +422,29 @@ _SAMPLE = "tg AS (SELECT * FROM concept WHERE concept_id < 60), nm AS (SELECT s_
 
 
 @query("SELECT concept_id, name_id, sentence1, sentence2, label FROM (SELECT concept_id, name_id, concept_name sentence1, name sentence2, 1 AS label, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 3", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def positives_first_n(spark, d):
-    return sampling.positives(*_sampling_inputs(spark, d), most=3).select("concept_id", "name_id", "sentence1", "sentence2", "label")
+def positives_first_n(spark, d, whole=False):
+    return sampling.positives(*_sampling_inputs(spark, d, whole), most=3).select("concept_id", "name_id", "sentence1", "sentence2", "label")
 
 
 @query("SELECT concept_id, name_id FROM (SELECT concept_id, name_id, row_number() OVER (PARTITION BY concept_id ORDER BY md5('7:' || concept_id || ':' || name_id), name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 3", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def positives_md5_n(spark, d):
-    return sampling.positives(*_sampling_inputs(spark, d), most=3, seed=7).select("concept_id", "name_id")
+def positives_md5_n(spark, d, whole=False):
+    return sampling.positives(*_sampling_inputs(spark, d, whole), most=3, seed=7).select("concept_id", "name_id")
 
 
 @query("SELECT concept_id, name_id FROM (SELECT concept_id, name_id, row_number() OVER (PARTITION BY concept_id ORDER BY md5('42:' || concept_id || ':' || name_id), name_id) r FROM tg, nm WHERE (concept_id, name_id) NOT IN (SELECT concept_id, name_id FROM bridge)) WHERE r <= 5", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def negatives_blacklist(spark, d):
-    a, b, black = _sampling_inputs(spark, d)
+def negatives_blacklist(spark, d, whole=False):
+    a, b, black = _sampling_inputs(spark, d, whole)
     return sampling.negatives(a, b, black, most=5).select("concept_id", "name_id")
 
 
 @query()
-def negatives_drawn_at_scale(spark, d):
-    a, b, black = _sampling_inputs(spark, d)
+def negatives_drawn_at_scale(spark, d, whole=False):
+    a, b, black = _sampling_inputs(spark, d, whole)
     return sampling.drawn_negatives(a, b.withColumn("position", F.col("name_id")), black, most=5).select("concept_id", "name_id")
 
 
-def _interleave_inputs(spark, d):
-    a, b, black = _sampling_inputs(spark, d)
+def _interleave_inputs(spark, d, whole=False):
+    a, b, black = _sampling_inputs(spark, d, whole)
     p = sampling.positives(a, b, black, most=2).withColumn("pos_idx", F.col("concept_id") * 10 + F.col("rank"))
     black = black.select("concept_id", F.col("name_id").alias("candidate_id"))
     fp = a.select("concept_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumns({"fp_id": F.col("seq").cast("long"), "sentence2": F.concat(F.lit("fp "), F.col("seq").cast("string"))})
@@ -459,20 +459,20 @@ al AS (SELECT pos_idx, 0 kind, 1 seq, 'positive' AS "from", 1 AS label, concept_
 
 
 @query('SELECT pos_idx, kind, seq::BIGINT seq, "from", label, concept_id, sentence1, sentence2 FROM al', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def interleaved_samples(spark, d):
-    return sampling.interleaved(*_interleave_inputs(spark, d)).withColumn("seq", F.col("seq").cast("long"))
+def interleaved_samples(spark, d, whole=False):
+    return sampling.interleaved(*_interleave_inputs(spark, d, whole)).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("SELECT count(*)::BIGINT AS length FROM al", S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def interleaved_length(spark, d):
-    p, c, black, fp = _interleave_inputs(spark, d)
+def interleaved_length(spark, d, whole=False):
+    p, c, black, fp = _interleave_inputs(spark, d, whole)
     black = black.join(c, "candidate_id", "left_semi")
     return sampling.interleaved_length(p, c.count(), black, fp, 4)
 
 
 @query('SELECT "from" AS kind, count(*)::BIGINT n, 0::BIGINT n_conflicts FROM al GROUP BY "from"', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def kind_label_consistency(spark, d):
-    return audit.kind_label_conflicts(sampling.interleaved(*_interleave_inputs(spark, d)))
+def kind_label_consistency(spark, d, whole=False):
+    return audit.kind_label_conflicts(sampling.interleaved(*_interleave_inputs(spark, d, whole)))
 
 
 @query("SELECT DISTINCT from_id, to_id FROM (SELECT ancestor from_id, descendant to_id FROM edges UNION ALL SELECT concept_id, concept_id FROM nodes)", S.EDGES, S.NODES)
@@ -816,8 +816,8 @@ def reserved_query_set(spark, d):
 
 
 @query('SELECT "from" AS kind, label, count(*)::BIGINT n FROM al GROUP BY ALL', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def kind_counts(spark, d):
-    return sampling.interleaved(*_interleave_inputs(spark, d)).groupBy(F.col("from").alias("kind"), "label").agg(F.count("*").alias("n"))
+def kind_counts(spark, d, whole=False):
+    return sampling.interleaved(*_interleave_inputs(spark, d, whole)).groupBy(F.col("from").alias("kind"), "label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '\\W+', '', 'g')) stripped FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")
@@ -883,3 +883,29 @@ def stream_replay(spark, d):
     q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+# ---------------------------------------------------------------- whole tables
+
+
+def _register_whole(names: list[str], uncut: dict[str, str]) -> None:
+    """NAME_whole: the query without its id filter, and its statement with each cut in `uncut` replaced; NAME and its SQL stay."""
+    for name in names:
+
+        def whole(spark, d, _f=QUERIES[name]):
+            return _f(spark, d, whole=True)
+
+        whole.__name__ = f"{name}_whole"
+        QUERIES[whole.__name__] = whole
+        if name in ORACLES:
+            sql = ORACLES[name]
+            for cut, rest in uncut.items():
+                sql = sql.replace(cut, rest)
+            assert sql != ORACLES[name], name
+            ORACLES[whole.__name__] = sql
+
+
+_register_whole(
+    ["positives_first_n", "positives_md5_n", "negatives_blacklist", "negatives_drawn_at_scale", "interleaved_samples", "interleaved_length", "kind_label_consistency", "kind_counts"],
+    {_SAMPLE: "tg AS (SELECT * FROM concept), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier)"},
+)
