@@ -15,6 +15,8 @@ from ..runtime import shipped
 #: Bytes of query vectors that one pass over the corpus holds.
 QUERY_BYTES = 32 << 20
 DIGITS = 9
+#: Pairs in one Arrow batch of scores.
+PAIRS = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,6 +60,51 @@ def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
     return run
 
 
+def _all_scores(ids: np.ndarray, matrix: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch["vector"].is_valid()
+            corpus, vectors = batch["corpus_id"].filter(keep), batch["vector"].filter(keep)
+            if not len(corpus):
+                continue
+            c, who = np.asarray(vectors.flatten(), float).reshape(len(corpus), -1), corpus.to_numpy()
+            step = max(1, PAIRS // len(who))
+            for i in range(0, len(ids), step):
+                score = np.round(matrix[i : i + step] @ c.T, DIGITS)
+                q = ids[i : i + step]
+                yield pa.record_batch([pa.array(np.repeat(q, len(who))), pa.array(np.tile(who, len(q))), pa.array(score.ravel())], names=["query_id", "corpus_id", "score"])
+
+    return run
+
+
+def _in_blocks(queries: DataFrame, corpus: DataFrame, task) -> DataFrame:
+    """task(ids, matrix) over the Arrow batches of corpus, for each block of at most QUERY_BYTES of query vectors."""
+    spark = queries.sparkSession
+    shipped(spark)
+    rows, found, block, size = queries.where("vector is not null").select("query_id", "vector"), None, [], 0
+    corpus = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), "vector")
+
+    def part(block: list) -> DataFrame:
+        ids = np.array([r[0] for r in block], np.int64)
+        held = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1)))
+        return corpus.mapInArrow(lambda it: task(*held.value)(it) if len(held.value[0]) else iter(()), "query_id long, corpus_id long, score double")
+
+    for r in rows.toLocalIterator():
+        block.append(r)
+        size += 8 * len(r[1])
+        if size >= QUERY_BYTES:
+            found = part(block) if found is None else found.union(part(block))
+            block, size = [], 0
+    if block or found is None:
+        found = part(block) if found is None else found.union(part(block))
+    return found
+
+
+def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, corpus_id, score) of every pair, scored in blocks as topk does; null vectors have no pairs."""
+    return _in_blocks(queries, corpus, _all_scores)
+
+
 def topk(queries: DataFrame, corpus: DataFrame, k: int, strategy: str = "arrow") -> DataFrame:
     """(query_id, corpus_id, score, rank): the k largest dot products for each query (query_id, vector) over corpus (corpus_id, vector).
 
@@ -65,29 +112,12 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, strategy: str = "arrow")
     keeps k a query, so k rows a task and query are shuffled, never all pairs. "expr": expressions only, for small inputs.
     Ties go by corpus_id; scores are rounded to 9 digits so that both agree; null vectors never match; k beyond the corpus is fine.
     """
-    spark = queries.sparkSession
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     if strategy == "expr":
         pairs = queries.select("query_id", F.col("vector").alias("_q")).crossJoin(corpus.select("corpus_id", F.col("vector").alias("_c")))
         found = pairs.where("_q is not null and _c is not null").select("query_id", "corpus_id", F.round(dot(F.col("_q"), F.col("_c")), DIGITS).alias("score"))
     else:
-        shipped(spark)
-        rows, found, block, size = queries.where("vector is not null").select("query_id", "vector"), None, [], 0
-        corpus = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), "vector")
-
-        def part(block: list) -> DataFrame:
-            ids = np.array([r[0] for r in block], np.int64)
-            held = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1)))
-            return corpus.mapInArrow(lambda it: _search(*held.value, k)(it) if len(held.value[0]) else iter(()), "query_id long, corpus_id long, score double")
-
-        for r in rows.toLocalIterator():
-            block.append(r)
-            size += 8 * len(r[1])
-            if size >= QUERY_BYTES:
-                found = part(block) if found is None else found.union(part(block))
-                block, size = [], 0
-        if block or found is None:
-            found = part(block) if found is None else found.union(part(block))
+        found = _in_blocks(queries, corpus, lambda ids, matrix: _search(ids, matrix, k))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -555,8 +555,11 @@ _LAB = "lab AS (SELECT query_id, corpus_id, round(score, 2) score, (ql = cl AND
 _DIS = "g AS (SELECT score, sum(label)::DOUBLE tp, sum(1 - label)::DOUBLE fp FROM lab GROUP BY score), cu AS (SELECT *, sum(tp) OVER (ORDER BY score DESC) ctp, sum(fp) OVER (ORDER BY score DESC) cfp FROM g)"
 
 
-def _labelled(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def _labelled(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
+    if whole:
+        hits = vector.scored(q, c).join(q.select("query_id", "query_label"), "query_id").join(c.select("corpus_id", "label"), "corpus_id")
+        return hits.select("query_id", "corpus_id", F.round("score", 2).alias("score"), ((F.col("query_label") == F.col("label")) & (F.col("query_id") != F.col("corpus_id"))).cast("int").alias("label"))
     c = c.where("corpus_id < 300")
     rows = q.select("query_id", "query_label", F.col("vector").alias("a")).crossJoin(c.select("corpus_id", "label", F.col("vector").alias("b")))
     score = F.round(F.round(vector.dot(F.col("a"), F.col("b")), 9), 2)
@@ -564,26 +567,26 @@ def _labelled(spark, d):
 
 
 @query("SELECT round(sum(fp * ((ctp - tp) + tp / 2)) / (sum(tp) * sum(fp)), 6) roc_auc FROM cu", S.SIM, _LAB, _DIS)
-def roc_auc(spark, d):
-    return metrics.roc_auc(_labelled(spark, d)).select(*_r("roc_auc"))
+def roc_auc(spark, d, whole=False):
+    return metrics.roc_auc(_labelled(spark, d, whole)).select(*_r("roc_auc"))
 
 
 @query("SELECT round(sum(tp * ctp / (ctp + cfp)) / sum(tp), 6) average_precision FROM cu", S.SIM, _LAB, _DIS)
-def average_precision(spark, d):
-    return metrics.average_precision(_labelled(spark, d)).select(*_r("average_precision"))
+def average_precision(spark, d, whole=False):
+    return metrics.average_precision(_labelled(spark, d, whole)).select(*_r("average_precision"))
 
 
 @query("SELECT round(p, 6) AS precision, round(r, 6) recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) f1, round(a, 6) accuracy FROM (SELECT coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum((score >= 0.2)::INT), 0), 0)::DOUBLE p, coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum(label), 0), 0)::DOUBLE r, avg(((score >= 0.2)::INT = label)::INT) a FROM lab)", S.SIM, _LAB)
-def threshold_metrics(spark, d):
-    return metrics.threshold_metrics(_labelled(spark, d), threshold=0.2).select(*_r("precision", "recall", "f1", "accuracy"))
+def threshold_metrics(spark, d, whole=False):
+    return metrics.threshold_metrics(_labelled(spark, d, whole), threshold=0.2).select(*_r("precision", "recall", "f1", "accuracy"))
 
 
 _RANKS = "rk AS (SELECT query_id, min(CASE WHEN label = 1 THEN i END) b, max(CASE WHEN label = 1 THEN i END) w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 i FROM lab) GROUP BY query_id)"
 
 
 @query("SELECT " + ", ".join([f"round(avg(coalesce(({x} < {k})::INT, 0)), 6) {n}_hit_{k}" for n, x in (("best", "b"), ("worst", "w")) for k in metrics.CUTS] + [f"round(avg(coalesce(1.0 / ({x} + 1), 0)), 6) {n}_reciprocal_rank" for n, x in (("best", "b"), ("worst", "w"))]) + " FROM rk", S.SIM, _LAB, _RANKS)
-def hit_mrr_macro(spark, d):
-    m = metrics.ranking_metrics(_labelled(spark, d))
+def hit_mrr_macro(spark, d, whole=False):
+    m = metrics.ranking_metrics(_labelled(spark, d, whole))
     return m.select(*_r(*m.columns))
 
 
@@ -617,13 +620,13 @@ def multi_target_topk(spark, d):
 
 
 @query("SELECT lab.query_id, corpus_id, label FROM lab JOIN (SELECT query_id, arg_min(label, i) f FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) i FROM lab) GROUP BY query_id) x ON x.query_id = lab.query_id WHERE f <> 1 AND corpus_id < 20", S.SIM, _LAB)
-def mismatch_first_rank(spark, d):
-    return metrics.first_hit_wrong(_labelled(spark, d)).where("corpus_id < 20").select("query_id", "corpus_id", "label")
+def mismatch_first_rank(spark, d, whole=False):
+    return metrics.first_hit_wrong(_labelled(spark, d, whole)).where("true" if whole else "corpus_id < 20").select("query_id", "corpus_id", "label")
 
 
 @query("SELECT 'best_hit_10' AS metric, round(avg(coalesce((b < 10)::INT, 0)), 6) \"all\", round(avg(coalesce((b < 10)::INT, 0)) FILTER (query_id % 2 = 0), 6) AS even FROM rk UNION ALL SELECT 'best_hit_1', round(avg(coalesce((b < 1)::INT, 0)), 6), round(avg(coalesce((b < 1)::INT, 0)) FILTER (query_id % 2 = 0), 6) FROM rk", S.SIM, _LAB, _RANKS)
-def metric_compare(spark, d):
-    rows = _labelled(spark, d)
+def metric_compare(spark, d, whole=False):
+    rows = _labelled(spark, d, whole)
     pick = ["best_hit_1", "best_hit_10"]
     a = metrics.long_metrics(metrics.ranking_metrics(rows).select(*_r(*pick)), "all")
     b = metrics.long_metrics(metrics.ranking_metrics(rows.where("query_id % 2 = 0")).select(*_r(*pick)), "even")
@@ -909,3 +912,8 @@ _register_whole(
     ["positives_first_n", "positives_md5_n", "negatives_blacklist", "negatives_drawn_at_scale", "interleaved_samples", "interleaved_length", "kind_label_consistency", "kind_counts"],
     {_SAMPLE: "tg AS (SELECT * FROM concept), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier)"},
 )
+
+_register_whole(
+    ["roc_auc", "average_precision", "threshold_metrics", "hit_mrr_macro", "mismatch_first_rank", "metric_compare"],
+    {S.SIM: S.SIM_WHOLE, _LAB: _LAB.replace(" WHERE corpus_id < 300", ""), " AND corpus_id < 20": ""},
+)

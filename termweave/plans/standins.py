@@ -73,12 +73,12 @@ NODES = """nodes AS (SELECT r_regionkey::BIGINT concept_id, r_name concept_name,
  UNION ALL SELECT n_nationkey::BIGINT + 1000000, n_name, 'nation' FROM nation UNION ALL SELECT c_custkey + 2000000, c_name, lower(c_mktsegment) FROM customer)"""
 
 
-def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, corpus, positives): vectors with vec_id below 50 query all; an equal label elsewhere is a positive."""
+def vectors(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, corpus, positives): vectors with vec_id below 50, or the whole table, query all; an equal label elsewhere is a positive."""
     e = table(spark, d, "embeddings")
     name = F.concat(F.lit("Term "), (F.col("vec_id") % 40).cast("string"))
     corpus = e.select(F.col("vec_id").alias("corpus_id"), name.alias("corpus_name"), F.col("embedding").alias("vector"), "label")
-    queries = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.lower(name).alias("query_name"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
+    queries = e.where("true" if whole else "vec_id < 50").select(F.col("vec_id").alias("query_id"), F.lower(name).alias("query_name"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
     pos = queries.join(corpus, F.col("query_label") == F.col("label")).where("query_id <> corpus_id").select("query_id", "corpus_id")
     return queries, corpus, pos
 
@@ -90,6 +90,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 pos AS (SELECT query_id, corpus_id FROM s WHERE ql = cl AND query_id <> corpus_id)"""
 
 
+SIM_WHOLE = SIM.replace(" WHERE vec_id < 50", "")
+
+
 def parents(spark: SparkSession, d: str) -> DataFrame:
     """A label tree over the vectors: each vector's parents are two vectors of smaller id."""
     e = table(spark, d, "embeddings").where("vec_id > 0").select(F.col("vec_id").alias("concept_id"), F.explode(F.array(F.floor(F.col("vec_id") / 2).cast("long"), F.floor(F.col("vec_id") / 3).cast("long"))).alias("parent_id"))
