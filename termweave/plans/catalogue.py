@@ -64,9 +64,9 @@ def false_positives_blacklist(spark, d):
 s AS (SELECT a.i query_id, b.i corpus_id, a.nm x, b.nm y, round(list_inner_product(a.v, b.v), 9) score FROM c a, c b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) k FROM s)
 SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM r WHERE k <= 5 AND x <> y""".replace("c AS", "WITH c AS", 1))
-def false_positives_self_corpus(spark, d):
-    _, c, _ = S.vectors(spark, d)
-    return mining.false_positives(c.where("corpus_id < 120"), n_fp=5).select("query_id", "corpus_id", *_r("score"), "label")
+def false_positives_self_corpus(spark, d, whole=False):
+    _, c, _ = S.vectors(spark, d, whole)
+    return mining.false_positives(c if whole else c.where("corpus_id < 120"), n_fp=5).select("query_id", "corpus_id", *_r("score"), "label")
 
 
 _HARD = """near AS (SELECT query_id, max(score) p FROM s WHERE ql = cl AND query_id <> corpus_id GROUP BY query_id),
@@ -124,9 +124,9 @@ def label_attach_left(spark, d):
 
 
 @query("SELECT query_name, corpus_name, query_id, corpus_id, 1 AS label FROM s JOIN pos USING (query_id, corpus_id) WHERE query_id < 5 UNION ALL SELECT query_name, corpus_name, query_id, corpus_id, 0 FROM ranked WHERE rnk <= 5 AND query_id < 5 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '') AND (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM pos)", S.SIM)
-def evaluation_set(spark, d):
-    q, c, pos = S.vectors(spark, d)
-    q = q.where("query_id < 5")
+def evaluation_set(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
+    q = q if whole else q.where("query_id < 5")
     named = pos.join(q.select("query_id", "query_name"), "query_id").join(c.select("corpus_id", "corpus_name"), "corpus_id")
     return mining.evaluation_set(named, mining.false_positives(c, q, pos, 5))
 
@@ -282,9 +282,9 @@ def edges_level_1_2(spark, d):
 
 
 @query("SELECT * FROM edges WHERE level = 1 AND ancestor IN (SELECT concept_id FROM nodes) AND descendant IN (SELECT concept_id FROM nodes) AND (ancestor IN (SELECT concept_id FROM nodes WHERE concept_id % 3 = 0) OR descendant IN (SELECT concept_id FROM nodes WHERE concept_id % 3 = 0))", S.EDGES, S.NODES)
-def edges_touching_targets(spark, d):
+def edges_touching_targets(spark, d, whole=False):
     n = S.nodes(spark, d)
-    return hierarchy.edges_touching(S.edges(spark, d), n.where("concept_id % 3 = 0"), n)
+    return hierarchy.edges_touching(S.edges(spark, d), n.where("domain_id = 'building'" if whole else "concept_id % 3 = 0"), n)
 
 
 @query("SELECT ancestor concept_id, descendant name_id, '<|parent of|>' || concept_name AS name FROM edges JOIN nodes ON descendant = concept_id", S.EDGES, S.NODES)
@@ -314,14 +314,30 @@ _DIST = """e AS (SELECT ancestor, descendant, min(level) l FROM edges GROUP BY A
 di AS (SELECT pr.a, pr.b, coalesce(least(x.l, y.l), (SELECT min(u.l + v.l) FROM e u JOIN e v ON u.ancestor = v.ancestor WHERE u.descendant = pr.a AND v.descendant = pr.b))::BIGINT distance FROM pr LEFT JOIN e x ON x.ancestor = pr.a AND x.descendant = pr.b LEFT JOIN e y ON y.ancestor = pr.b AND y.descendant = pr.a)"""
 
 
-def _close_pairs(spark, d):
+def _candidate_pairs(spark, d):
+    """Candidate lists over all nodes: both ends of every edge, and customers with orders in turn on one day; a < b."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") + 2000000).alias("x"))
+    o = o.withColumn("y", F.lead("x").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey"))).where("x <> y")
+    pairs = S.edges(spark, d).select(F.col("ancestor").alias("x"), F.col("descendant").alias("y")).unionByName(o.select("x", "y"))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    n = S.nodes(spark, d)
+    return pairs.join(n.select(F.col("concept_id").alias("a"), F.col("domain_id").alias("domain_a")), "a").join(n.select(F.col("concept_id").alias("b"), F.col("domain_id").alias("domain_b")), "b")
+
+
+_CANDIDATES = """turn AS (SELECT o_custkey + 2000000 x, lead(o_custkey + 2000000) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) y FROM orders),
+pr AS (SELECT DISTINCT least(x, y) a, greatest(x, y) b FROM (SELECT ancestor x, descendant y FROM edges UNION ALL SELECT x, y FROM turn WHERE x <> y) JOIN nodes v ON v.concept_id = x JOIN nodes w ON w.concept_id = y)"""
+
+
+def _close_pairs(spark, d, whole=False):
+    if whole:
+        return _candidate_pairs(spark, d)
     n = S.nodes(spark, d).where("concept_id < 2000020")
     return n.select(F.col("concept_id").alias("a"), F.col("domain_id").alias("domain_a")).join(n.select(F.col("concept_id").alias("b"), F.col("domain_id").alias("domain_b")), F.col("a") < F.col("b"))
 
 
 @query("SELECT * FROM di", S.EDGES, S.NODES, _PAIRS20, _DIST)
-def hier_distance(spark, d):
-    return hierarchy.distance(_close_pairs(spark, d).select("a", "b"), S.edges(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+def hier_distance(spark, d, whole=False):
+    return hierarchy.distance(_close_pairs(spark, d, whole).select("a", "b"), S.edges(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query("""SELECT seed, concept_id, min(hop)::BIGINT hop FROM w GROUP BY ALL""", S.EDGES,
@@ -333,8 +349,8 @@ def expand_candidates_khop(spark, d):
 
 
 @query("SELECT a, b, round(0.7 * ((a + b) % 100) / 100.0 + coalesce(0.3 * exp(-distance / 2.0), 0) + CASE WHEN distance = 1 THEN 0.1 ELSE 0 END + CASE WHEN x.domain_id = y.domain_id AND x.domain_id <> '' THEN 0.1 ELSE 0 END, 6) combined FROM di JOIN nodes x ON x.concept_id = a JOIN nodes y ON y.concept_id = b", S.EDGES, S.NODES, _PAIRS20, _DIST)
-def combined_score(spark, d):
-    rows = hierarchy.distance(_close_pairs(spark, d), S.edges(spark, d)).withColumn("score", ((F.col("a") + F.col("b")) % 100) / 100.0)
+def combined_score(spark, d, whole=False):
+    rows = hierarchy.distance(_close_pairs(spark, d, whole), S.edges(spark, d)).withColumn("score", ((F.col("a") + F.col("b")) % 100) / 100.0)
     return hierarchy.combined_score(rows).select("a", "b", *_r("combined"))
 
 
@@ -854,11 +870,11 @@ def evaluate_model(spark, d):
 
 
 @query("SELECT sentence1, code2::BIGINT code2, label FROM (SELECT p_name sentence1, (SELECT count(DISTINCT b) FROM (SELECT p_brand b, min(p_partkey) m FROM part GROUP BY p_brand) x WHERE x.m < (SELECT min(p_partkey) FROM part z WHERE z.p_brand = part.p_brand)) code2, (p_size % 2)::INT AS label FROM part WHERE p_partkey < 100)")
-def eval_frame_normalised(spark, d):
+def eval_frame_normalised(spark, d, whole=False):
     """Other column names resolved to the wanted ones, a text column coded."""
     p = t(spark, d, "part").withColumn("y", (F.col("p_size") % 2).cast("int"))
     rows = schema.resolve_aliases(p, [{"sentence1": "query_name", "brand": "corpus_name", "label": "label"}, {"sentence1": "p_name", "brand": "p_brand", "label": "y"}])
-    return mapping.factorized(rows, "brand", "p_partkey").where("p_partkey < 100").select("sentence1", F.col("code").cast("long").alias("code2"), "label")
+    return mapping.factorized(rows, "brand", "p_partkey").where("true" if whole else "p_partkey < 100").select("sentence1", F.col("code").cast("long").alias("code2"), "label")
 
 
 @query("SELECT a.p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'missing' ELSE 'different' END AS error_type FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE b.p_partkey IS NULL OR lower(trim(a.p_name)) <> lower(trim(b.p_name)) ORDER BY a.p_partkey LIMIT 200")
@@ -917,3 +933,9 @@ _register_whole(
     ["roc_auc", "average_precision", "threshold_metrics", "hit_mrr_macro", "mismatch_first_rank", "metric_compare"],
     {S.SIM: S.SIM_WHOLE, _LAB: _LAB.replace(" WHERE corpus_id < 300", ""), " AND corpus_id < 20": ""},
 )
+
+_register_whole(["hier_distance", "combined_score"], {_PAIRS20: _CANDIDATES})
+_register_whole(["edges_touching_targets"], {"concept_id % 3 = 0": "domain_id = 'building'"})
+_register_whole(["false_positives_self_corpus"], {" WHERE vec_id < 120": ""})
+_register_whole(["evaluation_set"], {S.SIM: S.SIM_WHOLE, " WHERE query_id < 5": "", " AND query_id < 5": ""})
+_register_whole(["eval_frame_normalised"], {" WHERE p_partkey < 100": ""})
