@@ -37,26 +37,26 @@ def _r(*names: str) -> list:
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, rnk::BIGINT AS rank FROM ranked WHERE rnk <= 10", S.SIM)
-def topk_cosine(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def topk_cosine(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return vector.topk(q, c, 10).select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, rnk::BIGINT AS rank FROM ranked WHERE rnk <= 10", S.SIM)
-def topk_expressions(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def topk_expressions(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return vector.topk(q, c, 10, "expr").select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT query_id, query_name, corpus_id, corpus_name, round(score, 6) score FROM ranked WHERE rnk <= 20 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
-def topk_exclude_same_name(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def topk_exclude_same_name(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return vector.search(q, c, 20, exclude_same_name=True).select("query_id", "query_name", "corpus_id", "corpus_name", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked WHERE rnk <= 15 AND (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM pos) AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
-def false_positives_blacklist(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def false_positives_blacklist(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     return mining.false_positives(c, q, pos, 15).select("query_id", "corpus_id", *_r("score"), "label")
 
 
@@ -75,32 +75,32 @@ cand AS (SELECT query_id, corpus_id, score, row_number() OVER (PARTITION BY quer
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) n FROM ok) WHERE n <= 5", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 10 AND r < 50 AND score < p - 0.05)")
-def hard_negatives_margin_top(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def hard_negatives_margin_top(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     return mining.hard_negatives(q, c, pos).select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) n FROM ok) WHERE n <= 5", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 5 AND r < 40 AND score < p * (1 - 0.1))")
-def hard_negatives_relative(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def hard_negatives_relative(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     return mining.hard_negatives(q, c, pos, 5, 40, None, 0.1).select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('42:' || query_id || ':' || corpus_id)) n FROM ok) WHERE n <= 3", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 10 AND r < 50 AND score < p - 0.05)")
-def hard_negatives_md5_random(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def hard_negatives_md5_random(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     return mining.hard_negatives(q, c, pos, num_negatives=3, strategy="random").select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id AS negative, 0 AS label FROM ranked WHERE rnk <= 4", S.SIM)
-def unpivot_negatives(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def unpivot_negatives(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return mining.long_negatives(mining.wide_negatives(vector.topk(q, c, 4), 4))
 
 
 @query("SELECT query_id, string_agg(corpus_id, ',' ORDER BY rnk) ids, round(sum(1 - score), 6) total_distance FROM ranked WHERE rnk <= 8 GROUP BY query_id", S.SIM)
-def cosine_distance_lists(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def cosine_distance_lists(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     n = vector.nearest_lists(vector.topk(q, c, 8))
     return n.select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x), 6).alias("total_distance"))
 
@@ -112,14 +112,14 @@ def l2_normalize(spark, d):
 
 
 @query("SELECT query_id, corpus_id FROM s WHERE score >= 0.999", S.SIM)
-def near_perfect_matches(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def near_perfect_matches(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return vector.near_perfect(vector.topk(q, c, 5)).select("query_id", "corpus_id")
 
 
 @query("SELECT query_id, corpus_id, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= 25", S.SIM)
-def label_attach_left(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def label_attach_left(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     return mining.labelled_hits(vector.topk(q, c, 25), pos.union(pos)).select("query_id", "corpus_id", "label")
 
 
@@ -139,8 +139,8 @@ def pca_2d(spark, d):
 
 
 @query()
-def lsh_topk(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def lsh_topk(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return vector.lsh_topk(q, c, 5).select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -385,20 +385,20 @@ _HITS = "hits AS (SELECT query_id, corpus_id, score, rnk FROM ranked WHERE rnk <
 _PS = "ps AS (SELECT h.query_id, h.corpus_id, parent_id, s.score p FROM hits h JOIN parents ON h.corpus_id = concept_id JOIN s ON s.query_id = h.query_id AND s.corpus_id = parent_id)"
 
 
-def _rerank_inputs(spark, d):
-    q, c, _ = S.vectors(spark, d)
+def _rerank_inputs(spark, d, whole=False):
+    q, c, _ = S.vectors(spark, d, whole)
     return q, c, vector.topk(q, c, 30).drop("rank"), S.parents(spark, d)
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) direct_score, round(b, 6) parent_boost, n parent_count, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT query_id, corpus_id, score, coalesce(avg(p) * 0.3, 0) b, count(p)::BIGINT n, round(score + coalesce(avg(p) * 0.3, 0), 9) f FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY query_id, corpus_id, score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS)
-def rerank_level1_parents(spark, d):
-    q, c, hits, par = _rerank_inputs(spark, d)
+def rerank_level1_parents(spark, d, whole=False):
+    q, c, hits, par = _rerank_inputs(spark, d, whole)
     return rerank.by_parents(hits, q, par, c).select("query_id", "corpus_id", *_r("direct_score", "parent_boost"), "parent_count", *_r("final_score"))
 
 
 @query("SELECT query_id, corpus_id, round(b, 6) parent_boost, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT h.query_id, h.corpus_id, coalesce(avg(r.score) * 0.3, 0) b, round(h.score + coalesce(avg(r.score) * 0.3, 0), 9) f FROM hits h LEFT JOIN parents ON concept_id = h.corpus_id LEFT JOIN (SELECT * FROM ranked WHERE rnk <= 100) r ON r.query_id = h.query_id AND r.corpus_id = parent_id GROUP BY h.query_id, h.corpus_id, h.score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS)
-def rerank_parent_prediction(spark, d):
-    q, c, hits, par = _rerank_inputs(spark, d)
+def rerank_parent_prediction(spark, d, whole=False):
+    q, c, hits, par = _rerank_inputs(spark, d, whole)
     return rerank.by_predicted_parents(hits, vector.topk(q, c, 100), par).select("query_id", "corpus_id", *_r("parent_boost", "final_score"))
 
 
@@ -412,14 +412,14 @@ ad AS (SELECT *, round(CASE WHEN m IS NULL THEN score
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM ad) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS, _ADAPT)
-def rerank_adaptive(spark, d):
-    q, c, hits, par = _rerank_inputs(spark, d)
+def rerank_adaptive(spark, d, whole=False):
+    q, c, hits, par = _rerank_inputs(spark, d, whole)
     return rerank.by_adaptive_tiers(hits, q, par, c).select("query_id", "corpus_id", *_r("score", "final_score"))
 
 
 @query("SELECT p.query_id, p.corpus_id, a.k::BIGINT rank_before, b.k::BIGINT rank_after, (a.k - b.k)::BIGINT improvement FROM pos p LEFT JOIN (SELECT query_id, corpus_id, rnk k FROM ranked WHERE rnk <= 30) a ON a.query_id = p.query_id AND a.corpus_id = p.corpus_id LEFT JOIN (SELECT query_id, corpus_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM ad) WHERE k <= 30) b ON b.query_id = p.query_id AND b.corpus_id = p.corpus_id", S.SIM, S.PARENTS, _HITS, _PS, _ADAPT)
-def rank_improvement(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def rank_improvement(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     hits = vector.topk(q, c, 30)
     after = rerank.by_adaptive_tiers(hits.drop("rank"), q, S.parents(spark, d), c, 30)
     return rerank.rank_change(hits, after, pos).select("query_id", "corpus_id", *[F.col(x).cast("long").alias(x) for x in ("rank_before", "rank_after", "improvement")])
@@ -606,8 +606,8 @@ def hit_mrr_macro(spark, d, whole=False):
     return m.select(*_r(*m.columns))
 
 
-def _ranked_lists(spark, d):
-    q, c, pos = S.vectors(spark, d)
+def _ranked_lists(spark, d, whole=False):
+    q, c, pos = S.vectors(spark, d, whole)
     lists = vector.topk(q, c, 60).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "corpus_id")))["corpus_id"].alias("ranked"))
     first = pos.groupBy("query_id").agg(F.min("corpus_id").alias("truth"))
     two = pos.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("corpus_id"))).where("k <= 2").groupBy("query_id").agg(F.sort_array(F.collect_list("corpus_id")).alias("truths"))
@@ -620,18 +620,18 @@ sc AS (SELECT t.query_id, CASE WHEN count(*) > count(r.rnk) THEN 99999 ELSE max(
 
 
 @query("SELECT k, round(avg(coalesce((p <= k)::INT, 0)), 6) accuracy, round(max(CASE WHEN p <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS precision, round(avg(coalesce((p <= k)::INT, 0)), 6) recall, round(CASE WHEN max((p <= k)::INT) = 1 THEN 2 * avg(coalesce((p <= k)::INT, 0)) / (1 + avg(coalesce((p <= k)::INT, 0))) ELSE 0 END, 6) f1 FROM pl, (SELECT unnest([1, 10, 50]) k) GROUP BY k", S.SIM, _LISTS)
-def accuracy_at_k(spark, d):
-    return metrics.at_k(_ranked_lists(spark, d), "ranked", "truth").select("k", *_r("accuracy", "precision", "recall", "f1"))
+def accuracy_at_k(spark, d, whole=False):
+    return metrics.at_k(_ranked_lists(spark, d, whole), "ranked", "truth").select("k", *_r("accuracy", "precision", "recall", "f1"))
 
 
 @query("SELECT round(avg(coalesce(1.0 / p, 0)), 6) mrr FROM pl", S.SIM, _LISTS)
-def mrr_list(spark, d):
-    return metrics.list_mrr(_ranked_lists(spark, d), "ranked", "truth").select(*_r("mrr"))
+def mrr_list(spark, d, whole=False):
+    return metrics.list_mrr(_ranked_lists(spark, d, whole), "ranked", "truth").select(*_r("mrr"))
 
 
 @query("SELECT k, round(avg((score <= k)::INT), 6) accuracy FROM sc, (SELECT unnest([1, 10, 50]) k) GROUP BY k", S.SIM, _LISTS)
-def multi_target_topk(spark, d):
-    rows = _ranked_lists(spark, d).withColumn("score", metrics.multi_target_score(metrics.positions(F.col("ranked"), F.col("truths"))))
+def multi_target_topk(spark, d, whole=False):
+    rows = _ranked_lists(spark, d, whole).withColumn("score", metrics.multi_target_score(metrics.positions(F.col("ranked"), F.col("truths"))))
     return metrics.topk_accuracy(rows, "score").select("k", *_r("accuracy"))
 
 
@@ -856,15 +856,15 @@ def running_offsets(spark, d):
 
 
 @query("SELECT query_id, corpus_id, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT query_id, corpus_id, round(score + coalesce(max(p), 0), 9) f FROM hits LEFT JOIN ps USING (query_id, corpus_id) GROUP BY query_id, corpus_id, score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS)
-def rerank_best_relation(spark, d):
-    q, c, hits, par = _rerank_inputs(spark, d)
+def rerank_best_relation(spark, d, whole=False):
+    q, c, hits, par = _rerank_inputs(spark, d, whole)
     return rerank.by_best_relation(hits, q, par, c).select("query_id", "corpus_id", *_r("final_score"))
 
 
 @query("SELECT round((SELECT sum(fp * ((ctp - tp) + tp / 2)) / (sum(tp) * sum(fp)) FROM cu), 6) roc_auc, round((SELECT sum(tp * ctp / (ctp + cfp)) / sum(tp) FROM cu), 6) average_precision, round((SELECT avg(coalesce(1.0 / (b + 1), 0)) FROM rk), 6) best_reciprocal_rank", S.SIM, "lab AS (SELECT query_id, corpus_id, round(score, 9) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= 100)", _DIS, _RANKS)
-def evaluate_model(spark, d):
+def evaluate_model(spark, d, whole=False):
     """End to end: top-100 search, labels attached, all metrics."""
-    q, c, pos = S.vectors(spark, d)
+    q, c, pos = S.vectors(spark, d, whole)
     rows = mining.labelled_hits(vector.topk(q, c, 100), pos)
     return metrics.evaluated(rows).select(*_r("roc_auc", "average_precision", "best_reciprocal_rank"))
 
@@ -939,3 +939,11 @@ _register_whole(["edges_touching_targets"], {"concept_id % 3 = 0": "domain_id =
 _register_whole(["false_positives_self_corpus"], {" WHERE vec_id < 120": ""})
 _register_whole(["evaluation_set"], {S.SIM: S.SIM_WHOLE, " WHERE query_id < 5": "", " AND query_id < 5": ""})
 _register_whole(["eval_frame_normalised"], {" WHERE p_partkey < 100": ""})
+
+_register_whole([
+    "topk_cosine", "topk_expressions", "topk_exclude_same_name", "false_positives_blacklist", "hard_negatives_margin_top",
+    "hard_negatives_relative", "hard_negatives_md5_random", "unpivot_negatives", "cosine_distance_lists", "near_perfect_matches",
+    "label_attach_left", "lsh_topk", "rerank_level1_parents", "rerank_parent_prediction", "rerank_adaptive",
+    "rank_improvement", "accuracy_at_k", "mrr_list", "multi_target_topk", "rerank_best_relation",
+    "evaluate_model",
+], {S.SIM: S.SIM_WHOLE})
