@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, word_count
+from .common import arrow_limits, word_count, written
+from .ngram_join import near_duplicates
 
 CAPACITY = 4096
 PER_SOURCE = 4
@@ -135,3 +136,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards))).withColumn("cluster", F.when(F.col("size") > 0, F.col("cluster")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))
     rows = rows.repartition(min(parts, shards) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id")
     return rows.mapInArrow(_packed(capacity, per_source), "doc_id long, piece int, start long, length long, bin_id long, residual long")
+
+
+def pack_apart(docs: DataFrame) -> DataFrame:
+    """pack with components of near duplicates as clusters, so near copies share no bin. Texts that link with nothing, and rows with
+    a null doc_id, fall back on equal texts apart from case; copies that differ in the case of letters beyond A-Z may then count as unrelated."""
+    near = near_duplicates(docs).where("component_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_component"))
+    many = near.groupBy("_component").agg(F.count("*").alias("_n")).where("_n > 1").select("_component")
+    near = written(near.join(many, "_component", "left_semi"), "components")
+    same = F.md5(F.lower(F.coalesce("text", F.lit(""))))
+    named = docs.select("doc_id", "text", "source").join(near, F.col("doc_id") == F.col("_id"), "left")
+    return pack(named.withColumn("_cluster", F.coalesce(F.concat(F.lit("component "), F.col("_component").cast("string")), same)), cluster="_cluster")

@@ -15,7 +15,7 @@ from .toxicity import toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tables(spark, sf_dir))
+    return packing.pack_apart(tables(spark, sf_dir))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,14 @@ def test_packing_of_empty_and_repeated_rows(spark, empty):
     assert len(out) == 3 and len({r["bin_id"] for r in out if r["doc_id"] == 5}) == 2
 
 
+def test_near_copies_share_no_bin(spark):
+    base = [f"word{i}" for i in range(80)]
+    texts = [" ".join([*base[:40], f"edit{c}", *base[41:]]) for c in range(6)] + [" ".join(base).replace(" ", "  ", 1), "other text here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.col("doc_id").cast("string"))
+    out = packing.pack_apart(docs).collect()
+    assert len(out) == 8 and len({r["bin_id"] for r in out if r["doc_id"] < 7}) == 7
+
+
 def test_pipeline_against_brute_force(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     kept = corpus_pipeline.quality_stage(spark, docs, "")
