@@ -14,34 +14,41 @@ from .common import arrow_limits, opened, scratch, written
 from .encode import WordEncoder, default_tokenizer
 
 BLOCK_BYTES = 4 << 20
+FILE_BYTES = 64 << 20
 
 
 def _flat(path: str, end: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.get(path, True)
         last = np.array([end], encoder.dtype).tobytes()
-        uri, out, docs, size = f"{folder}/{uuid.uuid4().hex}.bin", None, [], 0
+        uri, out, n, size = "", None, 0, 0
         for batch in batches:
-            texts = batch["text"].fill_null("").cast(pa.binary())
+            texts, docs = batch["text"].fill_null("").cast(pa.binary()), batch["doc_id"]
             for i in range(0, len(texts), 256):
                 if out is None:
+                    uri, n, size = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
                     fs, at = opened(uri)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at)
                 data = b"".join(x + last for x in encoder.encode(texts[i : i + 256].to_pylist()))
                 out.write(data)
+                some = docs[i : i + 256].to_pylist()
                 size += len(data)
-            docs += batch["doc_id"].to_pylist()
+                yield pa.record_batch([pa.array([uri]), pa.array([size], pa.int64()), pa.array([n], pa.int64()), pa.array([some], pa.list_(pa.int64()))], names=["uri", "bytes", "first", "docs"])
+                n += len(some)
+                if size >= FILE_BYTES:
+                    out.close()
+                    out = None
         if out is not None:
             out.close()
-            yield pa.record_batch([pa.array([uri]), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64()))], names=["uri", "bytes", "docs"])
 
     return run
 
 
 def write_flat(docs: DataFrame, path: str | None = None, end: int | None = None, folder: str | None = None) -> DataFrame:
-    """Flat files of ids, each text followed by the end id, one file a task, no index; returns uri, bytes, docs (ids in file order).
+    """Flat files of ids of about FILE_BYTES, each text followed by the end id, no index.
 
+    Returns rows of at most 256 documents: uri, bytes (of the file so far), first (place of the first one in the file), docs.
     Special tokens' strings in a text are encoded as ordinary text, so the end id never comes from a text.
     """
     spark = docs.sparkSession
@@ -49,7 +56,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end: int | None = None,
     path = path or default_tokenizer()
     end = end_id(path) if end is None else end
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(_flat(path, end, folder or scratch(spark, "flat")), "uri string, bytes long, docs array<long>"), "flat-manifest")
+    return written(rows.mapInArrow(_flat(path, end, folder or scratch(spark, "flat")), "uri string, bytes long, first long, docs array<long>"), "flat-manifest")
 
 
 def end_id(path: str) -> int:
@@ -99,10 +106,12 @@ def count_tokens(files: DataFrame, end: int, width: int, block_bytes: int = BLOC
 def document_token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every text, counted in the flat files that it is written to; see write_flat and count_tokens.
 
-    Null and empty texts have 1, the end id. Repeated rows are counted each; a null doc_id stays null; an empty table gives none.
+    Null and empty texts have 1, the end id; a text longer than a block is stitched. Repeated rows are counted each; a null doc_id
+    stays null; an empty table gives none; other columns, of any name, are ignored.
     """
     path = path or default_tokenizer()
     files = write_flat(docs, path)
-    counts = count_tokens(files.select("uri", "bytes"), end_id(path), WordEncoder.get(path, True).dtype.itemsize)
-    names = files.select("uri", F.posexplode("docs").alias("ordinal", "doc_id"))
-    return names.join(counts.withColumn("ordinal", F.col("ordinal").cast("int")), ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    sizes = files.groupBy("uri").agg(F.max("bytes").alias("bytes"))
+    counts = count_tokens(sizes, end_id(path), WordEncoder.get(path, True).dtype.itemsize)
+    names = files.select("uri", "first", F.posexplode("docs").alias("k", "doc_id")).select("uri", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
+    return names.join(counts, ["uri", "ordinal"]).select("doc_id", "n_tokens")

@@ -203,14 +203,75 @@ def library_ids(rows):
 
 
 def test_encoder_equals_the_library(rows):
-    odd = ["It's  WE'LL don''t", "a b c\x1cd", "Ångström é é", "ΣΑΣ ſ", "x<|endoftext|>y <|startoftext|>", "1234 ١٢ ½", "***'s!!", "x yz ² ª º µ ÿ ſ Ǆ", "日本語テキスト", "\x85q", "a_b-c"]
+    odd = ["It's  WE'LL don''t", "a b c\x1cd", "Ångström é é", "ΣΑΣ ſ", "x<|endoftext|>y <|startoftext|>", "1234 ١٢ ½", "***'s!!", "x yz ² ª º µ ÿ ſ Ǆ", "日本語テキスト", "\x85q", "a_b-c", "a\x03b", "x\x7fy", "plain\x00", "\x1b[31mred\x1b[0m", "é\x03d", "w" * 300 + "\x00"]
     rows = [(i, t) for i, t in enumerate(odd)] + [(100 + r[0], r[1]) for r in rows]
     want = library_ids(rows)
-    e = encode.WordEncoder(encode.default_tokenizer(), pieces=50)
+    e = encode.WordEncoder(encode.default_tokenizer(), words=50)
     for d, t in rows:
         assert np.frombuffer(e.encode([(t or "").encode()])[0], "<u2").tolist() == want[d], t
 
 
+def test_encoder_on_every_character_below_0250():
+    from tokenizers import Tokenizer
+
+    path, r = encode.default_tokenizer(), random.Random(9)
+    t = Tokenizer.from_file(path)
+    alphabet = [chr(c) for c in range(0x250)] + list("日本Σς\u0327\u0301\u3000\u200d가<|>") + ["<|endoftext|>"]
+    texts = ["".join(r.choice(alphabet if r.random() < 0.8 else " \t\n") for _ in range(r.randrange(14))) for _ in range(6000)] + [f"a{chr(c)}b {chr(c)}" for c in range(0x250)]
+    for plain in (False, True):
+        t.encode_special_tokens = plain
+        got = encode.WordEncoder(path, plain, words=500).encode([x.encode() for x in texts])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path, rows):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(encode.default_tokenizer(), encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    for path in (str(tmp_path / "other.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        e, t = encode.WordEncoder(path), Tokenizer.from_file(path)
+        assert e.words is None
+        texts = [x or "" for _, x, *_ in rows] + ["a\x03b  c"]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_token_files_are_cut_and_read_from_the_middle(spark, docs, rows, tmp_path, monkeypatch):
+    w = token_files.Writer(f"file://{tmp_path}/a.tok")
+    parts = [np.arange(n, dtype=np.uint32) * 7 % 50000 for n in (3, 5000, 1, 9000, 4096, 2)]
+    w.add([4, None, 6, 7, 8, 9], [len(p) for p in parts], np.concatenate(parts))
+    w.close()
+    with token_files.TokenFile(f"file://{tmp_path}/a.tok") as f:
+        assert f.docs[~f.nulls].tolist() == [4, 6, 7, 8, 9] and f.nulls.tolist() == [False, True] + [False] * 4
+        assert all(f.document(i).tolist() == p.tolist() for i, p in enumerate(parts))
+        assert [sum(map(len, x)) for x in f.parts(3)] == [9000, 4096, 2]
+
+
+def test_writer_tasks_cut_files_by_size(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "FILE_DOCS", 300)
+    batch = pa.record_batch([pa.array([None, *range(999)], pa.int64()), pa.array([f"text {i}" for i in range(1000)])], names=["doc_id", "text"])
+    out = [r for b in token_files._write(f"file://{tmp_path}", encode.default_tokenizer(), 1)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["seq"], r["docs"], r["nulls"], r["first"]) for r in out] == [(0, 512, True, None), (1, 488, True, None)]
+    manifest = pa.record_batch([pa.array([r["uri"] for r in out]), pa.array([0, out[0]["ids"]])], names=["uri", "start"])
+    got = [r for b in token_files._read(iter([manifest])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == [None, *range(999)] and all(r["start"] + r["n_tokens"] == s["start"] for r, s in zip(got, got[1:]))
+
+
+def test_token_files_of_one_doc_id(spark):
+    two = [(1, "b c"), (1, "a"), (1, None), (2, "x"), (None, "n"), (None, "m m"), (1, "a")]
+    runs = []
+    for n in (1, 5):
+        out = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(two, "doc_id long, text string").repartition(n)))
+        runs.append(sorted(map(tuple, out.collect()), key=lambda r: r[1]))
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [None, None, 1, 1, 1, 1, 2]
+
+
 def test_token_files_round_trip(docs, rows):
     want = library_ids(rows)
     out = token_files.read_token_files(token_files.write_token_files(docs)).collect()
