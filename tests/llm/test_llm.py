@@ -375,11 +375,44 @@ def test_mix_meets_targets(docs, rows):
         assert all(r["taken"] <= 2 * r["size"] for r in mine)
 
 
-def check_bins(placed, sizes, capacity, per_source, clusters):
-    used, where = {}, {}
+def test_mix_takes_documents_by_odds_over_inclusion_odds(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.choice((1, 3, 9, 30, 100, 900))), "a" if i % 4 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = 0
+    for seed in (0, 1):
+        out = [x.asDict() for x in mixing.mix(docs, seed=seed).collect()]
+        for s in ("a", "b"):
+            mine = [x for x in out if x["source"] == s]
+            target, most = mine[0]["target"], 2.0
+            low, high = 0.0, 10.0
+            for _ in range(200):  # the factor by bisection
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(min(most, mid * x["size"].bit_length()) * x["size"] for x in mine) < target else (low, mid)
+            for x in mine:
+                e = min(most, low * x["size"].bit_length())
+                x["whole"], x["p"] = int(e + 1e-9), e - int(e + 1e-9)
+                u = (int(hashlib.md5(f"{seed}:{x['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                x["u"], x["rank"] = u, (u / (1 - u)) / (x["p"] / (1 - x["p"])) if x["p"] > 1e-9 else None
+            left, at = target - sum(x["whole"] * x["size"] for x in mine), 0
+            for x in sorted((x for x in mine if x["rank"] is not None), key=lambda x: (x["rank"], x["doc_id"])):
+                assert x["copies"] == x["whole"] + (at + x["size"] / 2 <= left)
+                at += x["size"]
+            assert all(x["copies"] == x["whole"] for x in mine if x["rank"] is None)
+            assert len({round(x["p"], 6) for x in mine}) > 1
+            drawn = [x for x in mine if x["rank"] is not None]
+            plain += max((x["u"] for x in drawn if x["copies"] > x["whole"]), default=0) > min((x["u"] for x in drawn if x["copies"] == x["whole"]), default=1)
+    assert plain  # an order by the random number alone would take others
+
+
+def check_bins(placed, sizes, capacity, per_source, clusters, sources):
+    used, where, taken = {}, {}, {}
     for r in placed:
         used[r["bin_id"]] = used.get(r["bin_id"], 0) + r["length"]
         where.setdefault(r["bin_id"], []).append(r["doc_id"])
+        key = r["bin_id"], sources[r["doc_id"]]
+        taken[key] = taken.get(key, 0) + 1
+    assert max(taken.values()) <= per_source and per_source in taken.values()
     assert all(n <= capacity for n in used.values())
     assert all(r["residual"] == capacity - used[r["bin_id"]] for r in placed)
     words = {}
@@ -394,7 +427,42 @@ def check_bins(placed, sizes, capacity, per_source, clusters):
 def test_packing_respects_conflicts(docs, rows):
     sizes = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
     placed = packing.pack(docs, capacity=128, shard=40).collect()
-    check_bins(placed, sizes, 128, 4, {r[0]: (r[1] or "").lower() for r in rows} | {r[0]: r[0] for r in rows if sizes[r[0]] > 128})
+    check_bins(placed, sizes, 128, 4, {r[0]: (r[1] or "").lower() for r in rows} | {r[0]: r[0] for r in rows if sizes[r[0]] > 128}, {r[0]: r[3] for r in rows})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_piece_goes_to_the_tightest_bin_that_takes_it(seed, monkeypatch):
+    monkeypatch.setattr(packing, "SMALL", 3)
+    r = random.Random(seed)
+    rows = [(i, r.choice("aaaabc"), r.choice((0, 5, 9, 17, 33, 60, 100, 250)), r.choice((1, 1, 1, 2, 3, *range(10, 60)))) for i in range(300)]
+    capacity, per_source, bins = 100, 3, {}
+    placed = packing.pack_shard(rows, capacity, per_source)
+    for i, _, start, length, b in placed:
+        _, source, _, cluster = rows[i]
+        copies = sum(x[3] == cluster for x in rows) > 1
+
+        def takes(x, source=source, cluster=cluster, length=length, copies=copies):
+            return capacity - x["used"] >= length and x["sources"].count(source) < per_source and not (copies and cluster in x["clusters"])
+
+        fits = [capacity - x["used"] for x in bins.values() if takes(x)]
+        if b in bins:
+            assert takes(bins[b]) and capacity - bins[b]["used"] == min(fits)
+        else:
+            assert not fits
+        x = bins.setdefault(b, {"used": 0, "sources": [], "clusters": set()})
+        x["used"] += length
+        x["sources"].append(source)
+        x["clusters"].add(cluster)
+    assert sum(p[3] for p in placed) == sum(x[2] for x in rows)
+
+
+def test_one_row_repeated_is_dealt_over_shards(spark):
+    rows = spark.createDataFrame([(None, "a b c", "s")] * 300 + [(i, "d e", "s") for i in range(100)], "doc_id long, text string, source string")
+    out = packing.pack(rows, shard=50).collect()
+    shards = [b["bin_id"] >> 24 for b in out]
+    assert len(out) == 400 and len(set(shards)) == 8 and max(map(shards.count, set(shards))) < 100
+    whole = packing.pack(rows, shard=None).collect()
+    assert len({b["bin_id"] for b in whole if b["doc_id"] is None}) == 300 and {b["bin_id"] >> 24 for b in whole} == {0}
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
