@@ -2,77 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six separators of the word definition, as a Java/DuckDB character class body.
-SEPARATORS = r"\x20\x09-\x0D"
-#: Largest side that is ever broadcast, by the size of its written Parquet files.
-BROADCAST_BYTES = 3 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where none is named."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="termweave-")
-        sc.setCheckpointDir(base)
-        base = f"file://{base}"
-    return base
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._termweave_path = path
-    return out
+from ..runtime import scratch, shared_dir, shipped, small_side, written
 
+__all__ = ["SEPARATORS", "arrow_limits", "opened", "scratch", "shared_dir", "shipped", "small_side", "tables", "word_array", "word_count", "written"]
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of the files below path, whatever file system it is in."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-
-
-def small_side(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, written; with a broadcast hint if its files are within limit, else left to a shuffle join (AQE splits hot keys)."""
-    out = written(df, name)
-    return F.broadcast(out) if stored_bytes(df.sparkSession, out._termweave_path) <= limit else out
-
-
-def shipped(spark: SparkSession) -> None:
-    """Gives executors this package, unless PYTHONPATH already does."""
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_termweave_shipped", False):
-        return
-    d = tempfile.mkdtemp(prefix="termweave-src-")  # the driver serves this file to the executors
-    with zipfile.ZipFile(f"{d}/termweave_src.zip", "w") as z:
-        for p in (root / "termweave").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(f"{d}/termweave_src.zip")
-    sc._termweave_shipped = True
-
-
-def arrow_limits(spark: SparkSession, records: int = 2000) -> None:
-    """Bounds the Arrow batches that Python workers hold, in rows and bytes."""
+#: The six separators of the word definition, as a Java/DuckDB character class body.
+SEPARATORS = r"\x20\x09-\x0D"
+def arrow_limits(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers hold, in rows and bytes; the same for all operators, in whatever order they run."""
     shipped(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 

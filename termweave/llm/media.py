@@ -1,8 +1,9 @@
 """Media columns: texts as lossless 8-bit grayscale images in archives, read by a Spark data source over byte ranges.
 
-An archive is a plain ZIP file with stored members, each a PNG of 24-sample rows. The data source reads the archives' directories,
-plans partitions of about `range_bytes` over them, and streams members as Arrow batches of bounded size. Each member is read by
-its own offset and, on an error, again by itself; members before it are not read twice.
+An archive is a plain ZIP file with stored members, each a PNG of 576-sample rows. The writer notes where a range of about
+RANGE_BYTES ends, so the manifest holds the plan: the data source makes its partitions from the manifest's rows and opens no archive
+for it. A folder without a manifest is planned from the archives' directories. Members are streamed as Arrow batches of bounded
+size; each is read by its own offset and, on an error, again by itself; members before it are not read twice.
 """
 
 from __future__ import annotations
@@ -70,21 +71,24 @@ def payload_of(text: bytes) -> bytes:
 
 
 class ArchiveWriter:
-    """A ZIP archive of stored members; memory holds its directory only."""
+    """A ZIP archive of stored members; memory holds its directory only. cuts: where ranges of about RANGE_BYTES start, and the end."""
 
     def __init__(self, uri: str):
         fs, path = opened(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.out, self.size, self.directory, self.n = uri, fs.open_output_stream(path), 0, [], 0
+        self.uri, self.out, self.size, self.directory, self.n, self.cuts = uri, fs.open_output_stream(path), 0, [], 0, [0]
 
     def add(self, name: bytes, data: bytes) -> None:
         crc = zlib.crc32(data)
+        if self.size - self.cuts[-1] >= RANGE_BYTES:
+            self.cuts.append(self.size)
         self.out.write(struct.pack("<IHHHHHIIIHH", 0x04034B50, 20, 0x800, 0, 0, 33, crc, len(data), len(data), len(name), 0) + name + data)
         self.directory.append(struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 20, 20, 0x800, 0, 0, 33, crc, len(data), len(data), len(name), 0, 0, 0, 0, 0, self.size) + name)
         self.size += 30 + len(name) + len(data)
         self.n += 1
 
     def close(self) -> None:
+        self.cuts.append(self.size)
         body = b"".join(self.directory)
         self.out.write(body + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, self.n & 0xFFFF, self.n & 0xFFFF, len(body), self.size, 0))
         self.out.close()
@@ -117,17 +121,20 @@ class ByteRange(InputPartition):
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.range_bytes, self.tries = options["path"], int(options.get("range_bytes", RANGE_BYTES)), int(options.get("tries", 3))
-        self.listed = options.get("archives")
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[ByteRange]:
-        """Runs of members of about range_bytes, from each archive's directory; only their ends are kept."""
+        """The manifest's ranges; without one, runs of members of about range_bytes from each archive's directory."""
+        from pyarrow import dataset
         from pyarrow import fs as pafs
 
-        if self.listed is not None:
-            uris = [x for x in self.listed.split("\n") if x]
-        else:
-            fs, path = opened(self.folder)
-            uris = sorted(f"{self.folder.rstrip('/')}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.base_name.endswith(".zip"))
+        if self.manifest is not None:
+            fs, path = opened(self.manifest)
+            rows = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["uri", "cuts"])
+            cut = zip(rows["uri"].to_pylist(), rows["cuts"].to_pylist(), strict=True)
+            return [ByteRange(uri, a, b) for uri, cuts in cut for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [ByteRange("", 0, 0)]
+        fs, path = opened(self.folder)
+        uris = sorted(f"{self.folder.rstrip('/')}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.base_name.endswith(".zip"))
         out = []
         for uri in uris:
             start = 0
@@ -176,7 +183,7 @@ class MediaReader(DataSourceReader):
 
 
 class MediaSource(DataSource):
-    """format("media_archive"): option path is a folder of archives, or archives lists them, one a line."""
+    """format("media_archive"): option path is a folder of archives, or manifest a table of them (see store)."""
 
     @classmethod
     def name(cls) -> str:
@@ -191,39 +198,39 @@ class MediaSource(DataSource):
 
 def _store(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, done = None, []
+        writer = None
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            return pa.record_batch([pa.array([writer.uri]), pa.array([writer.n], pa.int64()), pa.array([writer.cuts], pa.list_(pa.int64()))], names=["uri", "members", "cuts"])
+
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].fill_null("").cast(pa.binary()).to_pylist(), strict=True):
                 writer = writer or ArchiveWriter(f"{folder}/{uuid.uuid4().hex}.zip")
                 writer.add(f"{'null' if doc is None else doc}/{len(text)}/{writer.n}.png".encode(), to_png(payload_of(text)))
                 if writer.size >= ARCHIVE_BYTES or writer.n >= 60_000:
-                    writer.close()
-                    done.append((writer.uri, writer.n))
+                    yield done()
                     writer = None
         if writer:
-            writer.close()
-            done.append((writer.uri, writer.n))
-        if done:
-            yield pa.record_batch([pa.array([u for u, _ in done]), pa.array([n for _, n in done], pa.int64())], names=["uri", "members"])
+            yield done()
 
     return run
 
 
 def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes every text as one member; returns the manifest (uri, members). Names are doc_id/bytes/place. A repeated attempt of a
+    """Writes every text as one member; returns the manifest: uri, members, and cuts, the offsets that bound its ranges. Names are doc_id/bytes/place. A repeated attempt of a
     task leaves an unlisted archive."""
     spark = docs.sparkSession
-    arrow_limits(spark, 500)
+    arrow_limits(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(_store(folder or scratch(spark, "media")), "uri string, members long"), "media-manifest")
+    return written(rows.mapInArrow(_store(folder or scratch(spark, "media")), "uri string, members long, cuts array<long>"), "media-manifest")
 
 
 def load(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """(archive, offset, name, media) of the listed archives; the list holds one path for each archive, not for each member."""
-    arrow_limits(spark, 500)
+    """(archive, offset, name, media) of the archives of a manifest that store wrote; only the manifest's place goes into the plan."""
+    arrow_limits(spark)
     spark.dataSource.register(MediaSource)
-    uris = "\n".join(r[0] for r in manifest.select("uri").toLocalIterator())
-    return spark.read.format("media_archive").option("path", "").option("archives", uris).load()
+    return spark.read.format("media_archive").option("path", "").option("manifest", manifest._termweave_path).load()
 
 
 def feature(payload: bytes) -> str:
@@ -251,7 +258,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_digests(docs: DataFrame) -> DataFrame:
     """Stores every text, reads the archives back and digests what was read.
 
-    Text bytes are padded with 255 to a positive multiple of 576, so null and empty texts are one row of 255s. Repeated rows are
-    stored each; a null doc_id stays null; an empty table gives no archive and no row; other columns are ignored.
+    Text bytes are padded with 255 to a positive multiple of 576, so null and empty texts are one row of 255s; a text of any length is
+    one member. Repeated rows are stored each, equal texts alike; a null doc_id stays null; an empty table gives no archive and no
+    row; other columns, of any name, are ignored.
     """
     return load(docs.sparkSession, store(docs)).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

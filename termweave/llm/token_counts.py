@@ -52,7 +52,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end: int | None = None,
     Special tokens' strings in a text are encoded as ordinary text, so the end id never comes from a text.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, 1000)
+    arrow_limits(spark)
     path = path or default_tokenizer()
     end = end_id(path) if end is None else end
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

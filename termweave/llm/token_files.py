@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end: int = 1, fo
     rows are written as often as they come; an empty table gives no file; other columns, of any name, are ignored.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, 1000)
+    arrow_limits(spark)
     path = path or default_tokenizer()
     folder = folder or scratch(spark, "tokens")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
