@@ -14,12 +14,16 @@ from .shingle import chunks, words
 
 BITS = 20
 FACTORS = 8
-#: Labelled rows that the model is fitted on, at most; rows are taken by the hash of doc_id.
-FIT_ROWS = 20_000
-#: Terms that the model keeps, those that differ most between the labels.
-TERMS = 2048
-#: Least chi-square of a kept term: beyond what chance gives the best of a million terms.
+#: Labelled rows, and bytes of their texts, that the model is fitted on, on average at most; rows are taken by the hash of doc_id.
+FIT_ROWS, FIT_BYTES = 20_000, 64 << 20
+#: A longer text is scored like any other but not learnt from, so that what reaches the driver is bounded.
+FIT_LONGEST = 256 << 10
+#: Least chi-square of a term that tells alone: beyond what chance gives the best of a million terms.
 SURE = 30.0
+#: Least gain (twice a log-likelihood ratio) of a pair of terms over either of its terms: beyond the best of ten million pairs by chance.
+SURE_PAIR = 45.0
+#: Pairs are counted of terms in so many fitted rows or more; a rarer pair cannot reach SURE_PAIR. Of the most frequent ones at most.
+COMMON, PAIR_TERMS = 10, 4096
 
 
 def _terms(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,10 +69,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _gain(n: np.ndarray, k: np.ndarray, rate: np.ndarray | float) -> np.ndarray:
+    """Twice the log-likelihood ratio of k of n at rate k / n against a given rate."""
+    own = np.clip(k / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    rate = np.clip(rate, 1e-6, 1 - 1e-6)
+    return 2 * (k * np.log(own / rate) + (n - k) * np.log((1 - own) / (1 - rate)))
+
+
+def telling_pairs(owner: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Terms of pairs that tell together what neither of them tells alone, such as two harmless words that insult side by side.
+
+    All pairs of common terms are counted in all rows; a pair stays if its rate of label 1 differs for sure from the rate of either
+    term's rows. Its terms need not tell anything by themselves.
+    """
+    names, place, count = np.unique(term, return_inverse=True, return_counts=True)
+    often = np.argsort(-count, kind="stable")[:PAIR_TERMS]
+    often = np.sort(often[count[often] >= COMMON])
+    names, column = names[often], np.full(len(names), -1)
+    column[often] = np.arange(len(often))
+    place = column[place]
+    owner, place = owner[place >= 0], place[place >= 0]
+    z = len(names)
+    both, yes = np.zeros((z, z), np.float32), np.zeros((z, z), np.float32)
+    at = np.searchsorted(owner, np.arange(0, len(y) + 1024, 1024))
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        x = np.zeros((min(1024, len(y) - 1024 * i), z), np.float32)
+        x[owner[a:b] - 1024 * i, place[a:b]] = 1
+        both += x.T @ x
+        x = x[y[1024 * i : 1024 * (i + 1)] == 1]
+        yes += x.T @ x
+    rate = np.diag(yes) / np.maximum(np.diag(both), 1)
+    out = np.zeros(z, bool)
+    for i in range(z):
+        n, k = both[i].astype(float), yes[i].astype(float)
+        sure = (_gain(n, k, rate[i]) > SURE_PAIR) & (_gain(n, k, rate) > SURE_PAIR) & (n > 0)
+        sure[i] = False
+        if sure.any():
+            out[i] = True
+            out |= sure
+    return names[out]
+
+
 def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, seed: int = 7) -> Model:
     """Adagrad over mini-batches; rows are (label, distinct hashed terms). With one label or none only a bias is learnt.
 
-    The rarer label weighs more, by the root of the ratio, so that rare terms of it are not drowned.
+    The model keeps the terms that tell alone and the terms of pairs that tell together; chance terms and pairs are left out, which
+    on a few thousand rows would outnumber and drown them. The rarer label weighs more, by the root of the ratio.
     """
     rng = np.random.default_rng(seed)
     y = np.array([r[0] for r in rows], float)
@@ -82,8 +128,7 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, seed: int = 7) ->
     all_ = np.bincount(term, minlength=1 << BITS).astype(float)
     expected = all_ * y.mean()
     chi = np.where(all_ >= 5, (yes - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    kept = kept[chi[kept] > SURE]
+    kept = np.union1d(np.flatnonzero(chi > SURE), telling_pairs(owner, term, y)).astype(np.int64)
     model = Model(kept, bias, np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)))
     place = model.place[term]
     owner, place = owner[place >= 0], place[place >= 0]
@@ -117,13 +162,16 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, seed: int = 7) ->
     return model
 
 
-def learnt(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
-    """A model from rows (doc_id, text, label); null labels and doc_ids are left out. Only term hashes reach the driver."""
+def learnt(labelled: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """A model from rows (doc_id, text, label); null labels and doc_ids are left out. Only hashes of distinct terms reach the driver,
+    four bytes each, of FIT_BYTES of text on average at most."""
     spark = labelled.sparkSession
-    arrow_limits(spark, 1000)
+    arrow_limits(spark)
     rows = labelled.where("label is not null and doc_id is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    n = rows.count()
-    share = min(1.0, most / max(n, 1))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    rows = rows.where(size <= FIT_LONGEST)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    share = min(1.0, most / max(n, 1), most_bytes / max(total, 1))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     got = rows.select("label", "text").mapInArrow(_featurised, "label int, terms binary").collect()
     got = sorted((r["label"], bytes(r["terms"])) for r in got)
@@ -145,16 +193,19 @@ def _scored(model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts score the bias. Equal texts score the same."""
+    """(doc_id, score) of every whole text, however long; null and empty texts score the bias. Equal texts, and so repeated rows and
+    ties, score the same; a null doc_id stays null; an empty table gives no row; other columns, of any name, are ignored."""
     arrow_limits(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 places and 2048 terms, whatever the input
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 places and the kept terms of the bounded fit, whatever the input
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(held), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): labels whose crc32(doc_id) mod 5 is 0 are never learnt from.
 
-    A null doc_id is held out by no label and has held_out null. Without labels, or with one class, every score is the base rate.
+    A null doc_id is held out by no label and has held_out null. A doc_id with several labels counts as toxic if one says so; repeated
+    rows of a labelled doc_id are learnt from each. Without labels, or with one class, every score is the base rate. See score for
+    empty and long texts, ties, empty tables and other columns.
     """
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held)

@@ -143,6 +143,30 @@ def test_repeats_equal_brute_force(docs, rows):
     assert got == brute_repeats([(r[0], r[1]) for r in rows])
 
 
+def test_repeats_of_one_doc_id_with_several_texts(spark):
+    r = random.Random(12)
+    a, b = ("".join(r.choice("abcdefgh ") for _ in range(120)) for _ in range(2))
+    rows = [(1, a), (2, b), (2, a + "zz"), (3, b + "qq"), (3, b + "qq"), (None, a), (4, None)]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 120, 0), (1, 120, 0), (2, 120, 0), (2, 122, 120), (3, 122, 120), (3, 122, 120), (4, 0, 0)]
+
+
+def test_groups_hold_every_occurrence_of_a_repeat(spark):
+    r = random.Random(13)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, whole = text(70), text(90)
+    rows = [(1, text(30) + shared + text(40)), (2, shared + text(20)), (3, text(10) + shared), (4, whole), (5, whole), (6, text(200))]
+    texts = dict(rows)
+    found = [tuple(x) for x in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by: dict = {}
+    for name, n, d, s in found:
+        by.setdefault(name, []).append((d, texts[d][s : s + n]))
+    assert all(len({t for _, t in x}) == 1 and len(x) > 1 for x in by.values())
+    covered = {(d, s + i) for _, n, d, s in found for i in range(n)}
+    want = {(d, texts[d].index(p) + i) for p, ds in ((shared, (1, 2, 3)), (whole, (4, 5))) for d in ds for i in range(len(p))}
+    assert covered >= want and not any(d == 6 for d, _ in covered)
+
+
 def test_maximal_repeats_have_all_occurrences():
     pieces = [b"x" + b"abcdefghij" * 6, b"y" + b"abcdefghij" * 6, b"abcdefghij" * 6 + b"z"]
     found = list(repeats.maximal_repeats(pieces, np.zeros(3, int)))
@@ -471,18 +495,41 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert got[4] == got[1] and got[3] not in (got[2], got[1])
 
 
-def test_toxicity_learns_pairs_of_terms():
+@pytest.mark.parametrize("rule", ["and", "xor"])
+def test_toxicity_learns_pairs_of_terms(rule):
     r = np.random.default_rng(2)
     rows = []
     for _ in range(3000):
         noise = set(r.integers(100, 400, 8).tolist())
         a, b = r.random() < 0.5, r.random() < 0.5
-        rows.append((int(a and b), np.array(sorted(noise | ({1} if a else set()) | ({2} if b else set())), np.int32)))
+        rows.append((int(a and b if rule == "and" else a != b), np.array(sorted(noise | ({1} if a else set()) | ({2} if b else set())), np.int32)))
     m = toxicity.fit(rows[:2500])
     got = [m.scores(np.zeros(len(t), int), t.astype(np.int64), 1)[0] >= 0.5 for _, t in rows[2500:]]
     assert np.mean([g == bool(y) for g, (y, _) in zip(got, rows[2500:], strict=True)]) > 0.97
 
 
+def test_toxicity_score_is_the_sum_over_terms_and_pairs():
+    r = np.random.default_rng(4)
+    m = toxicity.Model(np.arange(3, 40, 4), -0.4, r.normal(size=10), r.normal(size=(10, toxicity.FACTORS)))
+    for _ in range(20):
+        terms = np.unique(r.integers(0, 45, 12))
+        kept = [int(m.place[t]) for t in terms if m.place[t] >= 0]
+        z = m.bias + sum(m.w[k] for k in kept) + sum(float(m.v[a] @ m.v[b]) for i, a in enumerate(kept) for b in kept[i + 1 :])
+        assert np.isclose(m.scores(np.zeros(len(terms), int), terms, 1)[0], 1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    out = sorted(out, key=lambda r: -r["score"])
+    hits = [i for i, r in enumerate(out) if r["toxic"]]
+    assert sum((k + 1) / (i + 1) for k, i in enumerate(hits)) / len(hits) > 0.9
+    assert sum(r["predicted"] for r in out if r["toxic"]) > 0.8 * len(hits) and not any(r["predicted"] for r in out if not r["toxic"])
+
+
 def test_toxicity_scores_every_row(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(40)] + [(None, 1, 1)], "doc_id long, toxic int, quality int")
     out = toxicity.toxicity(docs, labels).collect()
@@ -544,3 +591,113 @@ def test_pipeline_against_brute_force(spark, rows):
     placed = corpus_pipeline.packing_stage(spark, mixed, "").collect()
     words = sum(len(WORD.findall(texts[d] or "")) * c for d, c in counts.items())
     assert sum(r["length"] for r in placed) == words
+
+
+def plain_quality(text):
+    """The lines of a text that pass, or None if the text is rejected."""
+    words = WORD.findall(text or "")
+    grams: dict = {}
+    for i in range(len(words) - 2):
+        grams.setdefault(tuple(words[i : i + 3]), []).append(i)
+    repeated = {j for at in grams.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return None
+
+    def fails(x):
+        pipes, marks, n = x.count("|"), sum(c in "#*$%&<>" for c in x), len(x)
+        loud = n >= 20 and x.upper() == x and x.lower() != x
+        return (pipes >= 3 and pipes * 15 >= n) or (marks >= 3 and marks * 12 >= n) or loud or re.search(quality.BOILERPLATE, x.lower()) or (n >= 300 and not re.search("[.!?,;:]", x))
+
+    kept = [x for x in text.split("\n") if not fails(x)]
+    return "\n".join(kept) if 100 * sum(map(len, WORD.findall("\n".join(kept)))) >= 50 * sum(map(len, words)) else None
+
+
+def plain_line_dedup(texts):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        lines = texts[d].split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            pair = (lines[i], lines[i + 1])
+            if WORD.search("\n".join(pair)):
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def plain_mix(rows):
+    """rows (doc_id, source, size) -> copies by doc_id."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, total = {}, set(names), 1.5 * sum(size.values())
+    while True:
+        rest = total - sum(target.values())
+        over = {s for s in left if rest * weight[s] / sum(weight[x] for x in left) >= 2 * size[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        left -= over
+    target |= {s: (total - sum(target[x] for x in names if x not in left)) * weight[s] / sum(weight[x] for x in left) for s in left}
+    out = {}
+    for s in names:
+        mine = [(d, n) for d, t, n in rows if t == s]
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(2.0, mid * max(1, n.bit_length())) * n for _, n in mine) < target[s] else (low, mid)
+        ranked, used = [], 0
+        for d, n in mine:
+            e = min(2.0, low * max(1, n.bit_length()))
+            whole, p = int(e + 1e-9), e - int(e + 1e-9)
+            out[d], used = whole, used + whole * n
+            if p > 1e-9:
+                u = (int(hashlib.md5(f"0:{d}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), d, n))
+        at = 0
+        for _, d, n in sorted(ranked):
+            out[d] += at + n / 2 <= target[s] - used
+            at += n
+    return out
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    rows = made(seed=21, n=160)
+    bar = "Home | News | About | Contact | Login | Help"
+    rows = [(d, f"{bar}\n{t}" if t and d % 5 == 0 else t, *rest) for d, t, *rest in rows]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    placed = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    texts = {d: plain_quality(t) for d, t, *_ in rows}
+    texts = plain_line_dedup({d: t for d, t in texts.items() if t is not None})
+    stay = {d for d, (_, c) in brute_components(list(texts.items())).items() if c == d}
+    size = {d: len(WORD.findall(texts[d])) for d in stay}
+    copies = plain_mix([(r[0], r[3], size[r[0]]) for r in rows if r[0] in stay])
+    words: dict = {}
+    bins: dict = {}
+    for r in placed:
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["length"]
+        bins.setdefault(r["bin_id"], []).append(r)
+    assert len(stay) < len(texts) < len(rows) and len(set(copies.values())) > 1
+    assert words == {d: c * size[d] for d, c in copies.items() if c}
+    source = {r[0]: r[3] for r in rows}
+    for here in bins.values():
+        assert sum(r["length"] for r in here) == packing.CAPACITY - here[0]["residual"] >= 0
+        assert len({r["doc_id"] for r in here}) == len(here)
+        assert all([source[r["doc_id"]] for r in here].count(s) <= packing.PER_SOURCE for s in {source[r["doc_id"]] for r in here})
+
+
+def test_pipeline_stages_on_odd_rows(spark, empty):
+    prose = "\n".join(f"Line {i} says thing {i * 7}, and then some more of it." for i in range(30))
+    odd = spark.createDataFrame([(None, prose, "en", None, None), (3, prose + " End.", None, "s", 1), (3, prose + " End.", None, "s", 1), (4, None, "en", "s", 0), (None, "", "en", "s", 0)], SCHEMA)
+    odd = odd.withColumns({"size": F.lit("x"), "key": F.lit(1), "copies": F.lit(2), "cleaned": F.lit("c"), "kept": F.lit("k"), "component_id": F.lit(0)})
+    want = {"quality_rules": 3, "line_dedup": 5, "ngram_jaccard_join": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        out = stage(spark, odd, "")
+        if name in want:
+            assert out.count() == want[name], name
+        if name != "best_fit_packing":
+            assert out.columns == corpus_pipeline.COLUMNS
+        else:
+            assert out.count() == 5 and len({r["bin_id"] for r in out.collect() if r["doc_id"] == 3}) == 2
