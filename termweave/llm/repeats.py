@@ -6,6 +6,10 @@ first (tasks report each hash once, so a passage in a third of all documents cos
 together in one stream; of equal pieces one is kept with its smallest document. A suffix array of the pieces' windows with common
 prefixes is scanned with a stack for the intervals of the common-prefix tree; those whose occurrences differ in the byte to the left
 are the maximal repeats, and every occurrence outside the smallest document of a group is covered.
+
+A repeat longer than a piece is several groups that overlap by 49 bytes. What is covered stays exact: every 50-byte window lies whole
+in one piece, equal windows lie in pieces of one hash at places that the suffix array compares, and two pieces that share a window
+share an interval. Equal texts are told by two hashes of 124 bits together, of which one text goes on.
 """
 
 from __future__ import annotations
@@ -49,10 +53,6 @@ def windows(data: np.ndarray) -> np.ndarray:
     return _slide(h, RUN)
 
 
-def text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def runs_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first window, one past the last) of maximal runs of equal values, cut to RUN windows."""
     first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
@@ -97,8 +97,9 @@ def _anchors(ranges: int):
         hashes, owners, keys, held, seen = [], [], [], 0, set()
         most = min(4_000_000, max(400_000, 16 * ranges))
         for batch in batches:
-            for _, data, w in _texts(batch["text"]):
-                key = text_key(data.tobytes())
+            names = batch["key"].to_pylist()
+            for i, _, w in _texts(batch["text"]):
+                key = names[i]
                 if key in seen:
                     continue
                 seen.add(key)
@@ -154,43 +155,57 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(rows)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces under shared hashes. Of equal pieces in one batch the smallest document's goes on; the others are covered at once."""
-    for batch in batches:
-        spans: list[tuple[int, int, int]] = []
-        best: dict[bytes, list] = {}
-        column = batch["hashes"].to_pylist()
-        docs = batch["doc_id"].to_pylist()
-        for i, data, w in _texts(batch["text"]):
-            mine = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in column[i]]))
-            low = (w >> np.uint64(10)) & np.uint64((1 << 48) - 1)  # the part of a hash that _anchors keeps
-            at = np.searchsorted(mine, low)
-            at[at == len(mine)] = 0
-            ok = mine[at] == low if len(mine) else np.zeros(len(w), bool)
-            first, last = runs_of(w)
-            use = ok[first]
-            raw, doc = data.tobytes(), docs[i]
-            for a, b in zip(first[use].tolist(), last[use].tolist(), strict=True):
-                piece = raw[a : b + LENGTH - 1]
-                have = best.get(piece)
-                if have is None:
-                    best[piece] = [int(w[a]), [(doc, a)]]
-                elif doc == have[1][0][0]:
-                    have[1].append((doc, a))
-                elif doc < have[1][0][0]:
-                    spans += [(d, s, s + len(piece)) for d, s in have[1]]
-                    have[1] = [(doc, a)]
-                else:
-                    spans.append((doc, a, a + len(piece)))
-        z = [(np.int64(np.uint64(h).view(np.int64)), d, s, p) for p, (h, all_) in best.items() for d, s in all_]
-        cols = list(zip(*z, strict=True)) if z else [(), (), (), ()]
-        spans = _merged(spans)
-        kind = [0] * len(z) + [1] * len(spans)
-        yield pa.record_batch([pa.array(kind, pa.int32()), pa.array([*map(int, cols[0]), *[0] * len(spans)], pa.int64()), pa.array([*cols[1], *[x[0] for x in spans]], pa.int64()), pa.array([*cols[2], *[x[1] for x in spans]], pa.int32()), pa.array([*[None] * len(z), *[x[2] for x in spans]], pa.int32()), pa.array([*cols[3], *[None] * len(spans)], pa.binary())], names=["kind", "hash", "doc_id", "start", "stop", "piece"])
-
-
-def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out: list[list[int]] = []
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[int, int], int, bytes]]:
+    """(hash, text, start, piece) of the pieces under shared hashes; a text is (doc_id, key)."""
+    column = batch["hashes"].to_pylist()
+    texts = list(zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(), strict=True))
+    for i, data, w in _texts(batch["text"]):
+        mine = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in column[i]]))
+        low = (w >> np.uint64(10)) & np.uint64((1 << 48) - 1)  # the part of a hash that _anchors keeps
+        at = np.searchsorted(mine, low)
+        at[at == len(mine)] = 0
+        ok = mine[at] == low if len(mine) else np.zeros(len(w), bool)
+        first, last = runs_of(w)
+        use = ok[first]
+        raw, hashes = data.tobytes(), w.view(np.int64)
+        for a, b in zip(first[use].tolist(), last[use].tolist(), strict=True):
+            yield int(hashes[a]), texts[i], a, raw[a : b + LENGTH - 1]
+
+
+def _pieces(collapse: bool = True):
+    """Pieces under shared hashes. collapse: of equal pieces in one batch the smallest document's goes on; the others are covered at
+    once (kind 1)."""
+    names = ["kind", "hash", "doc_id", "key", "start", "stop", "piece"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not collapse:
+                rows = [(0, h, *text, a, None, piece) for h, text, a, piece in _cut(batch)]
+            else:
+                spans: list[tuple] = []
+                best: dict[bytes, list] = {}
+                for h, text, a, piece in _cut(batch):
+                    have = best.get(piece)
+                    if have is None:
+                        best[piece] = [h, [(text, a)]]
+                    elif text[0] == have[1][0][0][0]:
+                        have[1].append((text, a))
+                    elif text[0] < have[1][0][0][0]:
+                        spans += [(t, s, s + len(piece)) for t, s in have[1]]
+                        have[1] = [(text, a)]
+                    else:
+                        spans.append((text, a, a + len(piece)))
+                rows = [(0, h, *t, s, None, piece) for piece, (h, all_) in best.items() for t, s in all_]
+                rows += [(1, 0, *t, s, e, None) for t, s, e in _merged(spans)]
+            if rows:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def _merged(spans: list[tuple]) -> list[tuple]:
+    out: list[list] = []
     for d, a, b in sorted(spans):
         if out and out[-1][0] == d and a <= out[-1][2]:
             out[-1][2] = max(out[-1][2], b)
@@ -242,55 +257,76 @@ def maximal_repeats(pieces: list[bytes], groups: np.ndarray, least: int = LENGTH
                 stack.append((value, low))
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash -> covered spans (doc_id, start, stop)."""
-
-    def cover(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-        index: dict[bytes, int] = {}
-        pieces, groups, least, where = [], [], [], []
-        spans = []
-        for h, doc, start, piece in rows:
-            k = index.get(piece)
-            if k is None:
-                index[piece] = len(pieces)
-                pieces.append(piece)
-                groups.append(h)
-                least.append(doc)
-                where.append([(doc, start)])
-            else:
-                least[k] = min(least[k], doc)
-                where[k].append((doc, start))
-        for k, all_ in enumerate(where):
-            if len(all_) > 1:
-                spans += [(d, s, s + len(pieces[k])) for d, s in all_ if d > least[k]]
-        codes = np.array(groups)
-        _, codes, count = np.unique(codes, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(count[codes] > 1)
-        if len(some):
-            low = np.array(least)[some]
-            for length, owner, place in maximal_repeats([pieces[i] for i in some], codes[some]):
-                of = low[owner]
-                m = of.min()
-                for o, p in zip(owner[of > m].tolist(), place[of > m].tolist(), strict=True):
-                    k = some[o]
-                    spans += [(d, s + p, s + p + length) for d, s in where[k] if d == least[k]]
-        return _merged(spans)
-
-    def out(rows):
-        spans = cover(rows)
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*spans, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "stop"]) if spans else None
-
+def _whole_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (hash, text, start, piece) of some whole hashes at a time, from rows sorted by hash."""
     rows: list[tuple] = []
     for batch in batches:
-        new = list(zip(*(batch[c].to_pylist() for c in ("hash", "doc_id", "start", "piece")), strict=True))
-        rows += new
+        rows += [(h, (d, k), s, p) for h, d, k, s, p in zip(*(batch[c].to_pylist() for c in ("hash", "doc_id", "key", "start", "piece")), strict=True)]
         if len(rows) > 20_000 and rows[0][0] != rows[-1][0]:
             cut = next(i for i in range(len(rows) - 1, -1, -1) if rows[i][0] != rows[-1][0]) + 1
-            if (found := out(rows[:cut])) is not None:
-                yield found
+            yield rows[:cut]
             rows = rows[cut:]
-    if rows and (found := out(rows)) is not None:
-        yield found
+    if rows:
+        yield rows
+
+
+class _Distinct:
+    """The distinct pieces of rows, each with its hash, smallest document and occurrences."""
+
+    def __init__(self, rows: list[tuple]):
+        index: dict[bytes, int] = {}
+        self.pieces, self.hashes, self.least, self.where = [], [], [], []
+        for h, text, start, piece in rows:
+            k = index.setdefault(piece, len(self.pieces))
+            if k == len(self.pieces):
+                self.pieces.append(piece)
+                self.hashes.append(h)
+                self.least.append(text[0])
+                self.where.append([])
+            self.least[k] = min(self.least[k], text[0])
+            self.where[k].append((text, start))
+
+    def repeats(self, lone: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """maximal_repeats of the pieces; lone: also of hashes with one distinct piece."""
+        _, codes, count = np.unique(np.array(self.hashes), return_inverse=True, return_counts=True)
+        some = np.arange(len(codes)) if lone else np.flatnonzero(count[codes] > 1)
+        if len(some):
+            for length, owner, place in maximal_repeats([self.pieces[i] for i in some], codes[some]):
+                yield length, some[owner], place
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash -> covered spans (doc_id, key, start, stop)."""
+    for rows in _whole_hashes(batches):
+        found, spans = _Distinct(rows), []
+        for k, all_ in enumerate(found.where):
+            if len(all_) > 1:
+                spans += [(t, s, s + len(found.pieces[k])) for t, s in all_ if t[0] > found.least[k]]
+        low = np.array(found.least)
+        for length, owner, place in found.repeats(False):
+            of = low[owner]
+            m = of.min()
+            for k, p in zip(owner[of > m].tolist(), place[of > m].tolist(), strict=True):
+                spans += [(t, s + p, s + p + length) for t, s in found.where[k] if t[0] == found.least[k]]
+        if out := [(*t, a, b) for t, a, b in _merged(spans)]:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "key", "start", "stop"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash -> a row an occurrence of each maximal repeat: digest of its bytes, length, key of the text, start."""
+    for rows in _whole_hashes(batches):
+        found, out = _Distinct(rows), set()
+        for k, all_ in enumerate(found.where):
+            if len(all_) > 1:
+                name = hashlib.blake2b(found.pieces[k], digest_size=16).hexdigest()
+                out.update((name, len(found.pieces[k]), t[1], s) for t, s in all_)
+        for length, owner, place in found.repeats(True):
+            k, p = int(owner[0]), int(place[0])
+            name = hashlib.blake2b(found.pieces[k][p : p + length], digest_size=16).hexdigest()
+            for k, p in zip(owner.tolist(), place.tolist(), strict=True):
+                out.update((name, length, t[1], s + p) for t, s in found.where[k])
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*sorted(out), strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["repeat", "length", "key", "start"])
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,46 +345,69 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, key, copy of every row; spans: doc_id, spans[start, stop] of texts that are no copies of an earlier one)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("key"))
+
+
+def _shared_pieces(docs: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame]:
+    """(classes: doc_id, key, rep of the texts with 50 bytes or more, rep being the smallest doc_id with an equal text; pieces)."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    whole = F.octet_length(F.coalesce("text", F.lit("")))
-    keyed = written(docs.where("doc_id is not null").where(whole >= LENGTH).mapInArrow(_keys, "doc_id long, n int, key long, low long"), "text-keys")
-    first = keyed.groupBy("key", "low").agg(F.min("doc_id").alias("rep"))
-    first = written(first, "text-classes")
+    docs = _keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    # of two texts with one key, each counts as the other's copy only if the second hash is equal too
+    keyed = written(docs.select("doc_id", "key", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("low")).distinct(), "text-keys")
+    first = written(keyed.groupBy("key", "low").agg(F.min("doc_id").alias("rep")), "text-classes")
     ranges = min(RANGES[1], max(RANGES[0], 1 << (2 * parts - 1).bit_length()))
-    anchors = docs.where("doc_id is not null").mapInArrow(_anchors(ranges), "range int, high binary, low binary, owner binary, shared binary, lead binary, keys binary")
+    anchors = docs.select("key", "text").mapInArrow(_anchors(ranges), "range int, high binary, low binary, owner binary, shared binary, lead binary, keys binary")
     shared = anchors.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared, "key long, hashes binary")
     shared = shared.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    wanted = shared.join(first, "key").select("rep", "hashes")
-    wanted = small_side(wanted, "shared-hashes")
-    pieces = docs.join(wanted, docs["doc_id"] == F.col("rep")).select("doc_id", "text", "hashes").mapInArrow(_pieces, "kind int, hash long, doc_id long, start int, stop int, piece binary")
-    pieces = written(pieces, "pieces")
-    later = pieces.where("kind = 0").select("hash", "doc_id", "start", "piece").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_covered, "doc_id long, start int, stop int")
-    spans = pieces.where("kind = 1").select("doc_id", "start", "stop").union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    copies = keyed.join(first, ["key", "low"]).where("doc_id > rep").select("doc_id").distinct()
-    return copies, spans
+    wanted = small_side(shared.join(first, "key").select(F.col("rep").alias("_rep"), F.col("key").alias("_key"), "hashes"), "shared-hashes")
+    rows = docs.join(wanted, (docs["doc_id"] == F.col("_rep")) & (docs["key"] == F.col("_key"))).select("doc_id", "key", "text", "hashes")
+    pieces = written(rows.mapInArrow(_pieces(collapse), "kind int, hash long, doc_id long, key long, start int, stop int, piece binary"), "pieces")
+    return keyed.join(first, ["key", "low"]).select("doc_id", "key", "rep"), pieces
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch["text"].cast(pa.binary()).to_pylist()
-        digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-        yield pa.record_batch([batch["doc_id"], pa.array([len(t) for t in texts], pa.int32()), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([int.from_bytes(d[8:], "little", signed=True) for d in digests], pa.int64())], names=["doc_id", "n", "key", "low"])
+def _streams(pieces: DataFrame) -> DataFrame:
+    parts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.where("kind = 0").select("hash", "doc_id", "key", "start", "piece").repartition(parts, "hash").sortWithinPartitions("hash")
+
+
+def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copies: doc_id and key of texts that a smaller doc_id has; spans: doc_id, key, spans[start, stop] of the others)."""
+    classes, pieces = _shared_pieces(docs, True)
+    later = _streams(pieces).mapInArrow(_covered, "doc_id long, key long, start int, stop int")
+    spans = pieces.where("kind = 1").select("doc_id", "key", "start", "stop").union(later)
+    spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return classes.where("doc_id > rep").select("doc_id", "key").distinct(), spans
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """(repeat, length, doc_id, start): a row an occurrence of every maximal repeat of 50 bytes or more, copies of texts included.
+
+    repeat is a digest of the repeated bytes, so a group of any size is rows and never one value. Repeats longer than a piece are
+    several groups that overlap; a text that several doc_ids have is also one group as a whole. Repeats within one text count too. Nulls, short texts and empty tables have none.
+    """
+    classes, pieces = _shared_pieces(docs, False)
+    found = _streams(pieces).mapInArrow(_grouped, "repeat string, length int, key long, start int").distinct()
+    found = found.join(classes.select("doc_id", "key").distinct(), "key").select("repeat", "length", "doc_id", "start")
+    many = classes.groupBy(F.col("key").alias("_key"), "rep").agg(F.count_distinct("doc_id").alias("_n")).where("_n > 1").select("_key").distinct()
+    whole = _keyed(docs).where(F.col("doc_id").isNotNull()).join(many, F.col("key") == F.col("_key"))
+    return found.unionByName(whole.select(F.md5("text").alias("repeat"), F.octet_length("text").alias("length"), "doc_id", F.lit(0).alias("start")).distinct())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): bytes in 50-byte strings that also start in a smaller doc_id are removed.
 
     Null and empty texts, and texts of less than 50 bytes, lose nothing. Equal texts: all but the smallest doc_id's are removed
-    whole. Repeated rows of a doc_id are one document. A null doc_id neither removes nor loses anything. Empty tables: no rows.
+    whole. Rows of one doc_id take nothing from each other, equal or not; each is judged by its own text against smaller doc_ids. A
+    null doc_id neither removes nor loses anything. Texts of any length are judged whole. Empty tables: no rows. Other columns, of any
+    name, are ignored.
     """
     copies, spans = repeat_spans(docs)
-    gone = copies.select("doc_id", F.lit(True).alias("copy")).join(spans, "doc_id", "full").select(F.col("doc_id").alias("_id"), "copy", "spans")
+    gone = copies.withColumn("copy", F.lit(True)).join(spans, ["doc_id", "key"], "full").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copy", "spans")
     gone = small_side(gone, "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(gone, rows["doc_id"] == F.col("_id"), "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    rows = _keyed(docs)
+    rows = rows.join(gone, (rows["doc_id"] == F.col("_id")) & (rows["key"] == F.col("_key")), "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     return rows.mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
