@@ -12,6 +12,8 @@ from .quality import bare, let
 
 #: A chunk ends after a line whose rolling hash starts with one of these digits: four lines on average.
 CUT_DIGITS = "0123"
+#: Rows of one chunk that are compared with its first place in one go; a chunk with more is dealt over several.
+HOT = 256
 
 
 def _chunks(text: Column) -> Column:
@@ -52,17 +54,20 @@ def line_dedup(docs: DataFrame, spans: Callable[[Column], Column] = _chunks) ->
     Rolling hashes over the hashes of two neighbouring lines choose chunk ends, so an inserted line shifts no other boundary.
     Of equal chunks with two lines or more, in one document or many, the one with the smallest (doc_id, place) stays; the others
     are removed after their bytes are compared with it. Keys are counted by partial aggregates without texts; only chunks whose
-    key repeats are moved. Null and empty texts have no chunks (a null text stays null); rows with a null doc_id are left as they
-    are; repeated rows of a doc_id are one document. Empty tables give empty results. Other columns pass through.
+    key repeats are moved, a very common one in parts. Null and empty texts have no chunks (a null text stays null); a text of any
+    length is cut whole; rows with a null doc_id are left as they are; repeated rows of a doc_id are one document; ties go by place.
+    Empty tables give empty results. Other columns, null or not, pass through unless they bear one of the three new names, which are
+    replaced; names that start with an underscore are reserved.
     """
     chunks = docs.where("doc_id is not null").select("doc_id", F.inline(spans(F.col("text"))))
     keyed = chunks.select("doc_id", "ci", "start", "lines", "body", F.xxhash64("body").alias("key"), F.octet_length("body").alias("size"))
-    first = keyed.groupBy("key", "size").agg(F.min(F.struct("doc_id", "ci")).alias("first"), F.max(F.struct("doc_id", "ci")).alias("final"))
-    first = small_side(first.where("first <> final").select("key", "size", "first"), "chunk-keys")
-    found = keyed.join(first, ["key", "size"])
+    first = keyed.groupBy("key", "size").agg(F.min(F.struct("doc_id", "ci")).alias("first"), F.max(F.struct("doc_id", "ci")).alias("final"), F.ceil(F.count("*") / HOT).alias("parts"))
+    first = small_side(first.where("first <> final").select("key", "size", "first", "parts"), "chunk-keys")
+    found = keyed.join(first, ["key", "size"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "ci"), "parts"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("ci") == F.col("first.ci"))
-    kept = found.where(is_first).select("key", "size", F.col("body").alias("kept_body")).distinct()
-    gone = found.where(~is_first).join(kept, ["key", "size"]).where("body = kept_body")
+    kept = found.where(is_first).select("key", "size", F.col("body").alias("kept_body"), "parts").distinct()
+    kept = kept.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    gone = found.where(~is_first).join(kept, ["key", "size", "part"]).where("body = kept_body")
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "lines")).alias("_gone"))
     per_doc = small_side(per_doc.withColumnRenamed("doc_id", "_id"), "chunk-spans")
     out = docs.join(per_doc, docs["doc_id"] == F.col("_id"), "left")
