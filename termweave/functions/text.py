@@ -50,6 +50,15 @@ def truncated(text: Column | str, most: int = 30) -> Column:
     return F.when(F.char_length(_c(text)) > most, F.concat(F.substring(_c(text), 1, most - 3), F.lit("..."))).otherwise(_c(text))
 
 
+def from_place(text: Column | str, n: int) -> Column:
+    """What follows the first n characters."""
+    return F.substring(_c(text), n + 1, 2147483647 - n)
+
+
+def first_character(text: Column | str) -> Column:
+    return F.substring(_c(text), 1, 1)
+
+
 def same_text(a: Column | str, b: Column | str) -> Column:
     return F.lower(F.trim(_c(a))) == F.lower(F.trim(_c(b)))
 

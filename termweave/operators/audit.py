@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import same_text
+from ..functions.text import integer_suffix, same_text, strip_prefix
 
 
 def label_profile(df: DataFrame, label: str = "label") -> DataFrame:
@@ -59,9 +59,11 @@ def issues(df: DataFrame, issue: str, keys: Sequence[str], most: int = 10) -> Da
     return once.withColumns({"total": F.count("*").over(w), "no": F.row_number().over(w.orderBy(*keys))}).where(F.col("no") <= most)
 
 
-def generator_validity(rows: DataFrame, positives: DataFrame) -> DataFrame:
+def generator_validity(rows: DataFrame, positives: DataFrame, prefix: bool = False) -> DataFrame:
     """rows (concept_id, sentence, label) by outcome: label 1 must be a known pair; label 0 must not, unless the sentence names
-    several concepts (ambiguous)."""
+    several concepts (ambiguous). prefix: a leading <|...|> token is taken off the sentences of the stream first."""
+    if prefix:
+        rows = rows.withColumn("sentence", strip_prefix("sentence"))
     many = positives.select("concept_id", "sentence").distinct().groupBy("sentence").agg(F.count("*").alias("_c"))
     flagged = pair_flag(rows, positives, ["concept_id", "sentence"], "_in").join(many, "sentence", "left")
     ok = F.when(F.col("label") == 1, F.col("_in")).otherwise(~F.col("_in"))
@@ -95,6 +97,12 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 
 
+def latest(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The path with the largest number at its end, a checkpoint's; paths without one do not count."""
+    rows = paths.withColumn("_n", integer_suffix(path)).where("_n is not null")
+    return rows.agg(F.max_by(path, "_n").alias("path"), F.max("_n").alias("number"))
+
+
 def table_profile(df: DataFrame) -> dict:
     """Rows, columns and the optimizer's size estimate."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
+from .ranges import numbered, numbered_within
 
 
 def quotas(ratios: Mapping[str, float], batch: int) -> dict[str, int]:
@@ -31,20 +32,19 @@ def iteration_sizes(lengths: Mapping[str, int], quota: Mapping[str, int]) -> dic
 def concatenated(sources: Mapping[str, DataFrame], order: Mapping[str, str], seed: int | None = None) -> DataFrame:
     """All sources one after the other: dataset, local_pos, global_pos (0-based); a seed gives a permutation of the positions.
 
-    Local positions number each source apart; offsets come from the sources' lengths, a table with one row each.
+    Positions are ranges with offsets, so no source is one task. Order columns of one type, or of types that cast to strings alike.
     """
-    out, offset = None, F.lit(0).cast("long")
-    for name, df in sources.items():
-        rows = df.withColumns({"dataset": F.lit(name), "local_pos": (F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(order[name])) - 1).cast("long")})
+    out = None
+    for i, (name, df) in enumerate(sources.items()):
+        rows = df.withColumns({"dataset": F.lit(name), "_place": F.lit(i), "_by": F.col(order[name])})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    names = list(sources)
-    place = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("dataset"))
-    sizes = out.groupBy("dataset").agg(F.count("*").alias("_n")).withColumn("_place", place)
-    starts = sizes.select("dataset", F.coalesce(F.sum("_n").over(Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), offset).alias("_start"))
-    out = out.join(F.broadcast(starts), "dataset").withColumn("global_pos", F.col("_start") + F.col("local_pos")).drop("_start")
+    out = numbered_within(out, "_place", ["_by"], "local_pos")
+    sizes = out.groupBy("_place").agg(F.count("*").alias("_n"))  # a row a source
+    starts = sizes.select(F.col("_place").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    out = out.join(F.broadcast(starts), F.col("_place") == F.col("_q")).withColumn("global_pos", F.col("_start") + F.col("local_pos")).drop("_start", "_place", "_q", "_by")
     if seed is None:
         return out
-    return out.withColumn("shuffled_pos", (F.row_number().over(Window.orderBy(seeded_order(seed, "global_pos"), "global_pos")) - 1).cast("long"))
+    return numbered(out, [seeded_order(seed, "global_pos"), F.col("global_pos")], "shuffled_pos").withColumn("shuffled_pos", F.col("shuffled_pos") - 1)
 
 
 def merged(rows: DataFrame, rank: str, stream: str, order: str, most: int | None = None) -> DataFrame:
@@ -59,8 +59,8 @@ def merged(rows: DataFrame, rank: str, stream: str, order: str, most: int | None
 def batched(rows: DataFrame, source: str, order: Column | str, quota: Mapping[str, int]) -> DataFrame:
     """batch_id of each row when every batch takes a source's quota in order; sources without a quota are skipped."""
     q = F.create_map(*[F.lit(x) for kv in quota.items() if kv[1] > 0 for x in kv])[F.col(source)]
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return rows.withColumn("_q", q).where("_q is not null").withColumn("batch_id", F.floor(rn / F.col("_q")).cast("long")).drop("_q")
+    out = numbered_within(rows.withColumn("_q", q).where("_q is not null"), source, [F.col(order) if isinstance(order, str) else order], "_at")
+    return out.withColumn("batch_id", F.floor(F.col("_at") / F.col("_q")).cast("long")).drop("_q", "_at")
 
 
 def addressed(rows: DataFrame, position: str, batch: int, buffer: int) -> DataFrame:

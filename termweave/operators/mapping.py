@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_ascii, seeded_order, strip_key
+from .ranges import numbered
 
 
 def std_bridge(relationship: DataFrame, kind: str = "Maps to") -> DataFrame:
@@ -52,17 +53,6 @@ def without_identities(map_table: DataFrame, names: DataFrame) -> DataFrame:
     return map_table.join(own, "concept_id").where("name_stripped <> _own").drop("_own")
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], into: str = "name_id") -> DataFrame:
-    """1..n in a total order, without gathering the rows in one task: ranges are sorted apart and offsets added."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").withColumn(into, F.col("_start") + F.col("_at") + 1).drop("_id", "_part", "_at", "_start", "_n")
-
-
 def combine(sources: Sequence[DataFrame], bridge: DataFrame, names: DataFrame) -> DataFrame:
     """The whole synonym map: union, standard ids, ASCII names, one row a (concept, stripped name), identities dropped, name_id."""
     rows = standardised(union_sources(*sources), bridge).where(is_ascii("name"))
@@ -115,8 +105,8 @@ def replaced(df: DataFrame, bridge: DataFrame, column: str) -> DataFrame:
 
 def factorized(df: DataFrame, column: str, order: str, into: str = "code") -> DataFrame:
     """Dense codes from 0 by first appearance in an order; nulls get -1. One row a distinct value is numbered, not the table."""
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    codes = first.select(F.col(column).alias("_v"), (F.row_number().over(Window.orderBy("_first", column)) - 1).alias("_code"))
+    first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.min(order).alias("_first"))
+    codes = numbered(first, ["_first", "_v"], "_code").select("_v", (F.col("_code") - 1).alias("_code"))
     return df.join(codes, df[column] == F.col("_v"), "left").withColumn(into, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
 
 

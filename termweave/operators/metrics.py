@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 CUTS = (1, 3, 5, 10, 20, 50, 100)
 
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row a distinct score with its positives and negatives and the running sums from the top."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.sum(1.0 - F.col(label)).alias("fp"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)})
+    return running(g, [F.desc("s")], ctp="tp", cfp="fp")
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """roc_auc; null with one class only. The window runs over distinct scores: bucket them first on very large inputs."""
+    """roc_auc; null with one class only. Sums run over ranges of distinct scores."""
     t = _by_score(df, score, label).agg(F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") / 2)).alias("a"), F.sum("tp").alias("p"), F.sum("fp").alias("n"))
     return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 

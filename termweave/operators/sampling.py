@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
+from ..runtime import written
+from .ranges import numbered
 
 
 def positives(targets: DataFrame, names: DataFrame, bridge: DataFrame, most: int = 10, label: int = 1, seed: int | None = None) -> DataFrame:
@@ -18,35 +21,58 @@ def positives(targets: DataFrame, names: DataFrame, bridge: DataFrame, most: int
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("sentence1", "sentence2", "concept_id", "name_id", F.lit(label).alias("label"), "rank")
 
 
-def negatives(targets: DataFrame, names: DataFrame, blacklist: DataFrame, most: int = 10, seed: int = 42) -> DataFrame:
-    """At most `most` names a target, drawn by seed, none of them blacklisted: the exact draw over all pairs, for modest products."""
-    pairs = targets.select("concept_id", F.col("concept_name").alias("sentence1")).crossJoin(names.select("name_id", F.col("name").alias("sentence2")))
-    pairs = pairs.join(blacklist.select("concept_id", "name_id").distinct(), ["concept_id", "name_id"], "left_anti")
-    w = Window.partitionBy("concept_id").orderBy(seeded_order(seed, "concept_id", "name_id"), "name_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("sentence1", "sentence2", "concept_id", "name_id", F.lit(0).alias("label"), "rank")
+def _prime(n: int) -> int:
+    """The smallest prime that is n or more."""
+    n = max(n, 2)
+    while any(n % q == 0 for q in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def _drawn(seed: int, key: str, what: str, below: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(what))), 1, 12), 16, 10).cast("long"), F.lit(below))
 
 
-def drawn_negatives(targets: DataFrame, names: DataFrame, blacklist: DataFrame, most: int = 10, seed: int = 42, draws: int = 4) -> DataFrame:
-    """The same contract at scale: draws * most hashed positions a target meet the names, then the blacklist goes.
+def walked(wanted: DataFrame, key: str, candidates: DataFrame, blacklist: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """(key, concept_id, candidate_id, sentence2, seq): for each row of wanted (key, concept_id) `most` candidates off the blacklist,
+    or all there are if fewer.
 
-    names needs dense position 0..n-1. Targets that come out short are topped up over all names; their number falls with draws.
+    A key walks over the candidates' places from a drawn start by a drawn step, modulo the smallest prime p that their number n does
+    not exceed; that visits each place once. A concept with b blacklisted names finds `most` others within its first
+    most + b + p - n steps, so no key ever meets all candidates: a few steps serve nearly every key, and only keys that come out short
+    go on to that bound.
     """
-    n = names.agg(F.max("position")).first()[0]
-    if n is None:
-        return names.select(F.lit(0).cast("long").alias("concept_id"), "name_id", F.lit(0).cast("long").alias("rank")).limit(0)
-    n = int(n) + 1
-    want = targets.select("concept_id").distinct()
-    cand = want.select("concept_id", F.explode(F.sequence(F.lit(1), F.lit(draws * most))).alias("i"))
-    cand = cand.select("concept_id", F.pmod(F.xxhash64(F.lit(seed), "concept_id", "i"), F.lit(n)).alias("position"), "i").groupBy("concept_id", "position").agg(F.min("i").alias("i"))
-    black = blacklist.select("concept_id", "name_id").distinct()
-    got = cand.join(names.select("position", "name_id"), "position").join(black, ["concept_id", "name_id"], "left_anti").select("concept_id", "name_id", "i")
-    w = Window.partitionBy("concept_id").orderBy("i", "name_id")
-    got = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("concept_id", "name_id", "rank")
-    short = want.join(got.groupBy("concept_id").agg(F.count("*").alias("have")).where(F.col("have") >= most), "concept_id", "left_anti")
-    more = short.crossJoin(names.select("name_id")).join(black, ["concept_id", "name_id"], "left_anti")
-    v = Window.partitionBy("concept_id").orderBy(seeded_order(seed, "concept_id", "name_id"), "name_id")
-    more = more.withColumn("rank", F.row_number().over(v)).where(F.col("rank") <= most).select("concept_id", "name_id", "rank")
-    return got.join(short, "concept_id", "left_anti").unionByName(more)
+    places = numbered(candidates.select("candidate_id", "sentence2").distinct(), ["candidate_id"], "_n").withColumn("_at", F.col("_n") - 1)
+    n = places.count()
+    p = _prime(n)
+    black = blacklist.select("concept_id", "candidate_id").distinct()
+    todo = wanted.select(key, "concept_id", _drawn(seed, key, "start", p).alias("_a"), (_drawn(seed, key, "step", p - 1) + 1).alias("_b"))
+
+    def found(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        steps = rows.where(last >= first).withColumn("seq", F.explode(F.sequence(first, last)))
+        steps = steps.withColumn("_at", F.pmod(F.col("_a") + F.col("seq") * F.col("_b"), F.lit(p))).where(F.col("_at") < n)
+        hits = steps.join(places.select("_at", "candidate_id", "sentence2"), "_at")
+        return hits.join(black, ["concept_id", "candidate_id"], "left_anti").select(key, "concept_id", "candidate_id", "sentence2", "seq")
+
+    few = min(p, 2 * most + 8)
+    out = found(todo, F.lit(0).cast("long"), F.lit(few - 1).cast("long"))
+    if few < p:
+        out = written(out, "walked")
+        have = out.groupBy(key).agg(F.count("*").alias("_have"))
+        short = todo.join(have, key, "left").where(F.coalesce("_have", F.lit(0)) < most)
+        short = short.join(black.groupBy("concept_id").agg(F.count("*").alias("_black")), "concept_id", "left")
+        out = out.unionByName(found(short, F.lit(few).cast("long"), F.least(F.lit(p), F.coalesce("_black", F.lit(0)) + most + p - n) - 1))
+    w = Window.partitionBy(key).orderBy("seq")
+    return out.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= most)
+
+
+def negatives(targets: DataFrame, names: DataFrame, blacklist: DataFrame, most: int = 10, seed: int = 42) -> DataFrame:
+    """At most `most` names a target, drawn by seed, none of them blacklisted; fewer only if there are no more."""
+    candidates = names.select(F.col("name_id").alias("candidate_id"), F.col("name").alias("sentence2"))
+    black = blacklist.select("concept_id", F.col("name_id").alias("candidate_id"))
+    named = targets.select("concept_id", F.col("concept_name").alias("sentence1"))
+    rows = walked(named.select("concept_id", F.col("concept_id").alias("_key")), "_key", candidates, black, most, seed)
+    return rows.join(named, "concept_id").select("sentence1", "sentence2", "concept_id", F.col("candidate_id").alias("name_id"), F.lit(0).alias("label"), F.col("seq").alias("rank"))
 
 
 def blacklist_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,14 +85,14 @@ def interleaved(positive: DataFrame, candidates: DataFrame, blacklist: DataFrame
 
     positive: pos_idx, concept_id, sentence1, sentence2; candidates: candidate_id, sentence2; blacklist: concept_id, candidate_id;
     false_positive: concept_id, fp_id, sentence2, seq. Returns pos_idx, kind (0, 1, 2), seq, from, label, concept_id, sentence1,
-    sentence2; consumers order by (pos_idx, kind, seq). The negatives of a positive are a seeded draw over all candidates.
+    sentence2; consumers order by (pos_idx, kind, seq). The negatives of a positive are a
+    seeded draw over all candidates, see walked.
     """
     p = positive.select("pos_idx", "concept_id", "sentence1", "sentence2")
     cols = ["pos_idx", "kind", "seq", "from", "label", "concept_id", "sentence1", "sentence2"]
     own = p.withColumns({"kind": F.lit(0), "seq": F.lit(1), "from": F.lit("positive"), "label": F.lit(1)}).select(cols)
-    neg = p.drop("sentence2").crossJoin(candidates.select("candidate_id", "sentence2")).join(blacklist.select("concept_id", "candidate_id").distinct(), ["concept_id", "candidate_id"], "left_anti")
-    w = Window.partitionBy("pos_idx").orderBy(seeded_order(seed, "pos_idx", "candidate_id"), "candidate_id")
-    neg = neg.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= n_neg).withColumns({"kind": F.lit(1), "from": F.lit("negative"), "label": F.lit(0)}).select(cols)
+    neg = walked(p.select("pos_idx", "concept_id"), "pos_idx", candidates, blacklist, n_neg, seed).join(p.select("pos_idx", "sentence1"), "pos_idx")
+    neg = neg.withColumns({"kind": F.lit(1), "from": F.lit("negative"), "label": F.lit(0)}).select(cols)
     first = p.groupBy("concept_id").agg(F.min_by(F.struct("pos_idx", "sentence1"), "pos_idx").alias("f")).select("concept_id", "f.*")
     fps = false_positive if n_fp is None else false_positive.where(F.col("seq") <= n_fp)
     fp = fps.select("concept_id", "sentence2", "seq").join(first, "concept_id").withColumns({"kind": F.lit(2), "from": F.lit("false_positive"), "label": F.lit(0)}).select(cols)

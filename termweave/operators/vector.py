@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import without_spaces
-from ..runtime import shipped
+from ..runtime import shipped, written
 
 #: Bytes of query vectors that one pass over the corpus holds.
 QUERY_BYTES = 32 << 20
+#: Bytes of corpus vectors that meet a block of queries in one group, where there is more than one block of queries.
+CORPUS_BYTES = 64 << 20
 DIGITS = 9
 #: Pairs in one Arrow batch of scores.
 PAIRS = 1 << 18
@@ -77,27 +79,42 @@ def _all_scores(ids: np.ndarray, matrix: np.ndarray):
     return run
 
 
+def _blocks(rows: DataFrame, limit: int) -> int:
+    """How many blocks of `limit` bytes of double vectors the rows make."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    return max(1, -(-8 * n * size // limit))
+
+
 def _in_blocks(queries: DataFrame, corpus: DataFrame, task) -> DataFrame:
-    """task(ids, matrix) over the Arrow batches of corpus, for each block of at most QUERY_BYTES of query vectors."""
+    """task(ids, matrix) over Arrow batches of corpus, for each block of at most QUERY_BYTES of query vectors.
+
+    One block of queries, by its measured size, goes to every task of a single scan of the corpus. More are dealt on the executors:
+    each block of queries meets each block of the corpus in one group, so the driver sees no vector and a task holds two blocks.
+    """
     spark = queries.sparkSession
     shipped(spark)
-    rows, found, block, size = queries.where("vector is not null").select("query_id", "vector"), None, [], 0
+    rows = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
     corpus = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), "vector")
-
-    def part(block: list) -> DataFrame:
+    shape = "query_id long, corpus_id long, score double"
+    q = _blocks(rows, QUERY_BYTES)
+    if q == 1:
+        block = rows.collect()  # at most QUERY_BYTES
         ids = np.array([r[0] for r in block], np.int64)
-        held = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1)))
-        return corpus.mapInArrow(lambda it: task(*held.value)(it) if len(held.value[0]) else iter(()), "query_id long, corpus_id long, score double")
+        held = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1) if block else np.zeros((0, 0))))
+        return corpus.mapInArrow(lambda it: task(*held.value)(it) if len(held.value[0]) else iter(()), shape)
+    c = _blocks(corpus.where("vector is not null"), CORPUS_BYTES)
+    # both sides may come from one table: other names keep their columns apart
+    left = rows.withColumnRenamed("vector", "_qv").withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(q)), "_c": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long")))})
+    right = corpus.where("vector is not null").select("corpus_id", F.col("vector").alias("_cv")).withColumns({"_c": F.pmod(F.xxhash64("corpus_id"), F.lit(c)), "_q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long")))})
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            matrix = np.asarray(a["_qv"].combine_chunks().flatten(), float).reshape(a.num_rows, -1)
+            out = list(task(a["query_id"].to_numpy(), matrix)(iter(b.select(["corpus_id", "_cv"]).rename_columns(["corpus_id", "vector"]).to_batches(max_chunksize=4096))))
+        return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("corpus_id", pa.int64()), ("score", pa.float64())]))
 
-    for r in rows.toLocalIterator():
-        block.append(r)
-        size += 8 * len(r[1])
-        if size >= QUERY_BYTES:
-            found = part(block) if found is None else found.union(part(block))
-            block, size = [], 0
-    if block or found is None:
-        found = part(block) if found is None else found.union(part(block))
-    return found
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(met, shape)
 
 
 def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -108,8 +125,8 @@ def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def topk(queries: DataFrame, corpus: DataFrame, k: int, strategy: str = "arrow") -> DataFrame:
     """(query_id, corpus_id, score, rank): the k largest dot products for each query (query_id, vector) over corpus (corpus_id, vector).
 
-    strategy "arrow": the queries go out in blocks of at most QUERY_BYTES; each task multiplies a block with its Arrow batches and
-    keeps k a query, so k rows a task and query are shuffled, never all pairs. "expr": expressions only, for small inputs.
+    strategy "arrow": queries in blocks of at most QUERY_BYTES are multiplied with Arrow batches of the corpus and k a query are kept
+    (see _in_blocks), so k rows a query and block are shuffled, never all pairs. "expr": expressions only, for small inputs.
     Ties go by corpus_id; scores are rounded to 9 digits so that both agree; null vectors never match; k beyond the corpus is fine.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
@@ -222,14 +239,37 @@ def projected(df: DataFrame, vector: str = "vector", into: str = "pc") -> tuple[
     return model.transform(rows).withColumn(into, vector_to_array("_p")).drop("_v", "_p"), model.explainedVariance.toArray().tolist()
 
 
-def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 2.0, tables: int = 8, radius: float = 1.6) -> DataFrame:
-    """Approximate top-k by random projection buckets; exact scores for what the buckets find."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, planes: int = 6, tables: int = 64, seed: int = 7) -> DataFrame:
+    """Approximate top-k: (query_id, corpus_id, score, rank) among the corpus vectors that share a signature with the query.
 
-    q = queries.select("query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"), "vector")
-    c = corpus.select("corpus_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"), "vector")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, "d").select("datasetA.query_id", "datasetB.corpus_id", F.round(dot(F.col("datasetA.vector"), F.col("datasetB.vector")), DIGITS).alias("score"))
+    Each of `tables` tables signs a vector by the sides of `planes` drawn planes on which it lies; planes are drawn from the seed and the
+    dimension alone, so every row is indexed and nothing is fitted. Candidates of a query are ranked by the exact product. A query with
+    fewer than k candidates is searched exactly instead, so min(k, corpus) rows come back for every query. Null vectors never match.
+    """
+    spark = queries.sparkSession
+    shipped(spark)
+    size = corpus.agg(F.coalesce(F.max(F.size("vector")), F.lit(1))).first()[0]
+    normals = np.random.default_rng(seed).normal(size=(max(size, 1), planes * tables))
+    powers = 1 << np.arange(planes)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.asarray(b["vector"].flatten(), float).reshape(b.num_rows, -1)
+            codes = ((v @ normals > 0).reshape(len(v), tables, planes) @ powers) + (np.arange(tables) << planes)
+            yield pa.record_batch([b["id"], pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "codes"])
+
+    def index(df: DataFrame, key: str) -> DataFrame:
+        rows = df.where("vector is not null").select(F.col(key).cast("long").alias("id"), "vector").mapInArrow(signed, "id long, codes array<int>")
+        return rows.select(F.col("id").alias(key), F.explode("codes").alias("_code"))
+
+    pairs = index(queries, "query_id").join(index(corpus, "corpus_id"), "_code").select("query_id", "corpus_id").distinct()
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("_q"))
+    c = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), F.col("vector").alias("_c"))
+    hits = pairs.join(q, "query_id").join(c, "corpus_id").select("query_id", "corpus_id", F.round(dot(F.col("_q"), F.col("_c")), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    hits = written(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "lsh")
+    full = hits.where(F.col("rank") == k).select("query_id")
+    rest = topk(queries.join(full, "query_id", "left_anti"), corpus, k)
+    return hits.join(full, "query_id", "left_semi").unionByName(rest.select(hits.columns))

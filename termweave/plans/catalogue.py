@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, blending, hierarchy, mapping, metrics, mining, rerank, sampling, vector
-from ..sources import schema
+from ..operators import audit, blending, hierarchy, loaders, mapping, metrics, mining, rerank, sampling, vector
+from ..runtime import scratch
+from ..sources import readers, schema, writers
 from . import standins as S
 from .standins import table as t
 
@@ -37,70 +38,70 @@ def _r(*names: str) -> list:
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, rnk::BIGINT AS rank FROM ranked WHERE rnk <= 10", S.SIM)
-def topk_cosine(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def topk_cosine(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return vector.topk(q, c, 10).select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, rnk::BIGINT AS rank FROM ranked WHERE rnk <= 10", S.SIM)
-def topk_expressions(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def topk_expressions(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return vector.topk(q, c, 10, "expr").select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT query_id, query_name, corpus_id, corpus_name, round(score, 6) score FROM ranked WHERE rnk <= 20 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
-def topk_exclude_same_name(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def topk_exclude_same_name(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return vector.search(q, c, 20, exclude_same_name=True).select("query_id", "query_name", "corpus_id", "corpus_name", *_r("score"))
 
 
-@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked WHERE rnk <= 15 AND (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM pos) AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
-def false_positives_blacklist(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+def false_positives_blacklist(spark, d):
+    q, c, pos = S.vectors(spark, d)
     return mining.false_positives(c, q, pos, 15).select("query_id", "corpus_id", *_r("score"), "label")
 
 
-@query("""c AS (SELECT vec_id i, 'Term ' || (vec_id % 40) nm, embedding::DOUBLE[] v FROM embeddings WHERE vec_id < 120),
+@query("""c AS (SELECT vec_id i, 'Term ' || (vec_id % 40) nm, embedding::DOUBLE[] v FROM embeddings),
 s AS (SELECT a.i query_id, b.i corpus_id, a.nm x, b.nm y, round(list_inner_product(a.v, b.v), 9) score FROM c a, c b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) k FROM s)
 SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM r WHERE k <= 5 AND x <> y""".replace("c AS", "WITH c AS", 1))
-def false_positives_self_corpus(spark, d, whole=False):
-    _, c, _ = S.vectors(spark, d, whole)
-    return mining.false_positives(c if whole else c.where("corpus_id < 120"), n_fp=5).select("query_id", "corpus_id", *_r("score"), "label")
+def false_positives_self_corpus(spark, d):
+    _, c, _ = S.vectors(spark, d)
+    return mining.false_positives(c, n_fp=5).select("query_id", "corpus_id", *_r("score"), "label")
 
 
 _HARD = """near AS (SELECT query_id, max(score) p FROM s WHERE ql = cl AND query_id <> corpus_id GROUP BY query_id),
-cand AS (SELECT query_id, corpus_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 r FROM s WHERE (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM pos)),
+cand AS (SELECT query_id, corpus_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 r FROM s ANTI JOIN pos USING (query_id, corpus_id)),
 """
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) n FROM ok) WHERE n <= 5", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 10 AND r < 50 AND score < p - 0.05)")
-def hard_negatives_margin_top(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def hard_negatives_margin_top(spark, d):
+    q, c, pos = S.vectors(spark, d)
     return mining.hard_negatives(q, c, pos).select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) n FROM ok) WHERE n <= 5", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 5 AND r < 40 AND score < p * (1 - 0.1))")
-def hard_negatives_relative(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def hard_negatives_relative(spark, d):
+    q, c, pos = S.vectors(spark, d)
     return mining.hard_negatives(q, c, pos, 5, 40, None, 0.1).select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('42:' || query_id || ':' || corpus_id)) n FROM ok) WHERE n <= 3", S.SIM, _HARD + "ok AS (SELECT query_id, corpus_id, score FROM cand JOIN near USING (query_id) WHERE r >= 10 AND r < 50 AND score < p - 0.05)")
-def hard_negatives_md5_random(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def hard_negatives_md5_random(spark, d):
+    q, c, pos = S.vectors(spark, d)
     return mining.hard_negatives(q, c, pos, num_negatives=3, strategy="random").select("query_id", "corpus_id", *_r("score"))
 
 
 @query("SELECT query_id, corpus_id AS negative, 0 AS label FROM ranked WHERE rnk <= 4", S.SIM)
-def unpivot_negatives(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def unpivot_negatives(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return mining.long_negatives(mining.wide_negatives(vector.topk(q, c, 4), 4))
 
 
 @query("SELECT query_id, string_agg(corpus_id, ',' ORDER BY rnk) ids, round(sum(1 - score), 6) total_distance FROM ranked WHERE rnk <= 8 GROUP BY query_id", S.SIM)
-def cosine_distance_lists(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def cosine_distance_lists(spark, d):
+    q, c, _ = S.vectors(spark, d)
     n = vector.nearest_lists(vector.topk(q, c, 8))
     return n.select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x), 6).alias("total_distance"))
 
@@ -112,21 +113,20 @@ def l2_normalize(spark, d):
 
 
 @query("SELECT query_id, corpus_id FROM s WHERE score >= 0.999", S.SIM)
-def near_perfect_matches(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def near_perfect_matches(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return vector.near_perfect(vector.topk(q, c, 5)).select("query_id", "corpus_id")
 
 
 @query("SELECT query_id, corpus_id, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= 25", S.SIM)
-def label_attach_left(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def label_attach_left(spark, d):
+    q, c, pos = S.vectors(spark, d)
     return mining.labelled_hits(vector.topk(q, c, 25), pos.union(pos)).select("query_id", "corpus_id", "label")
 
 
-@query("SELECT query_name, corpus_name, query_id, corpus_id, 1 AS label FROM s JOIN pos USING (query_id, corpus_id) WHERE query_id < 5 UNION ALL SELECT query_name, corpus_name, query_id, corpus_id, 0 FROM ranked WHERE rnk <= 5 AND query_id < 5 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '') AND (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM pos)", S.SIM)
-def evaluation_set(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
-    q = q if whole else q.where("query_id < 5")
+@query("SELECT query_name, corpus_name, query_id, corpus_id, 1 AS label FROM s JOIN pos USING (query_id, corpus_id) UNION ALL SELECT query_name, corpus_name, query_id, corpus_id, 0 FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 5 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+def evaluation_set(spark, d):
+    q, c, pos = S.vectors(spark, d)
     named = pos.join(q.select("query_id", "query_name"), "query_id").join(c.select("corpus_id", "corpus_name"), "corpus_id")
     return mining.evaluation_set(named, mining.false_positives(c, q, pos, 5))
 
@@ -138,13 +138,23 @@ def pca_2d(spark, d):
     return out.select("vec_id", F.round(F.get("pc", F.lit(0)), 6).alias("x"), F.round(F.get("pc", F.lit(1)), 6).alias("y"))
 
 
+@query("SELECT count(*)::BIGINT n, true AS recalled FROM ranked WHERE rnk <= 5", S.SIM.replace("label ql FROM embeddings", "label ql FROM embeddings WHERE vec_id % 100 = 0"))
+def lsh_recall(spark, d):
+    """The approximate index for the queries with vec_id % 100 = 0: its hits, and whether 0.9 of the exact search's are among them."""
+    q, c, _ = S.vectors(spark, d)
+    q = q.where("query_id % 100 = 0")
+    best = vector.topk(q, c, 5).select("query_id", "corpus_id", F.lit(1).alias("best"))
+    found = vector.lsh_topk(q, c, 5).join(best, ["query_id", "corpus_id"], "left")
+    return found.agg(F.count("*").alias("n"), (F.count("best") >= 0.9 * F.count("*")).alias("recalled"))
+
+
 @query()
-def lsh_topk(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def lsh_topk(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return vector.lsh_topk(q, c, 5).select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("SELECT p_partkey, 1.0::DOUBLE AS length FROM part")
 def encoded_names(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name")
     return vector.encoded(p, "p_name").select("p_partkey", F.round(vector.norm(F.col("vector")), 4).alias("length"))
@@ -281,10 +291,10 @@ def edges_level_1_2(spark, d):
     return hierarchy.edges_between(S.edges(spark, d), S.nodes(spark, d).where("domain_id <> 'building'"))
 
 
-@query("SELECT * FROM edges WHERE level = 1 AND ancestor IN (SELECT concept_id FROM nodes) AND descendant IN (SELECT concept_id FROM nodes) AND (ancestor IN (SELECT concept_id FROM nodes WHERE concept_id % 3 = 0) OR descendant IN (SELECT concept_id FROM nodes WHERE concept_id % 3 = 0))", S.EDGES, S.NODES)
-def edges_touching_targets(spark, d, whole=False):
+@query("SELECT * FROM edges WHERE level = 1 AND ancestor IN (SELECT concept_id FROM nodes) AND descendant IN (SELECT concept_id FROM nodes) AND (ancestor IN (SELECT concept_id FROM nodes WHERE domain_id = 'building') OR descendant IN (SELECT concept_id FROM nodes WHERE domain_id = 'building'))", S.EDGES, S.NODES)
+def edges_touching_targets(spark, d):
     n = S.nodes(spark, d)
-    return hierarchy.edges_touching(S.edges(spark, d), n.where("domain_id = 'building'" if whole else "concept_id % 3 = 0"), n)
+    return hierarchy.edges_touching(S.edges(spark, d), n.where("domain_id = 'building'"), n)
 
 
 @query("SELECT ancestor concept_id, descendant name_id, '<|parent of|>' || concept_name AS name FROM edges JOIN nodes ON descendant = concept_id", S.EDGES, S.NODES)
@@ -309,7 +319,6 @@ def parents_children_counts(spark, d):
     return hierarchy.neighbours(S.edges(spark, d)).select("concept_id", F.size("parents").cast("long").alias("n_parents"), F.size("children").cast("long").alias("n_children"))
 
 
-_PAIRS20 = "pr AS (SELECT a.concept_id a, b.concept_id b FROM nodes a, nodes b WHERE a.concept_id < b.concept_id AND (a.concept_id < 1000030 AND b.concept_id < 2000020 OR a.concept_id < 2000020 AND b.concept_id < 2000020))"
 _DIST = """e AS (SELECT ancestor, descendant, min(level) l FROM edges GROUP BY ALL),
 di AS (SELECT pr.a, pr.b, coalesce(least(x.l, y.l), (SELECT min(u.l + v.l) FROM e u JOIN e v ON u.ancestor = v.ancestor WHERE u.descendant = pr.a AND v.descendant = pr.b))::BIGINT distance FROM pr LEFT JOIN e x ON x.ancestor = pr.a AND x.descendant = pr.b LEFT JOIN e y ON y.ancestor = pr.b AND y.descendant = pr.a)"""
 
@@ -328,16 +337,9 @@ _CANDIDATES = """turn AS (SELECT o_custkey + 2000000 x, lead(o_custkey + 2000000
 pr AS (SELECT DISTINCT least(x, y) a, greatest(x, y) b FROM (SELECT ancestor x, descendant y FROM edges UNION ALL SELECT x, y FROM turn WHERE x <> y) JOIN nodes v ON v.concept_id = x JOIN nodes w ON w.concept_id = y)"""
 
 
-def _close_pairs(spark, d, whole=False):
-    if whole:
-        return _candidate_pairs(spark, d)
-    n = S.nodes(spark, d).where("concept_id < 2000020")
-    return n.select(F.col("concept_id").alias("a"), F.col("domain_id").alias("domain_a")).join(n.select(F.col("concept_id").alias("b"), F.col("domain_id").alias("domain_b")), F.col("a") < F.col("b"))
-
-
-@query("SELECT * FROM di", S.EDGES, S.NODES, _PAIRS20, _DIST)
-def hier_distance(spark, d, whole=False):
-    return hierarchy.distance(_close_pairs(spark, d, whole).select("a", "b"), S.edges(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+@query("SELECT * FROM di", S.EDGES, S.NODES, _CANDIDATES, _DIST)
+def hier_distance(spark, d):
+    return hierarchy.distance(_candidate_pairs(spark, d).select("a", "b"), S.edges(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query("""SELECT seed, concept_id, min(hop)::BIGINT hop FROM w GROUP BY ALL""", S.EDGES,
@@ -348,9 +350,9 @@ def expand_candidates_khop(spark, d):
     return hierarchy.expanded(seeds, S.edges(spark, d), 2).select("seed", "concept_id", F.col("hop").cast("long").alias("hop"))
 
 
-@query("SELECT a, b, round(0.7 * ((a + b) % 100) / 100.0 + coalesce(0.3 * exp(-distance / 2.0), 0) + CASE WHEN distance = 1 THEN 0.1 ELSE 0 END + CASE WHEN x.domain_id = y.domain_id AND x.domain_id <> '' THEN 0.1 ELSE 0 END, 6) combined FROM di JOIN nodes x ON x.concept_id = a JOIN nodes y ON y.concept_id = b", S.EDGES, S.NODES, _PAIRS20, _DIST)
-def combined_score(spark, d, whole=False):
-    rows = hierarchy.distance(_close_pairs(spark, d, whole), S.edges(spark, d)).withColumn("score", ((F.col("a") + F.col("b")) % 100) / 100.0)
+@query("SELECT a, b, round(0.7 * ((a + b) % 100) / 100.0 + coalesce(0.3 * exp(-distance / 2.0), 0) + CASE WHEN distance = 1 THEN 0.1 ELSE 0 END + CASE WHEN x.domain_id = y.domain_id AND x.domain_id <> '' THEN 0.1 ELSE 0 END, 6) combined FROM di JOIN nodes x ON x.concept_id = a JOIN nodes y ON y.concept_id = b", S.EDGES, S.NODES, _CANDIDATES, _DIST)
+def combined_score(spark, d):
+    rows = hierarchy.distance(_candidate_pairs(spark, d), S.edges(spark, d)).withColumn("score", ((F.col("a") + F.col("b")) % 100) / 100.0)
     return hierarchy.combined_score(rows).select("a", "b", *_r("combined"))
 
 
@@ -385,25 +387,24 @@ _HITS = "hits AS (SELECT query_id, corpus_id, score, rnk FROM ranked WHERE rnk <
 _PS = "ps AS (SELECT h.query_id, h.corpus_id, parent_id, s.score p FROM hits h JOIN parents ON h.corpus_id = concept_id JOIN s ON s.query_id = h.query_id AND s.corpus_id = parent_id)"
 
 
-def _rerank_inputs(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
+def _rerank_inputs(spark, d):
+    q, c, _ = S.vectors(spark, d)
     return q, c, vector.topk(q, c, 30).drop("rank"), S.parents(spark, d)
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) direct_score, round(b, 6) parent_boost, n parent_count, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT query_id, corpus_id, score, coalesce(avg(p) * 0.3, 0) b, count(p)::BIGINT n, round(score + coalesce(avg(p) * 0.3, 0), 9) f FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY query_id, corpus_id, score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS)
-def rerank_level1_parents(spark, d, whole=False):
-    q, c, hits, par = _rerank_inputs(spark, d, whole)
+def rerank_level1_parents(spark, d):
+    q, c, hits, par = _rerank_inputs(spark, d)
     return rerank.by_parents(hits, q, par, c).select("query_id", "corpus_id", *_r("direct_score", "parent_boost"), "parent_count", *_r("final_score"))
 
 
 @query("SELECT query_id, corpus_id, round(b, 6) parent_boost, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT h.query_id, h.corpus_id, coalesce(avg(r.score) * 0.3, 0) b, round(h.score + coalesce(avg(r.score) * 0.3, 0), 9) f FROM hits h LEFT JOIN parents ON concept_id = h.corpus_id LEFT JOIN (SELECT * FROM ranked WHERE rnk <= 100) r ON r.query_id = h.query_id AND r.corpus_id = parent_id GROUP BY h.query_id, h.corpus_id, h.score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS)
-def rerank_parent_prediction(spark, d, whole=False):
-    q, c, hits, par = _rerank_inputs(spark, d, whole)
+def rerank_parent_prediction(spark, d):
+    q, c, hits, par = _rerank_inputs(spark, d)
     return rerank.by_predicted_parents(hits, vector.topk(q, c, 100), par).select("query_id", "corpus_id", *_r("parent_boost", "final_score"))
 
 
-_ADAPT = """mx AS (SELECT h.query_id, h.corpus_id, h.score, greatest(max(p), 0.0) m FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY ALL),
-mm AS (SELECT query_id, corpus_id, score, CASE WHEN m IS NOT NULL AND EXISTS (SELECT 1 FROM ps WHERE ps.query_id = mx.query_id AND ps.corpus_id = mx.corpus_id) THEN m END m FROM mx),
+_ADAPT = """mm AS (SELECT h.query_id, h.corpus_id, h.score, CASE WHEN count(p) > 0 THEN greatest(max(p), 0.0) END m FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY ALL),
 ad AS (SELECT *, round(CASE WHEN m IS NULL THEN score
  WHEN m >= 0.5 THEN score + m * 0.3 * CASE WHEN score < 0.3 THEN 2.0 WHEN score < 0.6 THEN 1.5 WHEN score < 0.9 THEN 1.0 ELSE 0.5 END
  WHEN m >= 0.35 THEN score + m * 0.15 * CASE WHEN score < 0.3 THEN 1.8 WHEN score < 0.6 THEN 1.3 WHEN score < 0.9 THEN 1.0 ELSE 0.5 END
@@ -412,14 +413,14 @@ ad AS (SELECT *, round(CASE WHEN m IS NULL THEN score
 
 
 @query("SELECT query_id, corpus_id, round(score, 6) score, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM ad) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS, _ADAPT)
-def rerank_adaptive(spark, d, whole=False):
-    q, c, hits, par = _rerank_inputs(spark, d, whole)
+def rerank_adaptive(spark, d):
+    q, c, hits, par = _rerank_inputs(spark, d)
     return rerank.by_adaptive_tiers(hits, q, par, c).select("query_id", "corpus_id", *_r("score", "final_score"))
 
 
 @query("SELECT p.query_id, p.corpus_id, a.k::BIGINT rank_before, b.k::BIGINT rank_after, (a.k - b.k)::BIGINT improvement FROM pos p LEFT JOIN (SELECT query_id, corpus_id, rnk k FROM ranked WHERE rnk <= 30) a ON a.query_id = p.query_id AND a.corpus_id = p.corpus_id LEFT JOIN (SELECT query_id, corpus_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM ad) WHERE k <= 30) b ON b.query_id = p.query_id AND b.corpus_id = p.corpus_id", S.SIM, S.PARENTS, _HITS, _PS, _ADAPT)
-def rank_improvement(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def rank_improvement(spark, d):
+    q, c, pos = S.vectors(spark, d)
     hits = vector.topk(q, c, 30)
     after = rerank.by_adaptive_tiers(hits.drop("rank"), q, S.parents(spark, d), c, 30)
     return rerank.rank_change(hits, after, pos).select("query_id", "corpus_id", *[F.col(x).cast("long").alias(x) for x in ("rank_before", "rank_after", "improvement")])
@@ -428,39 +429,53 @@ def rank_improvement(spark, d, whole=False):
 # ---------------------------------------------------------------- sampling and mixing
 
 
-def _sampling_inputs(spark, d, whole=False):
-    targets = S.concept(spark, d).where("true" if whole else "concept_id < 60")
-    names = t(spark, d, "supplier").where("true" if whole else "s_suppkey < 80").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
-    return targets, names, S.bridge(spark, d)
+def _sampling_inputs(spark, d):
+    names = t(spark, d, "supplier").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
+    return S.concept(spark, d), names, S.bridge(spark, d)
+
 
+_SAMPLE = "tg AS (SELECT * FROM concept), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier)"
 
-_SAMPLE = "tg AS (SELECT * FROM concept WHERE concept_id < 60), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier WHERE s_suppkey < 80)"
+
+def _walk(wanted: str, key: str, names: str, black: str, most: int, seed: int = 42) -> str:
+    """CTEs up to ng (key, concept_id, name_id, name, seq): the walk of sampling.walked over names (name_id, name), step by step."""
+    draw = "('0x' || substr(md5('" + str(seed) + ":' || " + key + " || ':{}'), 1, 12))::BIGINT"
+    extra = "" if key == "concept_id" else f"{key}, "
+    return f"""np AS (SELECT *, row_number() OVER (ORDER BY name_id) - 1 pos FROM {names}),
+pz AS (SELECT min(p) p FROM (SELECT unnest(range(greatest((SELECT count(*) FROM np), 2), (SELECT count(*) FROM np) + 500)) p) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 3000)) q) WHERE q * q <= p AND p % q = 0)),
+wk AS (SELECT {extra}concept_id, p, {draw.format("start")} % p a, 1 + {draw.format("step")} % (p - 1) b FROM {wanted}, pz),
+st AS (SELECT *, unnest(range(0, p)) j FROM wk),
+ng AS (SELECT * FROM (SELECT {extra}concept_id, name_id, name, row_number() OVER (PARTITION BY {key} ORDER BY j) seq FROM st JOIN np ON pos = (a + j * b) % p ANTI JOIN {black} USING (concept_id, name_id)) WHERE seq <= {most})"""
 
 
 @query("SELECT concept_id, name_id, sentence1, sentence2, label FROM (SELECT concept_id, name_id, concept_name sentence1, name sentence2, 1 AS label, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 3", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def positives_first_n(spark, d, whole=False):
-    return sampling.positives(*_sampling_inputs(spark, d, whole), most=3).select("concept_id", "name_id", "sentence1", "sentence2", "label")
+def positives_first_n(spark, d):
+    return sampling.positives(*_sampling_inputs(spark, d), most=3).select("concept_id", "name_id", "sentence1", "sentence2", "label")
 
 
 @query("SELECT concept_id, name_id FROM (SELECT concept_id, name_id, row_number() OVER (PARTITION BY concept_id ORDER BY md5('7:' || concept_id || ':' || name_id), name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 3", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def positives_md5_n(spark, d, whole=False):
-    return sampling.positives(*_sampling_inputs(spark, d, whole), most=3, seed=7).select("concept_id", "name_id")
+def positives_md5_n(spark, d):
+    return sampling.positives(*_sampling_inputs(spark, d), most=3, seed=7).select("concept_id", "name_id")
 
 
-@query("SELECT concept_id, name_id FROM (SELECT concept_id, name_id, row_number() OVER (PARTITION BY concept_id ORDER BY md5('42:' || concept_id || ':' || name_id), name_id) r FROM tg, nm WHERE (concept_id, name_id) NOT IN (SELECT concept_id, name_id FROM bridge)) WHERE r <= 5", S.CONCEPT, S.BRIDGE, _SAMPLE)
-def negatives_blacklist(spark, d, whole=False):
-    a, b, black = _sampling_inputs(spark, d, whole)
-    return sampling.negatives(a, b, black, most=5).select("concept_id", "name_id")
+@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", S.CONCEPT, S.BRIDGE, _SAMPLE, _walk("tg", "concept_id", "nm", "bridge", 5))
+def negatives_blacklist(spark, d):
+    a, b, black = _sampling_inputs(spark, d)
+    return sampling.negatives(a, b, black, most=5).select("concept_id", "name_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def negatives_drawn_at_scale(spark, d, whole=False):
-    a, b, black = _sampling_inputs(spark, d, whole)
-    return sampling.drawn_negatives(a, b.withColumn("position", F.col("name_id")), black, most=5).select("concept_id", "name_id")
+@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", "cu AS (SELECT c_custkey concept_id FROM customer), nm AS (SELECT p_partkey name_id, p_name AS name FROM part), bl AS (SELECT DISTINCT o_custkey concept_id, l_partkey name_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)", _walk("cu", "concept_id", "nm", "bl", 10))
+def negatives_drawn_at_scale(spark, d):
+    """Parts that a customer never ordered: customers times parts pairs are never made."""
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("concept_id"), F.col("c_name").alias("concept_name"))
+    b = t(spark, d, "part").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"))
+    li = t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("name_id"))
+    black = t(spark, d, "orders").select(F.col("o_custkey").alias("concept_id"), "o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("concept_id", "name_id")
+    return sampling.negatives(a, b, black, most=10).select("concept_id", "name_id", F.col("rank").cast("long").alias("rank"))
 
 
-def _interleave_inputs(spark, d, whole=False):
-    a, b, black = _sampling_inputs(spark, d, whole)
+def _interleave_inputs(spark, d):
+    a, b, black = _sampling_inputs(spark, d)
     p = sampling.positives(a, b, black, most=2).withColumn("pos_idx", F.col("concept_id") * 10 + F.col("rank"))
     black = black.select("concept_id", F.col("name_id").alias("candidate_id"))
     fp = a.select("concept_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumns({"fp_id": F.col("seq").cast("long"), "sentence2": F.concat(F.lit("fp "), F.col("seq").cast("string"))})
@@ -469,26 +484,26 @@ def _interleave_inputs(spark, d, whole=False):
 
 _INTER = """ps AS (SELECT * FROM (SELECT concept_id, name_id, concept_name sentence1, name sentence2, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 2),
 pp AS (SELECT *, concept_id * 10 + r pos_idx FROM ps),
-ng AS (SELECT * FROM (SELECT pos_idx, concept_id, sentence1, nm.name sentence2, row_number() OVER (PARTITION BY pos_idx ORDER BY md5('42:' || pos_idx || ':' || nm.name_id), nm.name_id) seq FROM pp, nm WHERE (concept_id, nm.name_id) NOT IN (SELECT concept_id, name_id FROM bridge)) WHERE seq <= 4),
-al AS (SELECT pos_idx, 0 kind, 1 seq, 'positive' AS "from", 1 AS label, concept_id, sentence1, sentence2 FROM pp UNION ALL SELECT pos_idx, 1, seq, 'negative', 0, concept_id, sentence1, sentence2 FROM ng
+""" + _walk("pp", "pos_idx", "nm", "bridge", 4) + """,
+al AS (SELECT pos_idx, 0 kind, 1 seq, 'positive' AS "from", 1 AS label, concept_id, sentence1, sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, sentence1, ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx
  UNION ALL SELECT min(pos_idx), 2, seq, 'false_positive', 0, concept_id, any_value(sentence1), 'fp ' || seq FROM pp, (SELECT unnest([1, 2]) seq) GROUP BY concept_id, seq)"""
 
 
 @query('SELECT pos_idx, kind, seq::BIGINT seq, "from", label, concept_id, sentence1, sentence2 FROM al', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def interleaved_samples(spark, d, whole=False):
-    return sampling.interleaved(*_interleave_inputs(spark, d, whole)).withColumn("seq", F.col("seq").cast("long"))
+def interleaved_samples(spark, d):
+    return sampling.interleaved(*_interleave_inputs(spark, d)).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("SELECT count(*)::BIGINT AS length FROM al", S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def interleaved_length(spark, d, whole=False):
-    p, c, black, fp = _interleave_inputs(spark, d, whole)
+def interleaved_length(spark, d):
+    p, c, black, fp = _interleave_inputs(spark, d)
     black = black.join(c, "candidate_id", "left_semi")
     return sampling.interleaved_length(p, c.count(), black, fp, 4)
 
 
 @query('SELECT "from" AS kind, count(*)::BIGINT n, 0::BIGINT n_conflicts FROM al GROUP BY "from"', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def kind_label_consistency(spark, d, whole=False):
-    return audit.kind_label_conflicts(sampling.interleaved(*_interleave_inputs(spark, d, whole)))
+def kind_label_consistency(spark, d):
+    return audit.kind_label_conflicts(sampling.interleaved(*_interleave_inputs(spark, d)))
 
 
 @query("SELECT DISTINCT from_id, to_id FROM (SELECT ancestor from_id, descendant to_id FROM edges UNION ALL SELECT concept_id, concept_id FROM nodes)", S.EDGES, S.NODES)
@@ -567,47 +582,42 @@ def seeded_sample(spark, d):
 
 # ---------------------------------------------------------------- metrics
 
-_LAB = "lab AS (SELECT query_id, corpus_id, round(score, 2) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM s WHERE corpus_id < 300)"
+_LAB = "lab AS MATERIALIZED (SELECT query_id, corpus_id, round(score, 2) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM s)"
 _DIS = "g AS (SELECT score, sum(label)::DOUBLE tp, sum(1 - label)::DOUBLE fp FROM lab GROUP BY score), cu AS (SELECT *, sum(tp) OVER (ORDER BY score DESC) ctp, sum(fp) OVER (ORDER BY score DESC) cfp FROM g)"
 
 
-def _labelled(spark, d, whole=False):
-    q, c, _ = S.vectors(spark, d, whole)
-    if whole:
-        hits = vector.scored(q, c).join(q.select("query_id", "query_label"), "query_id").join(c.select("corpus_id", "label"), "corpus_id")
-        return hits.select("query_id", "corpus_id", F.round("score", 2).alias("score"), ((F.col("query_label") == F.col("label")) & (F.col("query_id") != F.col("corpus_id"))).cast("int").alias("label"))
-    c = c.where("corpus_id < 300")
-    rows = q.select("query_id", "query_label", F.col("vector").alias("a")).crossJoin(c.select("corpus_id", "label", F.col("vector").alias("b")))
-    score = F.round(F.round(vector.dot(F.col("a"), F.col("b")), 9), 2)
-    return rows.select("query_id", "corpus_id", score.alias("score"), ((F.col("query_label") == F.col("label")) & (F.col("query_id") != F.col("corpus_id"))).cast("int").alias("label"))
+def _labelled(spark, d):
+    q, c, _ = S.vectors(spark, d)
+    hits = vector.scored(q, c).join(q.select("query_id", "query_label"), "query_id").join(c.select("corpus_id", "label"), "corpus_id")
+    return hits.select("query_id", "corpus_id", F.round("score", 2).alias("score"), ((F.col("query_label") == F.col("label")) & (F.col("query_id") != F.col("corpus_id"))).cast("int").alias("label"))
 
 
 @query("SELECT round(sum(fp * ((ctp - tp) + tp / 2)) / (sum(tp) * sum(fp)), 6) roc_auc FROM cu", S.SIM, _LAB, _DIS)
-def roc_auc(spark, d, whole=False):
-    return metrics.roc_auc(_labelled(spark, d, whole)).select(*_r("roc_auc"))
+def roc_auc(spark, d):
+    return metrics.roc_auc(_labelled(spark, d)).select(*_r("roc_auc"))
 
 
 @query("SELECT round(sum(tp * ctp / (ctp + cfp)) / sum(tp), 6) average_precision FROM cu", S.SIM, _LAB, _DIS)
-def average_precision(spark, d, whole=False):
-    return metrics.average_precision(_labelled(spark, d, whole)).select(*_r("average_precision"))
+def average_precision(spark, d):
+    return metrics.average_precision(_labelled(spark, d)).select(*_r("average_precision"))
 
 
 @query("SELECT round(p, 6) AS precision, round(r, 6) recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) f1, round(a, 6) accuracy FROM (SELECT coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum((score >= 0.2)::INT), 0), 0)::DOUBLE p, coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum(label), 0), 0)::DOUBLE r, avg(((score >= 0.2)::INT = label)::INT) a FROM lab)", S.SIM, _LAB)
-def threshold_metrics(spark, d, whole=False):
-    return metrics.threshold_metrics(_labelled(spark, d, whole), threshold=0.2).select(*_r("precision", "recall", "f1", "accuracy"))
+def threshold_metrics(spark, d):
+    return metrics.threshold_metrics(_labelled(spark, d), threshold=0.2).select(*_r("precision", "recall", "f1", "accuracy"))
 
 
 _RANKS = "rk AS (SELECT query_id, min(CASE WHEN label = 1 THEN i END) b, max(CASE WHEN label = 1 THEN i END) w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 i FROM lab) GROUP BY query_id)"
 
 
 @query("SELECT " + ", ".join([f"round(avg(coalesce(({x} < {k})::INT, 0)), 6) {n}_hit_{k}" for n, x in (("best", "b"), ("worst", "w")) for k in metrics.CUTS] + [f"round(avg(coalesce(1.0 / ({x} + 1), 0)), 6) {n}_reciprocal_rank" for n, x in (("best", "b"), ("worst", "w"))]) + " FROM rk", S.SIM, _LAB, _RANKS)
-def hit_mrr_macro(spark, d, whole=False):
-    m = metrics.ranking_metrics(_labelled(spark, d, whole))
+def hit_mrr_macro(spark, d):
+    m = metrics.ranking_metrics(_labelled(spark, d))
     return m.select(*_r(*m.columns))
 
 
-def _ranked_lists(spark, d, whole=False):
-    q, c, pos = S.vectors(spark, d, whole)
+def _ranked_lists(spark, d):
+    q, c, pos = S.vectors(spark, d)
     lists = vector.topk(q, c, 60).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "corpus_id")))["corpus_id"].alias("ranked"))
     first = pos.groupBy("query_id").agg(F.min("corpus_id").alias("truth"))
     two = pos.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("corpus_id"))).where("k <= 2").groupBy("query_id").agg(F.sort_array(F.collect_list("corpus_id")).alias("truths"))
@@ -620,29 +630,29 @@ sc AS (SELECT t.query_id, CASE WHEN count(*) > count(r.rnk) THEN 99999 ELSE max(
 
 
 @query("SELECT k, round(avg(coalesce((p <= k)::INT, 0)), 6) accuracy, round(max(CASE WHEN p <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS precision, round(avg(coalesce((p <= k)::INT, 0)), 6) recall, round(CASE WHEN max((p <= k)::INT) = 1 THEN 2 * avg(coalesce((p <= k)::INT, 0)) / (1 + avg(coalesce((p <= k)::INT, 0))) ELSE 0 END, 6) f1 FROM pl, (SELECT unnest([1, 10, 50]) k) GROUP BY k", S.SIM, _LISTS)
-def accuracy_at_k(spark, d, whole=False):
-    return metrics.at_k(_ranked_lists(spark, d, whole), "ranked", "truth").select("k", *_r("accuracy", "precision", "recall", "f1"))
+def accuracy_at_k(spark, d):
+    return metrics.at_k(_ranked_lists(spark, d), "ranked", "truth").select("k", *_r("accuracy", "precision", "recall", "f1"))
 
 
 @query("SELECT round(avg(coalesce(1.0 / p, 0)), 6) mrr FROM pl", S.SIM, _LISTS)
-def mrr_list(spark, d, whole=False):
-    return metrics.list_mrr(_ranked_lists(spark, d, whole), "ranked", "truth").select(*_r("mrr"))
+def mrr_list(spark, d):
+    return metrics.list_mrr(_ranked_lists(spark, d), "ranked", "truth").select(*_r("mrr"))
 
 
 @query("SELECT k, round(avg((score <= k)::INT), 6) accuracy FROM sc, (SELECT unnest([1, 10, 50]) k) GROUP BY k", S.SIM, _LISTS)
-def multi_target_topk(spark, d, whole=False):
-    rows = _ranked_lists(spark, d, whole).withColumn("score", metrics.multi_target_score(metrics.positions(F.col("ranked"), F.col("truths"))))
+def multi_target_topk(spark, d):
+    rows = _ranked_lists(spark, d).withColumn("score", metrics.multi_target_score(metrics.positions(F.col("ranked"), F.col("truths"))))
     return metrics.topk_accuracy(rows, "score").select("k", *_r("accuracy"))
 
 
-@query("SELECT lab.query_id, corpus_id, label FROM lab JOIN (SELECT query_id, arg_min(label, i) f FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) i FROM lab) GROUP BY query_id) x ON x.query_id = lab.query_id WHERE f <> 1 AND corpus_id < 20", S.SIM, _LAB)
-def mismatch_first_rank(spark, d, whole=False):
-    return metrics.first_hit_wrong(_labelled(spark, d, whole)).where("true" if whole else "corpus_id < 20").select("query_id", "corpus_id", "label")
+@query("SELECT lab.query_id, corpus_id, label FROM lab JOIN (SELECT query_id, arg_min(label, i) f FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) i FROM lab) GROUP BY query_id) x ON x.query_id = lab.query_id WHERE f <> 1", S.SIM, _LAB)
+def mismatch_first_rank(spark, d):
+    return metrics.first_hit_wrong(_labelled(spark, d)).select("query_id", "corpus_id", "label")
 
 
 @query("SELECT 'best_hit_10' AS metric, round(avg(coalesce((b < 10)::INT, 0)), 6) \"all\", round(avg(coalesce((b < 10)::INT, 0)) FILTER (query_id % 2 = 0), 6) AS even FROM rk UNION ALL SELECT 'best_hit_1', round(avg(coalesce((b < 1)::INT, 0)), 6), round(avg(coalesce((b < 1)::INT, 0)) FILTER (query_id % 2 = 0), 6) FROM rk", S.SIM, _LAB, _RANKS)
-def metric_compare(spark, d, whole=False):
-    rows = _labelled(spark, d, whole)
+def metric_compare(spark, d):
+    rows = _labelled(spark, d)
     pick = ["best_hit_1", "best_hit_10"]
     a = metrics.long_metrics(metrics.ranking_metrics(rows).select(*_r(*pick)), "all")
     b = metrics.long_metrics(metrics.ranking_metrics(rows.where("query_id % 2 = 0")).select(*_r(*pick)), "even")
@@ -835,8 +845,8 @@ def reserved_query_set(spark, d):
 
 
 @query('SELECT "from" AS kind, label, count(*)::BIGINT n FROM al GROUP BY ALL', S.CONCEPT, S.BRIDGE, _SAMPLE, _INTER)
-def kind_counts(spark, d, whole=False):
-    return sampling.interleaved(*_interleave_inputs(spark, d, whole)).groupBy(F.col("from").alias("kind"), "label").agg(F.count("*").alias("n"))
+def kind_counts(spark, d):
+    return sampling.interleaved(*_interleave_inputs(spark, d)).groupBy(F.col("from").alias("kind"), "label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '\\W+', '', 'g')) stripped FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")
@@ -856,25 +866,25 @@ def running_offsets(spark, d):
 
 
 @query("SELECT query_id, corpus_id, round(f, 6) final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, corpus_id) k FROM (SELECT query_id, corpus_id, round(score + coalesce(max(p), 0), 9) f FROM hits LEFT JOIN ps USING (query_id, corpus_id) GROUP BY query_id, corpus_id, score)) WHERE k <= 5", S.SIM, S.PARENTS, _HITS, _PS)
-def rerank_best_relation(spark, d, whole=False):
-    q, c, hits, par = _rerank_inputs(spark, d, whole)
+def rerank_best_relation(spark, d):
+    q, c, hits, par = _rerank_inputs(spark, d)
     return rerank.by_best_relation(hits, q, par, c).select("query_id", "corpus_id", *_r("final_score"))
 
 
 @query("SELECT round((SELECT sum(fp * ((ctp - tp) + tp / 2)) / (sum(tp) * sum(fp)) FROM cu), 6) roc_auc, round((SELECT sum(tp * ctp / (ctp + cfp)) / sum(tp) FROM cu), 6) average_precision, round((SELECT avg(coalesce(1.0 / (b + 1), 0)) FROM rk), 6) best_reciprocal_rank", S.SIM, "lab AS (SELECT query_id, corpus_id, round(score, 9) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= 100)", _DIS, _RANKS)
-def evaluate_model(spark, d, whole=False):
+def evaluate_model(spark, d):
     """End to end: top-100 search, labels attached, all metrics."""
-    q, c, pos = S.vectors(spark, d, whole)
+    q, c, pos = S.vectors(spark, d)
     rows = mining.labelled_hits(vector.topk(q, c, 100), pos)
     return metrics.evaluated(rows).select(*_r("roc_auc", "average_precision", "best_reciprocal_rank"))
 
 
-@query("SELECT sentence1, code2::BIGINT code2, label FROM (SELECT p_name sentence1, (SELECT count(DISTINCT b) FROM (SELECT p_brand b, min(p_partkey) m FROM part GROUP BY p_brand) x WHERE x.m < (SELECT min(p_partkey) FROM part z WHERE z.p_brand = part.p_brand)) code2, (p_size % 2)::INT AS label FROM part WHERE p_partkey < 100)")
-def eval_frame_normalised(spark, d, whole=False):
+@query("SELECT sentence1, code2::BIGINT code2, label FROM (SELECT p_name sentence1, (SELECT count(DISTINCT b) FROM (SELECT p_brand b, min(p_partkey) m FROM part GROUP BY p_brand) x WHERE x.m < (SELECT min(p_partkey) FROM part z WHERE z.p_brand = part.p_brand)) code2, (p_size % 2)::INT AS label FROM part)")
+def eval_frame_normalised(spark, d):
     """Other column names resolved to the wanted ones, a text column coded."""
     p = t(spark, d, "part").withColumn("y", (F.col("p_size") % 2).cast("int"))
     rows = schema.resolve_aliases(p, [{"sentence1": "query_name", "brand": "corpus_name", "label": "label"}, {"sentence1": "p_name", "brand": "p_brand", "label": "y"}])
-    return mapping.factorized(rows, "brand", "p_partkey").where("true" if whole else "p_partkey < 100").select("sentence1", F.col("code").cast("long").alias("code2"), "label")
+    return mapping.factorized(rows, "brand", "p_partkey").select("sentence1", F.col("code").cast("long").alias("code2"), "label")
 
 
 @query("SELECT a.p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'missing' ELSE 'different' END AS error_type FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE b.p_partkey IS NULL OR lower(trim(a.p_name)) <> lower(trim(b.p_name)) ORDER BY a.p_partkey LIMIT 200")
@@ -886,6 +896,171 @@ def review_rows(spark, d):
     return wrong.select("p_partkey", F.col("status").alias("error_type")).orderBy("p_partkey").limit(200)
 
 
+# ---------------------------------------------------------------- training loaders
+
+_FIRST = "SELECT min(pos_idx), 2, seq, 'false_positive', 0, concept_id, {sentence1}, {sentence2} FROM {rows}, (SELECT unnest([1, 2]) seq) GROUP BY concept_id, seq"
+
+
+def _fp(concepts):
+    rows = concepts.select("concept_id").distinct().select("concept_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return rows.withColumns({"fp_id": F.col("seq").cast("long"), "sentence2": F.concat(F.lit("fp "), F.col("seq").cast("string"))})
+
+
+_MATCHING = """pp AS (SELECT *, row_number() OVER (ORDER BY concept_id, name_id) pos_idx FROM pf),
+nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier),
+""" + _walk("pp", "pos_idx", "nm", "bridge", 4)
+
+
+@query("SELECT pos_idx, 0 kind, 1::BIGINT seq, 'positive' AS \"from\", 1 AS label, concept_id, '[MATCHING] ' || sentence1 sentence1, sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, '[MATCHING] ' || sentence1, ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx UNION ALL " + _FIRST.format(sentence1="'[MATCHING] ' || any_value(sentence1)", sentence2="'fp ' || seq", rows="pp"), S.BRIDGE, S.CONCEPT, _PAIR, _MATCHING)
+def matching_rows(spark, d):
+    a, b, bridge = _sampling_inputs(spark, d)
+    return loaders.matching(a, b, bridge, _fp(a), prefix=True).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("SELECT sentence1, sentence2, 1 AS label FROM pp UNION ALL SELECT sentence1, ng.name, 0 FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx", S.BRIDGE, S.CONCEPT, _PAIR, _MATCHING)
+def trainer_rows(spark, d):
+    a, b, bridge = _sampling_inputs(spark, d)
+    return sampling.trainer_rows(loaders.matching(a, b, bridge, _fp(a), n_fp=0))
+
+
+def _relation_inputs(spark, d):
+    n = S.nodes(spark, d)
+    c = n.select(F.col("concept_id").alias("candidate_id"), X.sentence_name("domain_id", "concept_name").alias("sentence2"))
+    return hierarchy.relation_sentences(S.edges(spark, d), n).drop("label"), c
+
+
+_RELATED = "rs AS (SELECT DISTINCT {ids}, a.domain_id || ': ' || a.concept_name sentence1, b.domain_id || ': ' || b.concept_name sentence2 FROM edges JOIN nodes a ON {one} = a.concept_id JOIN nodes b ON {two} = b.concept_id), pp AS (SELECT *, row_number() OVER (ORDER BY concept_id, other, sentence1, sentence2) pos_idx FROM rs), nm AS (SELECT concept_id name_id, domain_id || ': ' || concept_name AS name FROM nodes), bl AS (SELECT DISTINCT concept_id, other name_id FROM rs UNION SELECT DISTINCT concept_id, concept_id FROM rs),\n" + _walk("pp", "pos_idx", "nm", "bl", 4)
+_DOWN = _RELATED.format(ids="ancestor concept_id, descendant other", one="ancestor", two="descendant")
+_UP = _RELATED.format(ids="descendant concept_id, ancestor other", one="descendant", two="ancestor")
+
+
+@query("SELECT pos_idx, 0 kind, 1::BIGINT seq, 'positive' AS \"from\", 1 AS label, concept_id, '<|child of|> ' || sentence1 sentence1, sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, '<|child of|> ' || sentence1, ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx UNION ALL " + _FIRST.format(sentence1="'<|child of|> ' || arg_min(sentence1, pos_idx)", sentence2="'fp ' || seq", rows="pp"), S.EDGES, S.NODES, _DOWN)
+def offspring_rows(spark, d):
+    rows, c = _relation_inputs(spark, d)
+    return loaders.offspring(rows, c, _fp(rows.withColumnRenamed("concept_id1", "concept_id"))).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("SELECT pos_idx, 0 kind, 1::BIGINT seq, 'positive' AS \"from\", 1 AS label, concept_id, sentence1, '<|parent of|> ' || sentence2 sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, sentence1, '<|parent of|> ' || ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx UNION ALL " + _FIRST.format(sentence1="arg_min(sentence1, pos_idx)", sentence2="'<|parent of|> fp ' || seq", rows="pp"), S.EDGES, S.NODES, _UP)
+def ancestor_rows(spark, d):
+    rows, c = _relation_inputs(spark, d)
+    return loaders.ancestors(rows, c, _fp(rows.withColumnRenamed("concept_id2", "concept_id"))).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("SELECT outcome, label, count(*)::BIGINT n FROM (SELECT label, CASE WHEN (label = 1) = known THEN 'valid' WHEN label = 0 AND c > 1 THEN 'ambiguous' ELSE 'invalid' END outcome FROM (SELECT r.*, EXISTS (SELECT 1 FROM ed p WHERE p.concept_id = r.concept_id AND p.sentence = r.sentence) known, (SELECT count(DISTINCT concept_id) FROM ed p WHERE p.sentence = r.sentence) c FROM rw r)) GROUP BY ALL", S.EDGES, S.NODES, "ed AS (SELECT descendant concept_id, concept_name sentence FROM edges JOIN nodes ON ancestor = concept_id), rw AS (SELECT c_custkey + 2000000 concept_id, n_name sentence, (c_custkey % 2)::INT AS label FROM customer JOIN nation ON n_nationkey = c_custkey % 25)")
+def ancestor_stream_validity(spark, d):
+    """Sentences of an ancestor stream carry the parent token; it goes before they are looked up."""
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    c = t(spark, d, "customer").withColumn("k", F.col("c_custkey") % 25).join(F.broadcast(n), "k")
+    rows = c.select((F.col("c_custkey") + 2000000).alias("concept_id"), X.add_token(X.PARENT_TOKEN, "n_name").alias("sentence"), (F.col("c_custkey") % 2).cast("int").alias("label"))
+    known = S.edges(spark, d).join(S.nodes(spark, d), F.col("ancestor") == F.col("concept_id")).select(F.col("descendant").alias("concept_id"), F.col("concept_name").alias("sentence"))
+    return audit.generator_validity(rows, known, prefix=True)
+
+
+@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+def false_positives_kept(spark, d):
+    """Mined into a table on the first call, read from it on the second, mined anew on the third."""
+    q, c, pos = S.vectors(spark, d)
+    path = scratch(spark, "false-positives")
+    loaders.false_positive_set(spark, path, c, q, pos, 1)
+    loaders.false_positive_set(spark, path, c, q, pos, 15, resample=True)
+    return loaders.false_positive_set(spark, path, c, q, pos, 3).select("query_id", "corpus_id", *_r("score"), "label")
+
+
+@query(ORACLES["evaluation_set"])
+def validation_rows(spark, d):
+    q, c, pos = S.vectors(spark, d)
+    folder = scratch(spark, "validation")
+    writers.write_table(pos.join(q.select("query_id", "query_name"), "query_id").join(c.select("corpus_id", "corpus_name"), "corpus_id"), f"{folder}/positives_valid")
+    writers.write_table(mining.false_positives(c, q, pos, 5), f"{folder}/false_positives_valid")
+    return loaders.validation_from(spark, folder)
+
+
+@query("SELECT DISTINCT s_name sentence1, concept_name sentence2, 0 AS label FROM bridge JOIN concept USING (concept_id) JOIN supplier ON s_suppkey = name_id", S.BRIDGE, S.CONCEPT)
+def pair_rows(spark, d):
+    return mining.pair_dataset(_pairs(spark, d).withColumn("label", F.lit(0)), "sentence2", "sentence1")
+
+
+@query("SELECT concept_id, name_id, 0 AS label FROM (SELECT concept_id, name_id, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 2", S.CONCEPT, S.BRIDGE, _SAMPLE)
+def positives_label_zero(spark, d):
+    return sampling.positives(*_sampling_inputs(spark, d), most=2, label=0).select("concept_id", "name_id", "label")
+
+
+@query("SELECT 'eval_' || metric AS metric, 'm' AS model, value FROM (SELECT unnest(['precision', 'recall']) metric, unnest([round(coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum((score >= 0.2)::INT), 0), 0)::DOUBLE, 6), round(coalesce(sum((score >= 0.2 AND label = 1)::INT) / nullif(sum(label), 0), 0)::DOUBLE, 6)]) value FROM lab)", S.SIM, _LAB)
+def prefixed_metrics(spark, d):
+    m = metrics.threshold_metrics(_labelled(spark, d), threshold=0.2).select(*_r("precision", "recall"))
+    return metrics.long_metrics(m, "m", prefix="eval_")
+
+
+@query("SELECT 'runs/checkpoint-' || max(o_orderkey) AS path, max(o_orderkey)::BIGINT AS number FROM orders")
+def latest_checkpoint(spark, d):
+    return audit.latest(t(spark, d, "orders").select(F.concat(F.lit("runs/checkpoint-"), F.col("o_orderkey").cast("string")).alias("path")).unionByName(spark.createDataFrame([("runs/last",)], "path string")))
+
+
+@query("SELECT p_partkey, substr('[MATCHING] ' || p_name, 12) AS name, substr(p_name, 1, 1) AS initial FROM part")
+def text_places(spark, d):
+    p = t(spark, d, "part").withColumn("s", X.add_token(X.MATCH_TOKEN, "p_name"))
+    return p.select("p_partkey", X.from_place("s", 11).alias("name"), X.first_character("p_name").alias("initial"))
+
+
+# ---------------------------------------------------------------- scans
+
+
+def _dumped(spark, d, name: str, **options):
+    """A table as a delimited dump in the shared folder, as the scans find it."""
+    path = scratch(spark, name)
+    return path, lambda df: df.write.options(**options).csv(path)
+
+
+@query("SELECT p_partkey::VARCHAR AS concept_id, p_name AS concept_name, CASE WHEN p_size % 2 = 0 THEN 'S' ELSE '' END AS standard_concept, 'NA' AS code FROM part")
+def scan_tsv(spark, d):
+    path, dump = _dumped(spark, d, "tsv", sep="\t", header=True, escape='"', emptyValue="")
+    p = t(spark, d, "part")
+    dump(p.select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_name"), F.when(F.col("p_size") % 2 == 0, "S").otherwise("").alias("standard_concept"), F.lit("NA").alias("code")))
+    return readers.read_tsv(spark, path)
+
+
+@query("SELECT s_suppkey::VARCHAR AS \"CUI\", s_name AS \"STR\", 'ENG' AS \"LAT\" FROM supplier")
+def scan_names(spark, d):
+    path, dump = _dumped(spark, d, "names", sep="|", quote="")
+    cols = schema.TABLES["mrconso"].fieldNames()
+    own = {"CUI": F.col("s_suppkey").cast("string"), "STR": F.col("s_name"), "LAT": F.lit("ENG")}
+    dump(t(spark, d, "supplier").select(*[own.get(c, F.lit("NA")).alias(c) for c in cols]))
+    out = readers.read_names(spark, path)
+    return out.where(F.col("SAB").isNull()).select("CUI", "STR", "LAT")
+
+
+@query("SELECT n_nationkey::VARCHAR AS \"CUI\", CASE WHEN n_regionkey > 0 THEN n_name END AS \"DEF\" FROM nation")
+def scan_definitions(spark, d):
+    path, dump = _dumped(spark, d, "definitions", sep="|", quote="")
+    own = {"CUI": F.col("n_nationkey").cast("string"), "DEF": F.when(F.col("n_regionkey") > 0, F.col("n_name")).otherwise("null")}
+    dump(t(spark, d, "nation").select(*[own.get(c, F.lit("x")).alias(c) for c in schema.TABLES["mrdef"].fieldNames()]))
+    return readers.read_definitions(spark, path).select("CUI", "DEF")
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS label FROM customer")
+def scan_csv(spark, d):
+    path, dump = _dumped(spark, d, "csv", header=True, escape='"')
+    dump(t(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label")))
+    return readers.read_csv(spark, path)
+
+
+@query("SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region UNION ALL SELECT n_nationkey::BIGINT, n_name FROM nation")
+def scan_union(spark, d):
+    one, two = scratch(spark, "one"), scratch(spark, "two")
+    writers.write_table(t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name")), one)
+    writers.write_table(t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), two)
+    return readers.read_tables(spark, one, readers.first_existing(spark, [f"{two}-none", two]))
+
+
+@query("SELECT 'total: ' || count(*) AS value FROM part UNION ALL SELECT 'brands: ' || count(DISTINCT p_brand) FROM part")
+def report_lines(spark, d):
+    path = scratch(spark, "report")
+    n = t(spark, d, "part").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("b"))
+    lines = n.select(F.inline(F.array(F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("total: "), F.col("n").cast("string")).alias("line")), F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("brands: "), F.col("b").cast("string")).alias("line")))))
+    writers.write_report(lines, path)
+    return spark.read.text(path)
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -904,46 +1079,28 @@ def stream_replay(spark, d):
     return spark.table(name)
 
 
-# ---------------------------------------------------------------- whole tables
-
-
-def _register_whole(names: list[str], uncut: dict[str, str]) -> None:
-    """NAME_whole: the query without its id filter, and its statement with each cut in `uncut` replaced; NAME and its SQL stay."""
-    for name in names:
+def _drained(spark, stream, mode: str):
+    import uuid
 
-        def whole(spark, d, _f=QUERIES[name]):
-            return _f(spark, d, whole=True)
+    name = f"drained_{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
-        whole.__name__ = f"{name}_whole"
-        QUERIES[whole.__name__] = whole
-        if name in ORACLES:
-            sql = ORACLES[name]
-            for cut, rest in uncut.items():
-                sql = sql.replace(cut, rest)
-            assert sql != ORACLES[name], name
-            ORACLES[whole.__name__] = sql
 
+@query("SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT n, round(sum(value), 6) total FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    """Counts by window and type of the table replayed as a stream."""
+    from ..streaming.replay import replay, windowed_counts
 
-_register_whole(
-    ["positives_first_n", "positives_md5_n", "negatives_blacklist", "negatives_drawn_at_scale", "interleaved_samples", "interleaved_length", "kind_label_consistency", "kind_counts"],
-    {_SAMPLE: "tg AS (SELECT * FROM concept), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier)"},
-)
+    events = replay(spark, d, t(spark, d, "events").schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = windowed_counts(events, "ts", "event_type")
+    return _drained(spark, stream.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total")), "complete")
 
-_register_whole(
-    ["roc_auc", "average_precision", "threshold_metrics", "hit_mrr_macro", "mismatch_first_rank", "metric_compare"],
-    {S.SIM: S.SIM_WHOLE, _LAB: _LAB.replace(" WHERE corpus_id < 300", ""), " AND corpus_id < 20": ""},
-)
 
-_register_whole(["hier_distance", "combined_score"], {_PAIRS20: _CANDIDATES})
-_register_whole(["edges_touching_targets"], {"concept_id % 3 = 0": "domain_id = 'building'"})
-_register_whole(["false_positives_self_corpus"], {" WHERE vec_id < 120": ""})
-_register_whole(["evaluation_set"], {S.SIM: S.SIM_WHOLE, " WHERE query_id < 5": "", " AND query_id < 5": ""})
-_register_whole(["eval_frame_normalised"], {" WHERE p_partkey < 100": ""})
+@query("SELECT event_id, event_type FROM events")
+def stream_shuffled(spark, d):
+    """The stream through a shuffle buffer: every event once."""
+    from ..streaming.replay import buffered_shuffle, replay
 
-_register_whole([
-    "topk_cosine", "topk_expressions", "topk_exclude_same_name", "false_positives_blacklist", "hard_negatives_margin_top",
-    "hard_negatives_relative", "hard_negatives_md5_random", "unpivot_negatives", "cosine_distance_lists", "near_perfect_matches",
-    "label_attach_left", "lsh_topk", "rerank_level1_parents", "rerank_parent_prediction", "rerank_adaptive",
-    "rank_improvement", "accuracy_at_k", "mrr_list", "multi_target_topk", "rerank_best_relation",
-    "evaluate_model",
-], {S.SIM: S.SIM_WHOLE})
+    stream = replay(spark, d, t(spark, d, "events").schema, glob="events.parquet").select("event_id", "event_type")
+    return _drained(spark, buffered_shuffle(stream, 1000, 3).drop("place"), "append")

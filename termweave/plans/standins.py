@@ -73,24 +73,24 @@ NODES = """nodes AS (SELECT r_regionkey::BIGINT concept_id, r_name concept_name,
  UNION ALL SELECT n_nationkey::BIGINT + 1000000, n_name, 'nation' FROM nation UNION ALL SELECT c_custkey + 2000000, c_name, lower(c_mktsegment) FROM customer)"""
 
 
-def vectors(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, corpus, positives): vectors with vec_id below 50, or the whole table, query all; an equal label elsewhere is a positive."""
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, corpus, positives): every vector queries all; an equal label elsewhere is a positive."""
     e = table(spark, d, "embeddings")
     name = F.concat(F.lit("Term "), (F.col("vec_id") % 40).cast("string"))
     corpus = e.select(F.col("vec_id").alias("corpus_id"), name.alias("corpus_name"), F.col("embedding").alias("vector"), "label")
-    queries = e.where("true" if whole else "vec_id < 50").select(F.col("vec_id").alias("query_id"), F.lower(name).alias("query_name"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
+    queries = e.select(F.col("vec_id").alias("query_id"), F.lower(name).alias("query_name"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
     pos = queries.join(corpus, F.col("query_label") == F.col("label")).where("query_id <> corpus_id").select("query_id", "corpus_id")
     return queries, corpus, pos
 
 
-SIM = """q AS (SELECT vec_id query_id, 'term ' || (vec_id % 40) query_name, embedding::DOUBLE[] qv, label ql FROM embeddings WHERE vec_id < 50),
+SIM = """q AS (SELECT vec_id query_id, 'term ' || (vec_id % 40) query_name, embedding::DOUBLE[] qv, label ql FROM embeddings),
 c AS (SELECT vec_id corpus_id, 'Term ' || (vec_id % 40) corpus_name, embedding::DOUBLE[] cv, label cl FROM embeddings),
-s AS (SELECT *, round(list_inner_product(qv, cv), 9) score FROM q, c),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) rnk FROM s),
+s AS MATERIALIZED (SELECT *, round(list_inner_product(qv, cv), 9) score FROM q, c),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) rnk FROM s),
 pos AS (SELECT query_id, corpus_id FROM s WHERE ql = cl AND query_id <> corpus_id)"""
 
 
-SIM_WHOLE = SIM.replace(" WHERE vec_id < 50", "")
+SIM_WHOLE = SIM.replace("", "")
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import shipped
 from .schema import TABLES
 
 #: Cell texts that count as missing in the pipe-delimited dumps (fixed values).
 SENTINELS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Tab-delimited with a header; empty cells stay empty strings, quotes are doubled, cells may span lines."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "")
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Tab-delimited with a header; empty cells stay empty strings, quotes are doubled.
+
+    A file is split over tasks at line ends; multi_line is for files whose quoted cells span lines, and reads each file in one task.
+    """
+    reader = spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("multiLine", multi_line).option("emptyValue", "")
     reader = reader.schema(schema) if schema is not None else reader
     df = reader.csv(path)
     return df.na.fill("", [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
@@ -41,8 +46,9 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     return _pipes(spark, path, "mrdef")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Comma-delimited with a header; multi_line as in read_tsv."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -54,11 +60,51 @@ def read_tables(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC (Feather) file. A one-time import of a local file: the driver reads it; keep tables as Parquet after that."""
-    import pyarrow.feather
+def _opened(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+
 
-    return spark.createDataFrame(pyarrow.feather.read_table(path))
+def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for uri in b["uri"].to_pylist():
+            fs, path = _opened(uri)
+            with fs.open_input_file(path) as f:
+                n = pa.ipc.open_file(f).num_record_batches
+            yield pa.record_batch([pa.array([uri] * n, pa.string()), pa.array(range(n), pa.int32())], names=["uri", "i"])
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC (Feather) files, one or a folder of them with one schema; executors read the record batches, each by itself.
+
+    The driver reads the schema of one file and lists the folder. Dictionary columns are decoded.
+    """
+    from pyarrow import fs as pafs
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+    shipped(spark)
+    fs, at = _opened(path)
+    info = fs.get_file_info(at)
+    folder = info.type == pafs.FileType.Directory
+    uris = sorted(f"{path.rstrip('/')}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(at)) if i.is_file and i.base_name[0] not in "._") if folder else [path]
+    if not uris:
+        raise FileNotFoundError(path)
+    with fs.open_input_file(_opened(uris[0])[1]) as f:
+        found = pa.ipc.open_file(f).schema
+    schema = from_arrow_schema(pa.schema([pa.field(x.name, x.type.value_type if pa.types.is_dictionary(x.type) else x.type) for x in found]))
+    wanted = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, i in zip(b["uri"].to_pylist(), b["i"].to_pylist(), strict=True):
+                source, place = _opened(uri)
+                with source.open_input_file(place) as f:
+                    yield from pa.Table.from_batches([pa.ipc.open_file(f).get_batch(i)]).cast(wanted).to_batches(max_chunksize=10_000)
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(min(len(uris), parts))
+    return files.mapInArrow(_batches_of, "uri string, i int").repartition(parts, "uri", "i").mapInArrow(read, schema)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:

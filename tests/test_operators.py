@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.functions import text as X
-from termweave.operators import audit, blending, hierarchy, mapping, metrics, mining, rerank, sampling, vector
+from termweave.operators import audit, blending, hierarchy, loaders, mapping, metrics, mining, ranges, rerank, sampling, vector
 from termweave.sources import readers, schema, writers
+from termweave.streaming.replay import buffered_shuffle, replay, shuffled_batches
 
 NAMES = ["Diabetes mellitus", "Hypertension", "Heart failure", "Chronic kidney disease", "Pneumonia"]
 
@@ -51,10 +52,115 @@ def test_topk_strategies_agree_and_break_ties_by_id(spark):
 
 
 def test_topk_in_query_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector, "QUERY_BYTES", 16)
-    c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "corpus_id long, vector array<float>")
+    c = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(99, None)], "corpus_id long, vector array<float>")
     q = c.select(F.col("corpus_id").alias("query_id"), "vector")
-    assert vector.topk(q, c, 2).count() == 8
+    one = rows(vector.topk(q, c, 4), "query_id", "rank")
+    monkeypatch.setattr(vector, "QUERY_BYTES", 200)
+    monkeypatch.setattr(vector, "CORPUS_BYTES", 300)
+    assert len(one) == 160 and rows(vector.topk(q, c, 4), "query_id", "rank") == one
+    assert vector.scored(q, c).count() == 1600
+
+
+def test_a_walk_serves_every_key_that_the_blacklist_leaves(spark):
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "candidate_id long, sentence2 string")
+    black = spark.createDataFrame([(1, i) for i in range(58)] + [(2, i) for i in range(60)] + [(3, i) for i in range(0, 60, 2)], "concept_id long, candidate_id long")
+    wanted = spark.createDataFrame([(c * 10 + k, c) for c in range(5) for k in range(3)], "k long, concept_id long")
+    out = rows(sampling.walked(wanted, "k", names, black, 4).groupBy("concept_id", "k").agg(F.count("*"), F.count_distinct("candidate_id")), "k")
+    assert [(c, n, d) for c, _, n, d in out] == [(c, n, n) for c, n in ((0, 4), (1, 2), (3, 4), (4, 4)) for _ in range(3)]
+    assert sampling.walked(wanted, "k", names.limit(0), black, 4).count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", [1, 4, 8, 200])
+def test_numbers_are_whole_and_in_order_after_a_shuffle(spark, parts, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"), (F.col("id") % 3).alias("g")).groupBy("k").agg(F.max("g").alias("g"))
+        got = [r["name_id"] for r in mapping.numbered(df, ["k"]).orderBy("k").collect()]
+        assert got == list(range(1, 20_001))
+        within = ranges.numbered_within(df, "g", ["k"], "at").groupBy("g").agg(F.count("*").alias("n"), F.max("at").alias("m"), F.count_distinct("at").alias("d")).collect()
+        assert all(r["n"] == r["d"] == r["m"] + 1 for r in within)
+        assert ranges.running(df, ["k"], total="k").where("total <> k * (k + 1) / 2").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_synonym_map_has_one_id_a_row(spark):
+    import os
+
+    from termweave.plans import catalogue
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    got = rows(catalogue.QUERIES["combine_pipeline"](spark, "/root/testdata/sf0.01").select("name_id", "concept_id"), "name_id")
+    assert [r[0] for r in got] == list(range(1, len(got) + 1)) and [r[1] for r in got] == sorted(r[1] for r in got)
+
+
+def test_false_positives_are_mined_once(spark, corpus, two, tmp_path):
+    path = f"file://{tmp_path}/fp"
+    first = rows(loaders.false_positive_set(spark, path, corpus, two, n_fp=2), "query_id", "corpus_id")
+    assert rows(loaders.false_positive_set(spark, path, corpus, two, n_fp=5), "query_id", "corpus_id") == first
+    assert loaders.false_positive_set(spark, path, corpus, two, n_fp=5, resample=True).count() > len(first)
+
+
+def test_loaders_from_a_folder(spark, letters, tmp_path):
+    t, n, b = letters
+    folder = f"file://{tmp_path}"
+    fp = t.select("concept_id", F.lit(1).alias("seq"), F.lit(1).alias("fp_id"), F.lit("x").alias("sentence2"))
+    for name, df in {"target_concepts": t, "name_table": n, "name_bridge": b, "false_positives": fp, "relation_false_positives": fp}.items():
+        writers.write_table(df, f"{folder}/{name}")
+    out = loaders.matching_from(spark, folder, n_neg=2)
+    kinds = dict(rows(out.groupBy("from").count(), "from"))
+    assert kinds == {"positive": 10, "negative": 20, "false_positive": 4}
+    rel = spark.createDataFrame([(101, 1, "a", "a1"), (102, 2, "b", "b1")], "concept_id1 long, concept_id2 long, sentence1 string, sentence2 string")
+    writers.write_table(rel, f"{folder}/relations")
+    writers.write_table(n.select(F.col("name_id").alias("candidate_id"), F.col("name").alias("sentence2")), f"{folder}/candidates")
+    down, up = loaders.relations_from(spark, folder, n_neg=3), loaders.relations_from(spark, folder, "ancestors", n_neg=3)
+    assert all(r["sentence1"].startswith(X.CHILD_TOKEN) for r in down.collect()) and all(r["sentence2"].startswith(X.PARENT_TOKEN) for r in up.collect())
+    assert up.where("label = 1").select("concept_id").distinct().count() == 2
+
+
+def test_arrow_files_and_spreadsheets(spark, tmp_path):
+    import pandas as pd
+    import pyarrow.feather
+
+    frame = pd.DataFrame({"i": range(1000), "s": [f"x{i}" for i in range(1000)], "c": pd.Categorical(["a", "b"] * 500)})
+    pyarrow.feather.write_feather(frame, f"{tmp_path}/a.feather", chunksize=100)
+    (tmp_path / "many").mkdir()
+    for k in range(2):
+        pyarrow.feather.write_feather(frame, f"{tmp_path}/many/{k}.feather")
+    for path, n in ((f"file://{tmp_path}/a.feather", 1), (f"file://{tmp_path}/many", 2)):
+        got = readers.read_arrow(spark, path)
+        assert rows(got.groupBy("c").agg(F.count("*"), F.sum("i")), "c") == [("a", 500 * n, 249500 * n), ("b", 500 * n, 250000 * n)]
+    pytest.importorskip("openpyxl")
+    frame.head(3).to_excel(f"{tmp_path}/a.xlsx", index=False)
+    assert readers.read_excel(spark, f"{tmp_path}/a.xlsx").count() == 3
+
+
+def test_cells_that_span_lines(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text('id\tname\n1\t"two\nlines"\n2\tx\n')
+    assert [r["name"] for r in readers.read_tsv(spark, f"file://{tmp_path}/c.tsv", multi_line=True).orderBy("id").collect()] == ["two\nlines", "x"]
+
+
+def test_a_buffered_shuffle_keeps_rows_and_its_reach(spark):
+    df = spark.range(0, 5000, 1, 3).withColumn("p", F.spark_partition_id())
+    got = buffered_shuffle(df, 100, 5).collect()
+    assert sorted(r["id"] for r in got) == list(range(5000))
+    first = {p: min(r["id"] for r in got if r["p"] == p) for p in range(3)}
+    assert all(r["place"] >= r["id"] - first[r["p"]] - 100 for r in got)
+    assert sum(r["place"] != r["id"] - first[r["p"]] for r in got) > 4000
+    assert sorted(map(tuple, got)) == sorted(map(tuple, buffered_shuffle(df, 100, 5).collect()))
+
+
+def test_batches_of_a_stream_come_in_a_drawn_order(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "k").coalesce(1).write.parquet(f"{tmp_path}/s")
+    seen = []
+    q = shuffled_batches(replay(spark, f"file://{tmp_path}/s", spark.read.parquet(f"{tmp_path}/s").schema), lambda b, e: seen.extend(r["k"] for r in b.collect()), 4, "k")
+    q.awaitTermination()
+    assert sorted(seen) == list(range(100)) and seen != sorted(seen)
 
 
 def test_false_positives_honour_the_blacklist(spark, corpus, two):
@@ -92,9 +198,7 @@ def test_negatives_avoid_the_blacklist(letters, most, expected):
     out = sampling.negatives(t, n, b, most=most)
     assert [x for _, x in rows(out.groupBy("concept_id").count(), "concept_id")] == expected
     assert out.join(b, ["concept_id", "name_id"]).count() == 0
-    drawn = sampling.drawn_negatives(t, n.withColumn("position", F.col("name_id") - 1), b, most=most)
-    assert [x for _, x in rows(drawn.groupBy("concept_id").count(), "concept_id")] == expected
-    assert drawn.join(b, ["concept_id", "name_id"]).count() == 0
+    assert out.select("concept_id", "name_id").distinct().count() == out.count()
 
 
 def test_seeds_decide_draws(letters):
