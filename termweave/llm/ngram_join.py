@@ -2,9 +2,12 @@
 
 Documents with the same shingle set form a class; only classes are joined. A fixed-size table of shingle frequencies (its size
 does not depend on the input) orders shingles from rare to frequent, so that a class is indexed under the rarest fifth of its
-shingles. Posting lists are read in shingle order as a stream; classes are dealt into blocks of bounded size by the smallest
-class that they share a list with, and only pairs of blocks in which some pair passes the length and positional filters meet.
-Inside a block pair the prefix join runs again with exact local frequencies, then the suffix filter, then one verification.
+shingles. Posting lists are read in shingle order as a stream; a class's label is the smallest class that it shares a list with.
+
+Links are found in two steps. First each class is compared with one other alone, the smallest of a list that passes the filters,
+which joins the bulk of a group of near copies, however large, at one comparison a class. Classes joined so have one hub. Then only pairs with different hubs count: classes are
+dealt into blocks of bounded size by label, and pairs of blocks in which some such pair passes the length and positional filters
+meet. Inside a block pair the prefix join runs again with exact local frequencies, then the suffix filter, then one verification.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ SLICES, SLICE_BITS = 256, 14  # 2**22 counters
 BLOCK = 256  # classes of a block, on average at most
 SIGN_BITS, MOST = 8, 65535  # a class's shingles by the first bits of their hashes; a full count is taken as any number
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
+PAIRS = 1 << 20  # candidate pairs that are looked at together
 LONG_LIST = 64  # a posting list with more classes lets its blocks meet without looking at each pair
 
 
@@ -122,56 +126,123 @@ def _with_last(items):
         yield before, True
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of lists with two classes or more; low: the smallest class of the list."""
-    for now, at in _lists(batches):
-        sizes = np.diff(np.append(at, len(now["token"])))
-        keep = np.repeat(sizes > 1, sizes)
-        now["low"] = np.repeat(now["key"][at], sizes)
-        if keep.any():
-            yield pa.record_batch({c: pa.array(x[keep]) for c, x in now.items()})
+def _shared(percent: int):
+    """Postings of lists with two classes or more; low: the smallest class of the list; near: the same, or the class itself where the
+    length and positional filters tell it from the smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, at in _lists(batches):
+            sizes = np.diff(np.append(at, len(now["token"])))
+            keep = np.repeat(sizes > 1, sizes)
+            if not keep.any():
+                continue
+            first = np.repeat(at, sizes)[keep]
+            n, place = now["n"].astype(np.int64), now["place"].astype(np.int64)
+            x, y = n[keep], n[first]
+            ok = (np.minimum(x, y) >= _ceil(np.maximum(x, y), percent)) & (np.minimum(x - place[keep], y - place[first]) >= _overlap(x, y, percent))
+            out = {c: v[keep] for c, v in now.items()}
+            out |= {"low": now["key"][first], "near": np.where(ok, now["key"][first], out["key"])}
+            yield pa.record_batch({c: pa.array(v) for c, v in out.items()})
+
+    return run
+
+
+def _pairs_of(at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within lists of one size that start at `at`, some lists at a time."""
+    i, j = np.triu_indices(size, 1)
+    step = max(1, PAIRS // len(i))
+    for k in range(0, len(at), step):
+        some = at[k : k + step, None]
+        yield (some + i).ravel(), (some + j).ravel()
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    keep = np.zeros(len(order), bool)
+    keep[:1] = True
+    for c in columns:
+        keep[1:] |= c[1:] != c[:-1]
+    return [c[keep] for c in columns]
 
 
 def _meetings(percent: int):
-    """kind 0: class (key, n) of blocks a and b (a <= b) is in a pair across them that passes the filters; kind 1: it is in a long
-    list; kind 2: blocks a and b are in one long list."""
+    """kind 0: class (key, n) of blocks a and b (a <= b) is in a pair across hubs that passes the filters; kind 1: it is in a long
+    list; kind 2: blocks a and b are in one long list, and one of them has a class that is not of the list's largest hub."""
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+
+    def told(kept: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = _distinct(*[np.concatenate([k[i] for k in kept]).astype(np.int64) for i in range(5)])
+        return pa.record_batch([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=["kind", "a", "b", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple] = set()
+        kept: list[list[np.ndarray]] = []
         for now, at in _lists(batches):
-            new: set[tuple] = set()
-            key, n, place, block = now["key"], now["n"].astype(np.int64), now["place"].astype(np.int64), now["block"]
-            ends = np.append(at[1:], len(key))
-            for a, b in zip(at.tolist(), ends.tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                if b - a > LONG_LIST:
-                    new.update((1, 0, 0, int(x), int(y)) for x, y in zip(key[a:b], n[a:b], strict=True))
-                    blocks = np.unique(block[a:b]).tolist()
-                    new.update((2, x, y, 0, 0) for i, x in enumerate(blocks) for y in blocks[i:])
-                    continue
-                i, j = np.triu_indices(b - a, 1)
-                i, j = i + a, j + a
-                ok = (np.minimum(n[i], n[j]) >= _ceil(np.maximum(n[i], n[j]), percent)) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= _overlap(n[i], n[j], percent))
-                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    p, q = sorted((int(block[x]), int(block[y])))
-                    new.update(((0, p, q, int(key[x]), int(n[x])), (0, p, q, int(key[y]), int(n[y]))))
-            new -= told
-            if len(told) < 2_000_000:
-                told |= new
-            if new:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*new, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["kind", "a", "b", "key", "n"])
+            key, n, place, block, hub = now["key"], now["n"].astype(np.int64), now["place"].astype(np.int64), now["block"], now["hub"]
+            sizes = np.diff(np.append(at, len(key)))
+            mixed_ = np.minimum.reduceat(hub, at) != np.maximum.reduceat(hub, at)
+            at, sizes = at[mixed_], sizes[mixed_]
+            for z in np.unique(sizes[sizes <= LONG_LIST]).tolist():
+                for i, j in _pairs_of(at[sizes == z], z):
+                    ok = (hub[i] != hub[j]) & (np.minimum(n[i], n[j]) >= _ceil(np.maximum(n[i], n[j]), percent))
+                    i, j = i[ok], j[ok]
+                    ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= _overlap(n[i], n[j], percent)
+                    i, j = i[ok], j[ok]
+                    p, q = np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
+                    zero = np.zeros(2 * len(i), np.int64)
+                    kept.append([zero, np.append(p, p), np.append(q, q), np.append(key[i], key[j]), np.append(n[i], n[j])])
+            for a, z in zip(at[sizes > LONG_LIST].tolist(), sizes[sizes > LONG_LIST].tolist(), strict=True):
+                x = slice(a, a + z)
+                hubs, which, count = np.unique(hub[x], return_inverse=True, return_counts=True)
+                one, zero = np.ones(z, np.int64), np.zeros(z, np.int64)
+                kept.append([one, zero, zero, key[x], n[x]])
+                blocks = np.unique(block[x])
+                for other in np.unique(block[x][which != count.argmax()]):
+                    zero = np.zeros(len(blocks), np.int64)
+                    kept.append([zero + 2, np.minimum(blocks, other), np.maximum(blocks, other), zero, zero])
+            if sum(len(k[0]) for k in kept) > PAIRS:
+                yield told(kept)
+                kept = []
+        if kept:
+            yield told(kept)
+
+    return run
+
+
+def _plausible_star(percent: int):
+    """Suffix filter of classes against one: rows sorted by task and side, one row of side 0 a task -> the plausible rows of side 1
+    and that one. The sum of the smaller counts by hash range bounds an intersection from above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if head is None else pa.concat_tables([head, rows])
+            task, side, who, n = (rows[c].to_numpy() for c in ("task", "side", "class_id", "n"))
+            bins = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u2").reshape(len(task), -1).astype(np.int32)
+            bins[bins == MOST] = 1 << 20
+            lead = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))
+            head = rows.slice(int(lead[-1]), 1)
+            i = np.flatnonzero((side == 1) & (task[lead] == task) & (side[lead] == 0))
+            j = lead[i]
+            n = n.astype(np.int64)
+            ok = np.minimum(bins[i], bins[j]).sum(1) >= _overlap(n[i], n[j], percent)
+            i, j = i[ok], np.unique(j[ok])
+            if len(i):
+                x = np.concatenate((i, j))
+                yield pa.record_batch([pa.array(task[x]), pa.array(side[x]), pa.array(who[x])], names=["task", "side", "class_id"])
 
     return run
 
 
 def _plausible(percent: int):
-    """Suffix filter: rows sorted by task -> those with a partner in the task (across its sides, if it has two) whose sizes, and
-    whose counts by hash range, allow the similarity. The sum of the smaller counts bounds an intersection from above."""
+    """Suffix filter: rows sorted by task -> those with a partner of another hub in the task (across its sides, if it has two) whose
+    sizes, and whose counts by hash range, allow the similarity."""
 
     def kept(rows: list[tuple]) -> list[int]:
         n = np.array([r[3] for r in rows], np.int64)
         side = np.array([r[1] for r in rows], np.int8)
+        hub = np.array([r[5] for r in rows], np.int64)
         bins = np.stack([np.frombuffer(r[4], "<u2") for r in rows]).astype(np.int32)
         bins[bins == MOST] = 1 << 20
         out = np.zeros(len(rows), bool)
@@ -179,6 +250,7 @@ def _plausible(percent: int):
         for at, i in enumerate(order[:-1].tolist()):
             j = order[at + 1 :]
             j = j[: np.searchsorted(n[j], n[i] * 100 // percent, "right")]
+            j = j[hub[j] != hub[i]]
             if side.any():
                 j = j[side[j] != side[i]]
             if len(j):
@@ -192,7 +264,7 @@ def _plausible(percent: int):
         now: list[tuple] = []
         for batch, last in _with_last(batches):
             out: list[tuple] = []
-            for r in zip(*(batch[c].to_pylist() for c in ("task", "side", "class_id", "n", "sign")), strict=True):
+            for r in zip(*(batch[c].to_pylist() for c in ("task", "side", "class_id", "n", "sign", "hub")), strict=True):
                 if now and r[0] != now[-1][0]:
                     out += [now[i][:3] for i in kept(now)]
                     now = []
@@ -274,8 +346,8 @@ def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
     return out
 
 
-def _verified(k: int, percent: int):
-    """Rows sorted by task -> a spanning forest of the links of each task."""
+def _verified(k: int, percent: int, star: bool = False):
+    """Rows sorted by task -> a spanning forest of the links of each task; star: each link, as (class of side 0, class of side 1)."""
 
     def forest(keys, sets, sides):
         parent = list(range(len(sets)))
@@ -287,6 +359,9 @@ def _verified(k: int, percent: int):
             return x
 
         for a, b in linked(sets, percent, np.array(sides, np.int8)):
+            if star:
+                yield (keys[a], keys[b]) if sides[b] else (keys[b], keys[a])
+                continue
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -311,13 +386,25 @@ def _verified(k: int, percent: int):
     return run
 
 
+def _links(docs: DataFrame, signs: DataFrame, tasks: DataFrame, k: int, percent: int, star: bool) -> DataFrame:
+    """(u, v): links of class_ids found in tasks (task, side, class_id, n, hub); texts go only to tasks that pass the suffix filter."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks.join(signs, "class_id").select("task", "side", "class_id", "n", "sign", "hub").repartition(parts, "task").sortWithinPartitions("task", "side")
+    tasks = tasks.mapInArrow((_plausible_star if star else _plausible)(percent), "task long, side int, class_id long")
+    wanted = tasks.groupBy("class_id").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
+    texts = docs.join(small_side(wanted, "wanted"), docs["doc_id"] == F.col("class_id")).select(F.inline("tasks"), "doc_id", "text")
+    links = texts.repartition(parts, "task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(_verified(k, percent, star), "u long, v long")
+    return written(links, "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for each row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, class_id) for each row of docs (doc_id, text; other columns, of any name, are ignored).
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct k-word shingles (A-Z lower-cased;
     fewer than k words: the whole sequence). component_id: the smallest doc_id reachable; class_id: the smallest with the same set.
-    Null and empty texts have an empty set and link with nothing. A null doc_id stays as a row and links with nothing.
-    Repeated rows are kept. An empty table gives an empty result.
+    Null and empty texts have an empty set and link with nothing. A null doc_id stays as a row and links with nothing. A long text is
+    one set like any other; ties do not arise, all links count. Repeated rows are kept; rows of one doc_id with
+    different texts each follow their own text. An empty table gives an empty result. Shingles are compared by 64-bit hashes, sets by a 64-bit hash and size.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -325,7 +412,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profile = written(docs.mapInArrow(_profile(k), "doc_id long, n long, key long, slice int, counts binary"), "profile")
     rows = profile.where("slice is null").select("doc_id", "n", "key")
-    signs = profile.where("slice is null").select(F.col("doc_id").alias("class_id"), "key", "n", F.col("counts").alias("sign"))
     counts = profile.where("slice is not null").select("slice", "counts").repartition(min(parts, SLICES), "slice").mapInArrow(_summed, "slice int, counts binary")
     table = np.zeros((SLICES, 1 << SLICE_BITS), np.int64)
     for r in counts.collect():  # 8 MB whatever the input
@@ -337,25 +423,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     shape = "token long, key long, n int, place int"
     postings = docs.where("doc_id is not null").mapInArrow(_postings(k, percent, grades), shape)
-    shared = written(postings.repartition(parts, "token").sortWithinPartitions("token", "key", "n").mapInArrow(_shared, shape + ", low long"), "postings")
-    label = shared.groupBy("key", "n").agg(F.min("low").alias("label"))
-    label = written(label, "labels")
-    size = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    block = label.join(size, "label").select("key", "n", F.xxhash64("label", F.pmod(F.xxhash64("key", "n"), "cuts")).alias("block"))
+    shared = written(postings.repartition(parts, "token").sortWithinPartitions("token", "key", "n").mapInArrow(_shared(percent), shape + ", low long, near long"), "postings")
+    label = written(shared.groupBy("key", "n").agg(F.min("low").alias("label"), F.min("near").alias("near")), "labels")
+    cuts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    block = label.join(cuts, "label").join(classes, ["key", "n"]).select("key", "n", "class_id", "near", F.xxhash64("label", F.pmod(F.xxhash64("key", "n"), "cuts")).alias("block"))
     block = written(block, "blocks")
-    met = shared.join(block, ["key", "n"]).repartition(parts, "token").sortWithinPartitions("token", "key", "n")
-    met = written(met.select("token", "key", "n", "place", "block").mapInArrow(_meetings(percent), "kind int, a long, b long, key long, n int"), "meetings")
-    some = met.where("kind = 0").select("a", "b", "key", "n").distinct().join(block, ["key", "n"]).select("a", "b", "key", "n", (F.col("block") != F.col("a")).cast("int").alias("side"))
+    signs = profile.where("slice is null").select(F.col("doc_id").alias("class_id"), "key", "n", F.col("counts").alias("sign"))
+    signs = signs.groupBy("class_id", "key", "n").agg(F.first("sign").alias("sign")).join(block.select("class_id", "key", "n"), ["class_id", "key", "n"], "left_semi")
+    signs = written(signs.select("class_id", "sign"), "signs")
+
+    rep = classes.select(F.col("key").alias("near"), F.col("n").alias("rep_n"), F.col("class_id").alias("rep"))
+    star = block.where("key <> near").join(rep, "near").where(f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)")
+    star = written(star.select("near", "class_id", "n", "rep", "rep_n"), "stars")
+    parted = star.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    star = star.join(parted, "near").withColumn("task", F.xxhash64("near", F.pmod(F.xxhash64("class_id"), "cuts")))
+    tasks = star.select("task", F.lit(1).alias("side"), "class_id", "n", F.col("class_id").alias("hub"))
+    tasks = tasks.unionByName(star.select("task", F.lit(0).alias("side"), F.col("rep").alias("class_id"), F.col("rep_n").alias("n"), F.col("rep").alias("hub")).distinct())
+    first = _links(docs, signs, tasks, k, percent, True)
+    hubs = first.groupBy(F.col("v").alias("class_id")).agg(F.min("u").alias("hub"))
+    for _ in range(2):  # a hub's own hub, and that one's
+        up = hubs.select(F.col("class_id").alias("_c"), F.col("hub").alias("_h"))
+        hubs = hubs.join(up, F.col("hub") == F.col("_c"), "left").select("class_id", F.coalesce("_h", "hub").alias("hub"))
+    block = block.join(written(hubs, "hubs"), "class_id", "left").select("key", "n", "class_id", "block", F.coalesce("hub", "class_id").alias("hub"))
+    block = written(block, "hubbed")
+
+    met = shared.join(block.select("key", "n", "block", "hub"), ["key", "n"]).repartition(parts, "token").sortWithinPartitions("token", "key", "n")
+    met = written(met.select("token", "key", "n", "place", "block", "hub").mapInArrow(_meetings(percent), "kind int, a long, b long, key long, n int"), "meetings")
+    some = met.where("kind = 0").select("a", "b", "key", "n").distinct().join(block, ["key", "n"]).select("a", "b", "class_id", "n", "hub", (F.col("block") != F.col("a")).cast("int").alias("side"))
     whole = met.where("kind = 2").select("a", "b").distinct().select("a", "b", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
-    whole = whole.join(block.join(met.where("kind = 1").select("key", "n").distinct(), ["key", "n"]), "block").select("a", "b", "key", "n", "side")
-    tasks = some.union(whole).distinct().select(F.xxhash64("a", "b").alias("task"), "key", "n", "side").join(classes, ["key", "n"])
-    signed = signs.join(tasks.select("class_id", "key", "n").distinct(), ["class_id", "key", "n"]).dropDuplicates(["class_id"]).select("class_id", "sign")
-    tasks = tasks.join(signed, "class_id").select("task", "side", "class_id", "n", "sign")
-    tasks = tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_plausible(percent), "task long, side int, class_id long")
-    wanted = tasks.groupBy("class_id").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
-    texts = docs.join(small_side(wanted, "wanted"), docs["doc_id"] == F.col("class_id")).select(F.inline("tasks"), "doc_id", "text")
-    links = texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_verified(k, percent), "u long, v long")
-    roots = components(links).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
+    whole = whole.join(block.join(met.where("kind = 1").select("key", "n").distinct(), ["key", "n"]), "block").select("a", "b", "class_id", "n", "hub", "side")
+    tasks = some.union(whole).distinct().select(F.xxhash64("a", "b").alias("task"), "side", "class_id", "n", "hub")
+    second = _links(docs, signs, small_side(tasks, "tasks"), k, percent, False)
+
+    roots = components(first.union(second)).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
     classes = classes.join(roots, "class_id", "left").select("key", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = rows.join(classes, ["key", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
