@@ -15,14 +15,20 @@ CAPACITY = 4096
 PER_SOURCE = 4
 #: Documents that are packed together; a shard's bins are complete in themselves.
 SHARD = 20_000
+#: Members of a cluster in a shard up to which its bins are told apart one by one.
+SMALL = 64
 
 
 class Bins:
-    """Open bins in order of residual, each with bit planes of its sources and a bitmap of its duplicate clusters."""
+    """Open bins in order of residual, each with bit planes of its sources and a bitmap of its duplicate clusters.
 
-    def __init__(self, capacity: int, per_source: int):
-        self.capacity, self.per_source = capacity, per_source
-        self.at: dict[int, list[int]] = {}
+    Bins of one residual are kept apart by what they refuse outright: their full sources and their clusters of `large`, the bitmap of
+    clusters with many members. So a search passes a source or a large cluster by a few groups, not bin by bin.
+    """
+
+    def __init__(self, capacity: int, per_source: int, large: int = 0):
+        self.capacity, self.per_source, self.large = capacity, per_source, large
+        self.at: dict[int, dict[tuple[int, int], list[int]]] = {}
         self.filled = 0  # bit r: some bin has residual r
         self.residual: list[int] = []
         self.planes: list[list[int]] = []
@@ -31,21 +37,25 @@ class Bins:
     def place(self, size: int, source: int, cluster: int) -> int:
         """The bin with the least residual of those that fit and do not conflict; a new one if none."""
         mask = self.filled >> size
-        last = self.per_source - 1
         r = size
         while mask:
             step = (mask & -mask).bit_length() - 1
             r += step
-            here = self.at[r]
-            for k in range(len(here) - 1, -1, -1):
-                b = here[k]
-                if not self.clusters[b] & cluster and not self.planes[b][last] & source:
-                    here[k] = here[-1]
-                    here.pop()
-                    if not here:
-                        self.filled &= ~(1 << r)
-                    self._put(b, r - size, source, cluster)
-                    return b
+            groups = self.at[r]
+            for refuses, here in groups.items():
+                if refuses[0] & source or refuses[1] & cluster:
+                    continue
+                for k in range(len(here) - 1, -1, -1):  # past at most SMALL bins, those of a small cluster
+                    b = here[k]
+                    if not self.clusters[b] & cluster:
+                        here[k] = here[-1]
+                        here.pop()
+                        if not here:
+                            del groups[refuses]
+                            if not groups:
+                                self.filled &= ~(1 << r)
+                        self._put(b, r - size, source, cluster)
+                        return b
             mask >>= step + 1
             r += 1
         b = len(self.residual)
@@ -63,22 +73,25 @@ class Bins:
                 break
         self.clusters[b] |= cluster
         self.residual[b] = residual
-        self.at.setdefault(residual, []).append(b)
+        self.at.setdefault(residual, {}).setdefault((planes[-1], self.clusters[b] & self.large), []).append(b)
         self.filled |= 1 << residual
 
 
 def pack_shard(rows: list[tuple], capacity: int, per_source: int) -> list[tuple]:
-    """rows (doc_id, source, size, cluster), largest first -> (place in rows, piece, start, length, bin) of every piece."""
-    bins, out = Bins(capacity, per_source), []
+    """rows (doc_id, source, size, cluster) -> (place in rows, piece, start, length, bin) of every piece, in the order they are placed:
+    whole bins first, then the rest from the longest to the shortest, each to the tightest bin that takes it."""
+    out = []
     seen: dict = {}
     for *_, c in rows:
         seen[c] = seen.get(c, 0) + 1
+    clusters = {c: i for i, c in enumerate(c for c, n in seen.items() if n > 1)}
+    large = sum(1 << i for c, i in clusters.items() if seen[c] > SMALL)
+    bins = Bins(capacity, per_source, large)
     sources: dict = {}
-    clusters: dict = {}
     rest = []
     for i, (_, source, size, cluster) in enumerate(rows):
         full = size // capacity if size > capacity else 0
-        bit = 1 << clusters.setdefault(cluster, len(clusters)) if seen[cluster] > 1 else 0
+        bit = 1 << clusters[cluster] if cluster in clusters else 0
         source = 1 << sources.setdefault(source, len(sources))
         for p in range(full):
             out.append((i, p, p * capacity, capacity, bins.place(capacity, source, bit)))
@@ -117,24 +130,31 @@ def _packed(capacity: int, per_source: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int | None = SHARD, cluster: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, residual): every word of every document in one bin.
 
     Sizes are words; a document longer than a bin is cut into full pieces and a rest. A bin holds at most one piece of a duplicate
     cluster (column `cluster`, by default equal texts apart from case) and at most per_source pieces of a source; the piece goes to
-    the fullest bin that takes it. Documents are dealt by a hash of doc_id into shards of about `shard`, so a source or cluster with
-    a third of all rows is spread evenly and memory holds one shard. Null and empty texts have size 0 and are one piece of length 0
-    each; a null source is a source; ties go by doc_id; repeated rows are packed each (as copies, in different bins); an empty table
-    gives no bin.
+    the fullest bin that takes it. Bins do not cross shards of about `shard` documents, which are dealt by a hash of the whole row, so
+    a source, cluster or doc_id with a third of all rows is spread evenly, copies of a row included, and memory holds one shard: the
+    bin is the tightest of its shard. shard None packs the whole table as one, in one task. Null and empty texts have size 0 and are
+    one piece of length 0 each; a null source is a source; ties go by doc_id; repeated rows are packed each (as copies, in different
+    bins); an empty table gives no bin; other columns, of any name, are ignored.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, 10_000)
+    arrow_limits(spark)
     group = F.xxhash64(F.lower(F.coalesce("text", F.lit("")))) if cluster is None else F.xxhash64(cluster)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), group.alias("cluster"))
-    shards = max(1, -(-docs.count() // shard))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), group.alias("cluster"), F.xxhash64("text").alias("content"))
+    rows = rows.withColumn("cluster", F.when(F.col("size") > 0, F.col("cluster")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))
+    # equal rows are counted before they are dealt, then numbered, so that a row that is repeated without end is dealt like others
+    rows = written(rows.groupBy("doc_id", "source", "size", "cluster", "content").agg(F.count("*").alias("n")), "sizes")
+    n = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = 1 if shard is None else max(1, -(-n // shard))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards))).withColumn("cluster", F.when(F.col("size") > 0, F.col("cluster")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))
-    rows = rows.repartition(min(parts, shards) if shards > 1 else 1, "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "content", "copy"), F.lit(shards)))
+    rows = rows.select("shard", "doc_id", "source", "size", "cluster").repartition(min(parts, shards) if shards > 1 else 1, "shard")
+    rows = rows.sortWithinPartitions("shard", F.desc("size"), "doc_id", "source", "cluster")
     return rows.mapInArrow(_packed(capacity, per_source), "doc_id long, piece int, start long, length long, bin_id long, residual long")
 
 
@@ -144,6 +164,6 @@ def pack_apart(docs: DataFrame) -> DataFrame:
     near = near_duplicates(docs).where("component_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_component"))
     many = near.groupBy("_component").agg(F.count("*").alias("_n")).where("_n > 1").select("_component")
     near = written(near.join(many, "_component", "left_semi"), "components")
-    same = F.md5(F.lower(F.coalesce("text", F.lit(""))))
+    same = F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))
     named = docs.select("doc_id", "text", "source").join(near, F.col("doc_id") == F.col("_id"), "left")
-    return pack(named.withColumn("_cluster", F.coalesce(F.concat(F.lit("component "), F.col("_component").cast("string")), same)), cluster="_cluster")
+    return pack(named.withColumn("_cluster", F.when(F.col("_component").isNotNull(), F.xxhash64(F.lit("component"), "_component")).otherwise(same)), cluster="_cluster")
