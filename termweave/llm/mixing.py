@@ -30,7 +30,7 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
 
 
 def _inclusion(classes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """(source, bits, source_size, target, whole, p, left): whole copies and inclusion probability of the documents of a size class.
+    """(source, source_size, target, left, rules): by bits, whole copies and inclusion probability p of the documents of a size class.
 
     Expected copies are proportional to bits and stop at `most`; the factor is that of the first class, from the largest down, that
     it leaves at `most` or below when all larger ones are given `most`. left: words of the target beyond the whole copies.
@@ -47,13 +47,18 @@ def _inclusion(classes: DataFrame, targets: DataFrame, most: float) -> DataFrame
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.coalesce(F.col("factor") * F.col("bits"), F.lit(most)))).otherwise(0.0)
     rows = rows.withColumn("copies", copies).withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
     rows = rows.withColumn("left", F.greatest(F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every), F.lit(0.0)))
-    return rows.select(F.col("source").alias("_s"), F.col("bits").alias("_b"), "source_size", "target", "whole", "p", "left")
+    rule = F.map_from_entries(F.collect_list(F.struct("bits", F.struct("whole", "p"))))
+    return rows.groupBy(F.col("source").alias("_s"), "source_size", "target", "left").agg(rule.alias("rules"))
 
 
 def _ranked(rows: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
-    """rows (doc_id, source, size, bits) with their rule, rank (odds of a random number over inclusion odds) and bucket of the rank."""
+    """rows (doc_id, source, size, bits) with their rule, rank (odds of a random number over inclusion odds) and bucket of the rank.
+
+    The join is by source alone, null-safe, so nothing is derived of size that would count its words again.
+    """
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
-    rows = rows.join(rules, rows["source"].eqNullSafe(F.col("_s")) & (rows["bits"] == F.col("_b"))).drop("_s", "_b").withColumn("u", draw)
+    rows = rows.join(rules, rows["source"].eqNullSafe(F.col("_s"))).drop("_s").withColumn("rule", F.col("rules")[F.col("bits")])
+    rows = rows.withColumns({"whole": F.col("rule.whole"), "p": F.col("rule.p"), "u": draw}).drop("rules", "rule")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     return rows.withColumn("rank", F.when(F.col("p") > 0, odds)).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS))
 
