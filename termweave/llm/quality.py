@@ -68,7 +68,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and cleaned (the lines that pass).
 
     Row by row, without a shuffle. A null or empty text has zero counts, fails and is not kept; other columns, also null or of
-    clashing names, pass through unless they bear one of the names above, which are replaced. Repeated rows get equal results.
+    clashing names, pass through unless they bear one of the names above, which are replaced. Texts of any length are read whole.
+    Repeated rows, and so ties, get equal results; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_words = F.filter(F.split(text, "\n"), lambda x: bare(x) != "")

@@ -350,14 +350,36 @@ def test_bad_lines_go_and_clean_text_stays(spark):
     assert got[0]["cleaned"] == clean and got[1]["cleaned"] == clean
 
 
-def test_line_chunks_repeat_once(docs, rows):
-    got = {r["doc_id"]: r for r in line_dedup(docs).collect()}
-    assert len(got) == len(rows)
-    shared = [d for d in got if got[d]["n_removed_lines"] > 0]
-    assert shared
-    for d, text, *_ in rows:
-        if got[d]["n_removed_lines"] == 0:
-            assert got[d]["cleaned"] == text
+def plain_chunks(texts):
+    """Texts without the chunks that an earlier place has: a chunk ends after a line whose rolling hash starts with 0, 1, 2 or 3."""
+    seen, out = set(), {}
+    for d in sorted(texts):
+        lines, before, chunks = (texts[d] or "").split("\n"), "", [[]]
+        for i, x in enumerate(lines):
+            own = hashlib.md5(x.encode()).hexdigest()
+            chunks[-1].append(i)
+            if hashlib.md5((before + own).encode()).hexdigest()[0] in "0123":
+                chunks.append([])
+            before = own
+        gone = set()
+        for at in chunks:
+            body = "\n".join(lines[i] for i in at)
+            if len(at) > 1 and WORD.search(body):
+                gone |= set(at) if body in seen else set()
+                seen.add(body)
+        out[d] = None if texts[d] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_line_chunks_equal_brute_force(spark, docs, rows, hot, monkeypatch):
+    monkeypatch.setattr("termweave.llm.line_dedup.HOT", hot)
+    got = {r["doc_id"]: r["cleaned"] for r in line_dedup(docs).collect()}
+    want = plain_chunks({r[0]: r[1] for r in rows})
+    assert got == want and any(want[r[0]] != r[1] for r in rows)
+    block = "\n".join(f"line {i} of it" for i in range(40))
+    many = spark.createDataFrame([(i, f"{block}\nown {i}") for i in range(30)], "doc_id long, text string")
+    assert {r["doc_id"]: r["cleaned"] for r in line_dedup(many).collect()} == plain_chunks({i: f"{block}\nown {i}" for i in range(30)})
 
 
 def test_planted_passages_all_go(spark):
@@ -551,13 +573,50 @@ OPERATORS = {
 }
 
 
+#: Columns that an operator adds, where it passes others through.
+ADDED = {"quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"], "line_dedup": ["doc_id", "cleaned", "n_lines", "n_removed_lines"]}
+LONG = "some words here " * 20
+
+
+def odd_values(name, out):
+    """Results for the rows (null, LONG), (null, null), (5, LONG) twice, in any order."""
+    by = lambda *c: sorted((tuple(r[x] for x in c) for r in out), key=str)
+    n = len(LONG.encode())
+    if name == "near_duplicates":
+        assert by("doc_id", "n_shingles", "component_id") == sorted([(None, 3, None), (None, 0, None), (5, 3, 5), (5, 3, 5)], key=str)
+    elif name == "remove_repeats":
+        assert by("doc_id", "n_bytes", "n_removed", "n_spans") == sorted([(None, n, 0, 0), (None, 0, 0, 0), (5, n, 0, 0), (5, n, 0, 0)], key=str)
+    elif name == "media_digests":
+        assert by("doc_id", "n_bytes", "payload_bytes") == sorted([(None, n, 576), (None, 0, 576), (5, n, 576), (5, n, 576)], key=str)
+    elif name == "token_files":
+        assert by("doc_id", "start", "n_tokens") == sorted([(None, 0, 1), (None, 1, 61), (5, 62, 61), (5, 123, 61)], key=str)
+    elif name == "token_counts":
+        assert by("doc_id", "n_tokens") == sorted([(None, 61), (None, 1), (5, 61), (5, 61)], key=str)
+    elif name == "quality":
+        assert by("doc_id", "n_words", "n_repeat_words", "base_failed", "kept") == sorted([(None, 60, 60, True, False), (None, 0, 0, True, False), (5, 60, 60, True, False), (5, 60, 60, True, False)], key=str)
+    elif name == "line_dedup":
+        assert by("doc_id", "cleaned", "n_lines", "n_removed_lines") == sorted([(None, LONG, 1, 0), (None, None, 1, 0), (5, LONG, 1, 0), (5, LONG, 1, 0)], key=str)
+    elif name == "mix":
+        got = by("doc_id", "source", "size", "source_size")
+        assert got == sorted([(None, None, 60, 60), (None, "s", 0, 120), (5, "s", 60, 120), (5, "s", 60, 120)], key=str)
+    else:
+        assert by("doc_id", "held_out") == sorted([(None, None)] * 2 + [(5, zlib.crc32(b"5") % 5 == 0)] * 2, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_tables_null_ids_and_clashing_columns(spark, empty, name):
     f = OPERATORS[name]
     assert f(empty).count() == 0
-    odd = spark.createDataFrame([(None, "some words here " * 20, "x", None, 1, 1.0), (None, None, None, "s", 2, 2.0), (5, "some words here " * 20, "x", "s", 3, 3.0), (5, "some words here " * 20, "x", "s", 3, 3.0)], "doc_id long, text string, lang string, source string, n int, score double")
-    odd = odd.withColumns({"key": F.lit("k"), "size": F.lit(1), "rank": F.lit(2), "spans": F.lit("z"), "label": F.lit(0), "component_id": F.lit("c"), "task": F.lit(1)})
-    assert f(odd).count() == 4
+    odd = spark.createDataFrame([(None, LONG, "x", None, 1, 1.0), (None, None, None, "s", 2, 2.0), (5, LONG, "x", "s", 3, 3.0), (5, LONG, "x", "s", 3, 3.0)], "doc_id long, text string, lang string, source string, n int, score double")
+    plain = odd.select("doc_id", "text", "source")
+    odd = odd.withColumns({"key": F.lit("k"), "size": F.lit(1), "rank": F.lit(2), "spans": F.lit("z"), "label": F.lit(0), "component_id": F.lit("c"), "task": F.lit(1), "kept": F.lit("k"), "cleaned": F.lit(0), "n_lines": F.lit("n"), "bits": F.lit("b"), "rules": F.lit(0), "copies": F.lit("c"), "first": F.lit(1), "hashes": F.lit(0), "part": F.lit("p")})
+    out, same = f(odd), f(plain)
+    if name in ADDED:
+        out, same = out.select(ADDED[name]), same.select(ADDED[name])
+    got = sorted(map(tuple, out.collect()), key=str)
+    if name != "media_digests":
+        assert got == sorted(map(tuple, same.collect()), key=str)
+    odd_values(name, out.collect())
 
 
 def test_packing_of_empty_and_repeated_rows(spark, empty):
@@ -688,7 +747,7 @@ def test_pipeline_run_equals_brute_force(spark, tmp_path):
 
 
 def test_pipeline_stages_on_odd_rows(spark, empty):
-    prose = "\n".join(f"Line {i} says thing {i * 7}, and then some more of it." for i in range(30))
+    prose = "\n".join(f"Line {i} tells a{i}b about c{i}d, then e{i}f." for i in range(30))
     odd = spark.createDataFrame([(None, prose, "en", None, None), (3, prose + " End.", None, "s", 1), (3, prose + " End.", None, "s", 1), (4, None, "en", "s", 0), (None, "", "en", "s", 0)], SCHEMA)
     odd = odd.withColumns({"size": F.lit("x"), "key": F.lit(1), "copies": F.lit(2), "cleaned": F.lit("c"), "kept": F.lit("k"), "component_id": F.lit(0)})
     want = {"quality_rules": 3, "line_dedup": 5, "ngram_jaccard_join": 5}
