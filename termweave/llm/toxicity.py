@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, small_side
 from .shingle import chunks, words
 
 BITS = 20
@@ -162,17 +162,20 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, seed: int = 7) ->
     return model
 
 
-def learnt(labelled: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
-    """A model from rows (doc_id, text, label); null labels and doc_ids are left out. Only hashes of distinct terms reach the driver,
-    four bytes each, of FIT_BYTES of text on average at most."""
-    spark = labelled.sparkSession
+def learnt(docs: DataFrame, known: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """A model from docs (doc_id, text) and known (doc_id, label), without nulls in doc_id and label.
+
+    Sizes are counted without moving texts; then the labels of the sample, whose number is bounded, go to the texts. Only hashes of
+    distinct terms reach the driver, four bytes each, of FIT_BYTES of text on average at most.
+    """
+    spark = docs.sparkSession
     arrow_limits(spark)
-    rows = labelled.where("label is not null and doc_id is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    rows = rows.where(size <= FIT_LONGEST)
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    sizes = docs.select("doc_id", size.alias("size")).where(F.col("doc_id").isNotNull() & (F.col("size") <= FIT_LONGEST))
+    n, total = sizes.join(known, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = min(1.0, most / max(n, 1), most_bytes / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
+    rows = docs.select("doc_id", "text").where(drawn & (size <= FIT_LONGEST)).join(small_side(known.where(drawn), "fit-labels"), "doc_id")
     got = rows.select("label", "text").mapInArrow(_featurised, "label int, terms binary").collect()
     got = sorted((r["label"], bytes(r["terms"])) for r in got)
     return fit([(a, np.frombuffer(b, np.int32)) for a, b in got])
@@ -208,7 +211,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty and long texts, ties, empty tables and other columns.
     """
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    out = score(docs, learnt(labelled))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held)
+    out = score(docs, learnt(docs, known))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
