@@ -90,23 +90,25 @@ def telling_pairs(owner: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndar
     place = column[place]
     owner, place = owner[place >= 0], place[place >= 0]
     z = len(names)
-    both, yes = np.zeros((z, z), np.float32), np.zeros((z, z), np.float32)
+    rate = np.bincount(place, y[owner], z) / np.maximum(np.bincount(place, minlength=z), 1)
     at = np.searchsorted(owner, np.arange(0, len(y) + 1024, 1024))
-    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        x = np.zeros((min(1024, len(y) - 1024 * i), z), np.float32)
-        x[owner[a:b] - 1024 * i, place[a:b]] = 1
-        both += x.T @ x
-        x = x[y[1024 * i : 1024 * (i + 1)] == 1]
-        yes += x.T @ x
-    rate = np.diag(yes) / np.maximum(np.diag(both), 1)
     out = np.zeros(z, bool)
-    for i in range(z):
-        n, k = both[i].astype(float), yes[i].astype(float)
-        sure = (_gain(n, k, rate[i]) > SURE_PAIR) & (_gain(n, k, rate) > SURE_PAIR) & (n > 0)
-        sure[i] = False
-        if sure.any():
-            out[i] = True
-            out |= sure
+    for low in range(0, z, 512):  # 512 terms against all, so that memory holds a strip of the pairs
+        some = slice(low, min(low + 512, z))
+        both, yes = (np.zeros((some.stop - low, z), np.float32) for _ in range(2))
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            x = np.zeros((min(1024, len(y) - 1024 * i), z), np.float32)
+            x[owner[a:b] - 1024 * i, place[a:b]] = 1
+            both += x[:, some].T @ x
+            x = x[y[1024 * i : 1024 * (i + 1)] == 1]
+            yes += x[:, some].T @ x
+        for i in range(low, some.stop):
+            n, k = both[i - low].astype(float), yes[i - low].astype(float)
+            sure = (_gain(n, k, rate[i]) > SURE_PAIR) & (_gain(n, k, rate) > SURE_PAIR) & (n > 0)
+            sure[i] = False
+            if sure.any():
+                out[i] = True
+                out |= sure
     return names[out]
 
 
