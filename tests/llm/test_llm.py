@@ -219,6 +219,25 @@ def test_media_ranges_and_retries(tmp_path):
         list(reader.read(parts[0]))
 
 
+def test_media_is_planned_from_the_manifest(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(media, "RANGE_BYTES", 300)
+    w = media.ArchiveWriter(f"file://{tmp_path}/a.zip")
+    for i in range(9):
+        w.add(f"{i}".encode(), bytes([i]) * 100)
+    w.close()
+    assert w.cuts[0] == 0 and len(w.cuts) == 4 and sorted(w.cuts) == w.cuts
+    (tmp_path / "manifest").mkdir()
+    pq.write_table(pa.table({"uri": [w.uri], "members": [9], "cuts": [w.cuts]}), f"{tmp_path}/manifest/part-0.parquet")
+    reader = media.MediaReader({"path": "", "manifest": f"file://{tmp_path}/manifest"})
+    monkeypatch.setattr(media, "directory", None)  # no archive is opened for the plan
+    parts = reader.partitions()
+    assert [(p.start, p.end) for p in parts] == list(zip(w.cuts[:-1], w.cuts[1:]))
+    assert [n for p in parts for b in reader.read(p) for n in b["name"].to_pylist()] == [str(i) for i in range(9)]
+
+
 def library_ids(rows):
     from tokenizers import Tokenizer
 
