@@ -22,7 +22,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _occurs(text: Column, marks: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, marks, ""))
+    """As a long, so that products with it do not overflow on very long texts."""
+    return F.char_length(text).cast("long") - F.char_length(F.translate(text, marks, ""))
 
 
 def bare(text: Column) -> Column:
@@ -82,7 +83,7 @@ def quality(docs: DataFrame) -> DataFrame:
     out = docs.withColumns({"_c": counts, "n_dup_lines": dups, "cleaned": cleaned, "word_chars": F.char_length(bare(text)).cast("long"), "n_symbols": _occurs(text, SYMBOLS).cast("long")})
     out = out.withColumns({"n_words": F.col("_c.n_words"), "n_repeat_words": F.col("_c.n_repeat_words")})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    enough = F.char_length(bare(F.col("cleaned"))) * 100 >= F.col("word_chars") * KEEP_PERCENT
+    enough = F.char_length(bare(F.col("cleaned"))).cast("long") * 100 >= F.col("word_chars") * KEEP_PERCENT
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_c")
 
 
