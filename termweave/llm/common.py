@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from ..runtime import scratch, shared_dir, shipped, small_side, written
 
-__all__ = ["SEPARATORS", "arrow_limits", "opened", "scratch", "shared_dir", "shipped", "small_side", "tables", "word_array", "word_count", "written"]
+__all__ = ["SEPARATORS", "arrow_limits", "opened", "scratch", "shared_dir", "shipped", "small_side", "spread", "tables", "word_array", "word_count", "written"]
 
 #: The six separators of the word definition, as a Java/DuckDB character class body.
 SEPARATORS = r"\x20\x09-\x0D"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster has cores, if its files are too few or small for that; large inputs stay as they lie."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(2 * cores) if int(size.toString()) < cores * most else df
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers hold, in rows and bytes; the same for all operators, in whatever order they run."""
     shipped(spark)

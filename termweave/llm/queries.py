@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit
+from . import align, filter_audit
 from . import line_dedup as lines
-from . import media, mixing, packing, quality, repeats, token_counts, token_files
+from . import media, mixing, packing, quality, repeats, secrets, token_counts, token_files
 from .common import tables
 from .ngram_join import near_duplicates
 from .toxicity import toxicity
@@ -70,8 +70,16 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.filter_audit(tables(spark, sf_dir), tables(spark, sf_dir, "labels"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(tables(spark, sf_dir))
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(tables(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op5_line_dedup_whole, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing, op11_filter_interaction_audit)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op5_line_dedup_whole, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing, op11_filter_interaction_audit, op12_cross_tokenizer_alignment, op13_secret_scans)
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op5_line_dedup_whole": lines.ORACLE_WINDOWS, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_filter_interaction_audit": filter_audit.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op5_line_dedup_whole": lines.ORACLE_WINDOWS, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_filter_interaction_audit": filter_audit.ORACLE, "op13_secret_scans": secrets.ORACLE}
