@@ -19,7 +19,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(2 * cores) if int(size.toString()) < cores * most else df
+    return df.repartition(2 * cores) if int(str(size)) < cores * most else df
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -116,18 +116,6 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return secrets(docs).select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, text: str = "text", into: str = "cleaned") -> DataFrame:
-    """docs without the characters of any span of a row's `spans`, which secrets(docs, ...) adds; a null text stays null.
-
-    The text is cut at the spans' ends, so spans that overlap or lie in each other leave nothing behind.
-    """
-    ends = F.transform("spans", lambda x, i: F.struct(x["start"].alias("start"), F.greatest(x["end"], F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda y: y["end"])), F.lit(0))).alias("end")))
-    return docs.withColumn("_e", ends).withColumn(into, F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.concat(
-        F.concat_ws("", F.transform("_e", lambda x, i: F.substring(F.col(text), (F.coalesce(F.get(F.col("_e"), i - 1)["end"], F.lit(0)) + 1).cast("int"), F.greatest(x["start"] - F.coalesce(F.get(F.col("_e"), i - 1)["end"], F.lit(0)), F.lit(0)).cast("int")))),
-        F.substring(F.col(text), (F.coalesce(F.element_at(F.col("_e"), F.when(F.size("_e") > 0, -1).otherwise(F.lit(None)))["end"], F.lit(0)) + 1).cast("int"), F.lit(2147483647)),
-    ))).drop("_e")
-
-
 def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
