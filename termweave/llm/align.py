@@ -80,7 +80,7 @@ class Aligner:
                 if not ids or ids[0] != self.prefix:
                     raise ValueError("the piece tokenizer joins its space to a line break")
                 ids = ids[1:]
-            out.append(ids)
+            out.append([self.prefix] if s == " " else ids)
         return out
 
     def _groups(self, data: bytes, a_ids: list[int], b_ids: list[int]) -> tuple | None:
