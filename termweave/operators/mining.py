@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
-from .vector import DIGITS, dot, search, topk
+from .vector import search, topk_barred
 
 
 def false_positives(corpus: DataFrame, queries: DataFrame | None = None, blacklist: DataFrame | None = None, n_fp: int = 50, exclude_same_name: bool = True) -> DataFrame:
@@ -28,16 +28,12 @@ def hard_negatives(anchors: DataFrame, corpus: DataFrame, positives: DataFrame,
 
     Candidates are ranked without the anchor's positives; ranks range_min <= r < range_max (0-based) stay, then those below the
     lowest-ranked bound: score < pos - margin, or score < pos * (1 - relative_margin), where pos is the best positive's score.
+    The search itself leaves the positives out, so it ranks range_max rows for every anchor however many positives any of them has.
     strategy "top" takes the most similar, "random" a seeded draw. Anchors without a positive have no bound to keep and none result.
     """
-    most = positives.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    hits = topk(anchors, corpus, range_max + most)
-    hits = hits.join(positives.select("query_id", "corpus_id").distinct(), ["query_id", "corpus_id"], "left_anti")
+    hits, near = topk_barred(anchors, corpus, range_max, positives.select("query_id", "corpus_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    hits = hits.withColumn("r", F.row_number().over(w) - 1).where((F.col("r") >= range_min) & (F.col("r") < range_max))
-    near = positives.join(anchors.select("query_id", F.col("vector").alias("_q")), "query_id").join(corpus.select("corpus_id", F.col("vector").alias("_c")), "corpus_id")
-    near = near.groupBy("query_id").agg(F.max(F.round(dot(F.col("_q"), F.col("_c")), DIGITS)).alias("pos"))
-    hits = hits.join(near, "query_id")
+    hits = hits.where(F.col("rank") > range_min).join(near.withColumnRenamed("best", "pos"), "query_id")
     if margin is not None:
         hits = hits.where(F.col("score") < F.col("pos") - margin)
     if relative_margin is not None:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
-from ..runtime import written
-from .ranges import numbered
+from .ranges import numbered, running
 
 
 def positives(targets: DataFrame, names: DataFrame, bridge: DataFrame, most: int = 10, label: int = 1, seed: int | None = None) -> DataFrame:
@@ -29,41 +28,49 @@ def _prime(n: int) -> int:
     return n
 
 
-def _drawn(seed: int, key: str, what: str, below: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(what))), 1, 12), 16, 10).cast("long"), F.lit(below))
+def _strides() -> list[int]:
+    """Sixteen primes above any number of candidates: each is coprime to every number that it strides over."""
+    out = [1 << 33]
+    while len(out) <= 16:
+        out.append(_prime(out[-1] + 1))
+    return out[1:]
 
 
-def walked(wanted: DataFrame, key: str, candidates: DataFrame, blacklist: DataFrame, most: int, seed: int = 42) -> DataFrame:
+STRIDES = _strides()
+
+
+def _drawn(seed: int, key: str, what: str, below: Column) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(what))), 1, 12), 16, 10).cast("long"), below)
+
+
+def free_draws(wanted: DataFrame, key: str, candidates: DataFrame, blacklist: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """(key, concept_id, candidate_id, sentence2, seq): for each row of wanted (key, concept_id) `most` candidates off the blacklist,
     or all there are if fewer.
 
-    A key walks over the candidates' places from a drawn start by a drawn step, modulo the smallest prime p that their number n does
-    not exceed; that visits each place once. A concept with b blacklisted names finds `most` others within its first
-    most + b + p - n steps, so no key ever meets all candidates: a few steps serve nearly every key, and only keys that come out short
-    go on to that bound.
+    The f candidates that a concept's blacklist leaves are numbered 0..f-1 without being listed, and a key takes the numbers that it
+    meets from a drawn start by a drawn stride, modulo f, which visits each once. So a key makes exactly the rows that it keeps, however
+    dense its blacklist is. Number j is place j + t, where t counts the blacklisted places b, the i-th of their concept, with
+    b - i <= j: these gaps and the numbers asked for are sorted together by range, and t is a running sum. No concept is a hot key
+    there, whatever it blacklists or how many keys it has; equal numbers of a concept are asked for once.
     """
-    places = numbered(candidates.select("candidate_id", "sentence2").distinct(), ["candidate_id"], "_n").withColumn("_at", F.col("_n") - 1)
+    places = numbered(candidates.select("candidate_id", "sentence2").distinct(), ["candidate_id"], "_n").withColumn("_spot", F.col("_n") - 1)
     n = places.count()
-    p = _prime(n)
-    black = blacklist.select("concept_id", "candidate_id").distinct()
-    todo = wanted.select(key, "concept_id", _drawn(seed, key, "start", p).alias("_a"), (_drawn(seed, key, "step", p - 1) + 1).alias("_b"))
-
-    def found(rows: DataFrame, first: Column, last: Column) -> DataFrame:
-        steps = rows.where(last >= first).withColumn("seq", F.explode(F.sequence(first, last)))
-        steps = steps.withColumn("_at", F.pmod(F.col("_a") + F.col("seq") * F.col("_b"), F.lit(p))).where(F.col("_at") < n)
-        hits = steps.join(places.select("_at", "candidate_id", "sentence2"), "_at")
-        return hits.join(black, ["concept_id", "candidate_id"], "left_anti").select(key, "concept_id", "candidate_id", "sentence2", "seq")
-
-    few = min(p, 2 * most + 8)
-    out = found(todo, F.lit(0).cast("long"), F.lit(few - 1).cast("long"))
-    if few < p:
-        out = written(out, "walked")
-        have = out.groupBy(key).agg(F.count("*").alias("_have"))
-        short = todo.join(have, key, "left").where(F.coalesce("_have", F.lit(0)) < most)
-        short = short.join(black.groupBy("concept_id").agg(F.count("*").alias("_black")), "concept_id", "left")
-        out = out.unionByName(found(short, F.lit(few).cast("long"), F.least(F.lit(p), F.coalesce("_black", F.lit(0)) + most + p - n) - 1))
-    w = Window.partitionBy(key).orderBy("seq")
-    return out.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= most)
+    barred = blacklist.select("concept_id", "candidate_id").distinct().join(places.select("candidate_id", "_spot"), "candidate_id")
+    barred = numbered(barred.where("concept_id is not null").select("concept_id", "_spot"), ["concept_id", "_spot"], "_n")
+    taken = barred.groupBy("concept_id").agg(F.count("*").alias("_taken"), F.min("_n").alias("_first"))
+    gaps = barred.join(taken, "concept_id").select("concept_id", (F.col("_spot") - (F.col("_n") - F.col("_first"))).alias("_j"))
+
+    keys = wanted.select(key, "concept_id").join(taken, "concept_id", "left").withColumn("_free", n - F.coalesce("_taken", F.lit(0))).where("_free > 0")
+    stride = F.element_at(F.array(*map(F.lit, STRIDES)), (_drawn(seed, key, "step", F.lit(len(STRIDES))) + 1).cast("int"))
+    keys = keys.withColumns({"_a": _drawn(seed, key, "start", F.col("_free")), "_b": stride, "seq": F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most), F.col("_free"))))})
+    draws = keys.select(key, "concept_id", "seq", F.pmod(F.col("_a") + (F.col("seq") - 1) * F.col("_b"), F.col("_free")).alias("_j"), "_first")
+
+    asked = draws.where("_first is not null").select("concept_id", "_j", "_first").distinct().withColumn("_gap", F.lit(0))
+    both = gaps.withColumns({"_first": F.lit(None).cast("long"), "_gap": F.lit(1)}).unionByName(asked)
+    found = running(both, ["concept_id", "_j", F.desc("_gap")], _before="_gap").where("_gap = 0")
+    found = found.select("concept_id", "_j", (F.col("_j") + F.col("_before") - (F.col("_first") - 1)).alias("_spot"))
+    out = draws.join(found, ["concept_id", "_j"], "left").withColumn("_spot", F.coalesce("_spot", "_j"))
+    return out.join(places.select("_spot", "candidate_id", "sentence2"), "_spot").select(key, "concept_id", "candidate_id", "sentence2", "seq")
 
 
 def negatives(targets: DataFrame, names: DataFrame, blacklist: DataFrame, most: int = 10, seed: int = 42) -> DataFrame:
@@ -71,7 +78,7 @@ def negatives(targets: DataFrame, names: DataFrame, blacklist: DataFrame, most:
     candidates = names.select(F.col("name_id").alias("candidate_id"), F.col("name").alias("sentence2"))
     black = blacklist.select("concept_id", F.col("name_id").alias("candidate_id"))
     named = targets.select("concept_id", F.col("concept_name").alias("sentence1"))
-    rows = walked(named.select("concept_id", F.col("concept_id").alias("_key")), "_key", candidates, black, most, seed)
+    rows = free_draws(named.select("concept_id", F.col("concept_id").alias("_key")), "_key", candidates, black, most, seed)
     return rows.join(named, "concept_id").select("sentence1", "sentence2", "concept_id", F.col("candidate_id").alias("name_id"), F.lit(0).alias("label"), F.col("seq").alias("rank"))
 
 
@@ -86,12 +93,12 @@ def interleaved(positive: DataFrame, candidates: DataFrame, blacklist: DataFrame
     positive: pos_idx, concept_id, sentence1, sentence2; candidates: candidate_id, sentence2; blacklist: concept_id, candidate_id;
     false_positive: concept_id, fp_id, sentence2, seq. Returns pos_idx, kind (0, 1, 2), seq, from, label, concept_id, sentence1,
     sentence2; consumers order by (pos_idx, kind, seq). The negatives of a positive are a
-    seeded draw over all candidates, see walked.
+    seeded draw over all candidates, see free_draws.
     """
     p = positive.select("pos_idx", "concept_id", "sentence1", "sentence2")
     cols = ["pos_idx", "kind", "seq", "from", "label", "concept_id", "sentence1", "sentence2"]
     own = p.withColumns({"kind": F.lit(0), "seq": F.lit(1), "from": F.lit("positive"), "label": F.lit(1)}).select(cols)
-    neg = walked(p.select("pos_idx", "concept_id"), "pos_idx", candidates, blacklist, n_neg, seed).join(p.select("pos_idx", "sentence1"), "pos_idx")
+    neg = free_draws(p.select("pos_idx", "concept_id"), "pos_idx", candidates, blacklist, n_neg, seed).join(p.select("pos_idx", "sentence1"), "pos_idx")
     neg = neg.withColumns({"kind": F.lit(1), "from": F.lit("negative"), "label": F.lit(0)}).select(cols)
     first = p.groupBy("concept_id").agg(F.min_by(F.struct("pos_idx", "sentence1"), "pos_idx").alias("f")).select("concept_id", "f.*")
     fps = false_positive if n_fp is None else false_positive.where(F.col("seq") <= n_fp)

@@ -38,26 +38,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _search(ids: np.ndarray, matrix: np.ndarray, k: int, barred: list[np.ndarray] | None = None):
+    """Tasks over Arrow batches that give the k best of each query. barred: for each query the ids that are never offered to it; the
+    best score among them comes in a row without corpus_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(ids)
         best = np.full((n, 0), 0.0)
         who = np.zeros((n, 0), np.int64)
+        near = np.full(n, -np.inf)
         for batch in batches:
             keep = batch["vector"].is_valid()
             corpus, vectors = batch["corpus_id"].filter(keep), batch["vector"].filter(keep)
             if not len(corpus):
                 continue
             c = np.asarray(vectors.flatten(), float).reshape(len(corpus), -1)
-            score = np.round(matrix @ c.T, DIGITS)
+            score, held = np.round(matrix @ c.T, DIGITS), corpus.to_numpy()
+            for i, out in enumerate(barred or ()):
+                at = np.flatnonzero(np.isin(held, out)) if len(out) else out
+                if len(at):
+                    near[i] = max(near[i], score[i, at].max())
+                    score[i, at] = -np.inf
             best = np.concatenate((best, score), axis=1)
-            who = np.concatenate((who, np.broadcast_to(corpus.to_numpy(), score.shape)), axis=1)
+            who = np.concatenate((who, np.broadcast_to(held, score.shape)), axis=1)
             if best.shape[1] > k:
                 order = np.lexsort((who, -best), axis=1)[:, :k]
                 best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
         m = best.shape[1]
         if m:
-            yield pa.record_batch([pa.array(np.repeat(ids, m)), pa.array(who.ravel()), pa.array(best.ravel())], names=["query_id", "corpus_id", "score"])
+            there, seen = np.isfinite(best.ravel()), np.isfinite(near)
+            found = [pa.array(np.concatenate((np.repeat(ids, m)[there], ids[seen]))), pa.array([*who.ravel()[there].tolist(), *[None] * int(seen.sum())], pa.int64()), pa.array(np.concatenate((best.ravel()[there], near[seen])))]
+            yield pa.record_batch(found, names=["query_id", "corpus_id", "score"])
 
     return run
 
@@ -85,11 +96,13 @@ def _blocks(rows: DataFrame, limit: int) -> int:
     return max(1, -(-8 * n * size // limit))
 
 
-def _in_blocks(queries: DataFrame, corpus: DataFrame, task) -> DataFrame:
+def _in_blocks(queries: DataFrame, corpus: DataFrame, task, barred: DataFrame | None = None) -> DataFrame:
     """task(ids, matrix) over Arrow batches of corpus, for each block of at most QUERY_BYTES of query vectors.
 
     One block of queries, by its measured size, goes to every task of a single scan of the corpus. More are dealt on the executors:
     each block of queries meets each block of the corpus in one group, so the driver sees no vector and a task holds two blocks.
+    barred: (query_id, corpus_id) pairs; always dealt, as each group gets those of its own block of the corpus beside its queries, and
+    task(ids, matrix, lists) gets them by query.
     """
     spark = queries.sparkSession
     shipped(spark)
@@ -97,21 +110,29 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, task) -> DataFrame:
     corpus = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), "vector")
     shape = "query_id long, corpus_id long, score double"
     q = _blocks(rows, QUERY_BYTES)
-    if q == 1:
+    if q == 1 and barred is None:
         block = rows.collect()  # at most QUERY_BYTES
         ids = np.array([r[0] for r in block], np.int64)
         held = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1) if block else np.zeros((0, 0))))
         return corpus.mapInArrow(lambda it: task(*held.value)(it) if len(held.value[0]) else iter(()), shape)
     c = _blocks(corpus.where("vector is not null"), CORPUS_BYTES)
+    if barred is not None:
+        c = max(c, -(-spark.sparkContext.defaultParallelism // q))
     # both sides may come from one table: other names keep their columns apart
     left = rows.withColumnRenamed("vector", "_qv").withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(q)), "_c": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long")))})
+    if barred is not None:
+        lists = barred.select(F.col("query_id").cast("long").alias("query_id"), F.col("corpus_id").cast("long").alias("_b")).distinct().withColumn("_c", F.pmod(F.xxhash64("_b"), F.lit(c)))
+        left = left.join(lists.groupBy("query_id", "_c").agg(F.collect_list("_b").alias("_barred")), ["query_id", "_c"], "left").select("query_id", "_qv", "_q", "_c", "_barred")
     right = corpus.where("vector is not null").select("corpus_id", F.col("vector").alias("_cv")).withColumns({"_c": F.pmod(F.xxhash64("corpus_id"), F.lit(c)), "_q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long")))})
 
+    listed = barred is not None  # the function that is sent holds no DataFrame
+
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if a.num_rows and b.num_rows:
             matrix = np.asarray(a["_qv"].combine_chunks().flatten(), float).reshape(a.num_rows, -1)
-            out = list(task(a["query_id"].to_numpy(), matrix)(iter(b.select(["corpus_id", "_cv"]).rename_columns(["corpus_id", "vector"]).to_batches(max_chunksize=4096))))
+            more = [[np.array(x or (), np.int64) for x in a["_barred"].to_pylist()]] if listed else []
+            out = list(task(a["query_id"].to_numpy(), matrix, *more)(iter(b.select(["corpus_id", "_cv"]).rename_columns(["corpus_id", "vector"]).to_batches(max_chunksize=4096))))
         return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("corpus_id", pa.int64()), ("score", pa.float64())]))
 
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(met, shape)
@@ -122,6 +143,16 @@ def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return _in_blocks(queries, corpus, _all_scores)
 
 
+def topk_barred(queries: DataFrame, corpus: DataFrame, k: int, barred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """topk that never offers a query its barred pairs (query_id, corpus_id), so k rows stay whatever is barred; and for each query with
+    a barred vector in the corpus the best score among those (query_id, best). One pass, written.
+    """
+    found = written(_in_blocks(queries, corpus, lambda ids, matrix, lists: _search(ids, matrix, k, lists), barred), "barred")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
+    hits = found.where("corpus_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits, found.where("corpus_id is null").groupBy("query_id").agg(F.max("score").alias("best"))
+
+
 def topk(queries: DataFrame, corpus: DataFrame, k: int, strategy: str = "arrow") -> DataFrame:
     """(query_id, corpus_id, score, rank): the k largest dot products for each query (query_id, vector) over corpus (corpus_id, vector).
 

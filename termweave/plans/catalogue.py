@@ -437,15 +437,15 @@ def _sampling_inputs(spark, d):
 _SAMPLE = "tg AS (SELECT * FROM concept), nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier)"
 
 
-def _walk(wanted: str, key: str, names: str, black: str, most: int, seed: int = 42) -> str:
-    """CTEs up to ng (key, concept_id, name_id, name, seq): the walk of sampling.walked over names (name_id, name), step by step."""
+def _draws(wanted: str, key: str, names: str, black: str, most: int, seed: int = 42) -> str:
+    """CTEs up to ng (key, concept_id, name_id, name, seq): sampling.free_draws over names (name_id, name), every free name listed."""
     draw = "('0x' || substr(md5('" + str(seed) + ":' || " + key + " || ':{}'), 1, 12))::BIGINT"
     extra = "" if key == "concept_id" else f"{key}, "
     return f"""np AS (SELECT *, row_number() OVER (ORDER BY name_id) - 1 pos FROM {names}),
-pz AS (SELECT min(p) p FROM (SELECT unnest(range(greatest((SELECT count(*) FROM np), 2), (SELECT count(*) FROM np) + 500)) p) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 3000)) q) WHERE q * q <= p AND p % q = 0)),
-wk AS (SELECT {extra}concept_id, p, {draw.format("start")} % p a, 1 + {draw.format("step")} % (p - 1) b FROM {wanted}, pz),
-st AS (SELECT *, unnest(range(0, p)) j FROM wk),
-ng AS (SELECT * FROM (SELECT {extra}concept_id, name_id, name, row_number() OVER (PARTITION BY {key} ORDER BY j) seq FROM st JOIN np ON pos = (a + j * b) % p ANTI JOIN {black} USING (concept_id, name_id)) WHERE seq <= {most})"""
+wc AS MATERIALIZED (SELECT DISTINCT concept_id FROM {wanted}),
+fr AS MATERIALIZED (SELECT c.concept_id, np.name_id, name, row_number() OVER (PARTITION BY c.concept_id ORDER BY pos) - 1 j, count(*) OVER (PARTITION BY c.concept_id) f FROM wc c CROSS JOIN np LEFT JOIN {black} b ON b.concept_id = c.concept_id AND b.name_id = np.name_id WHERE b.name_id IS NULL),
+wk AS MATERIALIZED (SELECT {extra}concept_id, f, {draw.format("start")} % f a, {sampling.STRIDES}[1 + {draw.format("step")} % {len(sampling.STRIDES)}] b FROM {wanted} JOIN (SELECT DISTINCT concept_id, f FROM fr) USING (concept_id)),
+ng AS (SELECT {extra}concept_id, name_id, name, s + 1 seq FROM (SELECT {extra}concept_id, s, (a + s * b) % f j FROM (SELECT *, unnest(range(least({most}, f))) s FROM wk)) JOIN fr USING (concept_id, j))"""
 
 
 @query("SELECT concept_id, name_id, sentence1, sentence2, label FROM (SELECT concept_id, name_id, concept_name sentence1, name sentence2, 1 AS label, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 3", S.CONCEPT, S.BRIDGE, _SAMPLE)
@@ -458,13 +458,13 @@ def positives_md5_n(spark, d):
     return sampling.positives(*_sampling_inputs(spark, d), most=3, seed=7).select("concept_id", "name_id")
 
 
-@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", S.CONCEPT, S.BRIDGE, _SAMPLE, _walk("tg", "concept_id", "nm", "bridge", 5))
+@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", S.CONCEPT, S.BRIDGE, _SAMPLE, _draws("tg", "concept_id", "nm", "bridge", 5))
 def negatives_blacklist(spark, d):
     a, b, black = _sampling_inputs(spark, d)
     return sampling.negatives(a, b, black, most=5).select("concept_id", "name_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", "cu AS (SELECT c_custkey concept_id FROM customer), nm AS (SELECT p_partkey name_id, p_name AS name FROM part), bl AS (SELECT DISTINCT o_custkey concept_id, l_partkey name_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)", _walk("cu", "concept_id", "nm", "bl", 10))
+@query("SELECT concept_id, name_id, seq::BIGINT AS rank FROM ng", "cu AS (SELECT c_custkey concept_id FROM customer), nm AS (SELECT p_partkey name_id, p_name AS name FROM part), bl AS (SELECT DISTINCT o_custkey concept_id, l_partkey name_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)", _draws("cu", "concept_id", "nm", "bl", 10))
 def negatives_drawn_at_scale(spark, d):
     """Parts that a customer never ordered: customers times parts pairs are never made."""
     a = t(spark, d, "customer").select(F.col("c_custkey").alias("concept_id"), F.col("c_name").alias("concept_name"))
@@ -484,7 +484,7 @@ def _interleave_inputs(spark, d):
 
 _INTER = """ps AS (SELECT * FROM (SELECT concept_id, name_id, concept_name sentence1, name sentence2, row_number() OVER (PARTITION BY concept_id ORDER BY name_id) r FROM bridge JOIN tg USING (concept_id) JOIN nm USING (name_id)) WHERE r <= 2),
 pp AS (SELECT *, concept_id * 10 + r pos_idx FROM ps),
-""" + _walk("pp", "pos_idx", "nm", "bridge", 4) + """,
+""" + _draws("pp", "pos_idx", "nm", "bridge", 4) + """,
 al AS (SELECT pos_idx, 0 kind, 1 seq, 'positive' AS "from", 1 AS label, concept_id, sentence1, sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, sentence1, ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx
  UNION ALL SELECT min(pos_idx), 2, seq, 'false_positive', 0, concept_id, any_value(sentence1), 'fp ' || seq FROM pp, (SELECT unnest([1, 2]) seq) GROUP BY concept_id, seq)"""
 
@@ -908,7 +908,7 @@ def _fp(concepts):
 
 _MATCHING = """pp AS (SELECT *, row_number() OVER (ORDER BY concept_id, name_id) pos_idx FROM pf),
 nm AS (SELECT s_suppkey name_id, s_name AS name FROM supplier),
-""" + _walk("pp", "pos_idx", "nm", "bridge", 4)
+""" + _draws("pp", "pos_idx", "nm", "bridge", 4)
 
 
 @query("SELECT pos_idx, 0 kind, 1::BIGINT seq, 'positive' AS \"from\", 1 AS label, concept_id, '[MATCHING] ' || sentence1 sentence1, sentence2 FROM pp UNION ALL SELECT ng.pos_idx, 1, seq, 'negative', 0, ng.concept_id, '[MATCHING] ' || sentence1, ng.name FROM ng JOIN pp ON pp.pos_idx = ng.pos_idx UNION ALL " + _FIRST.format(sentence1="'[MATCHING] ' || any_value(sentence1)", sentence2="'fp ' || seq", rows="pp"), S.BRIDGE, S.CONCEPT, _PAIR, _MATCHING)
@@ -929,7 +929,7 @@ def _relation_inputs(spark, d):
     return hierarchy.relation_sentences(S.edges(spark, d), n).drop("label"), c
 
 
-_RELATED = "rs AS (SELECT DISTINCT {ids}, a.domain_id || ': ' || a.concept_name sentence1, b.domain_id || ': ' || b.concept_name sentence2 FROM edges JOIN nodes a ON {one} = a.concept_id JOIN nodes b ON {two} = b.concept_id), pp AS (SELECT *, row_number() OVER (ORDER BY concept_id, other, sentence1, sentence2) pos_idx FROM rs), nm AS (SELECT concept_id name_id, domain_id || ': ' || concept_name AS name FROM nodes), bl AS (SELECT DISTINCT concept_id, other name_id FROM rs UNION SELECT DISTINCT concept_id, concept_id FROM rs),\n" + _walk("pp", "pos_idx", "nm", "bl", 4)
+_RELATED = "rs AS (SELECT DISTINCT {ids}, a.domain_id || ': ' || a.concept_name sentence1, b.domain_id || ': ' || b.concept_name sentence2 FROM edges JOIN nodes a ON {one} = a.concept_id JOIN nodes b ON {two} = b.concept_id), pp AS (SELECT *, row_number() OVER (ORDER BY concept_id, other, sentence1, sentence2) pos_idx FROM rs), nm AS (SELECT concept_id name_id, domain_id || ': ' || concept_name AS name FROM nodes), bl AS (SELECT DISTINCT concept_id, other name_id FROM rs UNION SELECT DISTINCT concept_id, concept_id FROM rs),\n" + _draws("pp", "pos_idx", "nm", "bl", 4)
 _DOWN = _RELATED.format(ids="ancestor concept_id, descendant other", one="ancestor", two="descendant")
 _UP = _RELATED.format(ids="descendant concept_id, ancestor other", one="descendant", two="ancestor")
 

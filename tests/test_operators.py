@@ -61,13 +61,41 @@ def test_topk_in_query_blocks(spark, monkeypatch):
     assert vector.scored(q, c).count() == 1600
 
 
-def test_a_walk_serves_every_key_that_the_blacklist_leaves(spark):
+def test_draws_serve_every_key_that_the_blacklist_leaves(spark):
     names = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "candidate_id long, sentence2 string")
-    black = spark.createDataFrame([(1, i) for i in range(58)] + [(2, i) for i in range(60)] + [(3, i) for i in range(0, 60, 2)], "concept_id long, candidate_id long")
+    black = spark.createDataFrame([(1, i) for i in range(58)] + [(2, i) for i in range(60)] + [(3, i) for i in range(0, 60, 2)] + [(1, 5), (1, 900), (None, 3)], "concept_id long, candidate_id long")
     wanted = spark.createDataFrame([(c * 10 + k, c) for c in range(5) for k in range(3)], "k long, concept_id long")
-    out = rows(sampling.walked(wanted, "k", names, black, 4).groupBy("concept_id", "k").agg(F.count("*"), F.count_distinct("candidate_id")), "k")
+    out = rows(sampling.free_draws(wanted, "k", names, black, 4).groupBy("concept_id", "k").agg(F.count("*"), F.count_distinct("candidate_id")), "k")
     assert [(c, n, d) for c, _, n, d in out] == [(c, n, n) for c, n in ((0, 4), (1, 2), (3, 4), (4, 4)) for _ in range(3)]
-    assert sampling.walked(wanted, "k", names.limit(0), black, 4).count() == 0
+    assert sampling.free_draws(wanted, "k", names.limit(0), black, 4).count() == 0
+    assert sampling.free_draws(wanted, "k", names, black.limit(0), 4).count() == 60
+
+
+def test_draws_under_a_dense_blacklist_make_only_the_rows_they_keep(spark):
+    """A concept that blacklists all but five names, with many keys: each gets all five, once, and nothing else is made on the way."""
+    free = {3, 700, 701, 1500, 1999}
+    names = spark.range(2000).select(F.col("id").alias("candidate_id"), F.concat(F.lit("n"), "id").alias("sentence2"))
+    black = names.where(~F.col("candidate_id").isin(*free)).select(F.lit(7).cast("long").alias("concept_id"), "candidate_id")
+    wanted = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") < 390, 7).otherwise(8).cast("long").alias("concept_id"))
+    got = sampling.free_draws(wanted, "k", names, black, 5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append((r["seq"], r["candidate_id"]))
+    assert len(got) == 2000 and all({c for _, c in x} == free and [s for s, _ in sorted(x)] == [1, 2, 3, 4, 5] for k, x in by.items() if k < 390)
+    assert all(len({c for _, c in by[k]}) == 5 for k in range(390, 400)) and len({tuple(sorted(x)) for x in by.values()}) > 5
+
+
+def test_search_leaves_barred_pairs_out_and_keeps_k(spark):
+    """One anchor bars half of the corpus; every anchor still gets k rows, and its best barred score."""
+    c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(99, None)], "corpus_id long, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "query_id long, vector array<float>")
+    barred = spark.createDataFrame([(1, i) for i in range(20, 40)] + [(2, 39), (2, 39), (2, 500), (9, 1)], "query_id long, corpus_id long")
+    hits, best = vector.topk_barred(q, c, 3, barred)
+    assert rows(hits.select("query_id", "rank", "corpus_id"), "query_id", "rank") == [(1, 1, 19), (1, 2, 18), (1, 3, 17), (2, 1, 38), (2, 2, 37), (2, 3, 36), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
+    assert rows(best, "query_id") == [(1, 39.0), (2, 39.0)]
+    wide, _ = vector.topk_barred(q, c, 60, barred)
+    assert rows(wide.groupBy("query_id").count(), "query_id") == [(1, 20), (2, 39), (3, 40)]
+    assert vector.topk_barred(q, c.limit(0), 3, barred)[0].count() == 0
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
