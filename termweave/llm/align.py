@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +17,23 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, spread, written
 
-#: Segments of at most so many characters are kept from text to text, and so many of them, in each worker.
-LONG_SEGMENT, SEGMENTS = 64, 200_000
+#: Segments of at most so many characters are kept from text to text, and about so many of them (250 bytes each), in each worker.
+LONG_SEGMENT, SEGMENTS = 64, 500_000
+#: Segments that are worked on at once, which bounds what a worker holds besides: a long text is taken in such pieces.
+AT_ONCE = 50_000
 #: Pairs that are broadcast at most, 17 bytes each: the most frequent ones.
 HOT_PAIRS = 1 << 20
 #: Labels of a byte: an A token ends here, a B token does, both do.
 A_END, B_END, BOTH = b"a"[0], b"b"[0], b"c"[0]
 _SPAN = re.compile(rb"[^c]*c")
-#: No token of either tokenizer lies across the place before a space or line break that follows other than white space.
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: No token of either tokenizer lies across these places: before a space or line break that follows other than white space, and
+#: between a Latin letter and an ASCII digit or sign. A segment ends at the first such place; most are a word or signs.
+_LETTERS, _SIGNS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]", "[!-@\\[-`{-~]"
+_SEGMENT = re.compile(
+    rf"[ \n]?(?:{_LETTERS}++(?=[ \n]|{_SIGNS}|\Z)|{_SIGNS}++(?=[ \n]|\Z))"
+    rf"|.+?(?:(?<=\S)(?=[ \n])|(?<={_LETTERS})(?={_SIGNS})|\Z)",
+    re.DOTALL,
+)
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARS = {chr(b): b for b in _SELF} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
@@ -51,18 +61,20 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b_path)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.vocab_size())]
-        self.prefix = self.b.piece_to_id("▁")
-        self.cut = _CUT if self._cut_is_safe(a_path) else None
-        self.most, self.kept = segments, {}
+        self.guard = self.b.encode("\n")
+        self.cut = self._cut_is_safe(a_path)
+        self.most, self.kept, self.older, self.long = segments // 2, {}, {}, []
 
     def _cut_is_safe(self, a_path: str) -> bool:
-        """A's words begin with white space at most; no piece of B holds a line break, or a space after something else."""
+        """A's words are runs of one class after white space at most; no piece of B holds a line break, a space after something else,
+        or a sign after a letter."""
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         words = spec.get("pre_tokenizer") or {}
         plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and spec.get("normalizer") is None
-        odd = re.compile("\n|[^▁]▁")
-        return plain and not any(odd.search(self.b.id_to_piece(i)) for i in range(self.b.vocab_size()) if not self.b.is_byte(i))
+        odd = re.compile(f"\n|[^▁]▁|{_LETTERS}{_SIGNS}")
+        own = (self.b.id_to_piece(i) for i in range(self.b.vocab_size()) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i))
+        return plain and len(self.guard) == 2 and not any(map(odd.search, own))
 
     @classmethod
     def get(cls, a_path: str, b_path: str) -> Aligner:
@@ -72,64 +84,95 @@ class Aligner:
         return _open[a_path, b_path]
 
     def _b_ids(self, segments: list[str]) -> list[list[int]]:
-        """B begins every text with a space of its own: it stands for a segment's first one, or goes before a line break."""
-        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        """B begins every text with a space of its own: it stands for a segment's first one, or goes before a line break that is put in
+        front, which nothing is joined to."""
+        found = self.b.encode([s[1:] if s[0] == " " else f"\n{s}" for s in segments], num_threads=1)
         out = []
         for s, ids in zip(segments, found, strict=True):
             if s[0] != " ":
-                if not ids or ids[0] != self.prefix:
-                    raise ValueError("the piece tokenizer joins its space to a line break")
-                ids = ids[1:]
-            out.append([self.prefix] if s == " " else ids)
+                if ids[:2] != self.guard:
+                    raise ValueError("the piece tokenizer joins a line break to something")
+                ids = ids[2:]
+            out.append(self.guard[:1] if s == " " else ids)
         return out
 
     def _groups(self, data: bytes, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, text of the groups, linked pairs) of a segment; None if a side does not give its bytes back."""
-        a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
+        """(n_a, text of the groups, linked pairs) of a segment; None if a side does not give its bytes back."""
+        a, b = list(map(self.a_bytes.__getitem__, a_ids)), list(map(self.b_bytes.__getitem__, b_ids))
         if b"".join(a) != data or b"".join(b) != data:
             return None
-        ends_a, ends_b = np.cumsum(list(map(len, a))) - 1, np.cumsum(list(map(len, b))) - 1
-        labels = np.full(len(data), b"."[0], np.uint8)
-        labels[ends_a], labels[ends_b] = A_END, B_END
-        labels[np.intersect1d(ends_a, ends_b, assume_unique=True)] = BOTH
-        marks, i, j, groups, pairs = labels.tobytes(), 0, 0, [], []
-        for span in _SPAN.finditer(marks):
-            s = span.group()
+        labels, at = bytearray(b"." * len(data)), -1
+        for n in map(len, a):
+            at += n
+            labels[at] = A_END
+        at = -1
+        for n in map(len, b):
+            at += n
+            labels[at] = BOTH if labels[at] == A_END else B_END
+        i, j, groups, pairs = 0, 0, [], []
+        for s in _SPAN.findall(labels.translate(None, b".")):
             m, n = i + s.count(b"a") + 1, j + s.count(b"b") + 1
-            groups.append(f"{','.join(map(str, a_ids[i:m]))}|{','.join(map(str, b_ids[j:n]))}")
-            for mark in s.replace(b".", b""):  # a token meets the other side's next one when one of them ends
+            groups.append(f"{','.join(map(str, a_ids[i:m]))}|{','.join(map(str, b_ids[j:n]))}" if len(s) > 1 else f"{a_ids[i]}|{b_ids[j]}")
+            for mark in s:  # a token meets the other side's next one when one of them ends
                 pairs.append(a_ids[i] << 32 | b_ids[j])
                 i += mark != B_END
                 j += mark != A_END
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes()
-
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each text, which is not empty, what _groups gives for its segments; None where a byte is lost."""
-        cut = [self.cut.split(f" {t}") if self.cut else [f" {t}"] for t in texts]
-        known = self.kept
-        missing = list({s for segments in cut for s in segments if s not in known})
-        made = {}
+        return len(a), ";".join(groups).encode(), array("q", pairs).tobytes()
+
+    def _look(self, segments: Iterable[str]) -> dict:
+        """What _groups gives, by segment. Kept segments age in two halves: what the newer half asks of the older one moves over; long
+        ones stay until the next call."""
+        for s in self.long:
+            self.kept.pop(s, None)
+        if len(self.kept) > self.most:
+            self.older, self.kept = self.kept, {}
+        known, older, missing = self.kept, self.older, []
+        for s in set(segments).difference(known):
+            if s in older:
+                known[s] = older[s]
+            else:
+                missing.append(s)
         if missing:
             a_ids = [e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)]
-            made = {s: self._groups(s.encode(), x, y) for s, x, y in zip(missing, a_ids, self._b_ids(missing), strict=True)}
-        if len(known) + len(made) > self.most:
-            made |= {s: known[s] for segments in cut for s in segments if s in known}
-            known.clear()
-        look = known | made if len(made) > len(known) // 4 else None
-        out = []
-        for segments in cut:
-            if look is None:
-                got = [known[s] if s in known else made[s] for s in segments] if made else list(map(known.__getitem__, segments))
-            else:
-                got = list(map(look.__getitem__, segments))
-            out.append(None if None in got else tuple(zip(*got, strict=True)))
-        room = self.most - len(known)
-        for s, x in made.items():
-            if room and len(s) <= LONG_SEGMENT:
-                known[s] = x
-                room -= 1
+            for s, x, y in zip(missing, a_ids, self._b_ids(missing), strict=True):
+                known[s] = self._groups(s.encode(), x, y)
+        self.long = [s for s in missing if len(s) > LONG_SEGMENT]
+        return known
+
+    def align(self, texts: list[str], with_groups: bool = False) -> list[tuple | None]:
+        """For each text, which is not empty: n_a, n_b, n_groups, n_links, digest of the groups, linked pairs (an array, repeats
+        included), and the groups if asked for. None where a byte is lost."""
+        cut = [_SEGMENT.findall(f" {t}") if self.cut else [f" {t}"] for t in texts]
+        out, i = [], 0
+        while i < len(cut):
+            j, size = i + 1, len(cut[i])
+            while j < len(cut) and size + len(cut[j]) <= AT_ONCE:
+                size += len(cut[j])
+                j += 1
+            look = self._look(chain.from_iterable(cut[i:j])) if size <= AT_ONCE else None
+            for segments in cut[i:j]:
+                out.append(self._summed(segments, look, with_groups))
+            i = j
         return out
 
+    def _summed(self, segments: list[str], look: dict | None, with_groups: bool) -> tuple | None:
+        n_a, n_groups, digest, pairs, groups = 0, 0, hashlib.sha256(), [], []
+        for at in range(0, len(segments), AT_ONCE):
+            piece = segments[at : at + AT_ONCE]
+            got = list(map((look or self._look(piece)).__getitem__, piece))
+            if None in got:
+                return None
+            counts, texts, links = zip(*got, strict=True)
+            text = b";".join(texts)
+            n_a, n_groups = n_a + sum(counts), n_groups + text.count(b"|")
+            digest.update(b";" + text if at else text)
+            pairs.append(np.frombuffer(b"".join(links), np.int64))
+            if with_groups:
+                groups.append(text)
+        links = np.concatenate(pairs)
+        # in a group each end of a token but the last makes one link more
+        return n_a, len(links) + n_groups - n_a, n_groups, len(links), digest.hexdigest(), links, b";".join(groups).decode()
+
 
 _SHAPE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -140,7 +183,7 @@ def links(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
     Text by text: each byte is labelled with the tokens that end there, and a pattern over the labels takes spans up to each byte where
     both end. Texts are cut where neither tokenizer can join anything, and a distinct segment is encoded and labelled once; a worker
-    keeps SEGMENTS short ones at most. A null or empty text, or one whose bytes a tokenizer does not give back, has no tokens: zeros,
+    keeps about SEGMENTS short ones. A null or empty text, or one whose bytes a tokenizer does not give back, has no tokens: zeros,
     no pairs, ''. Texts of any length are read whole. Other columns are ignored, repeated rows get equal rows, an empty table none.
     """
     arrow_limits(docs.sparkSession)
@@ -153,15 +196,12 @@ def links(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             aligner = aligner or Aligner.get(*paths)
             texts = batch["text"].to_pylist()
             at = [i for i, t in enumerate(texts) if t]
-            found = dict(zip(at, aligner.align([texts[i] for i in at]), strict=True))
+            found = dict(zip(at, aligner.align([texts[i] for i in at], with_groups), strict=True))
             rows = []
             for i in range(len(texts)):
-                if (x := found.get(i)) is None:
-                    rows.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32), ""))
-                    continue
-                groups = b";".join(x[4])
-                pairs, times = np.unique(np.frombuffer(b"".join(x[5]), np.int64), return_counts=True)
-                rows.append((sum(x[0]), sum(x[1]), sum(x[2]), sum(x[3]), hashlib.sha256(groups).hexdigest(), pairs, times.astype(np.int32), groups.decode() if with_groups else ""))
+                *counts, digest, pairs, groups = found.get(i) or (0, 0, 0, 0, "", np.zeros(0, np.int64), "")
+                pairs, times = np.unique(pairs, return_counts=True)
+                rows.append((*counts, digest, pairs, times.astype(np.int32), groups))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             data = [batch["doc_id"].cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols[:7], kinds, strict=True)]]

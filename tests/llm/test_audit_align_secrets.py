@@ -157,18 +157,22 @@ def some_texts(n, seed=4):
 
 def test_segments_equal_whole_texts(aligner):
     texts = [t for t in some_texts(4000) if t]
-    for t, g in zip(texts, aligner.align(texts), strict=True):
+    for t, g in zip(texts, aligner.align(texts, True), strict=True):
         w = plainly(aligner, t)
         assert (g is None) == (w is None), t
         if g:
-            assert b";".join(g[4]).decode() == ";".join(w[2]) and sum(g[3]) == len(w[3]) and (sum(g[0]), sum(g[1]), sum(g[2])) == (len(w[0]), len(w[1]), len(w[2])), t
-
-
-def test_a_full_cache_starts_anew():
-    al = align.Aligner(*align.default_tokenizers(), segments=5)
-    for t in ("one two three", "four five six seven", "one two eight", "nine " * 20 + "ten"):
-        got = al.align([t, t])
-        assert b";".join(got[0][4]).decode() == ";".join(plainly(al, t)[2]) and got[0] == got[1] and len(al.kept) <= 5
+            assert g[6] == ";".join(w[2]) and g[:4] == (len(w[0]), len(w[1]), len(w[2]), len(w[3])), t
+            assert sorted(g[5].tolist()) == sorted(a << 32 | b for a, b in w[3]), t
+
+
+def test_a_full_cache_and_long_texts(monkeypatch):
+    monkeypatch.setattr(align, "AT_ONCE", 7)
+    al = align.Aligner(*align.default_tokenizers(), segments=10)
+    for t in ("one two three", "four five six seven", "one two eight", "nine, " * 40 + "x" * 90 + " ten", "lost ▁ " * 9):
+        got = al.align([t, t, "one"], True)
+        want = plainly(al, t)
+        assert got[0] == got[1] if want is None else got[0][6] == got[1][6] == ";".join(want[2]) and got[0][4] == hashlib.sha256(got[0][6].encode()).hexdigest()
+        assert len(al.kept) <= 5 + 7
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 40, 1])
