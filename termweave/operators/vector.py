@@ -157,9 +157,14 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, strategy: str = "arrow")
     """(query_id, corpus_id, score, rank): the k largest dot products for each query (query_id, vector) over corpus (corpus_id, vector).
 
     strategy "arrow": queries in blocks of at most QUERY_BYTES are multiplied with Arrow batches of the corpus and k a query are kept
-    (see _in_blocks), so k rows a query and block are shuffled, never all pairs. "expr": expressions only, for small inputs.
+    (see _in_blocks), so k rows a query and block are shuffled, never all pairs. "expr": expressions only, for small inputs. "lists":
+    approximate, by an index of inverted lists (see ivf) that is built for this search.
     Ties go by corpus_id; scores are rounded to 9 digits so that both agree; null vectors never match; k beyond the corpus is fine.
     """
+    if strategy == "lists":
+        from .ivf import ListIndex
+
+        return ListIndex.build(corpus, k).topk(queries, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     if strategy == "expr":
         pairs = queries.select("query_id", F.col("vector").alias("_q")).crossJoin(corpus.select("corpus_id", F.col("vector").alias("_c")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, blending, hierarchy, loaders, mapping, metrics, mining, rerank, sampling, vector
+from ..operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, rerank, sampling, vector
 from ..runtime import scratch
 from ..sources import readers, schema, writers
 from . import standins as S
@@ -154,6 +154,28 @@ def lsh_topk(spark, d):
     return vector.lsh_topk(q, c, 5).select("query_id", "corpus_id", *_r("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _list_searches(spark, d):
+    """Vectors without near neighbours, and names' vectors with many: (name, queries with id % 100 = 0, corpus)."""
+    q, c, _ = S.vectors(spark, d)
+    n = vector.encoded(t(spark, d, "part").select(F.col("p_partkey").alias("corpus_id"), "p_name"), "p_name").select("corpus_id", "vector")
+    yield "embeddings", q.where("query_id % 100 = 0"), c
+    yield "names", n.where("corpus_id % 100 = 0").withColumnRenamed("corpus_id", "query_id"), n
+
+
+@query()
+def ivf_figures(spark, d):
+    """The list index over both kinds of vectors: its recall, and the shares of pairs that it reads by codes and scores exactly."""
+    out = [ivf.ListIndex.build(c, 10).figures(q, 10).select(F.lit(name).alias("vectors"), "*") for name, q, c in _list_searches(spark, d)]
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT 'embeddings' AS vectors, count(*) FILTER (vec_id % 100 = 0)::BIGINT AS queries, count(*)::BIGINT AS corpus, true AS recalled, true AS tenth_scored FROM embeddings UNION ALL SELECT 'names', count(*) FILTER (p_partkey % 100 = 0)::BIGINT, count(*)::BIGINT, true, true FROM part")
+def ivf_recall(spark, d):
+    """Whether the list index finds 0.9 of the ten nearest and scores at most a tenth of all pairs exactly; figures in ivf_figures."""
+    f = ivf_figures(spark, d)
+    return f.select("vectors", "queries", "corpus", (F.col("recall") >= 0.9).alias("recalled"), (F.col("scored") <= 0.1).alias("tenth_scored"))
+
+
 @query("SELECT p_partkey, 1.0::DOUBLE AS length FROM part")
 def encoded_names(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name")

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from termweave.functions import text as X
-from termweave.operators import audit, blending, hierarchy, loaders, mapping, metrics, mining, ranges, rerank, sampling, vector
+from termweave.operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, ranges, rerank, sampling, vector
 from termweave.sources import readers, schema, writers
 from termweave.streaming.replay import buffered_shuffle, replay, shuffled_batches
 
@@ -61,6 +62,32 @@ def test_topk_in_query_blocks(spark, monkeypatch):
     assert vector.scored(q, c).count() == 1600
 
 
+def test_list_index_against_exact_search(spark, monkeypatch):
+    """Vectors in clusters, one of which holds a third of all rows, in small parts and blocks: recall, and how little is read."""
+    monkeypatch.setattr(ivf, "PART_ROWS", 50)
+    monkeypatch.setattr(ivf, "ASK_ROWS", 4)
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(30, 24))
+    near = np.where(r.random(1500) < 0.33, 0, r.integers(0, 30, 1500))
+    v = centres[near] + 0.15 * r.normal(size=(1500, 24))
+    c = spark.createDataFrame([(i, [float(x) for x in row / np.linalg.norm(row)]) for i, row in enumerate(v)] + [(9999, None)], "corpus_id long, vector array<float>")
+    q = c.where("corpus_id % 50 = 0 or corpus_id = 9999").withColumnRenamed("corpus_id", "query_id")
+    index = ivf.ListIndex.build(c, 10)
+    assert index.rows.count() == 1500 and index.sizes.agg(F.sum("size")).first()[0] == 1500
+    f = index.figures(q, 10).first()
+    assert f["queries"] == 30 and f["corpus"] == 1500 and f["recall"] >= 0.9 and f["read"] < 0.6 and f["scored"] <= 0.1
+    hits = index.topk(q, 10)
+    assert hits.groupBy("query_id").count().where("count <> 10").count() == 0 and hits.where("rank = 1 and query_id <> corpus_id").count() == 0
+
+
+def test_list_index_of_few_equal_and_no_rows(spark):
+    c = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "corpus_id long, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
+    assert rows(ivf.ListIndex.build(c, 3).topk(q, 3).select("corpus_id", "rank"), "rank") == [(0, 1), (1, 2), (2, 3)]
+    assert vector.topk(q, c, 100, "lists").count() == 30
+    assert ivf.ListIndex.build(c.limit(0), 3).topk(q, 3).count() == 0
+
+
 def test_draws_serve_every_key_that_the_blacklist_leaves(spark):
     names = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "candidate_id long, sentence2 string")
     black = spark.createDataFrame([(1, i) for i in range(58)] + [(2, i) for i in range(60)] + [(3, i) for i in range(0, 60, 2)] + [(1, 5), (1, 900), (None, 3)], "concept_id long, candidate_id long")
