@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
-from .ranges import numbered, numbered_within
+from .ranges import numbered, numbered_within, ranged
 
 
 def quotas(ratios: Mapping[str, float], batch: int) -> dict[str, int]:
@@ -48,12 +48,23 @@ def concatenated(sources: Mapping[str, DataFrame], order: Mapping[str, str], see
 
 
 def merged(rows: DataFrame, rank: str, stream: str, order: str, most: int | None = None) -> DataFrame:
-    """Streams merged in rank order, at most `most` rows a stream and rank; pos is the place within a rank."""
-    w = Window.partitionBy(rank, stream).orderBy(order)
-    out = rows.withColumn("_n", F.row_number().over(w))
-    if most is not None:
-        out = out.where(F.col("_n") <= most)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy(rank).orderBy(stream, "_n")).cast("long")).drop("_n")
+    """Streams merged in rank order, at most `most` rows a stream and rank; pos is the place within a rank, from 1.
+
+    Rows are sorted once by range over (rank, stream, order), so a rank or stream of any size lies in as many ranges as it needs. Each
+    range counts its runs of one rank and stream; what earlier ranges have of them, and what the cap leaves of earlier streams of the
+    rank, are carried over by sums over those counts, of which a range has a row a run.
+    """
+    run = [rank, stream]
+    sorted_rows = ranged(rows, [*run, order])
+    counts = sorted_rows.groupBy("_part", *run).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_kept", F.col("_n") if most is None else F.greatest(F.lit(0), F.least("_n", most - F.col("_before"))))
+    carried = F.coalesce(F.sum("_kept").over(Window.partitionBy(rank).orderBy(stream, "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_carried", carried).where("_kept > 0")
+    counts = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(run)], "_first", "_kept", "_carried")
+    same = (F.col("_part") == F.col("_p")) & F.col(rank).eqNullSafe(F.col("_r0")) & F.col(stream).eqNullSafe(F.col("_r1"))
+    out = sorted_rows.join(counts, same).withColumn("_i", F.col("_at") - F.col("_first")).where("_i < _kept")
+    return out.withColumn("pos", F.col("_carried") + F.col("_i") + 1).select(*rows.columns, "pos")
 
 
 def batched(rows: DataFrame, source: str, order: Column | str, quota: Mapping[str, int]) -> DataFrame:

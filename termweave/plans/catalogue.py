@@ -1119,10 +1119,22 @@ def stream_windows(spark, d):
     return _drained(spark, stream.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total")), "complete")
 
 
-@query("SELECT event_id, event_type FROM events")
-def stream_shuffled(spark, d):
-    """The stream through a shuffle buffer: every event once."""
-    from ..streaming.replay import buffered_shuffle, replay
+_SHUFFLED = """nu AS (SELECT event_id, event_id % 2 shard, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id % 8 // 2, event_id) - 1 n FROM events),
+sl AS (SELECT *, CASE WHEN n < 700 THEN n ELSE ('0x' || substr(md5('3:' || shard || ':' || n), 1, 8))::BIGINT % 700 END slot, count(*) OVER (PARTITION BY shard) c FROM nu),
+le AS (SELECT *, lead(n) OVER (PARTITION BY shard, slot ORDER BY n) nxt FROM sl)"""
+
 
-    stream = replay(spark, d, t(spark, d, "events").schema, glob="events.parquet").select("event_id", "event_type")
-    return _drained(spark, buffered_shuffle(stream, 1000, 3).drop("place"), "append")
+@query("SELECT event_id, event_type, shard::BIGINT shard, place::BIGINT place FROM (SELECT event_id, shard, nxt - 700 place FROM le WHERE nxt IS NOT NULL UNION ALL SELECT event_id, shard, c - least(c, 700) + row_number() OVER (PARTITION BY shard ORDER BY md5('3:' || shard || ':rest:' || slot), slot) - 1 FROM le WHERE nxt IS NULL) JOIN events USING (event_id)", _SHUFFLED)
+def stream_shuffled(spark, d):
+    """Events in four files, a micro-batch each, through a shuffle buffer that lives from batch to batch; what it holds at the end
+    comes from the checkpoint."""
+    from ..streaming.replay import replay
+    from ..streaming.shuffle import remaining, shuffled_stream
+
+    e = t(spark, d, "events").select("event_id", "event_type")
+    path, done, checkpoint = scratch(spark, "files"), scratch(spark, "shuffled"), scratch(spark, "checkpoint")
+    for i in range(4):  # one after the other: their times are the order of the micro-batches
+        e.where(F.expr(f"event_id % 8 div 2 = {i}")).coalesce(1).write.mode("append").parquet(path)
+    stream = shuffled_stream(replay(spark, path, e.schema), 700, 3, ["event_id"], F.col("event_id") % 2)
+    stream.writeStream.format("parquet").option("path", done).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(done).unionByName(remaining(spark, checkpoint, e.schema, 3))

@@ -1,15 +1,18 @@
 """Small fixtures with known answers, after the invariants that the operators promise."""
 
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, ranges, rerank, sampling, vector
 from termweave.sources import readers, schema, writers
 from termweave.streaming.replay import buffered_shuffle, replay, shuffled_batches
+from termweave.streaming.shuffle import remaining, shuffled_stream
 
 NAMES = ["Diabetes mellitus", "Hypertension", "Heart failure", "Chronic kidney disease", "Pneumonia"]
 
@@ -393,3 +396,64 @@ def test_null_keys_and_empty_tables(spark):
     assert mapping.numbered(spark.createDataFrame([("b",), ("a",), ("a",)], "x string"), ["x"]).agg(F.sum("name_id")).first()[0] == 6
     f = mapping.factorized(spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None)], "i int, v string"), "v", "i")
     assert [r["code"] for r in f.orderBy("i").collect()] == [0, 1, 0, -1]
+
+
+def test_merge_of_a_hot_rank(spark):
+    """One rank holds a third of the rows, one stream of it most of them; capped and not, against the windows it stands for."""
+    r = np.random.default_rng(3)
+    n = 6000
+    rank = np.where(r.random(n) < 0.34, 0, r.integers(1, 200, n)).tolist()
+    made = [(i, None if k == 7 else k, None if s == 3 else f"s{s}") for i, k, s in zip(r.permutation(n).tolist(), rank, np.where(r.random(n) < 0.6, 0, r.integers(0, 5, n)).tolist(), strict=True)]
+    df = spark.createDataFrame(made, "i long, rank long, stream string").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        for most in (None, 1, 40):
+            own, whole = Window.partitionBy("rank", "stream").orderBy("i"), Window.partitionBy("rank").orderBy("stream", "i")
+            want = df.withColumn("n", F.row_number().over(own)).where(F.col("n") <= (most or n)).withColumn("pos", F.row_number().over(whole)).select("i", "pos")
+            got = blending.merged(df, "rank", "stream", "i", most)
+            assert got.columns == ["i", "rank", "stream", "pos"] and rows(got.select("i", "pos"), "i") == rows(want, "i")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    parts = ranges.ranged(df, ["rank", "stream", "i"]).where("rank = 0").select("_part").distinct().count()
+    assert parts > 1
+
+
+def _events_in(spark, path, first, last):
+    for i in range(first, last):
+        spark.range(i * 40, i * 40 + 40).select(F.col("id"), F.concat(F.lit("v"), "id").alias("v")).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_shuffle_buffer_lives_from_batch_to_batch_and_survives_a_restart(spark, tmp_path):
+    schema = "id long, v string"
+    got = {}
+    for name, cuts in (("once", [(0, 5)]), ("twice", [(0, 2), (2, 5)])):
+        path, done, point = (f"{tmp_path}/{name}-{x}" for x in ("in", "out", "checkpoint"))
+        for first, last in cuts:
+            _events_in(spark, path, first, last)
+            stream = shuffled_stream(replay(spark, path, spark.createDataFrame([], schema).schema), 60, 9, ["id"], F.col("id") % 2)
+            stream.writeStream.format("parquet").option("path", done).option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
+        left = remaining(spark, point, spark.createDataFrame([], schema).schema, 9)
+        out = spark.read.schema(stream.schema).parquet(done)
+        assert out.count() == 80 and left.count() == 120
+        got[name] = rows(out.unionByName(left), "shard", "place")
+    assert got["once"] == got["twice"] and sorted(r[0] for r in got["once"]) == list(range(200))
+    for shard in (0, 1):
+        own = [r for r in got["once"] if r[2] == shard]
+        assert [r[3] for r in own] == list(range(100)) and all(r[1] == f"v{r[0]}" and r[0] % 2 == shard for r in own)
+        at = {r[0]: r[3] for r in own}
+        # a row of the first file (ids below 40) leaves after all of the first two have come; none leaves more than a buffer early
+        assert max(at[i] for i in at if i < 40) >= 40 and all(at[i] >= i // 2 - 60 for i in at) and [r[0] for r in own] != sorted(r[0] for r in own)
+
+
+def test_shuffle_buffer_is_emptied_by_timer(spark, tmp_path):
+    _events_in(spark, f"{tmp_path}/in", 0, 1)
+    stream = shuffled_stream(replay(spark, f"{tmp_path}/in", spark.createDataFrame([], "id long, v string").schema), 25, 9, ["id"], idle=500)
+    q = stream.writeStream.format("memory").queryName("emptied").trigger(processingTime="300 milliseconds").start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("emptied").count() < 40:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted((r["id"], r["place"]) for r in spark.table("emptied").collect())[0][0] == 0
+    assert sorted(r["place"] for r in spark.table("emptied").collect()) == list(range(40))
+    with pytest.raises(ValueError):
+        shuffled_stream(stream, 0, 1, ["id"])
