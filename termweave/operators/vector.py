@@ -235,14 +235,14 @@ def corpus_from_lists(spark: SparkSession, ids: Sequence, names: Sequence, vecto
 
 
 def _hash_vectors(texts: Iterable[str | None], size: int) -> list[list[float]]:
-    import zlib
+    import hashlib
 
     out = []
     for t in texts:
         v = np.zeros(size)
         s = f"  {(t or '').lower()} "
         for i in range(len(s) - 2):
-            h = zlib.crc32(s[i : i + 3].encode())
+            h = int.from_bytes(hashlib.md5(s[i : i + 3].encode()).digest()[:4])
             v[h % size] += 1 if h >> 31 else -1
         length = np.sqrt((v * v).sum())
         out.append((v / length if length else v).tolist())

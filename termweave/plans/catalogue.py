@@ -55,7 +55,7 @@ def topk_exclude_same_name(spark, d):
     return vector.search(q, c, 20, exclude_same_name=True).select("query_id", "query_name", "corpus_id", "corpus_name", *_r("score"))
 
 
-@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked LEFT JOIN (SELECT query_id, corpus_id, 1 AS known FROM pos) USING (query_id, corpus_id) WHERE known IS NULL AND rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
 def false_positives_blacklist(spark, d):
     q, c, pos = S.vectors(spark, d)
     return mining.false_positives(c, q, pos, 15).select("query_id", "corpus_id", *_r("score"), "label")
@@ -71,7 +71,7 @@ def false_positives_self_corpus(spark, d):
 
 
 _HARD = """near AS (SELECT query_id, max(score) p FROM s WHERE ql = cl AND query_id <> corpus_id GROUP BY query_id),
-cand AS (SELECT query_id, corpus_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 r FROM s ANTI JOIN pos USING (query_id, corpus_id)),
+cand AS (SELECT query_id, corpus_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) - 1 r FROM s LEFT JOIN (SELECT query_id, corpus_id, 1 AS known FROM pos) USING (query_id, corpus_id) WHERE known IS NULL),
 """
 
 
@@ -124,7 +124,7 @@ def label_attach_left(spark, d):
     return mining.labelled_hits(vector.topk(q, c, 25), pos.union(pos)).select("query_id", "corpus_id", "label")
 
 
-@query("SELECT query_name, corpus_name, query_id, corpus_id, 1 AS label FROM s JOIN pos USING (query_id, corpus_id) UNION ALL SELECT query_name, corpus_name, query_id, corpus_id, 0 FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 5 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+@query("SELECT query_name, corpus_name, query_id, corpus_id, 1 AS label FROM s JOIN pos USING (query_id, corpus_id) UNION ALL SELECT query_name, corpus_name, query_id, corpus_id, 0 FROM ranked LEFT JOIN (SELECT query_id, corpus_id, 1 AS known FROM pos) USING (query_id, corpus_id) WHERE known IS NULL AND rnk <= 5 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
 def evaluation_set(spark, d):
     q, c, pos = S.vectors(spark, d)
     named = pos.join(q.select("query_id", "query_name"), "query_id").join(c.select("corpus_id", "corpus_name"), "corpus_id")
@@ -176,10 +176,18 @@ def ivf_recall(spark, d):
     return f.select("vectors", "queries", "corpus", (F.col("recall") >= 0.9).alias("recalled"), (F.col("scored") <= 0.1).alias("tenth_scored"))
 
 
-@query("SELECT p_partkey, 1.0::DOUBLE AS length FROM part")
+_GRAMS = """gr AS (SELECT p_partkey, ('0x' || substr(md5(substr(s, i, 3)), 1, 8))::BIGINT h FROM (SELECT p_partkey, s, unnest(range(1, length(s) - 1)) i FROM (SELECT p_partkey, '  ' || lower(p_name) || ' ' s FROM part))),
+ve AS (SELECT p_partkey, h % 128 i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE v FROM gr GROUP BY ALL),
+un AS (SELECT p_partkey, i, (v / sqrt(sum(v * v) OVER (PARTITION BY p_partkey)))::FLOAT::DOUBLE v FROM ve)"""
+
+
+@query("SELECT p_partkey, round(sqrt(sum(v * v)), 6) AS length, round(sum(v * (1 + i % 11)), 6) AS probe, max(i) FILTER (v <> 0)::BIGINT AS last FROM un GROUP BY p_partkey", _GRAMS)
 def encoded_names(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_name")
-    return vector.encoded(p, "p_name").select("p_partkey", F.round(vector.norm(F.col("vector")), 4).alias("length"))
+    """Trigram vectors of the names: their length, their product with a fixed vector, and the last dimension in use."""
+    p = vector.encoded(t(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    probe = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (1 + i % 11)), F.lit(0.0), lambda a, x: a + x)
+    last = F.array_max(F.transform("vector", lambda x, i: F.when(x != 0, i))).cast("long")
+    return p.select("p_partkey", F.round(vector.norm(F.col("vector")), 6).alias("length"), F.round(probe, 6).alias("probe"), last.alias("last"))
 
 
 # ---------------------------------------------------------------- vocabulary maps
@@ -405,8 +413,8 @@ def parent_child_similarity_summary(spark, d):
 
 # ---------------------------------------------------------------- re-ranking
 
-_HITS = "hits AS (SELECT query_id, corpus_id, score, rnk FROM ranked WHERE rnk <= 30)"
-_PS = "ps AS (SELECT h.query_id, h.corpus_id, parent_id, s.score p FROM hits h JOIN parents ON h.corpus_id = concept_id JOIN s ON s.query_id = h.query_id AND s.corpus_id = parent_id)"
+_HITS = "hits AS MATERIALIZED (SELECT query_id, corpus_id, score, rnk FROM ranked WHERE rnk <= 30)"
+_PS = "ps AS MATERIALIZED (SELECT h.query_id, h.corpus_id, parent_id, s.score p FROM hits h JOIN parents ON h.corpus_id = concept_id JOIN s ON s.query_id = h.query_id AND s.corpus_id = parent_id)"
 
 
 def _rerank_inputs(spark, d):
@@ -426,8 +434,8 @@ def rerank_parent_prediction(spark, d):
     return rerank.by_predicted_parents(hits, vector.topk(q, c, 100), par).select("query_id", "corpus_id", *_r("parent_boost", "final_score"))
 
 
-_ADAPT = """mm AS (SELECT h.query_id, h.corpus_id, h.score, CASE WHEN count(p) > 0 THEN greatest(max(p), 0.0) END m FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY ALL),
-ad AS (SELECT *, round(CASE WHEN m IS NULL THEN score
+_ADAPT = """mm AS MATERIALIZED (SELECT h.query_id, h.corpus_id, h.score, CASE WHEN count(p) > 0 THEN greatest(max(p), 0.0) END m FROM hits h LEFT JOIN ps USING (query_id, corpus_id) GROUP BY ALL),
+ad AS MATERIALIZED (SELECT *, round(CASE WHEN m IS NULL THEN score
  WHEN m >= 0.5 THEN score + m * 0.3 * CASE WHEN score < 0.3 THEN 2.0 WHEN score < 0.6 THEN 1.5 WHEN score < 0.9 THEN 1.0 ELSE 0.5 END
  WHEN m >= 0.35 THEN score + m * 0.15 * CASE WHEN score < 0.3 THEN 1.8 WHEN score < 0.6 THEN 1.3 WHEN score < 0.9 THEN 1.0 ELSE 0.5 END
  WHEN m >= 0.2 THEN score + m * 0.08 * CASE WHEN score < 0.3 THEN 1.6 WHEN score < 0.6 THEN 1.2 WHEN score < 0.9 THEN 1.0 ELSE 0.5 END
@@ -667,7 +675,7 @@ def multi_target_topk(spark, d):
     return metrics.topk_accuracy(rows, "score").select("k", *_r("accuracy"))
 
 
-@query("SELECT lab.query_id, corpus_id, label FROM lab JOIN (SELECT query_id, arg_min(label, i) f FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) i FROM lab) GROUP BY query_id) x ON x.query_id = lab.query_id WHERE f <> 1", S.SIM, _LAB)
+@query("SELECT lab.query_id, corpus_id, label FROM lab JOIN x ON x.query_id = lab.query_id WHERE f <> 1", S.SIM, _LAB, "x AS MATERIALIZED (SELECT query_id, arg_min(label, i) f FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) i FROM lab) GROUP BY query_id)")
 def mismatch_first_rank(spark, d):
     return metrics.first_hit_wrong(_labelled(spark, d)).select("query_id", "corpus_id", "label")
 
@@ -978,7 +986,7 @@ def ancestor_stream_validity(spark, d):
     return audit.generator_validity(rows, known, prefix=True)
 
 
-@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked ANTI JOIN pos USING (query_id, corpus_id) WHERE rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+@query("SELECT query_id, corpus_id, round(score, 6) score, 0 AS label FROM ranked LEFT JOIN (SELECT query_id, corpus_id, 1 AS known FROM pos) USING (query_id, corpus_id) WHERE known IS NULL AND rnk <= 15 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
 def false_positives_kept(spark, d):
     """Mined into a table on the first call, read from it on the second, mined anew on the third."""
     q, c, pos = S.vectors(spark, d)

@@ -85,12 +85,9 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 SIM = """q AS (SELECT vec_id query_id, 'term ' || (vec_id % 40) query_name, embedding::DOUBLE[] qv, label ql FROM embeddings),
 c AS (SELECT vec_id corpus_id, 'Term ' || (vec_id % 40) corpus_name, embedding::DOUBLE[] cv, label cl FROM embeddings),
-s AS MATERIALIZED (SELECT *, round(list_inner_product(qv, cv), 9) score FROM q, c),
+s AS MATERIALIZED (SELECT query_id, query_name, ql, corpus_id, corpus_name, cl, round(list_inner_product(qv, cv), 9) score FROM q, c),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) rnk FROM s),
-pos AS (SELECT query_id, corpus_id FROM s WHERE ql = cl AND query_id <> corpus_id)"""
-
-
-SIM_WHOLE = SIM.replace("", "")
+pos AS MATERIALIZED (SELECT a.vec_id query_id, b.vec_id corpus_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
