@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, rerank, sampling, vector
 from ..runtime import scratch
-from ..sources import readers, schema, writers
+from ..sources import arrow, blocks, readers, schema, sheets, writers
 from . import standins as S
 from .standins import table as t
 
@@ -600,6 +600,35 @@ def block_address(spark, d):
     return blending.addressed(t(spark, d, "events").select("event_id"), "event_id", 16, 64)
 
 
+@query("SELECT pos::BIGINT AS position, event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY md5('4:' || event_id), event_id) - 1 pos FROM events) WHERE pos % 37 = 0")
+def block_reads(spark, d):
+    """Events in a drawn order, in blocks; every 37th position is read back."""
+    e = t(spark, d, "events").select("event_id", "event_type")
+    path = scratch(spark, "blocks")
+    blocks.write_blocks(e, path, [X.seeded_order(4, "event_id"), F.col("event_id")], 256)
+    held = blocks.Blocks(spark, path)
+    return held.at(spark.range(0, held.rows, 37).withColumnRenamed("id", "position"))
+
+
+@query("SELECT epoch::BIGINT AS epoch, event_type, count(*)::BIGINT n, sum(event_id)::BIGINT total FROM events, (SELECT unnest([0, 1]) epoch) GROUP BY ALL")
+def cycle_stream(spark, d):
+    """Two epochs of the endless cycle over the events: three micro-batches, then a restart from the checkpoint for the rest."""
+    e = t(spark, d, "events").select("event_id", "event_type")
+    path, done, checkpoint = scratch(spark, "blocks"), scratch(spark, "cycled"), scratch(spark, "checkpoint")
+    blocks.write_blocks(e, path, ["event_id"], 512)
+    held = blocks.Blocks(spark, path)
+    step = -(-held.rows // 3)
+    for upto in (3, 6):
+        stream = held.cycle(step, 5)
+        q = stream.writeStream.format("parquet").option("path", done).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+        while q.isActive and not (q.lastProgress and q.lastProgress["batchId"] + 1 >= upto):
+            q.awaitTermination(1)
+        q.stop()
+        if q.exception():
+            raise q.exception()
+    return spark.read.schema(stream.schema).parquet(done).where("epoch < 2").groupBy("epoch", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
 @query("SELECT event_id, epoch, md5('3:' || epoch || ':' || event_id) order_key FROM events, (SELECT unnest([0, 1]) epoch)")
 def cycle_epochs(spark, d):
     return blending.cycled(t(spark, d, "events").select("event_id"), 2, 3, "event_id").select("event_id", "epoch", "order_key")
@@ -612,13 +641,15 @@ def seeded_sample(spark, d):
 
 # ---------------------------------------------------------------- metrics
 
-_LAB = "lab AS MATERIALIZED (SELECT query_id, corpus_id, round(score, 2) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM s)"
+#: Candidates of a query that the metrics see: its nearest ones, as an evaluation of a model has them.
+_LISTED = 100
+_LAB = f"lab AS MATERIALIZED (SELECT query_id, corpus_id, round(score, 2) score, (ql = cl AND query_id <> corpus_id)::INT AS label FROM ranked WHERE rnk <= {_LISTED})"
 _DIS = "g AS (SELECT score, sum(label)::DOUBLE tp, sum(1 - label)::DOUBLE fp FROM lab GROUP BY score), cu AS (SELECT *, sum(tp) OVER (ORDER BY score DESC) ctp, sum(fp) OVER (ORDER BY score DESC) cfp FROM g)"
 
 
 def _labelled(spark, d):
     q, c, _ = S.vectors(spark, d)
-    hits = vector.scored(q, c).join(q.select("query_id", "query_label"), "query_id").join(c.select("corpus_id", "label"), "corpus_id")
+    hits = vector.topk(q, c, _LISTED).join(q.select("query_id", "query_label"), "query_id").join(c.select("corpus_id", "label"), "corpus_id")
     return hits.select("query_id", "corpus_id", F.round("score", 2).alias("score"), ((F.col("query_label") == F.col("label")) & (F.col("query_id") != F.col("corpus_id"))).cast("int").alias("label"))
 
 
@@ -1082,6 +1113,38 @@ def scan_union(spark, d):
     return readers.read_tables(spark, one, readers.first_existing(spark, [f"{two}-none", two]))
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name || ' <&>' END AS label FROM customer ORDER BY customer.c_custkey DESC LIMIT 200")
+def review_sheet(spark, d):
+    """The last 200 customers as a workbook for a reader, read back."""
+    path = scratch(spark, "review") + ".xlsx"
+    label = F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit(" <&>")))
+    sheets.write_sheet(t(spark, d, "customer").select("c_custkey", label.alias("label")), path, [F.desc("c_custkey")])
+    return sheets.read_sheet(spark, path, ["c_custkey", "label"])
+
+
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_quantity >= 30 AND l_orderkey IS NOT NULL AND l_returnflag IN ('A', 'R')")
+def scan_arrow(spark, d):
+    """Line items as Arrow files of all their columns; four of them are read back, and only the rows that pass."""
+    path = scratch(spark, "arrow")
+    arrow.write_arrow(t(spark, d, "lineitem"), path)
+    rows = arrow.read_arrow(spark, path, ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"])
+    return rows.where((F.col("l_quantity") >= 30) & F.col("l_orderkey").isNotNull() & F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_extendedprice")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS document, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END::DOUBLE AS first, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 2 END::BIGINT AS added FROM part WHERE p_partkey % 5 > 0 OR p_partkey % 10 = 5")
+def vector_collection(spark, d):
+    """Parts added, those of even keys again with other values, every tenth removed, all compacted; the rows of the last version and
+    the version that added them."""
+    held = writers.Collection(spark, scratch(spark, "collection")).get_or_create()
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("document"), F.array(F.lit(1.0)).alias("embedding"))
+    one = held.add(p)
+    held.remove(p.where("id % 10 = 0"))
+    two = held.add(p.where("id % 2 = 0 and id % 10 > 0").select("id", F.upper("document").alias("document"), F.array(F.lit(2.0)).alias("embedding")))
+    held.compact()
+    first = F.get("embedding", F.lit(0)).cast("double")
+    return held.load().select("id", "document", first.alias("first"), F.when(first == 2, two).otherwise(one).cast("long").alias("added"))
+
+
 @query("SELECT 'total: ' || count(*) AS value FROM part UNION ALL SELECT 'brands: ' || count(DISTINCT p_brand) FROM part")
 def report_lines(spark, d):
     path = scratch(spark, "report")

@@ -2,6 +2,7 @@
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, ranges, rerank, sampling, vector
-from termweave.sources import readers, schema, writers
+from termweave.sources import arrow, blocks, readers, schema, sheets, writers
 from termweave.streaming.replay import buffered_shuffle, replay, shuffled_batches
 from termweave.streaming.shuffle import remaining, shuffled_stream
 
@@ -181,7 +182,7 @@ def test_loaders_from_a_folder(spark, letters, tmp_path):
     assert up.where("label = 1").select("concept_id").distinct().count() == 2
 
 
-def test_arrow_files_and_spreadsheets(spark, tmp_path):
+def test_arrow_files(spark, tmp_path):
     import pandas as pd
     import pyarrow.feather
 
@@ -191,11 +192,44 @@ def test_arrow_files_and_spreadsheets(spark, tmp_path):
     for k in range(2):
         pyarrow.feather.write_feather(frame, f"{tmp_path}/many/{k}.feather")
     for path, n in ((f"file://{tmp_path}/a.feather", 1), (f"file://{tmp_path}/many", 2)):
-        got = readers.read_arrow(spark, path)
+        got = arrow.read_arrow(spark, path)
         assert rows(got.groupBy("c").agg(F.count("*"), F.sum("i")), "c") == [("a", 500 * n, 249500 * n), ("b", 500 * n, 250000 * n)]
-    pytest.importorskip("openpyxl")
-    frame.head(3).to_excel(f"{tmp_path}/a.xlsx", index=False)
-    assert readers.read_excel(spark, f"{tmp_path}/a.xlsx").count() == 3
+
+
+def test_arrow_reads_only_columns_and_rows_asked_for(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/wide"
+    wide = spark.range(3000).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(9)], F.when(F.col("id") % 2 > 0, F.col("id").cast("string")).alias("s"))
+    arrow.write_arrow(wide.repartition(3), path)
+    arrow.write_arrow(wide.limit(0), path, "append")
+    df = arrow.read_arrow(spark, path, ["s", "c3"]).where("c3 >= 6000 and s is not null and c3 in (6003, 6006, 6009)")
+    assert rows(df, "c3") == [("2001", 6003), ("2003", 6009)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "c1#" not in plan and "c8#" not in plan
+    reader = arrow.ArrowReader(path, df.schema)
+    assert list(reader.pushFilters([arrow.GreaterThan(("c3",), 8990), arrow.EqualTo(("a", "b"), 1)])) == [arrow.EqualTo(("a", "b"), 1)]
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert {tuple(b.schema.names) for b in batches} == {("s", "c3")} and sum(b.num_rows for b in batches) == 3
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 100)
+    many = arrow.ArrowReader(path, df.schema).partitions()
+    assert len(many) > 3 and sum(b.num_rows for p in many for b in arrow.ArrowReader(path, df.schema).read(p)) == 3000
+    with pytest.raises(Exception, match="lacks"):
+        spark.read.format(arrow.NAME).schema("nope long").load(path).collect()
+    arrow.write_arrow(wide.limit(5), path)
+    assert arrow.read_arrow(spark, path).count() == 5 and not [f for f in (tmp_path / "wide").iterdir() if f.name.startswith(".part")]
+
+
+def test_sheets_keep_texts(spark, tmp_path):
+    texts = ["plain", " two  spaces ", "<a & b>", "line\nbreak", "é日🎉", "bad\x01char", None, "", '"quoted"']
+    df = spark.createDataFrame([(i, x, i * 0.5) for i, x in enumerate(texts)], "i long, s string, other double")
+    path = f"file://{tmp_path}/new/a.xlsx"
+    assert sheets.write_sheet(df, path, ["i"], None) == 9
+    got = {int(r["i"]): r["s"] for r in sheets.read_sheet(spark, path, ["s", "i"]).collect()}
+    assert got == dict(enumerate(texts)) | {5: "badchar"}
+    assert sheets.write_sheet(df, path, [F.desc("i")], 2) == 2 and [r["i"] for r in sheets.read_sheet(spark, path, ["i"]).collect()] == ["8", "7"]
+    assert sheets.write_sheet(df.limit(0), path, ["i"]) == 0 and sheets.read_sheet(spark, path, ["i"]).count() == 0
+    with pytest.raises(Exception, match="lacks"):
+        sheets.read_sheet(spark, path, ["nope"]).collect()
+    assert [sheets._column(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and sheets._place("AAA10") == 702
 
 
 def test_cells_that_span_lines(spark, tmp_path):
@@ -457,3 +491,64 @@ def test_shuffle_buffer_is_emptied_by_timer(spark, tmp_path):
     assert sorted(r["place"] for r in spark.table("emptied").collect()) == list(range(40))
     with pytest.raises(ValueError):
         shuffled_stream(stream, 0, 1, ["id"])
+
+
+def test_block_reads_open_only_the_blocks_asked_for(spark, tmp_path):
+    path = f"file://{tmp_path}/blocks"
+    df = spark.range(1000).select(((F.col("id") * 7) % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("v"), "id")).alias("v")).repartition(5)
+    blocks.write_blocks(df, path, ["k"], 64)
+    held = blocks.Blocks(spark, path)
+    assert held.rows == 1000 and held.index.agg(F.count("*"), F.count_distinct("block")).first()[0] == 16
+    want = {r["k"]: r["v"] for r in df.collect()}
+    asked = [0, 1, 63, 64, 999, 999, 500, 501, 502]
+    opened = spark.sparkContext.accumulator(0)
+    got = held.at(spark.createDataFrame([(i,) for i in asked], "position int"), opened).collect()
+    assert sorted(r["position"] for r in got) == sorted(asked) and all(r["k"] == r["position"] and r["v"] == want[r["k"]] for r in got)
+    assert opened.value == 4  # blocks 0, 1, 7 and 15, each once
+    assert held.at(spark.range(1000).withColumnRenamed("id", "position")).count() == 1000
+    for bad in (-1, 1000):
+        with pytest.raises(IndexError):
+            held.at(spark.createDataFrame([(bad,), (3,)], "position long"))
+    blocks.write_blocks(df.limit(0), f"{path}-none", ["k"], 64)
+    none = blocks.Blocks(spark, f"{path}-none")
+    assert none.rows == 0 and none.at(spark.createDataFrame([], "position long")).count() == 0
+    with pytest.raises(ValueError):
+        none.cycle(5, 1)
+
+
+@pytest.mark.parametrize(("n", "block"), [(1000, 64), (64, 64), (10, 64), (130, 1)])
+def test_a_cycle_meets_every_row_once_an_epoch(spark, n, block):
+    places = spark.range(3 * n).select(F.expr(f"id div {n}").alias("epoch"), (F.col("id") % n).alias("place"))
+    got = blocks.cycle_places(places, n, block, n // block, 5).select("epoch", "place", (F.col("_block") * block + F.col("_at")).alias("row")).collect()
+    orders = [[r["row"] for r in sorted(got, key=lambda r: r["place"]) if r["epoch"] == e] for e in range(3)]
+    assert all(sorted(o) == list(range(n)) for o in orders) and len({tuple(o) for o in orders}) == 3
+    runs = [o[i] // block == o[i + 1] // block for o in orders for i in range(n - 1)]
+    assert block == 1 or sum(runs) >= len(runs) - 3 * (n // block)
+
+
+def test_collection_versions(spark, tmp_path):
+    row = "id string, document string, embedding array<float>"
+    held = writers.Collection(spark, f"file://{tmp_path}/vectors")
+    assert not held.exists() and held.load().count() == 0
+    assert held.get_or_create().version() == held.get_or_create().version() == 1
+    held.add(spark.createDataFrame([("a", "A", [1.0]), ("b", "B", [1.0]), ("b", "A", [9.0]), (None, "x", [1.0])], row))
+    old = held.load()
+    held.add(spark.createDataFrame([("b", "new", [2.0]), ("c", None, None)], row))
+    assert rows(old, "id") == [("a", "A", [1.0]), ("b", "B", [1.0])]  # a reader keeps its version
+    assert rows(held.load(), "id") == [("a", "A", [1.0]), ("b", "new", [2.0]), ("c", None, None)] and rows(held.load(2), "id") == rows(old, "id")
+    held.remove(spark.createDataFrame([("a",), ("z",)], "id string"))
+    held.add(spark.createDataFrame([("a", "back", [3.0])], row))
+    assert [r[0] for r in rows(held.load(4), "id")] == ["b", "c"] and rows(held.load(), "id")[0] == ("a", "back", [3.0])
+    before = rows(held.load(), "id")
+    assert held.compact() == 6 and len(held.batches()) == 1 and rows(held.load(), "id") == before and len(held.batches(5)) == 4
+    with pytest.raises(RuntimeError):
+        held._commit(lambda old: old, 3)
+
+
+def test_collection_writers_at_once(spark, tmp_path):
+    held = writers.Collection(spark, f"file://{tmp_path}/vectors")
+    add = lambda i: held.add(spark.createDataFrame([("same", f"d{i}", [1.0]), (f"own{i}", "d", [1.0])], "id string, document string, embedding array<float>"))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(add, range(6)))
+    assert sorted(versions) == list(range(1, 7)) and held.load().count() == 7
+    assert held.load().where("id = 'same'").first()["document"] == f"d{versions.index(6)}"
