@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import integer_suffix, same_text, strip_prefix
 
@@ -103,7 +104,51 @@ def latest(paths: DataFrame, path: str = "path") -> DataFrame:
     return rows.agg(F.max_by(path, "_n").alias("path"), F.max("_n").alias("number"))
 
 
-def table_profile(df: DataFrame) -> dict:
-    """Rows, columns and the optimizer's size estimate."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return {"rows": df.count(), "columns": df.columns, "bytes": int(str(size))}
+#: Bytes of a value by type; other types count by their length as text or, for arrays, by their elements.
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    width = _WIDTH.get(kind.simpleString())
+    if width:
+        size = F.lit(width)
+    elif isinstance(kind, T.ArrayType):
+        inner = _WIDTH.get(kind.elementType.simpleString())
+        size = F.size(column) * inner if inner else F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(_bytes(x, kind.elementType), F.lit(0).cast("long")))
+    else:
+        size = F.octet_length(column if isinstance(kind, T.StringType | T.BinaryType) else column.cast("string"))
+    return F.when(column.isNotNull(), size).otherwise(0).cast("long")
+
+
+def sketches(df: DataFrame, *by: str) -> DataFrame:
+    """A row a column (and group of `by`): column_name, type, rows, n_null, bytes, distincts and quantiles, the last two as sketches.
+
+    One pass with partial aggregation, whatever the number of columns; sketches have a bounded size and merge, so profiles of parts, or
+    of yesterday's table and today's rows, add up with merged_sketches. Numbers have quantiles, all columns distincts.
+    """
+    out = []
+    for f in df.schema.fields:
+        if f.name in by:
+            continue
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        numeric = isinstance(kind, T.NumericType)
+        whole = isinstance(kind, T.IntegerType | T.LongType | T.StringType | T.BinaryType)
+        text = c if whole else F.to_json(F.struct(c)) if isinstance(kind, T.ArrayType | T.MapType | T.StructType) else c.cast("string")
+        sketch = F.kll_sketch_agg_double(c.cast("double")) if numeric else F.lit(None).cast("binary")
+        known = F.when(c.isNotNull(), text)
+        out.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(kind.simpleString()).alias("type"), F.count("*").alias("rows"), F.sum(c.isNull().cast("long")).alias("n_null"), F.sum(_bytes(c, kind)).alias("bytes"), F.hll_sketch_agg(known).alias("distincts"), sketch.alias("quantiles")))
+    return df.groupBy(*by).agg(F.array(*out).alias("_s")).select(*by, F.inline("_s"))
+
+
+def merged_sketches(found: DataFrame, *by: str) -> DataFrame:
+    """Rows of sketches() of several parts as those of the whole, by column (and group of `by`)."""
+    sums = [F.sum(c).alias(c) for c in ("rows", "n_null", "bytes")]
+    return found.groupBy(*by, "column_name", "type").agg(*sums, F.hll_union_agg("distincts").alias("distincts"), F.kll_merge_agg_double("quantiles").alias("quantiles"))
+
+
+def table_profile(found: DataFrame, cuts: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Rows of sketches() read: rows, nulls and bytes are exact, n_distinct and the quantiles (an array, null unless numeric) estimates."""
+    known = F.col("type").rlike("^(tiny|small|big)?int|^float|^double|^decimal") & (F.col("rows") > F.col("n_null"))
+    at = F.kll_sketch_get_quantile_double("quantiles", F.array(*map(F.lit, cuts)))
+    distinct = F.when(F.col("rows") > F.col("n_null"), F.hll_sketch_estimate("distincts")).otherwise(0)
+    return found.select(*[c for c in found.columns if c not in ("distincts", "quantiles")], F.coalesce(distinct, F.lit(0)).cast("long").alias("n_distinct"), F.when(known, at).alias("quantiles"))

@@ -871,6 +871,20 @@ def null_profile(spark, d):
     return audit.null_profile(t(spark, d, "documents"))
 
 
+_PROFILE = [("doc_id", "bigint", "8 * count(doc_id)"), ("text", "string", "sum(strlen(text))"), ("lang", "string", "sum(strlen(lang))"), ("source", "string", "sum(strlen(source))"), ("n_chars", "bigint", "8 * count(n_chars)")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS type, count(*)::BIGINT AS rows, (count(*) - count({c}))::BIGINT AS n_null, coalesce({b}, 0)::BIGINT AS bytes, count(DISTINCT {c}) > 0 AS near FROM documents" for c, k, b in _PROFILE))
+def table_profile(spark, d):
+    """The profile of the documents, made by source and merged; near: the estimated distincts are within a tenth of the exact count."""
+    docs = t(spark, d, "documents").select(*[c for c, _, _ in _PROFILE])
+    found = audit.merged_sketches(audit.sketches(docs.withColumn("part", F.col("source")), "part").drop("part"))
+    exact = docs.agg(*[F.count_distinct(c).alias(c) for c in docs.columns]).unpivot([], docs.columns, "column_name", "exact")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") / 10
+    return audit.table_profile(found).join(exact, "column_name").select("column_name", "type", "rows", "n_null", "bytes", near.alias("near"))
+
+
+
 @query("SELECT 0::BIGINT n_unequal, count(*)::BIGINT total_turns, count(*)::BIGINT total_roles FROM conversations")
 def array_length_audit(spark, d):
     return audit.array_lengths(_nested(spark, d), ["turns", "roles"])

@@ -552,3 +552,18 @@ def test_collection_writers_at_once(spark, tmp_path):
         versions = list(pool.map(add, range(6)))
     assert sorted(versions) == list(range(1, 7)) and held.load().count() == 7
     assert held.load().where("id = 'same'").first()["document"] == f"d{versions.index(6)}"
+
+
+def test_table_profile_is_exact_where_it_says_and_near_elsewhere(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 700).cast("int").alias("few"), F.concat(F.lit("é"), (F.col("id") % 9000).cast("string")).alias("s"), F.when(F.col("id") % 4 > 0, F.col("id") / 2).alias("half"), F.lit(None).cast("string").alias("none"), F.array(F.col("id"), F.lit(None)).alias("a"), (F.col("id") % 2 == 0).alias("flag"), F.lit(1).cast("decimal(9,2)").alias("d"))
+    by = df.withColumn("part", F.col("id") % 5)
+    for found in (audit.sketches(df), audit.merged_sketches(audit.sketches(by, "part").drop("part"))):
+        out = {r["column_name"]: r for r in audit.table_profile(found).collect()}
+        assert all(r["rows"] == 20_000 for r in out.values()) and {c: r["n_null"] for c, r in out.items() if r["n_null"]} == {"half": 5000, "none": 20_000}
+        assert out["id"]["bytes"] == 160_000 and out["half"]["bytes"] == 120_000 and out["none"]["bytes"] == 0 and out["flag"]["bytes"] == 20_000 and out["a"]["bytes"] == 320_000
+        assert out["s"]["bytes"] == sum(2 + len(str(i % 9000)) for i in range(20_000)) and out["d"]["type"] == "decimal(9,2)"
+        exact = {"id": 20_000, "few": 700, "s": 9000, "half": 15_000, "none": 0, "a": 20_000, "flag": 2, "d": 1}
+        assert all(abs(out[c]["n_distinct"] - n) <= 0.05 * n for c, n in exact.items())
+        assert all(abs(q - want) <= 400 for q, want in zip(out["id"]["quantiles"], (5000, 10_000, 15_000), strict=True)) and out["s"]["quantiles"] is None and out["d"]["quantiles"] == [1.0, 1.0, 1.0]
+    none = {r["column_name"]: r for r in audit.table_profile(audit.sketches(df.limit(0))).collect()}
+    assert all(r["rows"] == 0 and r["n_distinct"] == 0 and r["quantiles"] is None for r in none.values())
