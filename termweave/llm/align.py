@@ -208,7 +208,7 @@ def links(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
             yield pa.record_batch(data + ([pa.array(cols[7], pa.string())] if with_groups else []), names=names + (["groups"] if with_groups else []))
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, _SHAPE + (", groups string" if with_groups else ""))
+    return spread(docs).select("doc_id", "text").mapInArrow(run, _SHAPE + (", groups string" if with_groups else ""))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

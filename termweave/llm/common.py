@@ -14,7 +14,9 @@ SEPARATORS = r"\x20\x09-\x0D"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as the cluster has cores, if its files are too few or small for that; large inputs stay as they lie."""
+    """df in more partitions than the cluster has cores, if its files are too few or small for that; large inputs stay as they lie.
+
+    To be asked of the table itself: a size after a projection is a guess of the optimizer's."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

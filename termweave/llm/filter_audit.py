@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, word_array, written
+from .common import SEPARATORS, spread, word_array, written
 from .quality import let
 
 #: A: under MIN_WORDS words. B: distinct words under DISTINCT percent. C: capitals over CAPITALS percent. D: a symbol. E: an earlier copy.
@@ -31,7 +31,7 @@ def failures(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFr
         lambda w: F.struct((F.size(w) < MIN_WORDS).alias("A"), (F.size(F.array_distinct(w)).cast("long") * 100 < F.size(w).cast("long") * DISTINCT).alias("B")),
     )
     capitals = F.char_length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long")
-    rows = docs.select(
+    rows = spread(docs).select(
         "doc_id",
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
         F.unhex(F.sha2(text, 256)).alias("digest"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, word_array
+from .common import SEPARATORS, spread, word_array
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of lines that carry no prose.
@@ -68,7 +68,7 @@ def repeated_words(words: Column) -> Column:
 def quality(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and cleaned (the lines that pass).
 
-    Row by row, without a shuffle. A null or empty text has zero counts, fails and is not kept; other columns, also null or of
+    Row by row, without a shuffle unless the input is too small to keep the cores busy. A null or empty text has zero counts, fails and is not kept; other columns, also null or of
     clashing names, pass through unless they bear one of the names above, which are replaced. Texts of any length are read whole.
     Repeated rows, and so ties, get equal results; an empty table gives an empty result.
     """
@@ -80,7 +80,7 @@ def quality(docs: DataFrame) -> DataFrame:
     )
     dups = let(with_words, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
-    out = docs.withColumns({"_c": counts, "n_dup_lines": dups, "cleaned": cleaned, "word_chars": F.char_length(bare(text)).cast("long"), "n_symbols": _occurs(text, SYMBOLS).cast("long")})
+    out = spread(docs).withColumns({"_c": counts, "n_dup_lines": dups, "cleaned": cleaned, "word_chars": F.char_length(bare(text)).cast("long"), "n_symbols": _occurs(text, SYMBOLS).cast("long")})
     out = out.withColumns({"n_words": F.col("_c.n_words"), "n_repeat_words": F.col("_c.n_repeat_words")})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     enough = F.char_length(bare(F.col("cleaned"))).cast("long") * 100 >= F.col("word_chars") * KEEP_PERCENT

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 
 def either_case(word: str) -> str:
@@ -75,7 +75,7 @@ def secrets(docs: DataFrame, *keep: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     sought = [_matches(text, i, PATTERNS[k], _tests(k)) for i, k in enumerate(KINDS)]
-    rows = docs.select("doc_id", F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text)).alias("key"), F.concat(*sought).alias("found"), text.alias("text"))
+    rows = spread(docs).select("doc_id", F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text)).alias("key"), F.concat(*sought).alias("found"), text.alias("text"))
     weak = F.exists("found", lambda x: (x["kind"] >= STRONG) & x["ok"])
     breaks = _matches(F.col("text"), len(KINDS), BREAK, lambda m, v: F.lit(True))
     rows = written(rows.withColumn("found", F.when(weak, F.concat("found", breaks)).otherwise(F.filter("found", lambda x: x["kind"] < STRONG))).drop("text"), "matches")

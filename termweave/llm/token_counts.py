@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, opened, scratch, written
+from .common import arrow_limits, opened, scratch, spread, written
 from .encode import WordEncoder, default_tokenizer
 
 BLOCK_BYTES = 4 << 20
@@ -55,7 +55,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end: int | None = None,
     arrow_limits(spark)
     path = path or default_tokenizer()
     end = end_id(path) if end is None else end
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(rows.mapInArrow(_flat(path, end, folder or scratch(spark, "flat")), "uri string, bytes long, first long, docs array<long>"), "flat-manifest")
 
 

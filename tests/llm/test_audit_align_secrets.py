@@ -1,6 +1,7 @@
 """Filter audits, tokenizer alignment and secret scans on odd rows, and against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -189,7 +190,7 @@ def test_alignment_gives_groups(spark, aligner):
 
 def test_alignment_of_odd_rows(spark, aligner):
     assert run(spark, [], align.alignment).count() == 0
-    rows = [(None, None, None), (5, "same text", None), (5, "same text", None), (5, "x" * 200_000, "s")]
+    rows = [(None, None, None), (5, "same text", None), (5, "same text", None), (5, "x" * 3_000, "s")]
     more = {c: F.lit("z") for c in ("row", "pair", "pairs", "n", "times", "best", "n_a", "groups")}
     got = run(spark, rows, lambda d: align.alignment(d.withColumns(more))).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute(aligner, rows), key=str)
@@ -289,3 +290,29 @@ def test_secrets_of_a_very_long_text(spark):
 def test_new_queries_are_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert {"op11", "op12", "op13"} <= names and {n.split("_")[0] for n in queries.ORACLES} >= {"op11", "op13"}
+
+
+def test_small_tables_are_dealt_over_the_cores_and_large_ones_stay(spark):
+    from termweave.llm.common import spread
+
+    sf = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(sf) if os.path.exists(sf) else spark.range(10)
+    assert spread(docs).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert "Repartition" not in spread(docs)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("separator", [" ", "\n"])
+def test_quality_rules_read_very_long_texts(spark, separator):
+    """Texts whose lengths times a rule's factor pass 32 bits: kept, or failed by their symbols, as short ones are."""
+    from termweave.llm.quality import quality
+
+    words = separator.join(f"word{i} and{i}." for i in range(1_500_000))
+    rows = [(1, words, None), (2, separator.join(["|" * 4_000_000] * 12) + separator + words[:1000], None)]
+    out = {r["doc_id"]: r for r in run(spark, rows, quality).select("doc_id", "n_words", "word_chars", "n_symbols", "base_failed", "kept").collect()}
+    assert out[1]["word_chars"] > 21_500_000 and out[1]["n_words"] == 3_000_000 and out[1]["kept"]
+    assert out[2]["n_symbols"] == 48_000_000 and not out[2]["kept"]
