@@ -81,6 +81,16 @@ def seeded_order(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(k).cast("string") for k in keys]))
 
 
+def bytes_text(size: Column | str) -> Column:
+    """A number of bytes for a reader: two digits after the point and the largest unit that leaves 1 or more, B to PB."""
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    text = lambda i: F.format_string(f"%.2f {units[i]}", F.round(_c(size).cast("double") / 1024**i, 2))
+    out = F.when(_c(size) < 1024, text(0))
+    for i in range(1, len(units) - 1):
+        out = out.when(_c(size) < 1024 ** (i + 1), text(i))
+    return out.otherwise(F.when(_c(size).isNotNull(), text(len(units) - 1)))
+
+
 def bytes_label(n: float) -> str:
     for unit in ("B", "KB", "MB", "GB", "TB"):
         if n < 1024:

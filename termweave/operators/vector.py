@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import without_spaces
 from ..runtime import shipped, written
 
+if TYPE_CHECKING:
+    from .ivf import ListIndex
+
 #: Bytes of query vectors that one pass over the corpus holds.
 QUERY_BYTES = 32 << 20
 #: Bytes of corpus vectors that meet a block of queries in one group, where there is more than one block of queries.
@@ -179,7 +183,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, exclude_same_name: boo
 
     queries: query_id, query_name, vector; corpus: corpus_id, corpus_name, vector.
     """
-    hits = topk(queries, corpus, k, strategy)
+    return _named(topk(queries, corpus, k, strategy), queries, corpus, exclude_same_name)
+
+
+def _named(hits: DataFrame, queries: DataFrame, corpus: DataFrame, exclude_same_name: bool) -> DataFrame:
     out = hits.join(queries.select("query_id", "query_name"), "query_id").join(corpus.select("corpus_id", "corpus_name"), "corpus_id")
     if exclude_same_name:
         out = out.where(without_spaces("query_name") != without_spaces("corpus_name"))
@@ -201,28 +208,38 @@ class Repositories:
 
     def __init__(self) -> None:
         self._held: dict[tuple[str, str], DataFrame] = {}
+        self._lists: dict[tuple[str, str], ListIndex] = {}
 
     def is_initialized(self, name: str = "default", encoder: str = "precomputed") -> bool:
         return (name, encoder) in self._held
 
-    def build(self, corpus: DataFrame, name: str = "default", encoder: str = "precomputed") -> DataFrame:
-        """Keeps corpus (corpus_id, corpus_name, vector); an empty one is an error."""
+    def build(self, corpus: DataFrame, name: str = "default", encoder: str = "precomputed", lists: bool = False) -> DataFrame:
+        """Keeps corpus (corpus_id, corpus_name, vector); an empty one is an error. lists: with an index of inverted lists, which its
+        searches then use; without, they are exact."""
         missing = {"corpus_id", "corpus_name", "vector"} - set(corpus.columns)
         if missing:
             raise ValueError(f"corpus lacks {sorted(missing)}")
         if not corpus.take(1):
             raise ValueError("corpus is empty")
+        self.delete(name, encoder)
         self._held[name, encoder] = corpus.select("corpus_id", "corpus_name", "vector").persist()
+        if lists:
+            from .ivf import ListIndex
+
+            self._lists[name, encoder] = ListIndex.build(self._held[name, encoder])
         return self._held[name, encoder]
 
     def search(self, queries: DataFrame, k: int = 5, name: str = "default", encoder: str = "precomputed", **more) -> DataFrame:
         if not self.is_initialized(name, encoder):
             raise ValueError(f"repository {name!r} is not initialised for {encoder!r}")
+        if (name, encoder) in self._lists and not more.get("strategy"):
+            return _named(self._lists[name, encoder].topk(queries, k), queries, self._held[name, encoder], more.get("exclude_same_name", False))
         return search(queries, self._held[name, encoder], k, **more)
 
     def delete(self, name: str = "default", encoder: str = "precomputed") -> None:
         if (name, encoder) in self._held:
             self._held.pop((name, encoder)).unpersist()
+            self._lists.pop((name, encoder), None)
 
 
 def corpus_from_lists(spark: SparkSession, ids: Sequence, names: Sequence, vectors: Sequence | None, encoder: str = "hash") -> DataFrame:

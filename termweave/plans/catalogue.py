@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audit, blending, hierarchy, ivf, loaders, mapping, metrics, mining, rerank, sampling, vector
-from ..runtime import scratch
+from ..runtime import scratch, written
 from ..sources import arrow, blocks, readers, schema, sheets, writers
 from . import standins as S
 from .standins import table as t
@@ -1127,6 +1127,34 @@ def scan_union(spark, d):
     return readers.read_tables(spark, one, readers.first_existing(spark, [f"{two}-none", two]))
 
 
+@query("SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM part UNION ALL SELECT 'mean_size', round(avg(p_size), 6)::DOUBLE FROM part")
+def metrics_json(spark, d):
+    """A metric frame through the JSON sink and back."""
+    path = scratch(spark, "metrics")
+    m = t(spark, d, "part").agg(F.count("*").cast("double").alias("rows"), F.round(F.avg("p_size"), 6).alias("mean_size"))
+    writers.write_metrics(metrics.long_metrics(m, "m").select("metric", "value"), path)
+    return spark.read.schema("metric string, value double").json(path)
+
+
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.2f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.2f KB', round(b / 1024.0::DOUBLE, 2)) ELSE printf('%.2f MB', round(b / 1048576.0::DOUBLE, 2)) END AS size FROM (SELECT doc_id, strlen(text) * 3 b FROM documents WHERE text IS NOT NULL)")
+def bytes_formatted(spark, d):
+    docs = t(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", X.bytes_text(F.octet_length("text").cast("long") * 3).alias("size"))
+
+
+@query("SELECT query_id, corpus_id, round(score, 6) score FROM ranked WHERE rnk <= 7 AND replace(lower(query_name), ' ', '') <> replace(lower(corpus_name), ' ', '')", S.SIM)
+def repository_search(spark, d):
+    """A named repository built, asked without same-name hits, and deleted; the result is there before."""
+    q, c, _ = S.vectors(spark, d)
+    held = vector.Repositories()
+    held.build(c, "terms")
+    hits = written(held.search(q, 7, "terms", exclude_same_name=True).select("query_id", "corpus_id", *_r("score")), "hits")
+    held.delete("terms")
+    if held.is_initialized("terms"):
+        raise RuntimeError("the repository is still there")
+    return hits
+
+
 @query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name || ' <&>' END AS label FROM customer ORDER BY customer.c_custkey DESC LIMIT 200")
 def review_sheet(spark, d):
     """The last 200 customers as a workbook for a reader, read back."""

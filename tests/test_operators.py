@@ -47,6 +47,9 @@ def test_repository_lifecycle(spark, corpus, two):
     assert r.search(two, 10).count() == 10
     r.delete()
     assert not r.is_initialized()
+    r.build(corpus, lists=True)
+    assert rows(r.search(two, 3).select("query_id", "corpus_id", "score"), "query_id", "corpus_id") == rows(vector.search(two, corpus, 3).select("query_id", "corpus_id", "score"), "query_id", "corpus_id")
+    r.delete()
 
 
 def test_topk_strategies_agree_and_break_ties_by_id(spark):
@@ -384,6 +387,8 @@ def test_text_functions(spark):
     assert tuple(r) == ("Type: Älter Name", "Älter Name", False, "<|paren...")
     ids = spark.createDataFrame([("12",), (" 7 ",), ("1.5",), ("x",), (None,)], "s string")
     assert [r[0] for r in ids.select(X.tolerant_id("s")).collect()] == [12, 7, 1, None, None]
+    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (1 << 20,), (5 << 30,), (3 << 40,), (1 << 50,), (7 << 60,), (None,)], "n long")
+    assert [r[0] for r in sizes.select(X.bytes_text("n")).collect()] == ["0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "1.00 MB", "5.00 GB", "3.00 TB", "1.00 PB", f"{7 * 1024:.2f} PB", None]
     assert X.bytes_label(2048) == "2.00 KB"
 
 
