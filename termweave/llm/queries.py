@@ -12,6 +12,7 @@ from . import line_dedup as lines
 from . import media, mixing, packing, quality, repeats, secrets, token_counts, token_files
 from .common import tables
 from .ngram_join import near_duplicates
+from .repeat_groups import repeat_groups
 from .toxicity import toxicity
 
 
@@ -31,6 +32,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(tables(spark, sf_dir))
 
 
+def op4_suffix_array_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_groups(tables(spark, sf_dir))
+
+
 def _line_digests(out: DataFrame) -> DataFrame:
     text = F.coalesce("cleaned", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.char_length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
@@ -80,6 +85,6 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op5_line_dedup, op5_line_dedup_whole, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing, op11_filter_interaction_audit, op12_cross_tokenizer_alignment, op13_secret_scans)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_media_columns, op4_suffix_array_dedup, op4_suffix_array_dedup_groups, op5_line_dedup, op5_line_dedup_whole, op6_toxicity, op7_quality_rules, op8_token_binary, op9_token_counts, op10_source_mixing, op11_filter_interaction_audit, op12_cross_tokenizer_alignment, op13_secret_scans)
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op5_line_dedup_whole": lines.ORACLE_WINDOWS, "op7_quality_rules": quality.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_filter_interaction_audit": filter_audit.ORACLE, "op13_secret_scans": secrets.ORACLE}

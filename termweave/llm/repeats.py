@@ -7,9 +7,10 @@ together in one stream; of equal pieces one is kept with its smallest document.
 prefixes is scanned with a stack for the intervals of the common-prefix tree; those whose occurrences differ in the byte to the left
 are the maximal repeats, and every occurrence outside the smallest document of a group is covered.
 
-A repeat longer than a piece is several groups that overlap by 49 bytes. What is covered stays exact: every 50-byte window lies whole
-in one piece, equal windows lie in pieces of one hash at places that the suffix array compares, and two pieces that share a window
-share an interval. Equal texts are told by two hashes of 124 bits together, of which one text goes on.
+A repeat longer than a piece is covered by several intervals that overlap by 49 bytes; `repeat_groups` puts it together. What is
+covered is exact: every 50-byte window lies whole in one piece, equal windows lie in pieces of one hash at places that the suffix
+array compares, and two pieces that share a window share an interval. Equal texts are told by two hashes of 124 bits together, of
+which one text goes on.
 """
 
 from __future__ import annotations
@@ -155,8 +156,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(rows)
 
 
-def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[int, int], int, bytes]]:
-    """(hash, text, start, piece) of the pieces under shared hashes; a text is (doc_id, key)."""
+def _cut(batch: pa.RecordBatch, back: int = 0) -> Iterator[tuple[int, tuple[int, int], int, bytes]]:
+    """(hash, text, start, piece) of the pieces under shared hashes; a text is (doc_id, key). back: bytes before a piece that go with it."""
     column = batch["hashes"].to_pylist()
     texts = list(zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(), strict=True))
     for i, data, w in _texts(batch["text"]):
@@ -169,19 +170,19 @@ def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[int, int], int, byt
         use = ok[first]
         raw, hashes = data.tobytes(), w.view(np.int64)
         for a, b in zip(first[use].tolist(), last[use].tolist(), strict=True):
-            yield int(hashes[a]), texts[i], a, raw[a : b + LENGTH - 1]
+            yield int(hashes[a]), texts[i], a, raw[max(0, a - back) : b + LENGTH - 1]
 
 
 def _pieces(collapse: bool = True):
     """Pieces under shared hashes. collapse: of equal pieces in one batch the smallest document's goes on; the others are covered at
-    once (kind 1)."""
+    once (kind 1). Else all go on, each with the byte before it unless it starts its text."""
     names = ["kind", "hash", "doc_id", "key", "start", "stop", "piece"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not collapse:
-                rows = [(0, h, *text, a, None, piece) for h, text, a, piece in _cut(batch)]
+                rows = [(0, h, *text, a, None, piece) for h, text, a, piece in _cut(batch, 1)]
             else:
                 spans: list[tuple] = []
                 best: dict[bytes, list] = {}
@@ -214,11 +215,12 @@ def _merged(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def maximal_repeats(pieces: list[bytes], groups: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def maximal_repeats(pieces: list[bytes], groups: np.ndarray, least: int = LENGTH, lefts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, piece of each occurrence, place in it) of the maximal repeats of `least` bytes or more within groups of pieces.
 
     The enhanced suffix array holds the places with `least` bytes before the piece's end. A stack scan over common prefixes yields
     the intervals of the common-prefix tree; one whose occurrences all have the same byte to the left is not maximal and left out.
+    lefts: the byte before each piece, negative where none is; without it, bytes before pieces count as different.
     """
     sizes = np.array([len(p) for p in pieces])
     n = np.maximum(sizes - least + 1, 0)
@@ -237,7 +239,9 @@ def maximal_repeats(pieces: list[bytes], groups: np.ndarray, least: int = LENGTH
     prefix = np.where(same.all(1), wide, np.argmin(same, 1))
     prefix = np.minimum(prefix, np.minimum(left[1:], left[:-1]))
     prefix[groups[owner[1:]] != groups[owner[:-1]]] = 0
-    before = np.where(place > 0, text[np.maximum((np.cumsum(sizes) - sizes)[owner] + place - 1, 0)].astype(np.int64), -1 - np.arange(len(owner)))
+    alone = -1 - np.arange(len(owner))
+    outer = alone if lefts is None else np.where(lefts[owner] >= 0, lefts[owner], alone)
+    before = np.where(place > 0, text[np.maximum((np.cumsum(sizes) - sizes)[owner] + place - 1, 0)].astype(np.int64), outer)
     change = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))  # left bytes differ in [a, b] where this does
     good = np.flatnonzero(prefix >= least)
     if not len(good):
@@ -286,10 +290,10 @@ class _Distinct:
             self.least[k] = min(self.least[k], text[0])
             self.where[k].append((text, start))
 
-    def repeats(self, lone: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """maximal_repeats of the pieces; lone: also of hashes with one distinct piece."""
+    def repeats(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """maximal_repeats of the pieces of hashes with several."""
         _, codes, count = np.unique(np.array(self.hashes), return_inverse=True, return_counts=True)
-        some = np.arange(len(codes)) if lone else np.flatnonzero(count[codes] > 1)
+        some = np.flatnonzero(count[codes] > 1)
         if len(some):
             for length, owner, place in maximal_repeats([self.pieces[i] for i in some], codes[some]):
                 yield length, some[owner], place
@@ -303,7 +307,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(all_) > 1:
                 spans += [(t, s, s + len(found.pieces[k])) for t, s in all_ if t[0] > found.least[k]]
         low = np.array(found.least)
-        for length, owner, place in found.repeats(False):
+        for length, owner, place in found.repeats():
             of = low[owner]
             m = of.min()
             for k, p in zip(owner[of > m].tolist(), place[of > m].tolist(), strict=True):
@@ -312,23 +316,6 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "key", "start", "stop"])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash -> a row an occurrence of each maximal repeat: digest of its bytes, length, key of the text, start."""
-    for rows in _whole_hashes(batches):
-        found, out = _Distinct(rows), set()
-        for k, all_ in enumerate(found.where):
-            if len(all_) > 1:
-                name = hashlib.blake2b(found.pieces[k], digest_size=16).hexdigest()
-                out.update((name, len(found.pieces[k]), t[1], s) for t, s in all_)
-        for length, owner, place in found.repeats(True):
-            k, p = int(owner[0]), int(place[0])
-            name = hashlib.blake2b(found.pieces[k][p : p + length], digest_size=16).hexdigest()
-            for k, p in zip(owner.tolist(), place.tolist(), strict=True):
-                out.update((name, length, t[1], s + p) for t, s in found.where[k])
-        if out:
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*sorted(out), strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["repeat", "length", "key", "start"])
-
-
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
     for batch in batches:
@@ -383,20 +370,6 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.where("doc_id > rep").select("doc_id", "key").distinct(), spans
 
 
-def repeat_groups(docs: DataFrame) -> DataFrame:
-    """(repeat, length, doc_id, start): a row an occurrence of every maximal repeat of 50 bytes or more, copies of texts included.
-
-    repeat is a digest of the repeated bytes, so a group of any size is rows and never one value. Repeats longer than a piece are
-    several groups that overlap; a text that several doc_ids have is also one group as a whole. Repeats within one text count too. Nulls, short texts and empty tables have none.
-    """
-    classes, pieces = _shared_pieces(docs, False)
-    found = _streams(pieces).mapInArrow(_grouped, "repeat string, length int, key long, start int").distinct()
-    found = found.join(classes.select("doc_id", "key").distinct(), "key").select("repeat", "length", "doc_id", "start")
-    many = classes.groupBy(F.col("key").alias("_key"), "rep").agg(F.count_distinct("doc_id").alias("_n")).where("_n > 1").select("_key").distinct()
-    whole = _keyed(docs).where(F.col("doc_id").isNotNull()).join(many, F.col("key") == F.col("_key"))
-    return found.unionByName(whole.select(F.md5("text").alias("repeat"), F.octet_length("text").alias("length"), "doc_id", F.lit(0).alias("start")).distinct())
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): bytes in 50-byte strings that also start in a smaller doc_id are removed.
 

@@ -15,6 +15,7 @@ from termweave.llm import encode, media, mixing, packing, quality, repeats, toke
 from termweave.llm.components import components
 from termweave.llm.line_dedup import line_dedup
 from termweave.llm.ngram_join import linked, near_duplicates
+from termweave.llm.repeat_groups import repeat_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,7 +158,7 @@ def test_groups_hold_every_occurrence_of_a_repeat(spark):
     shared, whole = text(70), text(90)
     rows = [(1, text(30) + shared + text(40)), (2, shared + text(20)), (3, text(10) + shared), (4, whole), (5, whole), (6, text(200))]
     texts = dict(rows)
-    found = [tuple(x) for x in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    found = [tuple(x) for x in repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     by: dict = {}
     for name, n, d, s in found:
         by.setdefault(name, []).append((d, texts[d][s : s + n]))
