@@ -152,11 +152,11 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     """
     classes, pieces = _shared_pieces(docs, False)
     classes = classes.select("doc_id", "key", "rep").distinct()
-    texts = _keyed(docs).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "key"])
+    texts = _keyed(docs).where(F.col("doc_id").isNotNull())  # a repeated row only repeats rows of its classes, which no verdict counts
     state = _streams(pieces).mapInArrow(_diverse, "w long, doc_id long, key long, start int").withColumns({"lo": F.lit(LENGTH), "hi": F.lit((1 << 31) - 1)})
     found, first = None, True
     while True:
-        places = state.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("w", "start", "lo", "hi")).alias("places"))
+        places = state.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("w", "start", "lo", "hi")).alias("places"))
         places = small_side(places, "repeat-places")
         rows = texts.join(places, (F.col("doc_id") == F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "places")
         out = written(_classed(written(rows.mapInArrow(_rungs(first), RUNG), "repeat-rungs")), "repeat-found")
