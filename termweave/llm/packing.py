@@ -160,7 +160,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
 def pack_apart(docs: DataFrame) -> DataFrame:
     """pack with components of near duplicates as clusters, so near copies share no bin. Texts that link with nothing, and rows with
-    a null doc_id, fall back on equal texts apart from case; copies that differ in the case of letters beyond A-Z may then count as unrelated."""
+    a null doc_id, fall back on equal texts apart from case; copies that differ in the case of letters beyond A-Z may then count as unrelated.
+
+    Two texts under one doc_id are of one component, the smallest of theirs. Repeated rows are packed each, in different bins; null and
+    empty texts are one piece of length 0; texts of any length are cut into full pieces and a rest; a null source is a source; ties go
+    by doc_id; an empty table gives no bin; other columns, of any name, are ignored.
+    """
     near = near_duplicates(docs).where("component_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_component"))
     many = near.groupBy("_component").agg(F.count("*").alias("_n")).where("_n > 1").select("_component")
     near = written(near.join(many, "_component", "left_semi"), "components")

@@ -646,6 +646,20 @@ def test_packing_of_empty_and_repeated_rows(spark, empty):
     assert len(out) == 3 and len({r["bin_id"] for r in out if r["doc_id"] == 5}) == 2
 
 
+def test_packing_apart_of_odd_rows(spark, empty):
+    assert packing.pack_apart(empty).count() == 0
+    base = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base, "s"), (2, base + " end", "s"), (2, "quite other words", None), (3, "quite other words", "t"), (5, LONG, "s"), (5, LONG, "s"), (None, LONG, None), (None, None, "s"), (6, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = docs.withColumns({c: F.lit("x") for c in ("component_id", "cluster", "_cluster", "size", "shard", "copy", "n", "content", "bin_id", "piece")})
+    got, same = (sorted(map(tuple, packing.pack_apart(d).select("doc_id", "piece", "start", "length", "residual").collect()), key=str) for d in (odd, docs))
+    assert got == same and len(got) == len(rows)
+    assert sorted(x[3] for x in got) == sorted([60, 61, 3, 3, 60, 60, 60, 0, 0])
+    bins = [r["bin_id"] for r in packing.pack_apart(odd).collect() if r["doc_id"] in (1, 2, 3)]
+    assert len(bins) == 4 and len(set(bins)) == 4  # the texts of doc_id 2 tie 1 and 3 into one cluster
+    assert len({r["bin_id"] for r in packing.pack_apart(odd).collect() if r["doc_id"] == 5}) == 2
+
+
 def test_near_copies_share_no_bin(spark):
     base = [f"word{i}" for i in range(80)]
     texts = [" ".join([*base[:40], f"edit{c}", *base[41:]]) for c in range(6)] + [" ".join(base).replace(" ", "  ", 1), "other text here"]
