@@ -26,6 +26,7 @@ SIDE = 24
 UNIT = SIDE * SIDE
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+PARTITIONS = 8192  # wanted of a scan; beyond, a partition takes runs of ranges
 BATCH_BYTES = 4 << 20
 _PNG = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "archive string, offset long, name string, media binary"
@@ -111,41 +112,54 @@ def directory(uri: str) -> list[tuple[int, int, str]]:
     return out
 
 
-class ByteRange(InputPartition):
-    """Members of one archive whose headers start in [start, end)."""
+class ByteRanges(InputPartition):
+    """Members of archives whose headers start in one of the ranges (uri, start, end)."""
 
-    def __init__(self, uri: str, start: int, end: int):
-        self.uri, self.start, self.end = uri, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.range_bytes, self.tries = options["path"], int(options.get("range_bytes", RANGE_BYTES)), int(options.get("tries", 3))
-        self.manifest = options.get("manifest")
-
-    def partitions(self) -> list[ByteRange]:
-        """The manifest's ranges; without one, runs of members of about range_bytes from each archive's directory."""
+        self.manifest, self.partitions_wanted = options.get("manifest"), int(options.get("partitions", PARTITIONS))
+
+    def _dealt(self, archives: list[tuple[str, np.ndarray]]) -> list[ByteRanges]:
+        """Partitions of the ranges between each archive's cuts: one each up to the number wanted, else runs of ranges, at most twice that many."""
+        step = max(1, -(-sum(len(cuts) - 1 for _, cuts in archives) // self.partitions_wanted))
+        out, held = [], step
+        for uri, cuts in archives:
+            for i in range(0, len(cuts) - 1, step):
+                last = min(i + step, len(cuts) - 1)
+                if held + last - i > step:
+                    out.append(ByteRanges([]))
+                    held = 0
+                out[-1].ranges.append((uri, int(cuts[i]), int(cuts[last])))
+                held += last - i
+        return out or [ByteRanges([])]
+
+    def partitions(self) -> list[ByteRanges]:
+        """The manifest's ranges; without one, runs of members of about range_bytes from each archive's directory. The number of
+        partitions is bounded, however many ranges there are."""
         from pyarrow import dataset
         from pyarrow import fs as pafs
 
         if self.manifest is not None:
             fs, path = opened(self.manifest)
             rows = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["uri", "cuts"])
-            cut = zip(rows["uri"].to_pylist(), rows["cuts"].to_pylist(), strict=True)
-            return [ByteRange(uri, a, b) for uri, cuts in cut for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [ByteRange("", 0, 0)]
+            return self._dealt([(uri, c.values.to_numpy()) for uri, c in zip(rows["uri"].to_pylist(), rows["cuts"], strict=True)])
         fs, path = opened(self.folder)
         uris = sorted(f"{self.folder.rstrip('/')}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.base_name.endswith(".zip"))
-        out = []
+        archives = []
         for uri in uris:
-            start = 0
-            members = directory(uri)
-            for at, n, _ in members:
-                if at + n - start >= self.range_bytes:
-                    out.append(ByteRange(uri, start, at + n))
-                    start = at + n
-            if members and start < members[-1][0] + members[-1][1]:
-                out.append(ByteRange(uri, start, members[-1][0] + members[-1][1]))
-        return out or [ByteRange("", 0, 0)]
+            cuts = [0]
+            for at, n, _ in (members := directory(uri)):
+                if at + n - cuts[-1] >= self.range_bytes:
+                    cuts.append(at + n)
+            if members and cuts[-1] < members[-1][0] + members[-1][1]:
+                cuts.append(members[-1][0] + members[-1][1])
+            archives.append((uri, np.array(cuts)))
+        return self._dealt(archives)
 
     def _member(self, f, reopen, at: int):
         """(name, data, next offset); read again by itself after an error or a wrong checksum."""
@@ -166,20 +180,19 @@ class MediaReader(DataSourceReader):
                 f = reopen()
         raise AssertionError
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not part.uri:
-            return
-        fs, path = opened(part.uri)
-        reopen = lambda: fs.open_input_file(path)
-        f, at, rows, held = reopen(), part.start, [], 0
-        while at < part.end:
-            here = at
-            f, name, data, at = self._member(f, reopen, at)
-            rows.append((part.uri, here, name, data))
-            held += len(data)
-            if held >= BATCH_BYTES or at >= part.end:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["archive", "offset", "name", "media"])
-                rows, held = [], 0
+    def read(self, part: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for uri, start, end in part.ranges:
+            fs, path = opened(uri)
+            reopen = lambda fs=fs, path=path: fs.open_input_file(path)
+            f, at, rows, held = reopen(), start, [], 0
+            while at < end:
+                here = at
+                f, name, data, at = self._member(f, reopen, at)
+                rows.append((uri, here, name, data))
+                held += len(data)
+                if held >= BATCH_BYTES or at >= end:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["archive", "offset", "name", "media"])
+                    rows, held = [], 0
 
 
 class MediaSource(DataSource):

@@ -199,6 +199,13 @@ def test_media_ranges_and_retries(tmp_path):
     assert len(parts) > 2
     names = [n for p in parts for b in reader.read(p) for n in b["name"].to_pylist()]
     assert names == [str(i) for i in range(9)]
+    for wanted in (1, 2):
+        fewer = media.MediaReader({"path": f"file://{tmp_path}", "range_bytes": 300, "partitions": wanted}).partitions()
+        assert len(fewer) <= 2 * wanted and len(fewer) < len(parts)
+        assert [n for p in fewer for b in reader.read(p) for n in b["name"].to_pylist()] == names
+    many = [(f"u{k}", np.arange(0, 10 * (k % 5 + 1), 10)) for k in range(100)]
+    dealt = media.MediaReader({"path": "", "partitions": 7})._dealt(many)
+    assert len(dealt) <= 14 and sum(b - a for p in dealt for _, a, b in p.ranges) == sum(int(c[-1]) for _, c in many)
     real, fails = reader._member, [2]
 
     class Flaky:
