@@ -118,6 +118,16 @@ class ByteRanges(InputPartition):
     def __init__(self, ranges: list[tuple[str, int, int]]):
         self.ranges = ranges
 
+    @property
+    def start(self) -> int:
+        """Where the first range starts."""
+        return self.ranges[0][1]
+
+    @property
+    def end(self) -> int:
+        """Where the last range ends."""
+        return self.ranges[-1][2]
+
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
