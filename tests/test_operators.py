@@ -572,3 +572,92 @@ def test_table_profile_is_exact_where_it_says_and_near_elsewhere(spark):
         assert all(abs(q - want) <= 400 for q, want in zip(out["id"]["quantiles"], (5000, 10_000, 15_000), strict=True)) and out["s"]["quantiles"] is None and out["d"]["quantiles"] == [1.0, 1.0, 1.0]
     none = {r["column_name"]: r for r in audit.table_profile(audit.sketches(df.limit(0))).collect()}
     assert all(r["rows"] == 0 and r["n_distinct"] == 0 and r["quantiles"] is None for r in none.values())
+
+
+def _grouped(spark, n=300, copies=0):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(n, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if copies:
+        v[:copies] = v[0]
+    v = v.astype(np.float32)
+    g = rng.integers(0, 5, n)
+    rows = [(i, v[i].tolist(), int(g[i]) if i % 17 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "i long, vector array<float>, g int")
+    return df.select(F.col("i").alias("query_id"), "vector", F.col("g").alias("qg")), df.select(F.col("i").alias("corpus_id"), "vector", F.col("g").alias("cg")), np.round(v.astype(float) @ v.astype(float).T, 9), [r[2] for r in rows]
+
+
+def _positives_of(g):
+    return [[a is not None and a == b and i != j for j, b in enumerate(g)] for i, a in enumerate(g)]
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_metrics_over_all_pairs_equal_the_plain_ones(spark, monkeypatch, dealt):
+    if dealt:
+        monkeypatch.setattr(vector, "QUERY_BYTES", 5000)
+        monkeypatch.setattr(vector, "CORPUS_BYTES", 7000)
+    monkeypatch.setattr(vector, "PAIRS", 500)
+    q, c, score, g = _grouped(spark)
+    pos = _positives_of(g)
+    rows = [(i, j, float(score[i, j]), int(pos[i][j])) for i in range(len(g)) for j in range(len(g))]
+    plain = spark.createDataFrame(rows, "query_id long, corpus_id long, score double, label int").withColumn("score", F.round("score", 2))
+    want = {(r["score"], r["label"]): r["n"] for r in plain.groupBy("score", "label").agg(F.count("*").alias("n")).collect()}
+    counts = vector.score_counts(q, c, ("qg", "cg"))
+    assert {(r["score"], r["label"]): r["n"] for r in counts.collect()} == want
+    assert sorted(map(str, vector.positive_ranks(q, c, ("qg", "cg")).collect())) == sorted(map(str, metrics.query_ranks(plain).collect()))
+    for f in (metrics.roc_auc, metrics.average_precision, metrics.threshold_metrics):
+        assert f(counts, weight="n").first() == pytest.approx(f(plain).first())
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_groups_bar_and_label_as_their_pairs_do(spark, monkeypatch, dealt):
+    if dealt:
+        monkeypatch.setattr(vector, "QUERY_BYTES", 5000)
+        monkeypatch.setattr(vector, "CORPUS_BYTES", 7000)
+    monkeypatch.setattr(vector, "PAIRS", 500)
+    q, c, _, g = _grouped(spark)
+    pos = mining.group_pairs(q.select("query_id", "qg"), c.select("corpus_id", "cg"), ("qg", "cg"))
+    flags = _positives_of(g)
+    assert {tuple(r) for r in pos.select("query_id", "corpus_id").collect()} == {(i, j) for i in range(len(g)) for j in range(len(g)) if flags[i][j]}
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert same(mining.hard_negatives(q, c, pos, 2, 30), mining.hard_negatives(q, c, ("qg", "cg"), 2, 30))
+    hits = vector.topk(q, c, 9).drop("rank")
+    assert same(mining.labelled_hits(hits, pos), mining.labelled_by_group(hits, q, c, ("qg", "cg")))
+    firsts = {r["query_id"]: r["truths"] for r in mining.first_of_group(q, c, ("qg", "cg"), 2).collect()}
+    assert firsts == {i: [j for j in range(len(g)) if flags[i][j]][:2] for i in range(len(g)) if any(flags[i])}
+    before, after = vector.topk(q, c, 9), vector.topk(q, c, 20).withColumn("rank", 21 - F.col("rank"))
+    assert same(rerank.rank_change(before, after, pos), rerank.group_rank_change(before, after, q, c, ("qg", "cg")))
+
+
+def test_near_perfect_pairs_are_all_found(spark):
+    q, c, score, _ = _grouped(spark, 60, copies=12)
+    got = {(r["query_id"], r["corpus_id"]) for r in vector.within(q, c).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(60) if score[i, j] >= 0.999} and len(got) >= 12 * 12
+
+
+def test_a_search_scores_few_pairs_at_a_time():
+    """A block of queries and a batch of the corpus were scored as one matrix: 2 GB for 65,536 queries and 4,096 rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 4)).round(2)
+    batches = [pa.record_batch([pa.array(np.arange(i, i + 3000)), pa.array(list(x[i : i + 3000]), pa.list_(pa.float32()))], names=["corpus_id", "vector"]) for i in (3000, 0)]
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(vector._search(np.arange(6000), x, 5)(iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and out.num_rows == 30000
+    score = np.round(x[:50] @ x.astype(np.float32).astype(float).T, 9)
+    want = {(i, int(j)) for i in range(50) for j in np.lexsort((np.arange(6000), -score[i]))[:5]}
+    assert {(a, b) for a, b in zip(out["query_id"].to_pylist(), out["corpus_id"].to_pylist(), strict=True) if a < 50} == want
+
+
+def test_signatures_are_compared_in_blocks(spark, monkeypatch):
+    q, c, _, _ = _grouped(spark, 200)
+    want = sorted(map(str, vector.lsh_topk(q, c, 4, planes=5, tables=3).collect()))
+    monkeypatch.setattr(vector, "QUERY_BYTES", 3000)
+    monkeypatch.setattr(vector, "CORPUS_BYTES", 3000)
+    found = vector.lsh_topk(q, c, 4, planes=5, tables=3)
+    assert sorted(map(str, found.collect())) == want and len(want) == 800
