@@ -661,3 +661,27 @@ def test_signatures_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "CORPUS_BYTES", 3000)
     found = vector.lsh_topk(q, c, 4, planes=5, tables=3)
     assert sorted(map(str, found.collect())) == want and len(want) == 800
+
+
+def test_lists_are_fitted_some_rows_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(8192, 4))
+    tracemalloc.start()
+    near = ivf._nearest(x, x[:2048])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and (near[:100] == (x[:100] @ x[:2048].T).argmax(1)).all()  # 134 MB as one matrix
+    monkeypatch.setattr(ivf, "FIT_ROWS", 20)
+    _, c, _, _ = _grouped(spark)
+    c = c.repartition(7)
+    drawn = c.orderBy(X.seeded_order(7, "corpus_id"), "corpus_id").limit(20).collect()
+    index = ivf.ListIndex.build(c, 3)
+    assert np.allclose(index.centroids, ivf._centroids(np.array([r["vector"] for r in drawn], float), len(index.centroids)))
+
+
+def test_expression_search_deals_a_table_of_one_file(spark):
+    q, c, _, _ = _grouped(spark, 50)
+    found = vector.topk(q.coalesce(1), c.coalesce(1), 3, "expr")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "query_id", "rank") == rows(vector.topk(q, c, 3), "query_id", "rank")
