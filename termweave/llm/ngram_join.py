@@ -14,23 +14,25 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import BROADCAST_BYTES, stored_bytes
 from .common import arrow_limits, small_side, written
 from .components import components
-from .shingle import shingle_sets
+from .shingle import counted_sets, shingle_sets
 
 SLICES, SLICE_BITS = 256, 14  # 2**22 counters
 BLOCK = 256  # classes of a block, on average at most
-SIGN_BITS, MOST = 8, 65535  # a class's shingles by the first bits of their hashes; a full count is taken as any number
+SIGN_BITS, MOST = 8, 255  # a class's shingles by the first bits of their hashes; a full count is taken as any number
 _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
+SUMS = 8  # tasks that add up counters; the driver adds up theirs
 PAIRS = 1 << 20  # candidate pairs that are looked at together
-LONG_LIST = 64  # a posting list with more classes lets its blocks meet without looking at each pair
+LONG_LIST = 1024  # a posting list with more classes lets its blocks meet without looking at each pair
 
 
 def _ceil(a: np.ndarray, percent: int) -> np.ndarray:
@@ -42,22 +44,33 @@ def _overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def _profile(k: int):
+def graded(table: np.ndarray) -> np.ndarray:
+    """Grades of counters, from rare to frequent: 0 within what the rare shingles that share a counter make of it, then two grades for
+    each doubling of what is beyond them. That background grows with the input and is taken off first: measured against it, a shingle of
+    250 texts would count as rare at 6 GB, and its list of unrelated texts would be compared."""
+    usual = table.mean()
+    beyond = (table - usual) / (4 * np.sqrt(usual) + 1)
+    return np.clip(np.floor(1 + 2 * np.log2(np.maximum(0.5, beyond))), 0, 120).astype(np.int8)
+
+
+def _profile(k: int, beside: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SLICES << SLICE_BITS, np.uint32)
         for batch in batches:
-            n, keys, signs = [], [], []
-            for s in shingle_sets(batch["text"], k):
+            n, keys, signs, size = [], [], [], []
+            for n_words, s in counted_sets(batch["text"], k):
+                size.append(n_words)
                 n.append(len(s))
-                signs.append(np.minimum(np.bincount((s >> np.uint64(64 - SIGN_BITS)).astype(np.int64), minlength=1 << SIGN_BITS), MOST).astype("<u2").tobytes())
+                signs.append(np.minimum(np.bincount((s >> np.uint64(64 - SIGN_BITS)).astype(np.int64), minlength=1 << SIGN_BITS), MOST).astype("u1").tobytes())
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=8).digest())
                 np.add.at(counters, (s >> np.uint64(64 - 8 - SLICE_BITS)).astype(np.int64), np.uint32(1))
-            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.nulls(len(n), pa.int32()), pa.array(signs, pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
+            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.nulls(len(n), pa.int32()), pa.array(signs, pa.binary()), pa.array(size, pa.int64()), *[batch[c] for c in beside]], names=["doc_id", "n", "key", "slice", "counts", "n_words", *beside])
+            types = [batch.schema.field(c).type for c in beside]
         parts = counters.reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         if used:
             z = len(used)
-            yield pa.record_batch([pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
+            yield pa.record_batch([pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary()), pa.nulls(z, pa.int64()), *[pa.nulls(z, t) for t in types]], names=["doc_id", "n", "key", "slice", "counts", "n_words", *beside])
 
     return run
 
@@ -67,7 +80,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
             total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
 def _postings(k: int, percent: int, grades):
@@ -95,7 +108,8 @@ def _postings(k: int, percent: int, grades):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Runs of rows that hold whole posting lists, repeated rows removed, with the start of each list."""
+    """Rows sorted by token -> runs of whole posting lists of two classes or more, by token, key and n, repeated rows removed, with the
+    start of each list."""
     rest: dict[str, np.ndarray] | None = None
     for batch, last in _with_last(batches):
         now = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names} if batch is not None else None
@@ -108,8 +122,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.nda
         rest = {c: x[end:] for c, x in now.items()}
         if not end:
             continue
-        now = {c: x[:end] for c, x in now.items()}
-        keep = np.ones(end, bool)
+        new = np.concatenate(([True], t[1:end] != t[: end - 1], [True]))
+        several = np.flatnonzero(~(new[:-1] & new[1:]))  # most shingles are of one text alone; only the rest are sorted
+        if not len(several):
+            continue
+        now = {c: x[several] for c, x in now.items()}
+        order = np.lexsort((now["n"], now["key"], now["token"]))
+        now = {c: x[order] for c, x in now.items()}
+        keep = np.ones(len(order), bool)
         keep[1:] = (now["token"][1:] != now["token"][:-1]) | (now["key"][1:] != now["key"][:-1]) | (now["n"][1:] != now["n"][:-1])
         now = {c: x[keep] for c, x in now.items()}
         t = now["token"]
@@ -191,6 +211,9 @@ def _meetings(percent: int):
                     p, q = np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
                     zero = np.zeros(2 * len(i), np.int64)
                     kept.append([zero, np.append(p, p), np.append(q, q), np.append(key[i], key[j]), np.append(n[i], n[j])])
+                    if sum(len(x[0]) for x in kept) > PAIRS:
+                        yield told(kept)
+                        kept = []
             for a, z in zip(at[sizes > LONG_LIST].tolist(), sizes[sizes > LONG_LIST].tolist(), strict=True):
                 x = slice(a, a + z)
                 hubs, which, count = np.unique(hub[x], return_inverse=True, return_counts=True)
@@ -219,7 +242,7 @@ def _plausible_star(percent: int):
             rows = pa.Table.from_batches([batch])
             rows = rows if head is None else pa.concat_tables([head, rows])
             task, side, who, n = (rows[c].to_numpy() for c in ("task", "side", "class_id", "n"))
-            bins = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u2").reshape(len(task), -1).astype(np.int32)
+            bins = np.frombuffer(b"".join(rows["sign"].to_pylist()), "u1").reshape(len(task), -1).astype(np.int32)
             bins[bins == MOST] = 1 << 20
             lead = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))
             head = rows.slice(int(lead[-1]), 1)
@@ -243,7 +266,7 @@ def _plausible(percent: int):
         n = np.array([r[3] for r in rows], np.int64)
         side = np.array([r[1] for r in rows], np.int8)
         hub = np.array([r[5] for r in rows], np.int64)
-        bins = np.stack([np.frombuffer(r[4], "<u2") for r in rows]).astype(np.int32)
+        bins = np.stack([np.frombuffer(r[4], "u1") for r in rows]).astype(np.int32)
         bins[bins == MOST] = 1 << 20
         out = np.zeros(len(rows), bool)
         order = np.argsort(n, kind="stable")
@@ -397,8 +420,9 @@ def _links(docs: DataFrame, signs: DataFrame, tasks: DataFrame, k: int, percent:
     return written(links, "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, beside: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each row of docs (doc_id, text; other columns, of any name, are ignored).
+    beside: columns of docs that stay in the result, together with n_words, so that texts need not be read again.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct k-word shingles (A-Z lower-cased;
     fewer than k words: the whole sequence). component_id: the smallest doc_id reachable; class_id: the smallest with the same set.
@@ -408,22 +432,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    beside = list(beside)
+    carried = ["n_words", *beside] if beside else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *beside)
+    shape = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in beside)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    profile = written(docs.mapInArrow(_profile(k), "doc_id long, n long, key long, slice int, counts binary"), "profile")
-    rows = profile.where("slice is null").select("doc_id", "n", "key")
-    counts = profile.where("slice is not null").select("slice", "counts").repartition(min(parts, SLICES), "slice").mapInArrow(_summed, "slice int, counts binary")
+    profile = written(docs.mapInArrow(_profile(k, beside), "doc_id long, n long, key long, slice int, counts binary, n_words long" + shape), "profile")
+    docs = docs.select("doc_id", "text")
+    rows = profile.where("slice is null").select("doc_id", "n", "key", *carried)
+    counts = profile.where("slice is not null").select("slice", "counts").coalesce(SUMS).mapInArrow(_summed, "slice int, counts binary")
     table = np.zeros((SLICES, 1 << SLICE_BITS), np.int64)
-    for r in counts.collect():  # 33.5 MB whatever the input: the counters are of a fixed number
-        table[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    table = table.ravel()
-    usual = table.mean() + 4 * np.sqrt(table.mean()) + 1
-    grades = spark.sparkContext.broadcast(np.clip(np.floor(2 * np.log2(np.maximum(1, table / usual))), 0, 120).astype(np.int8))
+    for r in counts.collect():  # SUMS times 33.5 MB before they are compressed, whatever the input: the counters are of a fixed number
+        table[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    grades = spark.sparkContext.broadcast(graded(table.ravel()))
 
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    shape = "token long, key long, n int, place int"
-    postings = docs.where("doc_id is not null").mapInArrow(_postings(k, percent, grades), shape)
-    shared = written(postings.repartition(parts, "token").sortWithinPartitions("token", "key", "n").mapInArrow(_shared(percent), shape + ", low long, near long"), "postings")
+    listed = "token long, key long, n int, place int"
+    postings = docs.where("doc_id is not null").mapInArrow(_postings(k, percent, grades), listed)
+    shared = written(postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared(percent), listed + ", low long, near long"), "postings")
     label = written(shared.groupBy("key", "n").agg(F.min("low").alias("label"), F.min("near").alias("near")), "labels")
     cuts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     block = label.join(cuts, "label").join(classes, ["key", "n"]).select("key", "n", "class_id", "near", F.xxhash64("label", F.pmod(F.xxhash64("key", "n"), "cuts")).alias("block"))
@@ -441,13 +467,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tasks = tasks.unionByName(star.select("task", F.lit(0).alias("side"), F.col("rep").alias("class_id"), F.col("rep_n").alias("n"), F.col("rep").alias("hub")).distinct())
     first = _links(docs, signs, tasks, k, percent, True)
     hubs = first.groupBy(F.col("v").alias("class_id")).agg(F.min("u").alias("hub"))
+    few = stored_bytes(spark, first._termweave_path) <= BROADCAST_BYTES
     for _ in range(2):  # a hub's own hub, and that one's
         up = hubs.select(F.col("class_id").alias("_c"), F.col("hub").alias("_h"))
-        hubs = hubs.join(up, F.col("hub") == F.col("_c"), "left").select("class_id", F.coalesce("_h", "hub").alias("hub"))
+        hubs = hubs.join(F.broadcast(up) if few else up, F.col("hub") == F.col("_c"), "left").select("class_id", F.coalesce("_h", "hub").alias("hub"))
     block = block.join(written(hubs, "hubs"), "class_id", "left").select("key", "n", "class_id", "block", F.coalesce("hub", "class_id").alias("hub"))
     block = written(block, "hubbed")
 
-    met = shared.join(block.select("key", "n", "block", "hub"), ["key", "n"]).repartition(parts, "token").sortWithinPartitions("token", "key", "n")
+    met = shared.join(block.select("key", "n", "block", "hub"), ["key", "n"]).repartition(parts, "token").sortWithinPartitions("token")
     met = written(met.select("token", "key", "n", "place", "block", "hub").mapInArrow(_meetings(percent), "kind int, a long, b long, key long, n int"), "meetings")
     some = met.where("kind = 0").select("a", "b", "key", "n").distinct().join(block, ["key", "n"]).select("a", "b", "class_id", "n", "hub", (F.col("block") != F.col("a")).cast("int").alias("side"))
     whole = met.where("kind = 2").select("a", "b").distinct().select("a", "b", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
@@ -458,4 +485,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     roots = components(first.union(second)).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
     classes = classes.join(roots, "class_id", "left").select("key", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = rows.join(classes, ["key", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return out.select("doc_id", *carried, F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -145,6 +145,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     arrow_limits(spark)
     group = F.xxhash64(F.lower(F.coalesce("text", F.lit("")))) if cluster is None else F.xxhash64(cluster)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), group.alias("cluster"), F.xxhash64("text").alias("content"))
+    return _dealt(rows, capacity, per_source, shard)
+
+
+def _dealt(rows: DataFrame, capacity: int, per_source: int, shard: int | None) -> DataFrame:
+    """pack's result for rows (doc_id, source, size, cluster, content)."""
+    spark = rows.sparkSession
     rows = rows.withColumn("cluster", F.when(F.col("size") > 0, F.col("cluster")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")))
     # equal rows are counted before they are dealt, then numbered, so that a row that is repeated without end is dealt like others
     rows = written(rows.groupBy("doc_id", "source", "size", "cluster", "content").agg(F.count("*").alias("n")), "sizes")
@@ -166,9 +172,13 @@ def pack_apart(docs: DataFrame) -> DataFrame:
     empty texts are one piece of length 0; texts of any length are cut into full pieces and a rest; a null source is a source; ties go
     by doc_id; an empty table gives no bin; other columns, of any name, are ignored.
     """
-    near = near_duplicates(docs).where("component_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_component"))
+    same = F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))
+    told = docs.select("doc_id", "text", F.col("source").alias("_source"), F.xxhash64("text").alias("_content"), same.alias("_same"))
+    told = written(near_duplicates(told, beside=["_source", "_content", "_same"]), "told")
+    near = told.where("component_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_component"))
     many = near.groupBy("_component").agg(F.count("*").alias("_n")).where("_n > 1").select("_component")
     near = written(near.join(many, "_component", "left_semi"), "components")
-    same = F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))
-    named = docs.select("doc_id", "text", "source").join(near, F.col("doc_id") == F.col("_id"), "left")
-    return pack(named.withColumn("_cluster", F.when(F.col("_component").isNotNull(), F.xxhash64(F.lit("component"), "_component")).otherwise(same)), cluster="_cluster")
+    named = told.join(near, F.col("doc_id") == F.col("_id"), "left")
+    cluster = F.xxhash64(F.when(F.col("_component").isNotNull(), F.xxhash64(F.lit("component"), "_component")).otherwise(F.col("_same")))
+    rows = named.select("doc_id", F.col("_source").alias("source"), F.col("n_words").alias("size"), cluster.alias("cluster"), F.col("_content").alias("content"))
+    return _dealt(rows, CAPACITY, PER_SOURCE, SHARD)

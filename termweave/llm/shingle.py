@@ -74,6 +74,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 
 def shingle_sets(column, k: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct k-word shingles as 64-bit hashes; fewer words: the whole sequence as one."""
+    return (s for _, s in counted_sets(column, k))
+
+
+def counted_sets(column, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of words, set) of each text, see shingle_sets."""
     m = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(k + 1)]
     for _, data, offsets in chunks(column):
         h, at = words(data, offsets)
@@ -85,11 +90,11 @@ def shingle_sets(column, k: int = 5) -> Iterator[np.ndarray]:
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= k:
                 x = np.sort(s[a : b - k + 1])
-                yield x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
+                yield b - a, x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
             elif b > a:
                 one = np.array([(b - a) * int(m[k]) % (1 << 64)], np.uint64)
                 for i in range(b - a):
                     one += h[a + i : a + i + 1] * m[i]
-                yield mixed(one)
+                yield b - a, mixed(one)
             else:
-                yield np.zeros(0, np.uint64)
+                yield 0, np.zeros(0, np.uint64)

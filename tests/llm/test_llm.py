@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termweave.llm import encode, media, mixing, packing, quality, repeats, token_counts, token_files, toxicity
+from termweave.llm import encode, media, mixing, ngram_join, packing, quality, repeats, token_counts, token_files, toxicity
 from termweave.llm.components import components
 from termweave.llm.line_dedup import line_dedup
 from termweave.llm.ngram_join import linked, near_duplicates
@@ -119,6 +120,23 @@ def test_linked_pairs_equal_brute_force():
     assert sorted(tuple(sorted(p)) for p in linked(sets, 80, side)) == [(i, j) for i, j in want if side[i] != side[j]]
 
 
+def test_a_full_frequency_table_still_tells_frequent_shingles():
+    table = np.random.default_rng(1).poisson(350, 1 << 16).astype(np.int64)  # as at 6 GB
+    table[:50] += 150  # counters with a shingle of 150 texts
+    grades = ngram_join.graded(table)
+    assert (grades[:50] > 0).all() and (grades[50:] > 0).mean() < 0.001
+    assert not ngram_join.graded(np.zeros(8, np.int64)).any()
+
+
+def test_a_long_list_of_unrelated_texts_brings_no_blocks_together():
+    """100 classes in as many blocks share one shingle, 98 of them at the end of their prefix; only the last two may be similar."""
+    at = np.arange(100, dtype=np.int64)
+    place = np.where(at < 98, 199, 0).astype(np.int32)
+    rows = {"token": at * 0, "key": at, "n": (at * 0 + 1000).astype(np.int32), "place": place, "block": at, "hub": at}
+    out = list(ngram_join._meetings(80)(iter([pa.record_batch({c: pa.array(x) for c, x in rows.items()})])))
+    assert {(r["kind"], r["a"], r["b"], r["key"]) for b in out for r in b.to_pylist()} == {(0, 98, 99, 98), (0, 98, 99, 99)}
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(map(tuple, components(e).collect()))
