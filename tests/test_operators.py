@@ -685,3 +685,11 @@ def test_expression_search_deals_a_table_of_one_file(spark):
     found = vector.topk(q.coalesce(1), c.coalesce(1), 3, "expr")
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert rows(found, "query_id", "rank") == rows(vector.topk(q, c, 3), "query_id", "rank")
+
+
+def test_ranges_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    out = ranges.ranged(spark.range(5000), ["id"])
+    sizes = [r["count"] for r in out.groupBy("_part").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 50 and max(sizes) < 500
+    assert [r["n"] for r in ranges.numbered(spark.range(5000), ["id"], "n").orderBy("id").collect()] == list(range(1, 5001))
