@@ -693,3 +693,18 @@ def test_ranges_grow_in_number_and_not_in_size(spark, monkeypatch):
     sizes = [r["count"] for r in out.groupBy("_part").count().collect()]
     assert sum(sizes) == 5000 and len(sizes) > 50 and max(sizes) < 500
     assert [r["n"] for r in ranges.numbered(spark.range(5000), ["id"], "n").orderBy("id").collect()] == list(range(1, 5001))
+
+
+def test_pairs_are_dealt_by_their_number_and_equal_the_plain_join(spark, monkeypatch):
+    from termweave.plans import catalogue, standins
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 100)
+    d = "/root/testdata/sf0.001"
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    bridge, names = standins.bridge(spark, d), standins.table(spark, d, "supplier").selectExpr("s_suppkey as name_id", "s_name as name")
+    want = bridge.join(standins.concept(spark, d), "concept_id").join(names, "name_id")
+    found = sampling.positives(standins.concept(spark, d), names, bridge, most=1 << 30)
+    assert sorted(map(str, found.select("concept_id", "name_id", "sentence2").collect())) == sorted(map(str, want.select("concept_id", "name_id", F.col("name").alias("sentence2")).collect()))
+    rows = bridge.count()
+    for out in (bridge, found, catalogue.pair_frames(spark, d)):
+        assert sum(sizes(out)) == rows and max(sizes(out)) < rows / 8
