@@ -705,6 +705,8 @@ def test_pairs_are_dealt_by_their_number_and_equal_the_plain_join(spark, monkeyp
     want = bridge.join(standins.concept(spark, d), "concept_id").join(names, "name_id")
     found = sampling.positives(standins.concept(spark, d), names, bridge, most=1 << 30)
     assert sorted(map(str, found.select("concept_id", "name_id", "sentence2").collect())) == sorted(map(str, want.select("concept_id", "name_id", F.col("name").alias("sentence2")).collect()))
+    named = want.select("concept_id", F.concat("concept_name", F.lit(" by "), "name").alias("name")).distinct()
+    assert sorted(map(str, catalogue.definition_join(spark, d).collect())) == sorted(map(str, named.collect()))
     rows = bridge.count()
-    for out in (bridge, found, catalogue.pair_frames(spark, d)):
+    for out in (bridge, found, catalogue.definition_join(spark, d), catalogue.pair_frames(spark, d)):
         assert sum(sizes(out)) == rows and max(sizes(out)) < rows / 8
