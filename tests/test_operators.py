@@ -710,3 +710,10 @@ def test_pairs_are_dealt_by_their_number_and_equal_the_plain_join(spark, monkeyp
     rows = bridge.count()
     for out in (bridge, found, catalogue.definition_join(spark, d), catalogue.pair_frames(spark, d)):
         assert sum(sizes(out)) == rows and max(sizes(out)) < rows / 8
+
+
+def test_compared_metrics_search_once(spark):
+    from termweave.plans import catalogue
+
+    plan = catalogue.metric_compare(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "Relation" in plan
