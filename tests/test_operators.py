@@ -629,6 +629,15 @@ def test_groups_bar_and_label_as_their_pairs_do(spark, monkeypatch, dealt):
     assert same(rerank.rank_change(before, after, pos), rerank.group_rank_change(before, after, q, c, ("qg", "cg")))
 
 
+def test_scores_that_are_no_numbers_are_no_pairs(spark):
+    q = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(3)], "query_id long, vector array<double>, qg long")
+    c = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [float("nan"), 0.0], 0), (2, [0.25, 0.5], 0)], "corpus_id long, vector array<double>, cg long")
+    counts = {(r["score"], r["label"]): r["n"] for r in vector.score_counts(q, c, ("qg", "cg")).collect()}
+    assert counts == {(1.0, 0): 1, (1.0, 1): 2, (0.25, 1): 1, (0.75, 1): 1, (1.25, 0): 1}
+    assert {(r["query_id"], r["corpus_id"], r["rank"]) for r in vector.topk(q, c, 3).collect()} == {(0, 0, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 2, 1), (2, 0, 2)}
+    assert {(r["query_id"], r["corpus_id"]) for r in vector.within(q, c, 1.0).collect()} == {(0, 0), (1, 0), (2, 0), (2, 2)}
+
+
 def test_near_perfect_pairs_are_all_found(spark):
     q, c, score, _ = _grouped(spark, 60, copies=12)
     got = {(r["query_id"], r["corpus_id"]) for r in vector.within(q, c).collect()}
