@@ -95,6 +95,16 @@ def test_list_index_of_few_equal_and_no_rows(spark):
     assert ivf.ListIndex.build(c.limit(0), 3).topk(q, 3).count() == 0
 
 
+
+def test_list_index_never_broadcasts_vectors(spark):
+    """Files of repeated vectors are small, so the guess by file size would send them all through the driver."""
+    c = spark.range(3000).select(F.col("id").alias("corpus_id"), F.array(*[F.lit(float(i)).cast("float") for i in range(128)]).alias("vector"))
+    index = ivf.ListIndex.build(c, 3)
+    pairs = index.pairs(c.limit(5).withColumnRenamed("corpus_id", "query_id"), 3)
+    assert pairs.columns == ["corpus_id", "query_id", "_q", "_c"]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [corpus_id" not in plan and "BroadcastHashJoin [query_id" not in plan
+
 def test_draws_serve_every_key_that_the_blacklist_leaves(spark):
     names = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "candidate_id long, sentence2 string")
     black = spark.createDataFrame([(1, i) for i in range(58)] + [(2, i) for i in range(60)] + [(3, i) for i in range(0, 60, 2)] + [(1, 5), (1, 900), (None, 3)], "concept_id long, candidate_id long")
