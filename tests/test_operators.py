@@ -96,6 +96,28 @@ def test_list_index_of_few_equal_and_no_rows(spark):
 
 
 
+def test_draws_off_short_blacklists_are_not_written(spark, monkeypatch):
+    wanted = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 7).alias("concept_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("s"))
+    names = spark.range(50).select((F.col("id") * 3).alias("candidate_id"), F.col("id").cast("string").alias("sentence2"))
+    black = spark.range(300).select((F.col("id") % 6).alias("concept_id"), (F.pmod(F.xxhash64("id"), F.lit(60)) * 3).alias("candidate_id"))
+    made, write = [], sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: made.append(name) or write(df, name))
+    got = sampling.free_draws(wanted, "k", names, black, 4, beside=["s"])
+    assert "draws" not in made and {"k", "s"} <= set(got.columns)
+    monkeypatch.setattr(sampling, "LISTED", 25)  # some concepts by arrays, some by ranges
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sampling.free_draws(wanted, "k", names, black, 4, beside=["s"]).collect()))
+    assert "draws" in made
+    assert got.join(black.distinct(), ["concept_id", "candidate_id"]).count() == 0 and got.where(F.col("s") != F.concat(F.lit("s"), F.col("k").cast("string"))).count() == 0
+
+
+def test_positives_are_numbered_by_concept_and_name(spark):
+    targets = spark.createDataFrame([(i, f"c{i}") for i in (2, 1, 9, 5)], "concept_id long, concept_name string")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "name_id long, name string")
+    bridge = spark.createDataFrame([(9, 0), (1, 5), (1, 2), (2, 3), (1, 2), (7, 1), (5, 8)], "concept_id long, name_id long")
+    got = sampling.numbered_positives(targets, names, bridge).select("pos_idx", "concept_id", "name_id", "sentence1", "sentence2")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, "c1", "n2"), (2, 1, 5, "c1", "n5"), (3, 2, 3, "c2", "n3"), (4, 9, 0, "c9", "n0")]
+
+
 def test_list_index_never_broadcasts_vectors(spark):
     """Files of repeated vectors are small, so the guess by file size would send them all through the driver."""
     c = spark.range(3000).select(F.col("id").alias("corpus_id"), F.array(*[F.lit(float(i)).cast("float") for i in range(128)]).alias("vector"))
