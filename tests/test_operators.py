@@ -118,6 +118,42 @@ def test_positives_are_numbered_by_concept_and_name(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2, "c1", "n2"), (2, 1, 5, "c1", "n5"), (3, 2, 3, "c2", "n3"), (4, 9, 0, "c9", "n0")]
 
 
+def _found(search, ids, vectors):
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(ids[x : x + 64]), pa.array(vectors[x : x + 64].tolist(), pa.list_(pa.float64()))], names=["corpus_id", "vector"]) for x in range(0, len(ids), 64)]
+    return sorted((q, c, s) for b in search(iter(batches)) for q, c, s in zip(*b.to_pydict().values(), strict=True) if c is not None)
+
+
+@pytest.mark.parametrize(("scale", "step"), [(1.0, 1e-9), (1e-12, 1e-9), (2.0**70, 0.25)])
+def test_rough_scores_lose_no_hit(scale, step):
+    """Scores that single precision can not tell apart, ties, NaN and lengths beyond it."""
+    r = np.random.default_rng(4)
+    v = np.ones((300, 8)) + r.integers(0, 4, (300, 8)) * step
+    v[57], v[78, 2], v[9] = -1.0, np.nan, 0.0
+    v, ids = v * scale, np.arange(300)[::-1].copy()
+    q = np.arange(40)
+    got = _found(vector._search(q, v[:40], 6), ids, v)
+    score = np.round(v[:40] @ v.T, 9)
+    score[np.isnan(score)] = -np.inf
+    want = [(int(a), int(ids[c])) for a in q for c in np.lexsort((ids, -score[a]))[:6] if score[a, c] > -np.inf]
+    assert sorted(want) == [x[:2] for x in got]
+
+
+def test_search_asks_whether_pairs_are_allowed_only_near_the_top():
+    r, asked = np.random.default_rng(5), []
+    v, ids, q = r.normal(size=(6400, 8)), np.arange(6400), np.arange(20)
+
+    def allowed(queries, at, batch):
+        asked.append(len(at))
+        return (queries + batch["corpus_id"].to_numpy()[at]) % 3 > 0
+
+    got = _found(vector._search(q, v[:20], 5, allowed=allowed), ids, v)
+    score = np.where((q[:, None] + ids) % 3 > 0, np.round(v[:20] @ v.T, 9), -np.inf)
+    assert [x[:2] for x in got] == sorted((int(a), int(c)) for a in q for c in np.lexsort((ids, -score[a]))[:5])
+    assert sum(asked) < 20 * 6400 / 10
+
+
 def test_list_index_never_broadcasts_vectors(spark):
     """Files of repeated vectors are small, so the guess by file size would send them all through the driver."""
     c = spark.range(3000).select(F.col("id").alias("corpus_id"), F.array(*[F.lit(float(i)).cast("float") for i in range(128)]).alias("vector"))
