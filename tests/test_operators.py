@@ -154,6 +154,14 @@ def test_search_asks_whether_pairs_are_allowed_only_near_the_top():
     assert sum(asked) < 20 * 6400 / 10
 
 
+def test_expressions_rank_few_of_all_pairs(spark):
+    r = np.random.default_rng(6)
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(1500, 6)))], "corpus_id long, vector array<double>")
+    q = c.where("corpus_id < 40").withColumnRenamed("corpus_id", "query_id")
+    assert vector._expressed(q, c, 3).count() < 40 * 1500 / 10
+    assert rows(vector.topk(q, c, 3, "expr").select("query_id", "rank", "corpus_id", "score"), "query_id", "rank") == rows(vector.topk(q, c, 3).select("query_id", "rank", "corpus_id", "score"), "query_id", "rank")
+
+
 def test_list_index_never_broadcasts_vectors(spark):
     """Files of repeated vectors are small, so the guess by file size would send them all through the driver."""
     c = spark.range(3000).select(F.col("id").alias("corpus_id"), F.array(*[F.lit(float(i)).cast("float") for i in range(128)]).alias("vector"))
